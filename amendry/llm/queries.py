@@ -4,30 +4,76 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import encode_and_decode
+from .lempel_ziv import remove_repeated_windows
+from .quality_model import fit_attention_model, score_quality
 from .quality_rules import line_frequency_rules
+from .simhash import near_duplicate_groups
+from .suffix_groups import remove_repeated_bytes
+from .suffix_tree_lm import score_texts
+from .token_attribution import token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(parts: int) -> Column:
+    """crc32 of the id as text, modulo `parts`."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def tokenizer() -> tuple[str, str]:
+    """Rank file and pattern of the public byte-level BPE of 50k tokens."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_attention_model(docs, table(spark, sf_dir, "labels"), usable=fold(4) != 2)
+    return score_quality(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted", "n_passages", "top_weight")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), *tokenizer())
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    return encode_and_decode(table(spark, sf_dir, "documents"), *tokenizer())
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_windows(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), fold(10) == 0)
+
 
-    return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+def op10_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op7_byte_bpe)
-}
+    f.__name__: f
+    for f in (
+        op2_quality_model, op3_quality_rules, op4_token_counts, op6_simhash, op7_byte_bpe, op8_substring_dedup,
+        op9_suffix_tree_lm, op10_suffix_groups,
+    )
+}
 
 #: DuckDB SQL for the same rows, where SQL can express them at a bearable cost.
 ORACLE_SQL: dict[str, str] = {}
