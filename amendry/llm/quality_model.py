@@ -125,17 +125,16 @@ class AttentionModel:
         parts = {"E": x.T @ dh, "e": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ ds, "c": f["z"].T @ d, "b": np.array([d.sum()])}
         return np.concatenate([parts[k].ravel() for k in self.SHAPES]) + decay * self.flat
 
-    def fit(self, bags: list[tuple[np.ndarray, float]], epochs: int, rate: float, decay: float, seed: int, batch: int = 64) -> np.ndarray:
-        """Adam over shuffled batches of bags; returns the new flat vector."""
-        rng, m, v, step = np.random.default_rng(seed), np.zeros_like(self.flat), np.zeros_like(self.flat), 0
-        for _ in range(epochs):
-            order = rng.permutation(len(bags))
-            for at in range(0, len(bags), batch):
-                own = [bags[i] for i in order[at : at + batch]]
-                grad = self.gradient(np.concatenate([b[0] for b in own]), np.array([len(b[0]) for b in own]), np.array([b[1] for b in own]), decay)
-                step += 1
-                m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-                self.flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    def fit(self, bags: list[tuple[np.ndarray, float]], steps: int, rate: float, decay: float, seed: int, batch: int = 64) -> np.ndarray:
+        """Adam over batches of bags, shuffled anew when all were seen; returns the new flat vector."""
+        rng, m, v, order = np.random.default_rng(seed), np.zeros_like(self.flat), np.zeros_like(self.flat), []
+        for step in range(1, steps + 1):
+            while len(order) < min(batch, len(bags)):
+                order += rng.permutation(len(bags)).tolist()
+            own, order = [bags[i] for i in order[:batch]], order[batch:]
+            grad = self.gradient(np.concatenate([b[0] for b in own]), np.array([len(b[0]) for b in own]), np.array([b[1] for b in own]), decay)
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+            self.flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return self.flat
 
 
@@ -155,11 +154,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
-def _shard_trainer(flat: np.ndarray, turn: int, epochs: int, rate: float, decay: float) -> Callable:
+def _shard_trainer(flat: np.ndarray, turn: int, steps: int, rate: float, decay: float) -> Callable:
     def train(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "bag"], kind="stable")
         own = [(np.frombuffer(b, np.float32).reshape(-1, WIDTH), y) for b, y in zip(rows["bag"], rows["label"])]
-        new = AttentionModel(flat.copy()).fit(own, epochs, rate, decay, seed=1000 * turn + int(key[0]))
+        new = AttentionModel(flat.copy()).fit(own, steps, rate, decay, seed=1000 * turn + int(key[0]))
         return pd.DataFrame({"shard": [key[0]], "n": [len(rows)], "flat": [new.tobytes()]})
 
     return train
@@ -167,12 +166,12 @@ def _shard_trainer(flat: np.ndarray, turn: int, epochs: int, rate: float, decay:
 
 def fit_attention_model(
     docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, most: int = 4096,
-    shards: int = 8, rounds: int = 5, epochs: int = 6, rate: float = 0.01, decay: float = 1e-5,
+    shards: int = 8, rounds: int = 5, steps: int = 100, rate: float = 0.01, decay: float = 1e-5,
 ) -> AttentionModel:
     """Fit on a bounded sample of labelled documents (`most`, by the hash of their ids).
 
     Data-parallel: the sample is dealt to `shards` by id; in each round every shard trains a copy of the model for
-    some epochs, and the copies are averaged by their numbers of documents. The driver sees weights only. Without
+    `steps` batches, and the copies are averaged by their numbers of documents. The driver sees weights only. Without
     labelled documents the model stays as it begins, and scores 0.5 throughout.
     """
     sample = labelled_sample(docs, labels, label, F.lit(True) if usable is None else usable, most)
@@ -187,7 +186,7 @@ def fit_attention_model(
     bags = bags.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
     flat = AttentionModel().flat
     for turn in range(rounds):
-        train = _shard_trainer(flat, turn, epochs, rate / (1 + turn / 2), decay)
+        train = _shard_trainer(flat, turn, steps, rate / (1 + turn / 2), decay)
         found = bags.groupBy("shard").applyInPandas(train, "shard long, n long, flat binary").orderBy("shard").collect()
         if not found:
             break
