@@ -213,3 +213,15 @@ def score_quality(docs: DataFrame, model: AttentionModel, threshold: float = 0.7
 
     df = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return df.mapInArrow(run, "doc_id long, score double, predicted int, n_passages long, top_weight double")
+
+
+def kept_by_quality(docs: DataFrame, model: AttentionModel, threshold: float = 0.7) -> DataFrame:
+    """The rows whose text scores `threshold` or more, with all their columns; nothing is shuffled."""
+    flat = model.flat
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = AttentionModel(flat)
+        for batch in slices(batches, "text"):
+            yield batch.filter(pa.array(own.forward(*passages(text_bytes(batch.column("text"))))["score"] >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

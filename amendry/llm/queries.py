@@ -12,9 +12,11 @@ from .lempel_ziv import remove_repeated_windows
 from .quality_model import fit_attention_model, score_quality
 from .quality_rules import line_frequency_rules
 from .simhash import near_duplicate_groups
+from .soft_mixing import mixing_rates
 from .suffix_groups import remove_repeated_bytes
 from .suffix_tree_lm import score_texts
 from .token_attribution import token_counts
+from .wand import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,12 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates at which the expected tokens of the languages are equal; the labelled table gives some ids a language."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing_rates(docs, docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"), "lang")
+
+
 def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_attention_model(docs, table(spark, sf_dir, "labels"), usable=fold(4) != 2)
@@ -47,6 +55,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose id is divisible by 50 are the queries, against all documents."""
+    return top_k(table(spark, sf_dir, "documents"), "doc_id % 50 = 0")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -70,8 +83,8 @@ def op10_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_quality_model, op3_quality_rules, op4_token_counts, op6_simhash, op7_byte_bpe, op8_substring_dedup,
-        op9_suffix_tree_lm, op10_suffix_groups,
+        op1_soft_mixing, op2_quality_model, op3_quality_rules, op4_token_counts, op5_top_k, op6_simhash, op7_byte_bpe,
+        op8_substring_dedup, op9_suffix_tree_lm, op10_suffix_groups,
     )
 }
 
