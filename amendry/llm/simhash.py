@@ -106,22 +106,34 @@ def links(nodes: DataFrame, most: int = 3, salts: int = 8) -> DataFrame:
     return at_home.join(visiting, ["half", "anchor", "salt"]).where(close).select("a", "b")
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _flat(parents: DataFrame) -> DataFrame:
+    """Each node's last ancestor, by doubling: (node, parent)."""
+    while True:
+        up = parents.select(F.col("node").alias("via"), F.col("parent").alias("above"))
+        higher = parents.join(up, F.col("parent") == F.col("via"), "left").select("node", F.coalesce("above", "parent").alias("parent"), F.coalesce(F.col("above") < F.col("parent"), F.lit(False)).alias("moved"))
+        higher = written(higher, "parents")
+        if not higher.where("moved").limit(1).count():
+            return higher.select("node", "parent")
+        parents = higher.select("node", "parent")
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node reaches over `edges` (a, b).
 
-    Every node takes the least label among its neighbours, then its label's label; both joins run on Spark, each
-    round is written to the shared folder, and the driver sees the number of changes only.
+    In each round every node with edges takes its least neighbour as parent, if that is less, and the edges move to the
+    ends of these chains; edges inside a tree vanish. All of it is joins on Spark, written to the shared folder; the
+    driver sees whether anything is left. Rounds grow with the logarithm of the longest chain.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(nodes.select("node", F.col("node").alias("component")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels, F.col("a") == F.col("node")).groupBy("b").agg(F.min("component").alias("least"))
-        lower = written(labels.join(near, F.col("node") == F.col("b"), "left").select("node", F.least("component", F.coalesce("least", "component")).alias("component"), (F.col("least") < F.col("component")).alias("moved")), "labels")
-        if not lower.where("moved").limit(1).count():
-            return lower.select("node", "component")
-        up = lower.select(F.col("node").alias("label"), F.col("component").alias("above"))
-        labels = written(lower.join(up, F.col("component") == F.col("label")).select("node", F.col("above").alias("component")), "labels")
-    raise RuntimeError(f"labels still move after {most_rounds} rounds")
+    labels = nodes.select("node", F.col("node").alias("component"))
+    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    while edges.limit(1).count():
+        both = edges.union(edges.select("b", "a"))
+        parents = _flat(written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("parent")), "parents"))
+        labels = written(labels.join(parents.withColumnRenamed("node", "at"), F.col("component") == F.col("at"), "left").select("node", F.coalesce("parent", "component").alias("component")), "labels")
+        ends = [parents.select(F.col("node").alias(f"old_{x}"), F.col("parent").alias(f"new_{x}")) for x in "ab"]
+        moved = edges.join(ends[0], F.col("a") == F.col("old_a")).join(ends[1], F.col("b") == F.col("old_b")).where("new_a <> new_b")
+        edges = written(moved.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct(), "edges")
+    return labels
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame:
