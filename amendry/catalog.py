@@ -1,14 +1,743 @@
-"""Registry of the queries of the reference's own operators."""
+"""Registry: one query for each operator over the driver tables, and DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from amendry.functions import hooks
+from amendry.functions import text as T
+from amendry.functions import vectors as V
+from amendry.operators import curation, evaluation, hardeval, mining, models, scoring, sft
+from amendry.plans import duck as D
+from amendry.plans.fixtures import duck, view
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+SCRIPT = "[A-Za-zÀ-ÿ]"
+RULES = {"script": SCRIPT, "exclude": ("zz9",)}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def literal_sines(n: int):
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sin(i) / 10)
+
+
+# --- curation ------------------------------------------------------------------------------------------------------
+
+UPSERT = f"up AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY line_no DESC) AS k FROM {duck('examples')}) WHERE k = 1)"
+
+
+def _dpo(rejected: str) -> str:
+    return f"""dpo AS (SELECT id, project_id, source_reference, created_at, edited_text AS chosen, {rejected} AS rejected,
+  CASE WHEN source_reference = '' THEN source_text ELSE source_text || chr(10) || chr(10) || '[参照]' || chr(10) || source_reference END AS input
+  FROM (SELECT *, row_number() OVER (PARTITION BY source_text, edited_text ORDER BY created_at, id) AS j FROM up WHERE review_result = 'accepted' AND source_text <> '' AND edited_text <> '')
+  WHERE j = 1 AND {rejected} <> edited_text)"""
+
+
+DPO = f"{UPSERT}, {_dpo('source_text')}"
+WEAK = "CASE WHEN replace(replace(edited_text, '。', '。 '), '，', '、') = edited_text THEN source_text ELSE replace(replace(edited_text, '。', '。 '), '，', '、') END"
+REASON = f"""{DPO}, ruled AS (SELECT *, {D.reject_reason()} AS broken FROM dpo),
+  reasons AS (SELECT *, CASE WHEN broken IS NULL AND row_number() OVER (PARTITION BY {D.normalize('input')}, {D.normalize('chosen')}, {D.normalize('rejected')}, broken IS NULL ORDER BY created_at, id) > 1 THEN 'duplicate' ELSE broken END AS reason FROM ruled)"""
+PREF = f"""{REASON}, pref AS (
+  SELECT id AS base_id, id, input AS source_text, chosen AS candidate_a, rejected AS candidate_b, 1 AS label, 'chosen_first' AS pair_order, project_id FROM reasons WHERE reason IS NULL
+  UNION ALL SELECT id, id || '-swap', input, rejected, chosen, 0, 'rejected_first', project_id FROM reasons WHERE reason IS NULL)"""
+BUCKET = "(('0x' || substr(sha256(base_id), 1, 12))::BIGINT / 281474976710655.0::DOUBLE)"
+SPLIT = f"CASE WHEN {BUCKET} < 0.8 THEN 'train' WHEN {BUCKET} < 0.9 THEN 'valid' ELSE 'test' END"
+
+
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.upsert_by_id(view(spark, sf_dir, "examples"))
+
+
+def dpo(spark: SparkSession, sf_dir: str, rejected: str = "source") -> DataFrame:
+    return curation.build_dpo(upserted(spark, sf_dir), rejected)
+
+
+def pref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.build_pref(curation.curated(dpo(spark, sf_dir), **RULES))
+
+
+@query(f"WITH {UPSERT} SELECT id, line_no, md5(edited_text) AS edited FROM up")
+def upsert_by_id(spark, sf_dir):
+    return upserted(spark, sf_dir).select("id", "line_no", F.md5("edited_text").alias("edited"))
+
+
+@query(f"WITH {UPSERT} SELECT id, CAST(created_at AS VARCHAR) AS day FROM up WHERE review_result = 'accepted'")
+def accepted_scan(spark, sf_dir):
+    return curation.accepted(upserted(spark, sf_dir)).orderBy("created_at", "id").select("id", F.col("created_at").cast("string").alias("day"))
+
+
+@query(f"""WITH e AS {duck('examples')}, fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, source_text, edited_text, source_reference ORDER BY line_no) AS k FROM e WHERE line_no > 1000000 OR conv_id % 2 = 1) WHERE k = 1)
+  SELECT id, line_no FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.conv_id % 2 = 0 AND o.line_no < 1000000000000 AND o.project_id = f.project_id AND o.source_text = f.source_text AND o.edited_text = f.edited_text AND o.source_reference = f.source_reference)""")
+def append_new(spark, sf_dir):
+    e = view(spark, sf_dir, "examples")
+    return curation.append_new(e.where("line_no > 1000000 OR conv_id % 2 = 1"), e.where("conv_id % 2 = 0 AND line_no < 1000000000000")).select("id", "line_no")
+
+
+@query(f"SELECT id, line_no FROM {duck('examples')} WHERE {D.usable('source_text', 'edited_text', 400)}")
+def usable_pairs(spark, sf_dir):
+    return view(spark, sf_dir, "examples").where(T.usable_pair("source_text", "edited_text", 400)).select("id", "line_no")
+
+
+@query(f"WITH {DPO} SELECT id, input, chosen, rejected FROM dpo")
+def build_dpo(spark, sf_dir):
+    return dpo(spark, sf_dir).select("id", "input", "chosen", "rejected")
+
+
+@query(f"WITH {UPSERT}, {_dpo(WEAK)} SELECT id, rejected FROM dpo")
+def dpo_weakened(spark, sf_dir):
+    return dpo(spark, sf_dir, "weakened").select("id", "rejected")
+
+
+@query(f"WITH {REASON} SELECT id, reason FROM reasons")
+def curate_reasons(spark, sf_dir):
+    return curation.with_reason(dpo(spark, sf_dir), **RULES).select("id", "reason")
+
+
+@query(f"WITH {DPO} SELECT id, {D.directive_only('input')} AS directive, {D.short_fragment('chosen')} AS fragment, {D.has_language('input')} AS language, {D.normalize(D.before_reference('input'))} = {D.normalize('chosen')} AS same FROM dpo")
+def curate_predicates(spark, sf_dir):
+    return dpo(spark, sf_dir).select(
+        "id", T.is_directive_only("input").alias("directive"), T.is_short_fragment("chosen", SCRIPT).alias("fragment"), T.has_language("input", SCRIPT).alias("language"),
+        (T.normalize(T.strip_reference("input")) == T.normalize("chosen")).alias("same"),
+    )
+
+
+@query(f"WITH {REASON} SELECT id, chosen FROM reasons WHERE reason IS NULL")
+def curated(spark, sf_dir):
+    return curation.curated(dpo(spark, sf_dir), **RULES).select("id", "chosen")
+
+
+@query(f"WITH {REASON} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM reasons GROUP BY 1")
+def curate_report(spark, sf_dir):
+    return curation.curate_report(dpo(spark, sf_dir), **RULES)
+
+
+@query(f"WITH {PREF} SELECT id, base_id, md5(candidate_a) AS a, md5(candidate_b) AS b, label, pair_order FROM pref")
+def build_pref(spark, sf_dir):
+    return pref(spark, sf_dir).select("id", "base_id", F.md5("candidate_a").alias("a"), F.md5("candidate_b").alias("b"), "label", "pair_order")
+
+
+@query(f"WITH {PREF} SELECT id, round({BUCKET}, 9) AS score, {SPLIT} AS split FROM pref")
+def hash_split(spark, sf_dir):
+    return curation.hash_split(pref(spark, sf_dir)).select("id", F.round("score", 9).alias("score"), "split")
+
+
+@query(f"""WITH {PREF} SELECT project_id, {SPLIT} AS part, count(*) AS n FROM pref GROUP BY 1, 2
+  UNION ALL SELECT project_id, reason, count(*) FROM reasons WHERE reason IS NOT NULL GROUP BY 1, 2""")
+def pref_by_split(spark, sf_dir):
+    """Per project: usable pairs of each split, and dropped rows of each reason."""
+    rows = dpo(spark, sf_dir)
+    ruled = curation.with_reason(rows, **RULES)
+    kept = curation.hash_split(curation.build_pref(ruled.where("reason IS NULL").drop("reason"))).select("project_id", F.col("split").alias("part"))
+    dropped = ruled.where("reason IS NOT NULL").select("project_id", F.col("reason").alias("part"))
+    return kept.union(dropped).groupBy("project_id", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {PREF} SELECT id, label FROM pref WHERE pair_order = 'chosen_first' AND label = 1")
+def unique_pairs(spark, sf_dir):
+    return curation.unique_pairs(pref(spark, sf_dir)).select("id", "label")
+
+
+@query(f"""WITH {PREF}, twice AS (SELECT 0 AS part, * FROM pref UNION ALL SELECT 1, base_id, id || '-s', source_text, candidate_b, candidate_a, label, pair_order, project_id FROM pref)
+  SELECT id, part AS from_second FROM (SELECT *, row_number() OVER (PARTITION BY source_text, candidate_a, candidate_b, label ORDER BY part, id) AS k FROM twice) WHERE k = 1""")
+def merge_pref(spark, sf_dir):
+    first = pref(spark, sf_dir).withColumn("from_second", F.lit(0))
+    second = first.select("base_id", F.concat("id", F.lit("-s")).alias("id"), "source_text", F.col("candidate_b").alias("candidate_a"), F.col("candidate_a").alias("candidate_b"), "label", "pair_order", "project_id", F.lit(1).alias("from_second"))
+    return curation.merge_pref(first.drop("created_at"), second).select("id", "from_second")
+
+
+DRAFTS = f"""{DPO}, pairs AS (SELECT id, project_id, {D.rstrip('rejected')} AS draft, {D.rstrip('chosen')} AS revised FROM dpo WHERE {D.rstrip('rejected')} <> {D.rstrip('chosen')} AND {D.rstrip('rejected')} <> '' AND {D.rstrip('chosen')} <> '')"""
+
+
+def revised(spark, sf_dir):
+    return curation.revision_pairs(dpo(spark, sf_dir))
+
+
+@query(f"WITH {DRAFTS} SELECT * FROM pairs")
+def revision_pairs(spark, sf_dir):
+    return revised(spark, sf_dir)
+
+
+@query(f"WITH {PREF} SELECT DISTINCT md5(unnest([source_text, candidate_a, candidate_b])) AS digest FROM pref")
+def distinct_texts(spark, sf_dir):
+    return curation.distinct_texts(pref(spark, sf_dir)).select(F.md5("text").alias("digest"))
+
+
+@query(f"SELECT id, line_no, concat_ws('-', {D.slug('project_id')}, {D.slug('source_reference')}, substr(sha256(source_text || chr(10) || '---' || chr(10) || edited_text), 1, 12)) AS content_id FROM {duck('examples')}")
+def content_ids(spark, sf_dir):
+    e = view(spark, sf_dir, "examples")
+    return e.select("id", "line_no", T.content_id(F.col("project_id"), F.col("source_reference"), source=F.col("source_text"), edited=F.col("edited_text")).alias("content_id"))
+
+
+@query(f"WITH {DPO} SELECT id, {D.slug('left(input, 40)')} AS slug, {D.normalize('input')} AS dense, {D.before_reference('input')} AS plain FROM dpo")
+def text_functions(spark, sf_dir):
+    return dpo(spark, sf_dir).select("id", T.slug(F.substring("input", 1, 40)).alias("slug"), T.normalize("input").alias("dense"), T.strip_reference("input").alias("plain"))
+
+
+@query(f"SELECT path, ref, len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: {D.strip('p')} <> '')) AS paragraphs, len(list_filter(string_split(text, chr(10)), lambda p: {D.strip('p')} <> '')) AS lines FROM {duck('revisions')}")
+def text_shape(spark, sf_dir):
+    return view(spark, sf_dir, "revisions").select("path", "ref", T.paragraph_count("text").alias("paragraphs"), T.line_count("text").alias("lines"))
+
+
+FLAT = D.strip(f"regexp_replace(text, '{D.SPACE}+', ' ', 'g')")
+
+
+@query(f"SELECT doc_id, CASE WHEN length({FLAT}) <= 120 THEN {FLAT} ELSE left({FLAT}, 119) || '…' END AS preview, left(replace(text, chr(10), ' '), 120) AS flat FROM documents")
+def preview(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.preview("text").alias("preview"), T.flat_preview("text").alias("flat"))
+
+
+# --- supervised pairs ----------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {DRAFTS}, r AS (SELECT project_id, length(revised) / greatest(length(draft), 1)::DOUBLE AS r FROM pairs)
+  SELECT project_id, count(*) AS n, round(avg(r), 9) AS mean_ratio, round(quantile_cont(r, 0.1), 9) AS p10, round(quantile_cont(r, 0.5), 9) AS p50, round(quantile_cont(r, 0.9), 9) AS p90 FROM r GROUP BY ROLLUP (project_id)""")
+def pair_stats(spark, sf_dir):
+    return sft.pair_stats(revised(spark, sf_dir)).select("project_id", "n", *(F.round(c, 9).alias(c) for c in ("mean_ratio", "p10", "p50", "p90")))
+
+
+@query(f"WITH {DRAFTS} SELECT id, 'Revise.' || chr(10) || chr(10) || draft AS user_turn, revised AS assistant_turn, draft AS back FROM pairs")
+def chat_rows(spark, sf_dir):
+    turn = lambda i: F.get("messages", F.lit(i))["content"]
+    return sft.chat_rows(revised(spark, sf_dir), "Revise.").select("id", turn(0).alias("user_turn"), turn(1).alias("assistant_turn"), sft.draft_of(turn(0)).alias("back"))
+
+
+@query(f"WITH {DRAFTS} SELECT id, 'Be brief.' || chr(10) || chr(10) || 'Revise.' || chr(10) || chr(10) || draft AS with_norms, 'Revise.' || chr(10) || chr(10) || draft AS plain FROM pairs")
+def prompts(spark, sf_dir):
+    return revised(spark, sf_dir).select("id", sft.prompt("draft", "Be brief.", "Revise.").alias("with_norms"), sft.prompt("draft", None, "Revise.").alias("plain"))
+
+
+@query(f"WITH {DRAFTS} SELECT id, CASE WHEN project_id IN (SELECT project_id FROM pairs GROUP BY 1 HAVING count(*) % 2 = 0) THEN 'holdout' ELSE 'train' END AS split FROM pairs")
+def sft_holdout(spark, sf_dir):
+    pairs = revised(spark, sf_dir)
+    return sft.sft_holdout(pairs, pairs.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 0")).select("id", "split")
+
+
+@query(f"WITH {DRAFTS} SELECT DISTINCT source AS project_id FROM documents WHERE source NOT IN (SELECT replace(project_id, 'p', 'src') FROM pairs)")
+def unknown_projects(spark, sf_dir):
+    known = revised(spark, sf_dir).select(F.replace("project_id", F.lit("p"), F.lit("src")).alias("project_id"))
+    return sft.missing_keys(table(spark, sf_dir, "documents").select(F.col("source").alias("project_id")), known, "project_id")
+
+
+@query(f"SELECT id, line_no, depth FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY line_no) AS depth FROM {duck('examples')}) ORDER BY depth, project_id LIMIT 50")
+def round_robin(spark, sf_dir):
+    return sft.round_robin(view(spark, sf_dir, "examples"), 50).select("id", "line_no", "depth")
+
+
+@query(f"SELECT id, line_no FROM {duck('examples')} WHERE length(source_text) BETWEEN 100 AND 300")
+def length_window(spark, sf_dir):
+    return sft.length_window(view(spark, sf_dir, "examples"), 100, 300, "source_text").select("id", "line_no")
+
+
+GENS = duck("generations")
+
+
+@query(f"SELECT mode, id, generated FROM (SELECT *, row_number() OVER (PARTITION BY mode, id ORDER BY line_no DESC) AS k FROM {GENS}) WHERE k = 1")
+def load_generations(spark, sf_dir):
+    """Generations with a thinking block before and an explanation after them, which cleaning removes."""
+    gens = view(spark, sf_dir, "generations")
+    dressed = F.concat(F.lit("<think>why\n</think>\n"), "generated", F.lit("\n---\n\n## 説明\nx"))
+    return sft.load_generations(gens.withColumn("generated", dressed)).select("mode", "id", "generated")
+
+
+@query(f"SELECT id FROM {GENS} GROUP BY id HAVING count(DISTINCT mode) = 3")
+def common_ids(spark, sf_dir):
+    return evaluation.common_ids(view(spark, sf_dir, "generations"), ("adapter", "base_norms", "gold"))
+
+
+@query(f"""WITH g AS {GENS}, w AS (SELECT x.id, x.project_id, x.score AS a, y.score AS b FROM g x JOIN g y ON x.id = y.id AND x.mode = 'adapter' AND y.mode = 'base_norms')
+  SELECT project_id, count(*) AS n, count_if(a > b) AS wins, count_if(a < b) AS losses, count_if(a = b) AS ties, round(count_if(a > b) / greatest(count_if(a > b) + count_if(a < b), 1)::DOUBLE, 9) AS win_rate FROM w GROUP BY ROLLUP (project_id)""")
+def gen_compare(spark, sf_dir):
+    return evaluation.generation_summary(view(spark, sf_dir, "generations"), ("adapter", "base_norms")).withColumn("win_rate", F.round("win_rate", 9))
+
+
+# --- mining --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT path FROM (SELECT 'f' || doc_id || CASE doc_id % 6 WHEN 0 THEN '.md' WHEN 1 THEN '.RST' WHEN 2 THEN '.py' WHEN 3 THEN '.txt.gz' WHEN 4 THEN '.org' ELSE '' END AS path FROM documents) WHERE path LIKE '%.md' OR path LIKE '%.RST' OR path LIKE '%.org'")
+def text_paths(spark, sf_dir):
+    ending = F.when(F.col("k") == 0, ".md").when(F.col("k") == 1, ".RST").when(F.col("k") == 2, ".py").when(F.col("k") == 3, ".txt.gz").when(F.col("k") == 4, ".org").otherwise("")
+    df = table(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 6)
+    return mining.text_paths(df.select(F.concat(F.lit("f"), "doc_id", ending).alias("path")))
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+  h AS (SELECT 'f' || doc_id || '.md' AS path, CAST(i AS INT) AS hunk_no, CAST(i AS INT) AS line_new, {D.rstrip('x')} AS s, {D.rstrip("replace(x, 'e', 'E')")} AS e FROM l WHERE (i - 1) % 4 <> 3)
+  SELECT path, hunk_no, line_new, md5(s) AS source, md5(e) AS edited FROM h WHERE {D.usable('s', 'e', 1800)}""")
+def parse_diff(spark, sf_dir):
+    return mining.parse_unified_diff(view(spark, sf_dir, "diffs")).select("path", "hunk_no", "line_new", F.md5("source_text").alias("source"), F.md5("edited_text").alias("edited"))
+
+
+SECTIONS = f"""l AS (SELECT project_id, path, ref, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {duck('revisions')}),
+  n AS (SELECT *, length(regexp_extract(x, '^(#+) ', 1)) AS lv, regexp_extract(x, '^#+ (.*)$', 1) AS title FROM l),
+  s AS (SELECT *, sum(CASE WHEN lv > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY path, ref ORDER BY i) AS sec,
+    {', '.join(f"last_value(CASE WHEN lv = {k} THEN title END IGNORE NULLS) OVER w AS t{k}, last_value(CASE WHEN lv = {k} THEN i END IGNORE NULLS) OVER w AS i{k}" for k in (1, 2, 3))}
+    FROM n WINDOW w AS (PARTITION BY path, ref ORDER BY i)),
+  k AS (SELECT project_id, path, ref, sec, max(CASE WHEN lv = 1 THEN t1 WHEN lv = 2 THEN concat_ws(' > ', t1, t2)
+    WHEN lv = 3 THEN concat_ws(' > ', t1, CASE WHEN i2 > coalesce(i1, 0) THEN t2 END, t3) END) AS section_key,
+    {D.rstrip("string_agg(x, chr(10) ORDER BY i)")} || chr(10) AS body FROM s WHERE sec > 0 GROUP BY 1, 2, 3, 4),
+  sections AS (SELECT project_id, path, ref, section_key, body FROM (SELECT *, row_number() OVER (PARTITION BY path, ref, section_key ORDER BY sec DESC) AS r FROM k) WHERE r = 1)"""
+
+
+@query(f"WITH {SECTIONS} SELECT path, ref, section_key, md5(body) AS body FROM sections")
+def split_sections(spark, sf_dir):
+    return mining.split_sections(view(spark, sf_dir, "revisions")).select("path", "ref", "section_key", F.md5("body").alias("body"))
+
+
+def _counts(side: str) -> str:
+    t = f"{side}_text"
+    return f"len(list_filter(string_split({t}, chr(10) || chr(10)), lambda p: {D.strip('p')} <> '')) AS paragraph_count_{side}, len(list_filter(string_split({t}, chr(10)), lambda p: {D.strip('p')} <> '')) AS line_count_{side}"
+
+
+SECTION_PAIRS = f"""{SECTIONS}, joined AS (SELECT a.project_id, a.path, a.section_key, {D.strip('a.body')} AS source_text, {D.strip('b.body')} AS edited_text FROM sections a JOIN sections b ON a.path = b.path AND a.section_key = b.section_key AND a.ref = 'x' AND b.ref = 'edit/x'),
+  pairs AS (SELECT *, {_counts('source')}, {_counts('edited')} FROM joined WHERE {D.usable('source_text', 'edited_text', 12000)} AND source_text <> edited_text)"""
+
+
+def mined(spark, sf_dir):
+    return mining.section_pairs(view(spark, sf_dir, "revisions"), "x", "edit/x")
+
+
+@query(f"""WITH {SECTION_PAIRS} SELECT concat_ws('-', project_id, {D.slug('path')}, left({D.slug('section_key')}, 48), substr(sha256(concat_ws(chr(10) || '---' || chr(10), section_key, source_text, edited_text)), 1, 12)) AS id,
+  paragraph_count_source, paragraph_count_edited, line_count_source, line_count_edited FROM pairs""")
+def section_pairs(spark, sf_dir):
+    return mined(spark, sf_dir).select("id", "paragraph_count_source", "paragraph_count_edited", "line_count_source", "line_count_edited")
+
+
+@query(f"SELECT path, ref FROM {duck('revisions')} WHERE {D.usable(D.strip('text'), D.strip('text'), 3000)}")
+def usable_sections(spark, sf_dir):
+    r = view(spark, sf_dir, "revisions")
+    return r.where(T.usable_section("text", F.concat(F.lit("."), "text"), 3001) & (F.length(T.strip("text")) <= 3000)).select("path", "ref")
+
+
+def _lengths(side: str) -> str:
+    n = f"length({side}_text)"
+    return f"floor(avg({n}))::BIGINT AS {side}_mean, median({n})::DOUBLE AS {side}_median, list_sort(list({n}))[floor(count(*) * 0.9)::INT + 1]::INT AS {side}_p90"
+
+
+@query(f"""WITH {SECTION_PAIRS} SELECT count(*) AS n, round(avg((contains(source_text, chr(10) || chr(10)) OR contains(edited_text, chr(10) || chr(10)))::INT), 9) AS boundary_share,
+  round(avg((paragraph_count_source > 1 OR paragraph_count_edited > 1)::INT), 9) AS multi_share, round(avg((paragraph_count_source <> paragraph_count_edited)::INT), 9) AS paragraphs_changed,
+  round(avg((line_count_source <> line_count_edited)::INT), 9) AS lines_changed, {_lengths('source')}, {_lengths('edited')} FROM pairs""")
+def section_stats(spark, sf_dir):
+    shares = ("boundary_share", "multi_share", "paragraphs_changed", "lines_changed")
+    return mining.section_stats(mined(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in shares})
+
+
+def dag(spark, sf_dir):
+    name = lambda k: F.concat(F.lit("c"), F.lpad(k.cast("string"), 6, "0"))
+    c = view(spark, sf_dir, "commits")
+    k = F.col("k")
+    older = F.when(k % 5 == 0, F.greatest(k - 3, F.lit(1)))
+    parents = F.when(k == 1, F.array().cast("array<string>")).when(k % 5 == 0, F.array(name(k - 1), name(older))).otherwise(F.array(name(k - 1)))
+    return c.select("project_id", name(k).alias("commit"), parents.alias("parents"), "subject")
+
+
+@query(f"""WITH c AS {duck('commits')} SELECT project_id, 'c' || lpad(k::VARCHAR, 6, '0') AS "commit", CASE WHEN k % 10 = 0 THEN 'edit/b' || (k % 7) ELSE 'edit/l' || (k % 3) END AS branch, CASE WHEN k % 10 = 0 THEN 'b' || (k % 7) ELSE 'l' || (k % 3) END AS base FROM c WHERE k % 5 = 0""")
+def edit_merges(spark, sf_dir):
+    return mining.edit_merges(dag(spark, sf_dir)).select("project_id", "commit", "branch", "base")
+
+
+@query(f"""WITH c AS {duck('commits')} SELECT project_id, 'c' || lpad(k::VARCHAR, 6, '0') AS "commit", 'c' || lpad(greatest(k - 3, 1)::VARCHAR, 6, '0') AS fork FROM c WHERE k % 5 = 0""")
+def fork_points(spark, sf_dir):
+    """A merged commit is an ancestor of the line it merges into here, so it is the fork itself."""
+    commits = dag(spark, sf_dir)
+    return mining.fork_points(commits, commits.where(F.size("parents") == 2))
+
+
+BRANCHES = "b AS (SELECT DISTINCT source AS project_id, CASE WHEN doc_id % 3 = 0 THEN 'edit/' WHEN doc_id % 3 = 1 THEN 'origin/edit/' ELSE 'origin/' END || lang AS branch FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)"
+
+
+def branches(spark, sf_dir):
+    lead = F.when(F.col("doc_id") % 3 == 0, "edit/").when(F.col("doc_id") % 3 == 1, "origin/edit/").otherwise("origin/")
+    df = table(spark, sf_dir, "documents").where("source IS NOT NULL AND lang IS NOT NULL")
+    return df.select(F.col("source").alias("project_id"), F.concat(lead, "lang").alias("branch")).distinct()
+
+
+@query(f"WITH {BRANCHES} SELECT DISTINCT project_id, regexp_replace(branch, '^origin/', '') AS branch FROM b WHERE regexp_replace(branch, '^origin/', '') LIKE 'edit/%'")
+def edit_branches(spark, sf_dir):
+    return mining.edit_branches(branches(spark, sf_dir))
+
+
+@query(f"""WITH {BRANCHES}, w AS (SELECT DISTINCT project_id, regexp_replace(branch, '^origin/', '') AS ref FROM b)
+  SELECT w.project_id, w.ref, CASE WHEN o.branch IS NOT NULL THEN w.ref WHEN r.branch IS NOT NULL THEN 'origin/' || w.ref END AS resolved, regexp_replace(w.ref, '^edit/', '') AS base
+  FROM w LEFT JOIN b o ON o.project_id = w.project_id AND o.branch = w.ref LEFT JOIN b r ON r.project_id = w.project_id AND r.branch = 'origin/' || w.ref""")
+def resolve_refs(spark, sf_dir):
+    b = branches(spark, sf_dir)
+    wanted = b.select("project_id", F.regexp_replace("branch", r"\Aorigin/", "").alias("ref")).distinct()
+    return mining.resolve_refs(wanted, b).withColumn("base", T.base_of_branch("ref"))
+
+
+@query(f"WITH {BRANCHES} SELECT project_id, regexp_replace(branch, '^.*/', '') AS base, branch AS edit FROM b")
+def manifest_pairs(spark, sf_dir):
+    pair = F.struct(F.regexp_replace("branch", r"\A.*/", "").alias("base"), F.col("branch").alias("edit"))
+    manifest = branches(spark, sf_dir).groupBy("project_id").agg(F.collect_list(pair).alias("branch_pairs"))
+    return mining.manifest_pairs(manifest)
+
+
+# --- vectors and scores --------------------------------------------------------------------------------------------
+
+PV = f"v AS {duck('pref_vectors')}"
+N_PAIR, N_POINT = 9 * 64 + 9, 4 * 64 + 5
+
+
+def _digest(v: str) -> str:
+    """Sum, weighted sum and size of a vector, rounded: enough to tell vectors apart."""
+    return f"len({v}) AS size, round(list_sum({v}), 5) AS total, round(list_dot_product({v}, {D.weights(0).replace('range(0)', f'range(len({v}))')}), 5) AS weighed"
+
+
+def digest(v):
+    sines = F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda i: F.sin(i) / 10)
+    return F.size(v).alias("size"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.round(V.dot(v, sines), 5).alias("weighed")
+
+
+@query("WITH t AS (SELECT vec_id, CAST(embedding[1:16] AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM t) SELECT vec_id, " + _digest("u") + " FROM u")
+def vec_truncate(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").select("vec_id", V.truncate_normalize("embedding", 16).alias("u"))
+    return df.select("vec_id", *digest(F.col("u")))
+
+
+@query(f"WITH {PV}, f AS (SELECT id, {D.pointwise('src', 'a', 'len_src', 'len_a')} AS f FROM v) SELECT id, {_digest('f')} FROM f")
+def pointwise_features(spark, sf_dir):
+    df = view(spark, sf_dir, "pref_vectors").select("id", V.pointwise_features("src", "a", "len_src", "len_a").alias("f"))
+    return df.select("id", *digest(F.col("f")))
+
+
+@query(f"WITH {PV}, f AS (SELECT id, {D.preference('src', 'a', 'b', 'len_src', 'len_a', 'len_b')} AS f FROM v) SELECT id, {_digest('f')} FROM f")
+def pref_features(spark, sf_dir):
+    df = view(spark, sf_dir, "pref_vectors").select("id", V.preference_features("src", "a", "b", "len_src", "len_a", "len_b").alias("f"))
+    return df.select("id", *digest(F.col("f")))
+
+
+def _p(*order: str) -> str:
+    return f"(1 / (1 + exp(-list_dot_product({D.weights(N_PAIR)}, {D.preference('src', *order)}))))"
+
+
+SCORED = f"""{PV}, p AS (SELECT *, {_p('a', 'b', 'len_src', 'len_a', 'len_b')} AS p_ab, {_p('b', 'a', 'len_src', 'len_b', 'len_a')} AS p_ba FROM v),
+  s AS (SELECT *, (p_ab + 1 - p_ba) / 2 AS score_a, (1 - p_ab + p_ba) / 2 AS score_b FROM p)"""
+
+
+def scored(spark, sf_dir):
+    return scoring.score_pairwise(view(spark, sf_dir, "pref_vectors"), literal_sines(N_PAIR))
+
+
+@query(f"WITH {SCORED} SELECT id, round(p_ab, 6) AS p_ab, round(p_ba, 6) AS p_ba, round(score_a, 6) AS score_a, round(score_b, 6) AS score_b FROM s")
+def symmetric_scores(spark, sf_dir):
+    return scored(spark, sf_dir).select("id", *(F.round(c, 6).alias(c) for c in ("p_ab", "p_ba", "score_a", "score_b")))
+
+
+@query(f"WITH {SCORED} SELECT id, CASE WHEN score_b > score_a THEN 'B' ELSE 'A' END AS winner FROM s")
+def compare(spark, sf_dir):
+    return scored(spark, sf_dir).select("id", scoring.winner().alias("winner"))
+
+
+def _bt(cand: str, length: str) -> str:
+    return f"list_dot_product({D.weights(N_POINT)}, {D.pointwise('src', cand, 'len_src', length)})"
+
+
+BT = f"{PV}, t AS (SELECT *, {_bt('a', 'len_a')} AS ta, {_bt('b', 'len_b')} AS tb, {_bt('src', 'len_src')} AS ts FROM v)"
+
+
+def bt(spark, sf_dir):
+    w = literal_sines(N_POINT)
+    df = view(spark, sf_dir, "pref_vectors")
+    return df.withColumns({"ta": scoring.score_bt(w, "src", "a", "len_src", "len_a"), "tb": scoring.score_bt(w, "src", "b", "len_src", "len_b"), "ts": scoring.score_bt(w, "src", "src", "len_src", "len_src")})
+
+
+@query(f"WITH {BT} SELECT id, round(ta, 6) AS ta, round(tb, 6) AS tb, round(ts, 6) AS ts FROM t")
+def bt_scores(spark, sf_dir):
+    return bt(spark, sf_dir).select("id", *(F.round(c, 6).alias(c) for c in ("ta", "tb", "ts")))
+
+
+@query(f"WITH {BT}, m AS (SELECT CASE label WHEN 1 THEN ta - tb ELSE tb - ta END AS m FROM t) SELECT count(*) AS n, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0 END), 6) AS pair_accuracy, round(avg(greatest(-m, 0) + ln(1 + exp(-abs(m)))), 6) AS pair_loss, round(avg(m), 6) AS mean_margin FROM m")
+def pair_metrics(spark, sf_dir):
+    df = bt(spark, sf_dir).withColumn("margin", F.when(F.col("label") == 1, F.col("ta") - F.col("tb")).otherwise(F.col("tb") - F.col("ta")))
+    return scoring.pair_metrics(df).select("n", *(F.round(c, 6).alias(c) for c in ("pair_accuracy", "pair_loss", "mean_margin")))
+
+
+VERDICTS = f"""{SCORED}, m AS (SELECT id, project_id, score_a, score_b, score_a - score_b AS margin FROM s),
+  j AS (SELECT *, CASE WHEN margin >= 0.12 THEN 'preferred_edit' WHEN margin <= -0.25 THEN 'reject_edit' WHEN margin <= -0.12 THEN 'preferred_base' ELSE 'uncertain' END AS verdict, row_number() OVER (PARTITION BY project_id ORDER BY id) AS number FROM m)"""
+
+
+def judged(spark, sf_dir):
+    return scoring.with_verdicts(scored(spark, sf_dir), "project_id", "id", "score_a", "score_b").withColumnRenamed("score_a", "score_edit").withColumnRenamed("score_b", "score_base")
+
+
+@query(f"WITH {VERDICTS} SELECT id, number AS index, verdict FROM j")
+def verdicts(spark, sf_dir):
+    return judged(spark, sf_dir).select("id", "index", "verdict")
+
+
+@query(f"WITH {VERDICTS} SELECT id FROM j WHERE verdict <> 'preferred_edit'")
+def flagged_hunks(spark, sf_dir):
+    return scoring.only_flagged(judged(spark, sf_dir)).select("id")
+
+
+@query(f"""WITH {VERDICTS} SELECT project_id, count(*) AS n, round(avg(margin), 6) AS mean_margin, round(min(margin), 6) AS min_margin, round(max(margin), 6) AS max_margin, round(avg(score_a), 6) AS mean_edit, round(avg(score_b), 6) AS mean_base,
+  round(min(score_a), 6) AS min_edit, round(max(score_a), 6) AS max_edit, round(avg((margin > 0)::INT), 6) AS win_rate FROM j GROUP BY ROLLUP (project_id)""")
+def hunk_stats(spark, sf_dir):
+    df = scoring.hunk_stats(judged(spark, sf_dir), "project_id")
+    return df.select("project_id", "n", *(F.round(c, 6).alias(c) for c in df.columns[2:]))
+
+
+@query(f"WITH {VERDICTS} SELECT count(*) AS total, " + ", ".join(f"count_if(verdict = '{v}') AS {v}" for v in scoring.VERDICTS) + " FROM j")
+def verdict_summary(spark, sf_dir):
+    return scoring.verdict_summary(judged(spark, sf_dir))
+
+
+CANDS = f"c AS (SELECT *, {D.dot(D.weights(N_POINT), D.pointwise('src', 'cand_vec', 'len_src', 'len_cand / 1000'))} AS score, {D.dot(D.weights(N_POINT), D.pointwise('src', 'src', 'len_src', 'len_src'))} AS source_score FROM {duck('candidates')})"
+
+
+def cands(spark, sf_dir):
+    df = view(spark, sf_dir, "candidates").withColumn("_len", F.col("len_cand") / 1000)
+    w = literal_sines(N_POINT)
+    return df.withColumns({"score": scoring.score_bt(w, "src", "cand_vec", "len_src", "_len"), "source_score": scoring.score_bt(w, "src", "src", "len_src", "len_src")})
+
+
+@query(f"""WITH {CANDS}, r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, cand_index) AS rank, score - source_score AS margin FROM c)
+  SELECT item, cand_index, rank, round(margin, 6) AS margin, max(margin) OVER (PARTITION BY item) >= 0.1 AS accepted FROM r""")
+def best_of_n(spark, sf_dir):
+    return scoring.best_of_n(cands(spark, sf_dir), min_margin=0.1).select("item", "cand_index", "rank", F.round("margin", 6).alias("margin"), "accepted")
+
+
+@query(f"WITH {BT} SELECT id, round(ta - ts, 6) AS improvement, ta - ts < 0.5 AS converged FROM t")
+def converged(spark, sf_dir):
+    df = bt(spark, sf_dir).withColumnRenamed("ta", "score_revised").withColumnRenamed("ts", "score_current")
+    return scoring.converged_bt(df).select("id", F.round("improvement", 6).alias("improvement"), "converged")
+
+
+@query(f"WITH {SCORED} SELECT id, abs(score_a - score_b) <= 0.08 AS converged FROM s")
+def converged_pairs(spark, sf_dir):
+    return scoring.converged_pair(scored(spark, sf_dir)).select("id", "converged")
+
+
+@query(f"""WITH {SCORED}, g AS (SELECT label, p_ab AS p, (p_ab >= 0.5)::INT AS y FROM s), c AS (SELECT count(*) AS n, avg((label = y)::INT) AS accuracy, avg(-ln(CASE label WHEN 1 THEN least(greatest(p, 1e-15), 1 - 1e-15) ELSE 1 - least(greatest(p, 1e-15), 1 - 1e-15) END)) AS log_loss,
+  count_if(label = 1 AND y = 1) AS tp, count_if(label = 0 AND y = 1) AS fp, count_if(label = 1 AND y = 0) AS fn FROM g)
+  SELECT n, round(accuracy, 6) AS accuracy, round(log_loss, 6) AS log_loss, tp + fn AS support_1, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 6) AS precision_1, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END, 6) AS recall_1, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1_1 FROM c""")
+def clf_report(spark, sf_dir):
+    df = evaluation.classification_report(scored(spark, sf_dir).withColumn("p", F.col("p_ab")))
+    return df.select("n", F.round("accuracy", 6).alias("accuracy"), F.round("log_loss", 6).alias("log_loss"), "support_1", *(F.round(c, 6).alias(c) for c in ("precision_1", "recall_1", "f1_1")))
+
+
+@query(f"WITH e AS {duck('examples')} SELECT id, line_no, CAST(length(source_text) AS DOUBLE) AS n_source, CAST(length(edited_text) AS DOUBLE) AS n_edited FROM e")
+def pref_vectors(spark, sf_dir):
+    """Vectors are encoded once for each distinct text and joined twice; here a vector is the text's length."""
+    e = view(spark, sf_dir, "examples")
+    texts = e.select(F.explode(F.array("source_text", "edited_text")).alias("text")).distinct()
+    vectors = texts.select("text", F.array(F.length("text").cast("float")).alias("vec"))
+    df = hooks.attach_vectors(e, vectors, {"source_text": "vs", "edited_text": "ve"})
+    return df.select("id", "line_no", F.get("vs", F.lit(0)).cast("double").alias("n_source"), F.get("ve", F.lit(0)).cast("double").alias("n_edited"))
+
+
+@query("""WITH f AS (SELECT label, vec_id % 5 <> 0 AS m, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), a AS (SELECT label, i, sum(CASE WHEN m THEN x ELSE 0 END) / greatest(count_if(m), 1e-6) AS x FROM f GROUP BY 1, 2)
+  SELECT label, round(sum(x), 5) AS total, round(sum(x * i), 4) AS weighed FROM a GROUP BY 1""")
+def mean_pool(spark, sf_dir):
+    df = hooks.mean_pool(table(spark, sf_dir, "embeddings").withColumn("mask", F.col("vec_id") % 5 != 0), "label", "embedding", "mask")
+    places = F.transform("vec", lambda x, i: x * (i + 1))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    return df.select("label", F.round(total("vec"), 5).alias("total"), F.round(total(places), 4).alias("weighed"))
+
+
+# --- evaluation ----------------------------------------------------------------------------------------------------
+
+@query(f"""WITH {CANDS}, best AS (SELECT item, arg_min(cand, gold_rank) AS best_human, arg_max(cand, score) AS best_model FROM c GROUP BY item),
+  pairs AS (SELECT a.item, count_if(a.score > b.score) AS pairwise_agree, count(*) AS pairwise_total FROM c a JOIN c b ON a.item = b.item AND a.gold_rank < b.gold_rank GROUP BY a.item)
+  SELECT item, best_human = best_model AS top1_hit, pairwise_agree, pairwise_total FROM best JOIN pairs USING (item)""")
+def hard_eval_score(spark, sf_dir):
+    return evaluation.score_hard_eval(cands(spark, sf_dir).withColumn("length", F.col("len_cand"))).select("item", "top1_hit", "pairwise_agree", "pairwise_total")
+
+
+@query(f"""WITH c AS (SELECT item, round(cosine, 1) AS x, floor(len_cand / 500) AS y FROM {duck('candidates')}), r AS (SELECT item,
+  rank() OVER (PARTITION BY item ORDER BY x) + (count(*) OVER (PARTITION BY item, x) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY item ORDER BY y) + (count(*) OVER (PARTITION BY item, y) - 1) / 2.0::DOUBLE AS b FROM c)
+  SELECT item, CASE WHEN min(a) < max(a) AND min(b) < max(b) THEN round(corr(a, b), 6) END AS spearman FROM r GROUP BY item""")
+def spearman(spark, sf_dir):
+    df = view(spark, sf_dir, "candidates").select("item", F.round("cosine", 1).alias("x"), F.floor(F.col("len_cand") / 500).alias("y"))
+    return evaluation.spearman(df, "item", "x", "y").withColumn("spearman", F.round("spearman", 6))
+
+
+@query(f"""WITH c AS {duck('candidates')} SELECT a.cand AS cand_a, b.cand AS cand_b, count(*) AS n, round(avg((a.cosine > b.cosine)::INT), 6) AS win_rate, round(avg(a.cosine - b.cosine), 6) AS mean_margin, round(median(a.cosine - b.cosine), 6) AS median_margin
+  FROM c a JOIN c b ON a.item = b.item AND a.cand < b.cand GROUP BY 1, 2""")
+def margin_stats(spark, sf_dir):
+    df = evaluation.margin_stats(view(spark, sf_dir, "candidates").withColumn("score", F.col("cosine")))
+    return df.select("cand_a", "cand_b", "n", *(F.round(c, 6).alias(c) for c in ("win_rate", "mean_margin", "median_margin")))
+
+
+@query(f"""WITH c AS {duck('candidates')}, w AS (SELECT item, max(CASE cand WHEN 'c1' THEN cosine END) AS h, max(CASE cand WHEN 'c2' THEN cosine END) AS m, max(CASE cand WHEN 'c3' THEN cosine END) AS k FROM c GROUP BY item)
+  SELECT item, round(CASE WHEN abs(h - k) > 0.001 THEN (m - k) / (h - k) END, 4) AS position FROM w""")
+def relative_position(spark, sf_dir):
+    name = F.when(F.col("cand") == "c1", "human").when(F.col("cand") == "c2", "model").when(F.col("cand") == "c3", "copy")
+    df = view(spark, sf_dir, "candidates").select("item", name.alias("cand"), F.col("cosine").alias("score"))
+    return evaluation.relative_position(df).select("item", F.round("position", 4).alias("position"))
+
+
+FOLDS = duck("folds")
+
+
+@query(f"SELECT model, count(*) AS folds, round(sum(accuracy * n) / sum(n), 6) AS micro_accuracy, round(avg(accuracy), 6) AS macro_accuracy, round(sum(log_loss * n) / sum(n), 6) AS micro_log_loss, round(avg(log_loss), 6) AS macro_log_loss FROM {FOLDS} GROUP BY model")
+def fold_summary(spark, sf_dir):
+    df = evaluation.fold_summary(view(spark, sf_dir, "folds"), "model")
+    return df.select("model", "folds", *(F.round(c, 6).alias(c) for c in df.columns[2:]))
+
+
+@query(f"SELECT model, project_id, weakness FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY accuracy, project_id) AS weakness FROM {FOLDS}) WHERE weakness <= 3")
+def weak_folds(spark, sf_dir):
+    return evaluation.weak_folds(view(spark, sf_dir, "folds")).select("model", "project_id", "weakness")
+
+
+PROBE = f"""a AS {duck('activations')}, x AS (SELECT layer, project_id, unnest(draft) AS d, unnest(revised) AS r, generate_subscripts(draft, 1) AS i FROM a),
+  g AS (SELECT DISTINCT layer, project_id FROM a), o AS (SELECT g.layer, g.project_id, x.i, avg(x.r) - avg(x.d) AS diff, (avg(x.r) + avg(x.d)) / 2 AS mid FROM g JOIN x ON x.layer = g.layer AND x.project_id <> g.project_id GROUP BY 1, 2, 3),
+  v AS (SELECT layer, project_id, list(diff ORDER BY i) AS w, sqrt(sum(diff * diff)) AS size, sum(diff * mid) AS t FROM o GROUP BY 1, 2),
+  h AS (SELECT a.layer, a.project_id, list_dot_product(a.draft, w) AS pd, list_dot_product(a.revised, w) AS pr, t FROM a JOIN v USING (layer, project_id) WHERE size > 0),
+  k AS (SELECT layer, project_id, count(*) AS n, avg(((pr > t)::INT + (pd <= t)::INT) / 2.0::DOUBLE) AS single_accuracy, avg((pr > pd)::INT) AS pair_accuracy FROM h GROUP BY 1, 2)"""
+
+
+@query(f"WITH {PROBE} SELECT layer, project_id, n, round(single_accuracy, 6) AS single_accuracy FROM k")
+def probe_single(spark, sf_dir):
+    return evaluation.probe(view(spark, sf_dir, "activations")).select("layer", "project_id", "n", F.round("single_accuracy", 6).alias("single_accuracy"))
+
+
+@query(f"WITH {PROBE} SELECT layer, project_id, n, round(pair_accuracy, 6) AS pair_accuracy FROM k")
+def probe_pair(spark, sf_dir):
+    return evaluation.probe(view(spark, sf_dir, "activations")).select("layer", "project_id", "n", F.round("pair_accuracy", 6).alias("pair_accuracy"))
+
+
+@query(f"WITH {PROBE}, l AS (SELECT layer, round(sum(single_accuracy * n) / sum(n), 9) AS s, round(sum(pair_accuracy * n) / sum(n), 9) AS p FROM k GROUP BY layer) SELECT (SELECT layer FROM l ORDER BY s DESC, layer LIMIT 1) AS best_single, (SELECT layer FROM l ORDER BY p DESC, layer LIMIT 1) AS best_pair")
+def probe_best(spark, sf_dir):
+    return evaluation.best_layers(view(spark, sf_dir, "activations"))
+
+
+# --- hard eval -----------------------------------------------------------------------------------------------------
+
+
+def section_rows(spark, sf_dir):
+    return mined(spark, sf_dir).withColumn("line_no", F.xxhash64("id"))
+
+
+@query(f"""WITH {SECTION_PAIRS}, q AS (SELECT *, string_split(edited_text, chr(10))[1] AS head, list_transform(list_filter(string_split(regexp_replace(substr(edited_text, length(string_split(edited_text, chr(10))[1]) + 2), '^\n+|\n+$', '', 'g'), chr(10) || chr(10)), lambda p: {D.strip('p')} <> ''), lambda p: regexp_replace(p, '^\n+|\n+$', '', 'g')) AS ps FROM pairs)
+  SELECT path, section_key, md5(head || chr(10) || chr(10) || array_to_string(ps, chr(10)) || chr(10)) AS joined, md5(head || chr(10) || chr(10) || array_to_string(list_reverse(ps), chr(10) || chr(10)) || chr(10)) AS reversed,
+  md5(head || chr(10) || chr(10) || array_to_string(list_filter(string_split(array_to_string(ps, chr(10)), chr(10)), lambda l: {D.strip('l')} <> ''), chr(10) || chr(10)) || chr(10)) AS split FROM q WHERE len(ps) > 0""")
+def degradations(spark, sf_dir):
+    df = hardeval.degradations(mined(spark, sf_dir)).where(F.size(T.paragraphs(T.heading_and_body("edited_text")[1])) > 0)
+    return df.select("path", "section_key", F.md5("deg_join").alias("joined"), F.md5("deg_reverse").alias("reversed"), F.md5("deg_split").alias("split"))
+
+
+@query(f"""WITH {SECTION_PAIRS} SELECT path, section_key FROM pairs WHERE paragraph_count_source >= 3 AND paragraph_count_edited >= 3 AND NOT regexp_matches(source_text || edited_text, '```|~~~|\\|--|af://|★|<!--|TODO|FIXME')""")
+def best_section(spark, sf_dir):
+    return hardeval.best_section(section_rows(spark, sf_dir)).select("path", "section_key")
+
+
+def windows(spark, sf_dir):
+    return hardeval.expand_windows(hardeval.best_section(section_rows(spark, sf_dir)))
+
+
+@query()
+def window_candidates(spark, sf_dir):
+    return windows(spark, sf_dir).select("path", "section_key", "unit", "window_start", F.md5("human_text").alias("human"))
+
+
+@query()
+def candidate_set(spark, sf_dir):
+    df = hardeval.candidate_set(windows(spark, sf_dir))
+    return df.select("path", "section_key", "unit", "window_start", F.transform("candidates", lambda c: c["id"]).alias("ids"))
+
+
+@query()
+def greedy_pick(spark, sf_dir):
+    pool = windows(spark, sf_dir).withColumn("line_no", F.xxhash64("path", "section_key", "unit", "window_start"))
+    return hardeval.greedy_pick(pool, n_items=50).select("path", "section_key", "unit", "window_start")
+
+
+def items(spark, sf_dir):
+    """Hard-eval items of the candidates; some are broken on purpose."""
+    c = view(spark, sf_dir, "candidates")
+    one = F.struct("gold_rank", F.struct(F.when((F.col("item") % 7 == 0) & (F.col("cand_index") == 2), "c1").otherwise(F.col("cand")).alias("id"), F.concat(F.lit("text "), "cand").alias("text")).alias("c"))
+    df = c.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["c"]).alias("candidates"))
+    ids = F.transform("candidates", lambda x: x["id"])
+    best = F.when(F.col("item") % 5 == 0, "zz").otherwise(ids[0])
+    rank = F.when(F.col("item") % 11 == 0, F.slice(ids, 1, 2)).otherwise(ids)
+    return df.select(F.col("item").alias("id"), "candidates", F.struct(best.alias("best_id"), rank.alias("rank")).alias("human"), F.when(F.col("item") % 3 == 0, "pending").otherwise("labeled").alias("status"), F.when(F.col("item") % 13 == 0, " ").otherwise("base").alias("base_text"))
+
+
+@query(f"""WITH i AS (SELECT item, count(*) AS n, count_if(cand_index IN (1, 2)) AS pair FROM {duck('candidates')} GROUP BY item)
+  SELECT item AS id, CASE WHEN item % 3 = 0 THEN NULL WHEN n < 2 THEN 'few_candidates' WHEN item % 7 = 0 AND pair = 2 THEN 'duplicate_ids' WHEN item % 5 = 0 THEN 'unknown_best' WHEN item % 11 = 0 AND n <> 2 THEN 'bad_rank' WHEN item % 13 = 0 THEN 'blank_base' END AS error FROM i""")
+def hard_eval_errors(spark, sf_dir):
+    return hardeval.validate(items(spark, sf_dir)).select("id", "error")
+
+
+@query(f"SELECT a.item AS id, a.cand AS better, b.cand AS worse FROM {duck('candidates')} a JOIN {duck('candidates')} b ON a.item = b.item AND a.gold_rank < b.gold_rank")
+def rank_pairs(spark, sf_dir):
+    c = view(spark, sf_dir, "candidates").groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("gold_rank", "cand"))), lambda x: x["cand"]).alias("rank"))
+    return hardeval.rank_pairs(c.withColumnRenamed("item", "id"))
+
+
+@query(f"WITH i AS (SELECT DISTINCT item FROM {duck('candidates')}) SELECT item AS id, CASE WHEN item % 4 = 0 THEN NULL ELSE 'model ' || item END AS model, item % 4 = 0 AS missing FROM i")
+def three_way(spark, sf_dir):
+    own = items(spark, sf_dir)
+    texts = own.where("id % 4 <> 0").select("id", F.concat(F.lit("model "), "id").alias("text"))
+    return hardeval.three_way(own, texts).select("id", F.get("candidates", F.lit(1))["text"].alias("model"), "missing")
+
+
+def previews(spark, sf_dir):
+    c = view(spark, sf_dir, "candidates")
+    block = F.concat(F.lit("### `"), "cand", F.lit("` (script)\n\n"), F.lit("text "), "cand", F.lit("\n"))
+    body = c.groupBy("item").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gold_rank", block.alias("b")))), lambda x: x["b"]), "\n").alias("b"))
+    return body.select(F.concat(F.lit("# Preview\n\n## he-"), "item", F.lit("\n\nnote\n\n"), "b").alias("text"))
+
+
+@query(f"SELECT 'he-' || item AS item, CAST(row_number() OVER (PARTITION BY item ORDER BY gold_rank) AS INT) AS position, cand, 'text ' || cand AS body FROM {duck('candidates')}")
+def preview_parse(spark, sf_dir):
+    return hardeval.parse_ranked_preview(previews(spark, sf_dir))
+
+
+@query(f"""WITH i AS (SELECT item, arg_min(cand, gold_rank) AS best FROM {duck('candidates')} GROUP BY item) SELECT 'he-' || item AS id, CASE WHEN item % 6 = 0 THEN NULL ELSE best END AS best_id, CASE WHEN item % 6 = 0 THEN 'not_in_preview' END AS error FROM i""")
+def apply_ranks(spark, sf_dir):
+    c = view(spark, sf_dir, "candidates")
+    own = c.groupBy("item").agg(F.collect_list(F.struct(F.col("cand").alias("id"), F.concat(F.lit("text "), "cand").alias("text"))).alias("candidates")).select(F.concat(F.lit("he-"), "item").alias("id"), "candidates")
+    shown = hardeval.parse_ranked_preview(previews(spark, sf_dir)).where(F.substring("item", 4, 20).cast("long") % 6 != 0)
+    return hardeval.apply_ranks(own, shown).select("id", "best_id", "error")
+
+
+# --- fits: rows only -----------------------------------------------------------------------------------------------
+
+
+def _features(spark, sf_dir):
+    df = view(spark, sf_dir, "pref_vectors").withColumns({c: F.slice(c, 1, 8) for c in ("src", "a", "b")})
+    zero = F.lit(0.0)
+    return df.select("project_id", "label", V.preference_features("src", "a", "b", zero, zero, zero).alias("features"), V.pointwise_features("src", "a", zero, zero).alias("fa"), V.pointwise_features("src", "b", zero, zero).alias("fb"))
+
+
+@query()
+def lopo_pairwise(spark, sf_dir):
+    return models.lopo(_features(spark, sf_dir).select("project_id", "label", "features"), max_iter=100)
+
+
+@query()
+def lopo_bt(spark, sf_dir):
+    first = F.col("label") == 1
+    df = _features(spark, sf_dir).select("project_id", F.when(first, F.col("fa")).otherwise(F.col("fb")).alias("better"), F.when(first, F.col("fb")).otherwise(F.col("fa")).alias("worse"))
+    return models.lopo(df, "bt", max_iter=100)
+
+
+@query()
+def encoded_texts(spark, sf_dir):
+    e = view(spark, sf_dir, "examples").select(F.col("source_text").alias("text"))
+    return hooks.encode_texts(e, dim=64).select(F.md5("text").alias("digest"), *digest(V.doubles("vec")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["pref_by_split"](spark, sf_dir)
+    return pref_by_split(spark, sf_dir)
