@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from amendry.functions import text as T
 from amendry.operators.mining import latest
@@ -63,7 +64,7 @@ def round_robin(df: DataFrame, limit: int, project: str = "project_id", order: s
     return df.orderBy("depth", project).limit(limit) if limit > 0 else df
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def char_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two short texts."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)])
