@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import slices
+from .textarrays import KEPT, slices
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -210,6 +210,9 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+KEPT["byte-bpe"] = encoder.cache_clear
+
+
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and utf8 (the ids decode to whole characters) of each whole text.
 
@@ -220,7 +223,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", owner="byte-bpe"):
             counts, hashes, decoded, fine, kept = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 ids = own.encode(text or "")

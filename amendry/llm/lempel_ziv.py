@@ -45,10 +45,10 @@ class ReferenceBlock:
         return out
 
 
-def parse_block(segments: list[tuple[int, bytes]], size: int) -> list[tuple[int, int, int]]:
+def parse_block(segments: list[tuple[int, bytes, int]], size: int, k: int) -> list[tuple[int, int, int]]:
     """Factor each segment against those of smaller documents; segments come in order of documents."""
     block, out, waiting = ReferenceBlock(size), [], []
-    for i, (doc, text) in enumerate(segments):
+    for i, (doc, text, _) in enumerate(segments):
         if waiting and waiting[0][0] != doc:
             for _, words in waiting:
                 block.add(words)

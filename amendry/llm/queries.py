@@ -20,6 +20,9 @@ from .wand import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; long texts go to Python in small Arrow batches, so that a task needs little memory beside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -88,5 +91,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: DuckDB SQL for the same rows, where SQL can express them at a bearable cost.
-ORACLE_SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_OP3 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+r AS (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM g) WHERE n > 1),
+again AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM r GROUP BY doc_id),
+l AS (SELECT doc_id, host, x, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS line FROM (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS x FROM d)),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM l WHERE line <> '' GROUP BY doc_id),
+f AS (SELECT host, line FROM l WHERE line <> '' GROUP BY host, line HAVING count(DISTINCT doc_id) > 50),
+lost AS (SELECT doc_id, sum(len(string_split(line, ' ')))::BIGINT AS n_removed_words, count(*) AS n_removed_lines FROM l JOIN f USING (host, line) GROUP BY doc_id),
+b AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed_words, 0) AS n_removed_words, coalesce(n_removed_lines, 0) AS n_removed_lines
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN lost USING (doc_id)),
+j AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT *, NOT base_failed AND n_words - n_removed_words >= 0.4 * n_words AS kept FROM j"""
+
+_OP8 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+m AS (SELECT win, min(doc_id) AS first FROM g GROUP BY win),
+gone AS (SELECT DISTINCT g.doc_id, unnest(range(g.i, g.i + 13)) AS p FROM g JOIN m USING (win) WHERE m.first < g.doc_id),
+kept AS (SELECT w.doc_id, string_agg(w.x, ' ' ORDER BY w.p) AS k FROM (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM d) w ANTI JOIN gone ON gone.doc_id = w.doc_id AND gone.p = w.p GROUP BY w.doc_id),
+n AS (SELECT a.doc_id, count(*) AS n_removed, count(*) FILTER (b.p IS NULL) AS n_spans FROM gone a LEFT JOIN gone b ON a.doc_id = b.doc_id AND b.p = a.p - 1 GROUP BY a.doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+_OP10 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS win FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM d)),
+m AS (SELECT win, min(doc_id) AS first FROM g GROUP BY win),
+gone AS (SELECT DISTINCT g.doc_id, unnest(range(g.i, g.i + 50)) AS p FROM g JOIN m USING (win) WHERE m.first < g.doc_id),
+kept AS (SELECT w.doc_id, string_agg(substr(w.h, 2 * w.p - 1, 2), '' ORDER BY w.p) AS k FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS p FROM d) w ANTI JOIN gone ON gone.doc_id = w.doc_id AND gone.p = w.p GROUP BY w.doc_id),
+n AS (SELECT a.doc_id, count(*) AS n_removed, count(*) FILTER (b.p IS NULL) AS n_spans FROM gone a LEFT JOIN gone b ON a.doc_id = b.doc_id AND b.p = a.p - 1 GROUP BY a.doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+#: DuckDB SQL for the same rows, where SQL can express them at a bearable cost; the others are tested by brute force.
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": _OP3, "op8_substring_dedup": _OP8, "op10_suffix_groups": _OP10}

@@ -7,7 +7,8 @@ Lyndon prefix, and one ascending pass along the pointers puts each group's suffi
 nothing recurs; time is linear in the text.
 
 `windows` routes every segment of every document to its seed; equal segments count once, with their least document.
-The segments of one seed are one text here, and neighbours in its suffix array with 50 equal bytes are the repeats.
+Segments of one seed that overlap in part are one text here, and neighbours in its suffix array with 50 equal bytes are
+the repeats.
 """
 
 from __future__ import annotations
@@ -73,6 +74,10 @@ def suffix_array(text: list[int]) -> list[int]:
 
 def repeats(segments: list[tuple[int, bytes]], size: int) -> list[tuple[int, int, int]]:
     """Windows of each segment that a segment of a smaller document holds: (segment, start, length), runs joined."""
+    return _repeats([(doc, list(data)) for doc, data in segments], size)
+
+
+def _repeats(segments: list[tuple[int, list[int]]], size: int) -> list[tuple[int, int, int]]:
     m = len(segments)
     text: list[int] = []
     owner: list[int] = []
@@ -96,10 +101,9 @@ def repeats(segments: list[tuple[int, bytes]], size: int) -> list[tuple[int, int
     for at in suffix_array(text):
         i = owner[at]
         start = at - base[i]
-        data = segments[i][1]
-        if start + size > len(data):
+        if start + size > len(segments[i][1]):
             continue
-        window = data[start : start + size]
+        window = text[at : at + size]
         if window != last:
             close()
             equal, last = [], window
@@ -121,6 +125,41 @@ def repeats(segments: list[tuple[int, bytes]], size: int) -> list[tuple[int, int
     return out
 
 
+PIECES = 6
+_CORE = 256  # stands for the bytes that all pieces of a group share
+
+
+def repeats_by_piece(segments: list[tuple[int, bytes, int]], size: int, k: int) -> list[tuple[int, int, int]]:
+    """As `repeats`, for segments that share a seed of `k` bytes at a known place, in order of documents.
+
+    Windows are taken apart by where the seed stands in them. Those of a sixth of the places form a piece of the
+    segment, and each of them holds the piece's core. Equal pieces count once, with their least document; different
+    pieces with equal cores are one text for the suffix array, in which the core is a single symbol.
+    """
+    out = []
+    places = size - k + 1
+    step = -(-places // PIECES)
+    for low in range(0, places, step):
+        high = min(low + step, places) - 1
+        first: dict[bytes, int] = {}
+        cores: dict[bytes, list[tuple[int, bytes, int]]] = {}
+        for i, (doc, data, at) in enumerate(segments):
+            start = max(0, at - high)
+            piece = data[start : at - low + size]
+            if len(piece) < size:
+                continue
+            before = first.setdefault(piece, i)
+            if before != i and segments[before][0] < doc:
+                out.append((i, start, len(piece)))
+            else:  # new, or held twice by one document
+                cores.setdefault(data[at - low : at - high + size], []).append((i, piece, start))
+        for core, group in cores.items():
+            if len(group) > 1:
+                short = [(segments[i][0], [*piece[: segments[i][2] - low - start], _CORE, *piece[segments[i][2] - low - start + len(core) :]]) for i, piece, start in group]
+                out += [(group[j][0], group[j][2] + start, length + len(core) - 1) for j, start, length in _repeats(short, size - len(core) + 1)]
+    return out
+
+
 def remove_repeated_bytes(docs: DataFrame, windows: Windows = BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of each document.
 
@@ -130,7 +169,7 @@ def remove_repeated_bytes(docs: DataFrame, windows: Windows = BYTES) -> DataFram
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), F.octet_length(text).cast("long").alias("n_bytes"))
-    cut = cut_documents(docs, windows, repeats).drop("kept_text")
+    cut = cut_documents(docs, windows, repeats_by_piece).drop("kept_text")
     return base.join(cut, ["doc_id", "text_sha256"], "left").select(
         "doc_id", "n_bytes", _or_zero("n_removed"), _or_zero("n_spans"), F.coalesce("kept_sha256", "text_sha256").alias("kept_sha256")
     )

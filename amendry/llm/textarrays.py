@@ -7,7 +7,7 @@ All hashes are 64 bits wide and depend on the content only, so every executor co
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -116,6 +116,7 @@ class Runs:
     start: np.ndarray  # first window
     length: np.ndarray  # windows in the run
     seed: np.ndarray  # hash of the minimiser
+    at: np.ndarray  # its first unit
 
 
 def minimiser_runs(grams: np.ndarray, doc: np.ndarray, window: int, k: int) -> Runs:
@@ -126,7 +127,7 @@ def minimiser_runs(grams: np.ndarray, doc: np.ndarray, window: int, k: int) -> R
     """
     w, n = window - k + 1, len(doc) - window + 1
     if n <= 0:
-        return Runs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        return Runs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     bits = _U(int(len(grams)).bit_length())
     least = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     span = 1
@@ -137,11 +138,11 @@ def minimiser_runs(grams: np.ndarray, doc: np.ndarray, window: int, k: int) -> R
         least = np.minimum(least[: len(least) - (w - span)], least[w - span :])
     at = np.flatnonzero(doc[:n] == doc[window - 1 : window - 1 + n])
     if not len(at):
-        return Runs(at, at, np.zeros(0, np.uint64))
+        return Runs(at, at, np.zeros(0, np.uint64), at)
     seed_at = (least[at] & ((_U(1) << bits) - _U(1))).astype(np.int64)
     new = np.concatenate(([True], (seed_at[1:] != seed_at[:-1]) | (at[1:] != at[:-1] + 1)))
     first = np.flatnonzero(new)
-    return Runs(at[first], np.diff(np.concatenate((first, [len(at)]))), grams[seed_at[first]])
+    return Runs(at[first], np.diff(np.concatenate((first, [len(at)]))), grams[seed_at[first]], seed_at[first])
 
 
 def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
@@ -158,8 +159,18 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in values.to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that `column` holds about `most` bytes in each; one long text stays whole."""
+#: What an operator keeps in a Python worker between its tasks, by owner: the functions that let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2_000_000, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that `column` holds about `most` bytes in each; one long text stays whole.
+
+    Spark runs the tasks of all stages in the same Python workers, so a task first drops what other operators kept.
+    """
+    for name, forget in KEPT.items():
+        if name != owner:
+            forget()
     for batch in batches:
         size = np.array([0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()], np.int64)
         part = np.cumsum(size) // most

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import slices
+from .textarrays import KEPT, slices
 
 RULES = ("first", "last", "most", "share")
 OUTSIDE = -1
@@ -33,6 +33,9 @@ def _tokenizer(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+KEPT["token-attribution"] = _tokenizer.cache_clear
+
+
 def token_spans(text: str, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """First and past-last character of each token; a token with part of a character spans that character."""
     encoding, sizes = _tokenizer(path, pattern)
@@ -87,7 +90,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, rule: str = "most", s
         raise ValueError(f"rule must be one of {RULES}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", owner="token-attribution"):
             spans = batch.column("sections").to_pylist() if sections else [None] * batch.num_rows
             parts: list[tuple] = []
             for doc, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), spans):

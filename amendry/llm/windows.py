@@ -4,16 +4,18 @@ A window is `size` neighbouring units (words or bytes) of one text. Each window
 neighbouring windows with one seed form a run, and the text of a run is a segment. Equal windows have equal seeds
 wherever they stand, so they meet at the seed. Four steps, of which only the second moves whole texts:
 
-1. `routed`: every task sends (seed, segment, document) as a few packed bytes to the seed's owner, equal segments of
-   the task once, and gets back which of its segments an earlier document holds whole ("known"), which share their seed
-   with another segment ("mixed"), and which have a seed with very many segments ("crowded").
+1. `routed`: every task sends (seed, segment, flanks, document) as a few packed bytes to the seed's owner, equal
+   segments of the task once, and gets back which of its segments an earlier document holds whole ("known"), which
+   share their seed and a flank with another segment ("mixed"), and which have a seed with very many segments
+   ("crowded"). The flanks are the seed with the `side` units before or after it; a window with this seed holds one of them,
+   so segments that share neither share no window.
 2. `flagged`: documents with such flags take them up. Known segments are covered. The others leave as rows.
 3. Mixed segments meet by seed and a `matcher` finds their equal windows (Lempel-Ziv factors, or a suffix array).
    Crowded ones, where one seed could fill a task, send the hash of each window instead, and a combining
    aggregation finds the least document of each.
 4. `cut`: the spans come back to the documents, which lose the covered units.
 
-All of it is exact for hashes of 80 bits and more (64 for windows of crowded seeds); nothing is capped or dropped.
+All of it is exact for hashes of 80 bits (64 for windows of crowded seeds); nothing is capped or dropped.
 """
 
 from __future__ import annotations
@@ -33,14 +35,15 @@ from .scratch import partitions, written
 from .textarrays import RollingHash, Runs, covered, minimiser_runs, mix, slices, text_bytes, word_grams, words_of
 
 #: Segments of one task, and of all tasks, from which a seed counts as crowded.
-CROWDED_IN_TASK, CROWDED = 64, 2048
-_ENTRIES = 1_000_000
+CROWDED_IN_TASK, CROWDED = 512, 2048
+_ENTRIES, _SLICE = 600_000, 1_000_000
 _KEY = np.uint64((1 << 48) - 1)
-_SEED = np.uint64((1 << 40) - 1)
+_SEED = np.uint64((1 << 32) - 1)
 _MARK = np.uint64(0)
 
-#: Takes the segments of one seed as (document, bytes) in order of documents; gives (index, first unit, units).
-Matcher = Callable[[list[tuple[int, bytes]], int], list[tuple[int, int, int]]]
+#: Takes the segments of one seed as (document, bytes, seed's first unit) in order of documents, the window and the seed
+#: size; gives (index, first unit, units).
+Matcher = Callable[[list[tuple[int, bytes, int]], int, int], list[tuple[int, int, int]]]
 
 
 @dataclass(frozen=True)
@@ -62,8 +65,9 @@ class Units:
     data: np.ndarray
     first: np.ndarray  # index of each text's first unit, and the number of all
     runs: Runs
-    seed: np.ndarray  # 40 bits for each run
+    seed: np.ndarray  # 32 bits for each run
     key: np.ndarray  # 48 bits for each run: its seed and its whole text
+    flanks: np.ndarray  # twice 16 bits for each run; 0 where the run has no such flank
     grams: Callable[[], np.ndarray]  # hashes of the windows, where they are wanted
 
 
@@ -86,7 +90,17 @@ def units_of(texts: list[bytes], windows: Windows) -> Units:
     last = runs.start + runs.length + windows.size - 2
     whole = rolling.of(begin[runs.start], end[last]) if len(runs.start) else runs.seed
     key = np.maximum(mix(whole + mix(runs.seed)) & _KEY, np.uint64(1))
-    return Units(doc, begin, end, data, first, runs, runs.seed & _SEED, key, grams)
+    flanks = _flanks(rolling, begin, end, runs, last, windows)
+    return Units(doc, begin, end, data, first, runs, mix(runs.seed) & _SEED, key, flanks, grams)
+
+
+def _flanks(rolling: RollingHash, begin: np.ndarray, end: np.ndarray, runs: Runs, last: np.ndarray, windows: Windows) -> np.ndarray:
+    side = -(-(windows.size - windows.k) // 2)
+    out = np.zeros((2, len(runs.at)), np.uint64)
+    for row, (low, high) in zip(out, ((runs.at - side, runs.at + windows.k - 1), (runs.at, runs.at + windows.k - 1 + side))):
+        inside = (low >= runs.start) & (high <= last)
+        row[inside] = np.maximum(rolling.of(begin[low[inside]], end[high[inside]]) & np.uint64(0xFFFF), np.uint64(1))
+    return out[0] << np.uint64(16) | out[1]
 
 
 def _packed(x: np.ndarray, width: int) -> bytes:
@@ -99,73 +113,98 @@ def _unpacked(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_ROUTE_SCHEMA = pa.schema(
-    [("bucket", pa.int32()), ("width", pa.int32()), ("entries", pa.binary()), ("doc_id", pa.int64()), ("known", pa.binary()), ("mixed", pa.binary()), ("crowded", pa.binary())]
-)
-_FLAG_SCHEMA = pa.schema([_ROUTE_SCHEMA.field(i) for i in range(3, 7)])
+_ROUTE_SCHEMA = pa.schema([("bucket", pa.int32()), ("width", pa.int32()), ("entries", pa.binary()), ("replies", pa.binary())])
+_REPLY_SCHEMA = pa.schema([("bucket", pa.int32()), ("replies", pa.binary())])
+_FLAG_SCHEMA = pa.schema([("doc_id", pa.int64()), ("known", pa.binary()), ("mixed", pa.binary()), ("crowded", pa.binary())])
 _DDL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+_KNOWN, _MIXED, _CROWDED = 1, 2, 3
 
 
 def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{x.name} {_DDL[x.type]}" for x in schema)
 
 
-def _by_document(doc: np.ndarray, key: np.ndarray, flag: np.ndarray) -> tuple[list[int], list[list[bytes]]]:
-    """Keys of each document under flags 1 (known), 2 (mixed) and 3 (crowded), packed."""
-    order = np.lexsort((flag, doc))
-    doc, key, flag = doc[order], key[order], flag[order]
-    cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-    packed, ids, columns = _packed(key, 6), doc[cuts].tolist(), [[], [], []]
-    ends = np.append(cuts[1:], len(doc))
-    inner = [cuts] + [np.searchsorted(flag + 4 * np.repeat(np.arange(len(cuts)), ends - cuts), 4 * np.arange(len(cuts)) + f + 1) for f in (1, 2, 3)] if len(cuts) else [cuts] * 4
-    for f in range(3):
-        columns[f] = [packed[6 * a : 6 * b] for a, b in zip(inner[f].tolist(), inner[f + 1].tolist())]
-    return ids, columns
-
-
-def _groups(seed: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct entries in order, which are the first of their segment, and the number of segments of their seed."""
-    order = np.lexsort((doc, key, seed))
-    seed, key, doc = seed[order], key[order], doc[order]
-    if len(seed):
-        new = np.concatenate(([True], (seed[1:] != seed[:-1]) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-        seed, key, doc = seed[new], key[new], doc[new]
-    same_seed = np.concatenate(([False], seed[1:] == seed[:-1])) if len(seed) else np.zeros(0, bool)
-    first = ~(same_seed & np.concatenate(([False], key[1:] == key[:-1]))) if len(seed) else np.zeros(0, bool)
-    number = np.cumsum(~same_seed) - 1 if len(seed) else np.zeros(0, np.int64)
-    segments = np.bincount(number, weights=first & (key != _MARK)).astype(np.int64)[number] if len(seed) else number
-    return seed, key, doc, first, number, segments
+def _dealt(bucket: np.ndarray, doc: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by bucket, then by document (neighbouring ids compress well), and where each bucket begins."""
+    by_doc = np.argsort(doc)
+    small = np.uint16 if buckets < 1 << 16 else np.int64
+    order = by_doc[np.argsort(bucket[by_doc].astype(small), kind="stable")]
+    return order, np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+
+
+def _replies(doc: np.ndarray, key: np.ndarray, flag: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Flagged keys, packed for the owners of their documents."""
+    bucket = doc % buckets
+    order, cuts = _dealt(bucket, doc, buckets)
+    doc, key, flag = doc[order].view(np.uint64), key[order], flag[order].astype(np.uint64)
+    full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+    return full, [_packed(doc[a:z], 8) + _packed(key[a:z], 6) + _packed(flag[a:z], 1) for a, z in ((cuts[b], cuts[b + 1]) for b in full)]
+
+
+@dataclass
+class Segments:
+    """Distinct segments in order of their seeds, and the entries of later documents that hold one."""
+
+    seed: np.ndarray
+    key: np.ndarray
+    doc: np.ndarray  # the least
+    flanks: np.ndarray
+    number: np.ndarray  # of the seed
+    later: tuple[np.ndarray, np.ndarray]  # documents and keys
+
+    @classmethod
+    def of(cls, seed: np.ndarray, key: np.ndarray, doc: np.ndarray, flanks: np.ndarray) -> "Segments":
+        # Should two segments of a seed agree in 32 of 48 bits, they may come apart here; they then count as mixed.
+        order = np.argsort(seed << np.uint64(32) | (key & _SEED))
+        seed, key, doc, flanks = seed[order], key[order], doc[order], flanks[order]
+        if not len(seed):
+            return cls(seed, key, doc, flanks, np.zeros(0, np.int64), (doc, key))
+        start = np.flatnonzero(np.concatenate(([True], (seed[1:] != seed[:-1]) | (key[1:] != key[:-1]))))
+        least = np.minimum.reduceat(doc, start)
+        later = doc > np.repeat(least, np.diff(np.append(start, len(doc))))
+        own = seed[start]
+        number = np.cumsum(np.concatenate(([True], own[1:] != own[:-1]))) - 1
+        return cls(own, key[start], least, flanks[start], number, (doc[later], key[later]))
+
+
+def _sharing(number: np.ndarray, flanks: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which of the entries `among` share a flank with another one of their seed."""
+    out, at = np.zeros(len(number), bool), np.flatnonzero(among)
+    for flank in (flanks[at] >> np.uint64(16), flanks[at] & np.uint64(0xFFFF)):
+        of, has = number[at].astype(np.uint64) << np.uint64(16) | flank, flank > 0
+        _, index, count = np.unique(of, return_inverse=True, return_counts=True)
+        out[at] |= has & (count[index] > 1)
+    return out
 
 
 def _requests(windows: Windows, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def sent() -> Iterator[pa.RecordBatch]:
-            seed, key, doc, first, _, segments = _groups(*(np.concatenate(x) for x in zip(*held)))
+            own = Segments.of(*(np.concatenate(x) for x in zip(*held)))
             held.clear()
-            crowded = segments > CROWDED_IN_TASK
-            flag = np.where(~first, 1, np.where(crowded, 3, 0))
-            ids, columns = _by_document(doc[flag > 0], key[flag > 0], flag[flag > 0])
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array([i % buckets for i in ids], pa.int32()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary()), pa.array(ids, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], schema=_ROUTE_SCHEMA)
-            marks = np.unique(seed[crowded & first])
-            ask = first & ~crowded
-            seed, key, doc = np.append(seed[ask], marks), np.append(key[ask], np.zeros(len(marks), np.uint64)), np.append(doc[ask], np.zeros(len(marks), np.int64))
-            bucket = (seed % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+            crowded = np.bincount(own.number)[own.number] > CROWDED_IN_TASK if len(own.number) else np.zeros(0, bool)
+            doc, key = np.append(own.later[0], own.doc[crowded]), np.append(own.later[1], own.key[crowded])
+            flag = np.repeat([_KNOWN, _CROWDED], [len(own.later[0]), crowded.sum()])
+            full, blobs = _replies(doc, key, flag, buckets)
+            none = len(full)
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.array(blobs, pa.binary())], schema=_ROUTE_SCHEMA)
+            marks = np.unique(own.seed[crowded])
+            zeros = np.zeros(len(marks), np.uint64)
+            seed, key, flanks = np.append(own.seed[~crowded], marks), np.append(own.key[~crowded], zeros), np.append(own.flanks[~crowded], zeros)
+            doc = np.append(own.doc[~crowded], zeros.view(np.int64))
+            order, cuts = _dealt((seed % np.uint64(buckets)).astype(np.int64), doc, buckets)
             width = 4 if not len(doc) or (doc.min() >= 0 and doc.max() < 1 << 32) else 8
-            seed, key, doc = seed[order], key[order], doc[order].view(np.uint64)
+            seed, key, flanks, doc = seed[order], key[order], flanks[order], doc[order].view(np.uint64)
             full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            blobs = [_packed(seed[a:z], 5) + _packed(key[a:z], 6) + _packed(doc[a:z], width) for a, z in ((cuts[b], cuts[b + 1]) for b in full)]
-            none = pa.nulls(len(full), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([width] * len(full), pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(full), pa.int64()), none, none, none], schema=_ROUTE_SCHEMA)
+            blobs = [_packed(seed[a:z], 4) + _packed(key[a:z], 6) + _packed(flanks[a:z], 4) + _packed(doc[a:z], width) for a, z in ((cuts[b], cuts[b + 1]) for b in full)]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([width] * len(full), pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(full), pa.binary())], schema=_ROUTE_SCHEMA)
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _SLICE):
             units = units_of(text_bytes(batch.column("text")), windows)
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            held.append((units.seed, units.key, docs[units.doc[units.runs.start]]))
+            held.append((units.seed, units.key, docs[units.doc[units.runs.start]], units.flanks))
             if sum(len(x[0]) for x in held) > _ENTRIES:
                 yield from sent()
         if held:
@@ -174,65 +213,108 @@ def _requests(windows: Windows, buckets: int) -> Callable:
     return run
 
 
-def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answers(buckets: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        for batch in batches:
+            told = pc.is_valid(batch.column("replies"))
+            yield batch.filter(told).select([0, 3])
+            asked = batch.filter(pc.invert(told))
+            for width, blob in zip(asked.column("width").to_pylist(), asked.column("entries").to_pylist()):
+                n = len(blob) // (14 + width)
+                for part, (a, b, w) in zip(parts, ((0, 4, 4), (4, 10, 6), (14, 14 + width, width), (10, 14, 4))):
+                    part.append(_unpacked(blob[n * a : n * b], w))
+        if not parts[0]:
+            return
+        seed, key, doc, flanks = (np.concatenate(x) for x in parts)
+        parts.clear()
+        own = Segments.of(seed, key, doc.view(np.int64), flanks)
+        mark = own.key == _MARK
+        sharing = _sharing(own.number, own.flanks, ~mark)
+        crowded = ((np.bincount(own.number, weights=mark)[own.number] > 0) | (np.bincount(own.number, weights=sharing)[own.number] > CROWDED)) & ~mark
+        mixed = sharing & ~crowded
+        later = own.later[1] != _MARK
+        docs = np.concatenate((own.later[0][later], own.doc[mixed], own.doc[crowded]))
+        keys = np.concatenate((own.later[1][later], own.key[mixed], own.key[crowded]))
+        flag = np.repeat([_KNOWN, _MIXED, _CROWDED], [later.sum(), mixed.sum(), crowded.sum()])
+        full, blobs = _replies(docs, keys, flag, buckets)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], schema=_REPLY_SCHEMA)
+
+    return run
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document: its known, mixed and crowded keys."""
     parts: list[list[np.ndarray]] = [[], [], []]
     for batch in batches:
-        told = pc.is_valid(batch.column("doc_id"))
-        yield batch.filter(told).select([3, 4, 5, 6])
-        asked = batch.filter(pc.invert(told))
-        for width, blob in zip(asked.column("width").to_pylist(), asked.column("entries").to_pylist()):
-            n = len(blob) // (11 + width)
-            for part, (a, b, w) in zip(parts, ((0, 5, 5), (5, 11, 6), (11, 11 + width, width))):
-                part.append(_unpacked(blob[n * a : n * b], w))
+        for blob in batch.column("replies").to_pylist():
+            n = len(blob) // 15
+            for part, (a, b) in zip(parts, ((0, 8), (8, 14), (14, 15))):
+                part.append(_unpacked(blob[n * a : n * b], b - a))
     if not parts[0]:
         return
-    seed, key, doc = (np.concatenate(x) for x in parts)
+    doc, key, flag = (np.concatenate(x) for x in parts)
     parts.clear()
-    seed, key, doc, first, number, segments = _groups(seed, key, doc.view(np.int64))
-    marked = np.bincount(number, weights=key == _MARK)[number] > 0
-    crowded = marked | (segments > CROWDED)
-    flag = np.where(key == _MARK, 0, np.where(~first, 1, np.where(crowded, 3, np.where(segments > 1, 2, 0))))
-    ids, columns = _by_document(doc[flag > 0], key[flag > 0], flag[flag > 0])
+    doc = doc.view(np.int64)
+    order = np.lexsort((flag, doc))
+    doc, flag, packed = doc[order], flag[order].astype(np.int64), _packed(key[order], 6)
+    start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
+    place = 4 * np.repeat(np.arange(len(start)), np.diff(np.append(start, len(doc)))) + flag
+    cuts = [np.searchsorted(place, 4 * np.arange(len(start)) + f).tolist() for f in (1, 2, 3, 4)]
+    columns = [[packed[6 * a : 6 * z] for a, z in zip(cuts[f], cuts[f + 1])] for f in range(3)]
+    ids = doc[start].tolist()
     for a in range(0, len(ids), 10_000):
         yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 10_000], pa.int64()), *(pa.array(c[a : a + 10_000], pa.binary()) for c in columns)], schema=_FLAG_SCHEMA)
 
 
 def routed(docs: DataFrame, windows: Windows) -> DataFrame:
-    """(doc_id, known, mixed, crowded): packed keys of each document's flagged segments, in several rows."""
+    """(doc_id, known, mixed, crowded): packed keys of each document's flagged segments."""
     buckets = partitions(docs.sparkSession)
     asked = docs.where("doc_id IS NOT NULL").mapInArrow(_requests(windows, buckets), _ddl(_ROUTE_SCHEMA))
-    return asked.repartition(buckets, "bucket").mapInArrow(_replies, _ddl(_FLAG_SCHEMA))
+    told = asked.repartition(buckets, "bucket").mapInArrow(_answers(buckets), _ddl(_REPLY_SCHEMA))
+    return told.repartition(buckets, "bucket").mapInArrow(_by_document, _ddl(_FLAG_SCHEMA))
 
 
 _FLAGGED = (
-    "doc_id long, text string, known binary, mixed array<struct<seed:long,start:long,segment:binary>>, "
+    "doc_id long, text string, known binary, mixed array<struct<seed:long,start:long,at:long,segment:binary>>, "
     "crowded array<struct<window:long,start:long>>"
 )
 
 
+def _merged(start: np.ndarray, end: np.ndarray, doc: np.ndarray, n: int) -> list[bytes]:
+    """Spans of each of n texts as packed (first unit, units), overlapping ones joined; both bounds ascend in a text."""
+    if not len(start):
+        return [b""] * n
+    new = np.flatnonzero(np.concatenate(([True], (start[1:] > end[:-1]) | (doc[1:] != doc[:-1]))))
+    last = np.append(new[1:], len(start)) - 1
+    packed = np.stack([start[new], end[last] - start[new]], 1).astype("<i8").tobytes()
+    cuts = np.searchsorted(doc[new], np.arange(n + 1)).tolist()
+    return [packed[16 * a : 16 * z] for a, z in zip(cuts, cuts[1:])]
+
+
 def _flagged(windows: Windows) -> Callable:
-    def member(units: Units, blobs: list[list[bytes] | None]) -> np.ndarray:
+    def member(units: Units, blobs: list[bytes]) -> np.ndarray:
         """Which runs have a key among those of their own document."""
-        keys = [_unpacked(b"".join(x or []), 6) for x in blobs]
+        keys = [_unpacked(x, 6) for x in blobs]
         owner = np.repeat(np.arange(len(keys), dtype=np.uint64), [len(x) for x in keys])
-        wanted = mix((np.concatenate(keys) if keys else np.zeros(0, np.uint64)) ^ mix(owner))
+        wanted = mix(np.concatenate(keys) ^ mix(owner))
         return np.isin(mix(units.key ^ mix(units.doc[units.runs.start].astype(np.uint64))), wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            texts = text_bytes(batch.column("text"))
-            units = units_of(texts, windows)
-            runs, n = units.runs, len(texts)
-            of_doc = units.doc[runs.start] if len(runs.start) else np.zeros(0, np.int64)
+        for batch in slices(batches, "text", _SLICE):
+            n = batch.num_rows
+            units = units_of(text_bytes(batch.column("text")), windows)
+            runs = units.runs
+            of_doc = units.doc[runs.start]
             local = runs.start - units.first[of_doc]
             known, mixed, crowded = (member(units, batch.column(x).to_pylist()) for x in ("known", "mixed", "crowded"))
-            spans: list[list] = [[] for _ in range(n)]
-            for i in np.flatnonzero(known).tolist():
-                spans[of_doc[i]] += [local[i], runs.length[i] + windows.size - 1]
+            spans = _merged(local[known], local[known] + runs.length[known] + windows.size - 1, of_doc[known], n)
             segments: list[list] = [[] for _ in range(n)]
-            for i in np.flatnonzero(mixed).tolist():
-                a, b = runs.start[i], runs.start[i] + runs.length[i] + windows.size - 2
-                segments[of_doc[i]].append({"seed": int(units.seed[i]), "start": int(local[i]), "segment": units.data[units.begin[a] : units.end[b]].tobytes()})
+            at = np.flatnonzero(mixed)
+            low, high = units.begin[runs.start[at]].tolist(), units.end[runs.start[at] + runs.length[at] + windows.size - 2].tolist()
+            data = units.data.tobytes() if len(at) else b""
+            for d, seed, start, place, a, z in zip(of_doc[at].tolist(), units.seed[at].tolist(), local[at].tolist(), (runs.at[at] - runs.start[at]).tolist(), low, high):
+                segments[d].append({"seed": seed, "start": start, "at": place, "segment": data[a:z]})
             hashes: list[list] = [[] for _ in range(n)]
             grams = units.grams() if crowded.any() else None
             for i in np.flatnonzero(crowded).tolist():
@@ -240,8 +322,8 @@ def _flagged(windows: Windows) -> Callable:
                 hashes[of_doc[i]] += [{"window": w, "start": s} for w, s in zip(grams[at].view(np.int64).tolist(), (at - units.first[of_doc[i]]).tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("text"), pa.array([np.array(s, "<i8").tobytes() for s in spans], pa.binary()),
-                    pa.array(segments, pa.list_(pa.struct([("seed", pa.int64()), ("start", pa.int64()), ("segment", pa.binary())]))),
+                    batch.column("doc_id"), batch.column("text"), pa.array(spans, pa.binary()),
+                    pa.array(segments, pa.list_(pa.struct([("seed", pa.int64()), ("start", pa.int64()), ("at", pa.int64()), ("segment", pa.binary())]))),
                     pa.array(hashes, pa.list_(pa.struct([("window", pa.int64()), ("start", pa.int64())]))),
                 ],
                 names=["doc_id", "text", "known", "mixed", "crowded"],
@@ -252,8 +334,7 @@ def _flagged(windows: Windows) -> Callable:
 
 def flagged(docs: DataFrame, windows: Windows) -> DataFrame:
     """Documents with at least one flag: their texts, known spans, mixed segments and windows of crowded seeds."""
-    flags = routed(docs, windows).groupBy("doc_id").agg(*(F.collect_list(x).alias(x) for x in ("known", "mixed", "crowded")))
-    return docs.join(flags, "doc_id").select("doc_id", "text", "known", "mixed", "crowded").mapInArrow(_flagged(windows), _FLAGGED)
+    return docs.join(routed(docs, windows), "doc_id").select("doc_id", "text", "known", "mixed", "crowded").mapInArrow(_flagged(windows), _FLAGGED)
 
 
 def _matched(windows: Windows, matcher: Matcher) -> Callable:
@@ -262,8 +343,8 @@ def _matched(windows: Windows, matcher: Matcher) -> Callable:
 
         def close() -> None:
             if len(group) > 1:
-                for i, start, length in matcher([x[:2] for x in group], windows.size):
-                    for column, value in zip(out, (group[i][0], group[i][2] + start, length)):
+                for i, start, length in matcher([x[:3] for x in group], windows.size, windows.k):
+                    for column, value in zip(out, (group[i][0], group[i][3] + start, length)):
                         column.append(value)
             group.clear()
 
@@ -274,11 +355,11 @@ def _matched(windows: Windows, matcher: Matcher) -> Callable:
             return made
 
         for batch in batches:
-            for now, doc, start, segment in zip(*(batch.column(x).to_pylist() for x in ("seed", "doc_id", "start", "segment"))):
+            for now, doc, start, at, segment in zip(*(batch.column(x).to_pylist() for x in ("seed", "doc_id", "start", "at", "segment"))):
                 if now != seed:
                     close()
                     seed = now
-                group.append((doc, segment, start))
+                group.append((doc, segment, at, start))
             if len(out[0]) > 50_000:
                 yield batch_out()
         close()
@@ -293,7 +374,7 @@ def matched_spans(found: DataFrame, windows: Windows, matcher: Matcher) -> DataF
     number = partitions(found.sparkSession)
     mixed = found.select("doc_id", F.explode("mixed").alias("x")).select("doc_id", "x.*")
     mixed = mixed.repartition(number, "seed").sortWithinPartitions("seed", "doc_id", "start")
-    spans = mixed.select("seed", "doc_id", "start", "segment").mapInArrow(_matched(windows, matcher), "doc_id long, start long, length long")
+    spans = mixed.select("seed", "doc_id", "start", "at", "segment").mapInArrow(_matched(windows, matcher), "doc_id long, start long, length long")
     crowded = found.select("doc_id", F.explode("crowded").alias("x")).select("doc_id", "x.*")
     least = crowded.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "least")
     later = crowded.join(least, "window").where("least < doc_id").select("doc_id", "start", F.lit(windows.size).cast("long").alias("length"))
@@ -320,7 +401,7 @@ def _kept(text: bytes, mask: np.ndarray, kind: str) -> tuple[bytes, bytes]:
 
 def _cut(windows: Windows) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _SLICE):
             rows: list[tuple] = []
             for doc, text, known, spans in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), batch.column("known").to_pylist(), batch.column("spans").to_pylist()):
                 n = len(text) if windows.kind == "bytes" else len(text.split())

@@ -33,7 +33,7 @@ def utf8(text):
     return list((text or "").encode())
 
 
-@pytest.fixture(params=[(64, 2048), (3, 2048), (64, 5)])
+@pytest.fixture(params=[(512, 2048), (3, 2048), (512, 5)])
 def crowding(request, monkeypatch):
     """Also with so low limits that seeds count as crowded, in the task or at their owner."""
     monkeypatch.setattr(windows, "CROWDED_IN_TASK", request.param[0])
@@ -88,4 +88,4 @@ def test_matchers_on_ties():
     same = [(1, b"abcabc"), (1, b"abcabc"), (2, b"xabcabcx")]
     assert repeats(same, 3) == [(2, 1, 6)]
     spaced = [(d, b" ".join(bytes([c]) for c in t)) for d, t in same]
-    assert parse_block(spaced, 3) == [(2, 1, 6)]
+    assert parse_block([(*x, 0) for x in spaced], 3, 1) == [(2, 1, 6)]
