@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,7 +69,3 @@ def softplus_of_minus(m: Column | str) -> Column:
     """log(1 + exp(-m)), finite for any m."""
     x = -_c(m)
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
-
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

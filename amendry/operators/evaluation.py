@@ -94,12 +94,6 @@ def common_ids(gens: DataFrame, modes: tuple[str, ...]) -> DataFrame:
     return gens.where(F.col("mode").isin(*modes)).groupBy("id").agg(F.countDistinct("mode").alias("k")).where(F.col("k") == len(modes)).select("id")
 
 
-def _projected(acts: DataFrame, of: Column) -> DataFrame:
-    """Sums of each position over (layer, project) and over the layer, in one pass."""
-    flat = acts.select("project_id", "layer", F.posexplode(of).alias("pos", "x"))
-    return flat.groupBy("layer", "project_id", "pos").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-
-
 def probe_directions(acts: DataFrame) -> DataFrame:
     """(layer, project_id, v, threshold, n_train): the unit direction and threshold learned from all other projects.
 

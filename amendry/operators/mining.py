@@ -172,11 +172,6 @@ def manifest_pairs(manifest: DataFrame) -> DataFrame:
     return manifest.select("project_id", F.explode("branch_pairs").alias("p")).select("project_id", "p.base", "p.edit")
 
 
-def ordered_text(lines: DataFrame, keys: list[str], order: str, line: str, name: str) -> DataFrame:
-    """Lines put together again, in order."""
-    return lines.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda x: x[line]), "\n").alias(name))
-
-
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +91,3 @@ def lopo(df: DataFrame, kind: str = "pairwise", threads: int = 4, **options) ->
 
 def lopo_summary(folds: DataFrame) -> DataFrame:
     return fold_summary(folds)
-
-
-def features_of(vector: Column | str) -> Column:
-    return vector_to_array(vector)

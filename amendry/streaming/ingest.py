@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amendry.functions import text as T
-from amendry.functions import vectors as V
 from amendry.operators.curation import KEY, append_new
 from amendry.operators.scoring import score_pairwise
 
@@ -51,7 +50,3 @@ def stream_check(stream: DataFrame, weights: Column) -> DataFrame:
     df = score_pairwise(df, weights, "src", "a", "src", ("len_src", "len_a", "len_src"))
     margin = F.col("score_a") - F.col("score_b")
     return df.withColumn("margin", margin).withColumn("verdict", T.verdict("margin"))
-
-
-def truncated(stream: DataFrame, column: str, dim: int) -> DataFrame:
-    return stream.withColumn(column, V.truncate_normalize(column, dim))
