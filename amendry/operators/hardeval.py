@@ -22,7 +22,10 @@ def candidate_set(df: DataFrame, base: str = "base_text", human: str = "human_te
     columns = {"human": human, "base": base} | {c: "_" + c.replace("-", "_") for c in made}
     maker = {"human": ("human", "real-edit"), "base": ("copy", "identity")}
     make = lambda c: F.struct(F.lit(c).alias("id"), F.col(columns[c]).alias("text"), F.lit(maker.get(c, ("script", c))[0]).alias("generator"), F.lit(maker.get(c, ("script", c))[1]).alias("prompt_tag"))
-    df = df.withColumns({columns[c]: x for c, x in made.items()}).withColumn("_seen", F.array(*(T.strip(columns[c]) for c in GOLD_RANK)))
+    # Exploding a single struct keeps the optimizer from copying these expressions into the filter below.
+    once = F.explode(F.array(F.struct(*(x.alias(columns[c]) for c, x in made.items()))))
+    df = df.withColumn("_made", once).select(*df.columns, "_made.*")
+    df = df.withColumn("_seen", F.explode(F.array(F.array(*(T.strip(columns[c]) for c in GOLD_RANK)))))
     # Human and base may be equal; each degradation must be unlike all others.
     alone = [F.size(F.array_remove("_seen", F.get("_seen", F.lit(i)))) == len(GOLD_RANK) - 1 for i, c in enumerate(GOLD_RANK) if c in made]
     df = df.where(alone[0] & alone[1] & alone[2]).withColumn("candidates", F.array(*map(make, GOLD_RANK)))
