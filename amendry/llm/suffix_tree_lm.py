@@ -1,14 +1,15 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-Method. Symbols are the frequent words, the end of a text, and one class for all other words, which share its
-probability by their counts. Contexts of one to `depth` symbols are candidates when they are frequent; one is retained
-when the symbols after it diverge from those after its longest retained suffix by a G test. Its distribution is
-smoothed with that suffix's. A text is scored by the state of the longest retained suffix of what was read so far.
-
-Sizes. With shares of all tokens as limits there are at most 1 / class_share symbols and 1 / context_share contexts a
-depth, whatever the corpus; that is what the driver builds the tree from and sends out. Counts of all words stay in
-Spark: words of more than `common_share` of the tokens, 1 / common_share at most, are looked up in the task, and the
-long tail, which has no hot keys, by a join.
+Method. Contexts of one to `depth` words are retained when they are frequent, by an absolute count, and the words after
+them diverge from those after their longest retained suffix by a G test; their distribution is smoothed with that
+suffix's, at last with the unigram's. A text is scored by the longest retained suffix of what was read so far.
+
+Sizes. Grams of up to depth + 1 words are counted by a combining aggregation, one length after the other: a gram is
+counted when both of its shorter ones are frequent, which tasks look up in a map of fixed size that may say yes too often.
+Contexts and the words after them stay in Spark tables and grow with the corpus. Smoothing makes the log probability of
+a text the sum of one number for each of its grams; those of more than `common_share` of the tokens are looked up in the
+task, and the long tail, which has no hot keys, by a join. `fit_suffix_tree` is the small form with shares as limits, in
+which other words share a class: the driver builds it, and it does not grow.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .textarrays import RollingHash, slices, text_bytes, words_of
+from .textarrays import RollingHash, mix, slices, text_bytes, words_of
 
 END, RARE, BEGIN = np.uint64(1), 0, 2
 _END_CLASS, _FIRST_CLASS = 1, 3
 _ADD = 0.1
+_BASE, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -229,13 +231,8 @@ def _score(shared, z: float) -> Callable:
     return run
 
 
-def score_texts(docs: DataFrame, held_out: Column, common_share: float = 2e-6, **options) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of each whole text.
-
-    The model learns from the rows where `held_out` is false. base_score sums log10((c + 0.1) / (N + 0.1 (V + 1)));
-    score is the suffix tree's, which sums to 1 over all words, one unknown word and the end. Null texts are empty and
-    consist of an end. Without training rows N = V = 0. Rows come back one for one, repeated ones too.
-    """
+def _score_bounded(docs: DataFrame, held_out: Column, common_share: float, **options) -> DataFrame:
+    """The columns of `score_texts` by the tree of `fit_suffix_tree`, which keeps shares of the tokens only."""
     spark = docs.sparkSession
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     train = df.where("NOT held_out")
@@ -262,3 +259,227 @@ def score_texts(docs: DataFrame, held_out: Column, common_share: float = 2e-6, *
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + known_more).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
     )
+
+
+# --- contexts by absolute counts, in Spark tables --------------------------------------------------------------------
+
+_BITS = 26  # of a key, in a map of fixed size
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """2^26 bits, set where `key` may be: whatever the table, 2^20 rows at most come back. Others only cost rows."""
+    place = F.col("key").bitwiseAND(F.lit((1 << _BITS) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    found = keys.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (_BITS - 6), np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _maybe(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & np.uint64((1 << _BITS) - 1)
+    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)) > 0
+
+
+def grams_of(token: np.ndarray, doc: np.ndarray, most: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Text of each symbol (a BEGIN before each text), and for 1 to `most` symbols the key of those that end there, and whether they lie in one text.
+
+    The key of one symbol is itself, 0 for BEGIN. The gram before (without the last symbol) ends one place earlier, the
+    suffix (without the first) is the shorter one at the same place.
+    """
+    starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
+    symbol, text = np.insert(token, starts, 0), np.insert(doc, starts, doc[starts])
+    n = len(symbol)
+    at = np.arange(n) - np.repeat(starts + np.arange(len(starts)), np.bincount(text, minlength=1)[np.bincount(text, minlength=1) > 0]) if n else np.zeros(0, np.int64)
+    out, total, power = [(symbol, np.ones(n, bool))], symbol.copy(), np.uint64(1)
+    for m in range(2, most + 1):
+        power = power * _BASE
+        total = total.copy()
+        total[m - 1 :] += symbol[: n - m + 1] * power
+        out.append((mix(total + np.uint64(m) * _SALT), at >= m - 1))
+    return text, out
+
+
+def _combined(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of (keys, counts) pairs and their sums."""
+    keys, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate([x[1] for x in held])).astype(np.int64)
+
+
+def _count_grams(shared, m: int) -> Callable:
+    """(key, n) of grams of m symbols whose two grams of m - 1 symbols may be frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, held = shared.value[-1], []
+        for batch in slices(batches, "text"):
+            _, grams = grams_of(*tokens_of(text_bytes(batch.column("text"))), m)
+            key, fine = grams[-1]
+            shorter = _maybe(bitmap, grams[-2][0])
+            fine[1:] &= shorter[1:] & shorter[:-1]
+            held.append(np.unique(key[fine], return_counts=True))
+            if sum(len(x[0]) for x in held) > 2_000_000:
+                held[:] = [_combined(held)]
+                if len(held[0][0]) > 1_000_000:
+                    yield pa.RecordBatch.from_pydict({"key": held[0][0].view(np.int64), "n": held[0][1]})
+                    held.clear()
+        if held:
+            key, n = _combined(held)
+            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "n": n})
+
+    return run
+
+
+def _gram_parts(shared) -> Callable:
+    """(m, key, context, suffix) of the grams that may be frequent, once or a few times a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmaps = shared.value
+        seen = [np.zeros(0, np.uint64) for _ in bitmaps]
+        for batch in slices(batches, "text"):
+            _, grams = grams_of(*tokens_of(text_bytes(batch.column("text"))), len(bitmaps))
+            for m in range(2, len(bitmaps) + 1):
+                key, fine = grams[m - 1]
+                at = np.flatnonzero(fine & _maybe(bitmaps[m - 1], key))
+                own, first = np.unique(key[at], return_index=True)
+                fresh = ~np.isin(own, seen[m - 1], assume_unique=True)
+                own, at = own[fresh], at[first[fresh]]
+                seen[m - 1] = np.concatenate((seen[m - 1], own)) if len(seen[m - 1]) < 1_000_000 else own
+                before, suffix = grams[m - 2][0][at - 1], grams[m - 2][0][at]
+                yield pa.RecordBatch.from_pydict({"m": np.full(len(own), m, np.int32), "key": own.view(np.int64), "context": before.view(np.int64), "suffix": suffix.view(np.int64)})
+
+    return run
+
+
+def fit_contexts(train: DataFrame, totals: DataFrame, n: int, v: int, depth: int = 3, min_count: int = 5, smoothing: float = 50.0, strength: float = 3.0) -> DataFrame:
+    """(m, key, n, value): what a gram of m symbols adds to log10 of the probability of a text, where it isn't 0.
+
+    Contexts of 1 to `depth` words, and the words after one, count from `min_count` occurrences on, however large the
+    corpus. After a retained context c with total t a word x seen k times has (k + (s + r) P(x | suffix)) / (t + s): s is
+    `smoothing`, r the occurrences after c of words with fewer, the suffix the longest retained one and at last the
+    unigram. So c adds log10((s + r) / (t + s)) wherever it stands and (c, x) log10(1 + k / ((s + r) P(x | suffix))).
+    c is retained when 2 sum k log(k / (t P(x | suffix))), the r as one symbol, is at least `strength` times the symbols.
+    """
+    sc, z = train.sparkSession.sparkContext, n + _ADD * (v + 1)
+    text = train.select(F.col("text").cast("string"))
+    words = totals.select(F.when(F.col("token") == int(END), 0).otherwise(F.col("token")).cast("long").alias("key"), "n")  # as many begins as ends
+    frequent = [written(words.where(F.col("n") >= min_count), "grams")]
+    bitmaps = [_bitmap(totals.where(F.col("n") >= min_count).select(F.col("token").alias("key")).union(frequent[0].select("key")))]
+    for m in range(2, depth + 2):
+        counts = text.mapInArrow(_count_grams(sc.broadcast(bitmaps), m), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        frequent.append(written(counts.where(F.col("n") >= min_count), "grams"))
+        bitmaps.append(_bitmap(frequent[-1]))
+    parts = text.mapInArrow(_gram_parts(sc.broadcast(bitmaps)), "m int, key long, context long, suffix long")
+    parts = written(parts.groupBy("m", "key").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix")), "parts")
+    known = totals.select(F.col("token").alias("suffix"), ((F.col("n") + F.lit(_ADD)) / F.lit(z)).alias("p"))  # P of the last symbol after its longest retained context
+    backs, deltas = [], []
+    for m in range(2, depth + 2):
+        cells = parts.where(F.col("m") == m).select("key", "context", "suffix").join(frequent[m - 1], "key").join(known, "suffix")
+        cells = written(cells.select("key", "context", "n", "p"), "cells")
+        sums = cells.groupBy("context").agg(F.sum("n").alias("seen"), F.sum("p").alias("mass"), F.count(F.lit(1)).alias("symbols"), F.sum(F.col("n") * F.log(F.col("n") / F.col("p"))).alias("g"))
+        sums = sums.join(frequent[m - 2].select(F.col("key").alias("context"), F.col("n").alias("total")), "context").withColumn("rest", F.col("total") - F.col("seen"))
+        pooled = F.when(F.col("rest") > 0, F.col("rest") * F.log(F.col("rest") / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
+        g = 2 * (F.col("g") + pooled - F.col("total") * F.log("total"))
+        kept = sums.where(g >= F.lit(strength) * (F.col("symbols") + (F.col("rest") > 0).cast("int"))).select("context", "total", (F.lit(smoothing) + F.col("rest")).alias("free"))
+        kept = written(kept, "contexts")
+        backs.append(kept.select(F.lit(m - 1).alias("m"), F.col("context").alias("key"), F.col("total").alias("n"), F.log10(F.col("free") / (F.col("total") + F.lit(smoothing))).alias("value")))
+        cells = written(cells.join(kept, "context", "left"), "cells")
+        deltas.append(cells.where("total IS NOT NULL").select(F.lit(m).alias("m"), "key", "n", F.log10(1 + F.col("n") / (F.col("free") * F.col("p"))).alias("value")))
+        after = F.when(F.col("total").isNull(), F.col("p")).otherwise((F.col("n") + F.col("free") * F.col("p")) / (F.col("total") + F.lit(smoothing)))
+        known = cells.select(F.col("key").alias("suffix"), after.alias("p"))
+    values = backs[0]
+    for part in (*backs[1:], *deltas):
+        values = values.union(part)
+    return written(values.groupBy("m", "key").agg(F.max("n").alias("n"), F.sum("value").alias("value")), "values")
+
+
+_COLUMNS = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<token:long,n:int>>, grams array<struct<token:long,n:int>>"
+
+
+def _times(doc: np.ndarray, key: np.ndarray, n: int) -> pa.ListArray:
+    """Distinct keys of each of n texts, with how often they stand there."""
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.append(new, len(key))).astype(np.int32)
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(doc[new], minlength=n)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(key[new].view(np.int64)), pa.array(times)], names=["token", "n"]))
+
+
+def _score_grams(shared, z: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, finds, bitmaps = shared.value
+        for batch in slices(batches, "text"):
+            token, doc = tokens_of(text_bytes(batch.column("text")))
+            n = batch.num_rows
+            count = common(token)
+            looked_up = count >= 0
+            base = np.bincount(doc, weights=np.where(looked_up, np.log10((np.maximum(count, 0) + _ADD) / z), 0), minlength=n)
+            value, docs, keys = np.zeros(n), [], []
+            text, grams = grams_of(token, doc, len(finds))
+            for (key, fine), find, bitmap in zip(grams, finds, bitmaps):
+                fine = np.flatnonzero(fine & _maybe(bitmap, key))
+                found = find(key[fine])
+                sure = ~np.isnan(found)
+                value += np.bincount(text[fine[sure]], weights=found[sure], minlength=n)
+                docs.append(text[fine[~sure]])
+                keys.append(key[fine[~sure]])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("held_out"), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, weights=looked_up, minlength=n).astype(np.int64)),
+                    pa.array(base), pa.array(base + value), _times(doc[~looked_up], token[~looked_up], n), _times(np.concatenate(docs), np.concatenate(keys), n),
+                ],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "grams"],
+            )
+
+    return run
+
+
+def score_texts(docs: DataFrame, held_out: Column, common_share: float = 2e-6, depth: int = 3, class_share: float | None = None, context_share: float | None = None, **options) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of each whole text.
+
+    The model learns from the rows where `held_out` is false. base_score sums log10((c + 0.1) / (N + 0.1 (V + 1)));
+    score is the suffix tree's of `fit_contexts`, which sums to 1 over all words, one unknown word and the end. Null
+    texts are empty and consist of an end. Without training rows N = V = 0. Rows come back one for one, repeated ones
+    too. `common_share` says what is looked up in the task; scores don't depend on it. With shares for classes and
+    contexts it is the small tree of `fit_suffix_tree` instead.
+    """
+    if class_share or context_share:
+        shares = {"class_share": class_share, "context_share": context_share}
+        return _score_bounded(docs, held_out, common_share, depth=depth, **{k: x for k, x in shares.items() if x}, **options)
+    spark = docs.sparkSession
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    train = df.where("NOT held_out")
+    totals = written(token_totals(train), "totals")
+    n, v = (x or 0 for x in totals.agg(F.sum("n"), F.count(F.lit(1))).first())
+    z = n + _ADD * (v + 1)
+    values = fit_contexts(train, totals, n, v, depth, **options)
+    least = max(1.0, n * common_share)
+    known = totals.where(F.col("n") >= least).toArrow()  # at most 1 / common_share rows
+    common = Lookup(known.column("token").to_numpy().view(np.uint64), known.column("n").to_numpy(), -1)
+    finds, bitmaps = [], []
+    for m in range(1, depth + 2):
+        own = values.where(F.col("m") == m)
+        hot = own.where(F.col("n") >= least).select("key", "value").toArrow()  # likewise
+        finds.append(Lookup(hot.column("key").to_numpy().view(np.uint64), hot.column("value").to_numpy(), np.nan))
+        bitmaps.append(_bitmap(own))
+    parts = df.mapInArrow(_score_grams(spark.sparkContext.broadcast((common, finds, bitmaps)), z), _COLUMNS).withColumn("row", F.monotonically_increasing_id())
+    parts = written(parts, "scores")
+    rare = (
+        parts.select("row", F.explode("tail").alias("x")).select("row", "x.*")
+        .join(totals.select("token", F.col("n").alias("c")), "token", "left")
+        .groupBy("row")
+        .agg(
+            F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(_ADD)) / F.lit(z))).alias("tail_log10"),
+            F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"),
+        )
+    )
+    added = (
+        parts.select("row", F.explode("grams").alias("x")).select("row", "x.*")
+        .join(values.where(F.col("n") < least).groupBy(F.col("key").alias("token")).agg(F.sum("value").alias("value")), "token")
+        .groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("gram_log10"))
+    )
+    more, known_more, grams_more = F.coalesce("tail_log10", F.lit(0.0)), F.coalesce("tail_known", F.lit(0)), F.coalesce("gram_log10", F.lit(0.0))
+    return parts.drop("tail", "grams").join(rare, "row", "left").join(added, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + known_more).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + more).alias("base_score"), (F.col("score") + more + grams_more).alias("score"),
+    )

@@ -70,3 +70,47 @@ def test_odd_tables(spark):
     assert len(none) == 4 and all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in none)
     assert score_texts(df.limit(0), held_out()).count() == 0
     assert sorted(r.n_tokens for r in score_texts(df, held_out()).collect()) == [1, 1, 2, 3]
+
+
+def plain_model(texts, least, s, strength=3.0, depth=3):
+    """log10 of the probability of each next word by explicit contexts."""
+    seqs = [["<s>", *tokens(t)] for t in texts]
+    grams = Counter(tuple(q[i : i + m]) for q in seqs for m in range(1, depth + 2) for i in range(len(q) - m + 1))
+    count = Counter({g[0]: k for g, k in grams.items() if len(g) == 1 and g[0] != "<s>"})
+    n, v = sum(count.values()), len(count)
+    after = {}
+    for g, k in grams.items():
+        if len(g) > 1 and k >= least:
+            after.setdefault(g[:-1], {})[g[-1]] = k
+    kept = {}
+
+    def p(context, x):
+        for i in range(len(context)):
+            if context[i:] in kept:
+                free, total = kept[context[i:]]
+                return (after[context[i:]].get(x, 0) + free * p(context[i + 1 :], x)) / (total + s)
+        return (count[x] + 0.1) / (n + 0.1 * (v + 1))
+
+    for c in sorted(after, key=len):
+        total, own = grams[c], after[c]
+        rest, base = total - sum(own.values()), {x: p(c[1:], x) for x in own}
+        g = 2 * sum(k * math.log(k / (total * base[x])) for x, k in own.items())
+        g += 2 * rest * math.log(rest / (total * max(1e-12, 1 - sum(base.values())))) if rest else 0
+        if g >= strength * (len(own) + (rest > 0)):
+            kept[c] = (s + rest, total)
+    return p, kept
+
+
+@pytest.mark.parametrize("common_share", [2e-6, 1 / 50])
+def test_contexts_count_by_absolute_numbers(spark, common_share):
+    """A phrase seen eight times in a corpus of which it is a vanishing share is learned; scores equal plain ones."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{min(i, 400)}" for i in rng.zipf(1.3, 400)) for _ in range(60)] + [f"x{i} quick brown fox jumps" for i in range(8)] + ["quick brown cat", None]
+    texts += [f"{a} b c {x}" for a, x in (("one", "d"), ("two", "e")) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    p, kept = plain_model(texts, 5, 5.0)
+    assert ("brown",) in kept and ("one", "b", "c") in kept and max(map(len, kept)) == 3
+    for r in score_texts(df, F.lit(False), common_share=common_share, smoothing=5.0).collect():
+        own = ["<s>", *tokens(texts[r.doc_id])]
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(own[max(0, i - 3) : i]), own[i])) for i in range(1, len(own))), rel=1e-9)
+    assert sum(p(("one", "b", "c"), x) for x in {t for q in texts for t in tokens(q)}) + p(("one", "b", "c"), "?") == pytest.approx(1)
