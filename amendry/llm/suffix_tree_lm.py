@@ -7,7 +7,7 @@ suffix's, at last with the unigram's. A text is scored by the longest retained s
 Sizes. Grams of up to depth + 1 words are counted by a combining aggregation, one length after the other: a gram is
 counted when both of its shorter ones are frequent, which tasks look up in a map of fixed size that may say yes too often.
 Contexts and the words after them stay in Spark tables and grow with the corpus. Smoothing makes the log probability of
-a text the sum of one number for each of its grams; those of more than `common_share` of the tokens are looked up in the
+a text the sum of one number for each of its grams; the most frequent, a fixed number, are looked up in the
 task, and the long tail, which has no hot keys, by a join. `fit_suffix_tree` is the small form with shares as limits, in
 which other words share a class: the driver builds it, and it does not grow.
 """
@@ -434,13 +434,21 @@ def _score_grams(shared, z: float) -> Callable:
     return run
 
 
-def score_texts(docs: DataFrame, held_out: Column, common_share: float = 2e-6, depth: int = 3, class_share: float | None = None, context_share: float | None = None, **options) -> DataFrame:
+def _least(counts: DataFrame, most: int, share: float) -> float:
+    """The least n that at most `most` rows of (.., n) reach, or `share` where more than that reach 10,000."""
+    found = counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().toArrow().sort_by([("n", "descending")])
+    fits = np.flatnonzero(np.cumsum(found.column("count").to_numpy()) <= most)
+    return min(share, float(found.column("n")[int(fits[-1])].as_py()) if len(fits) else share)
+
+
+def score_texts(docs: DataFrame, held_out: Column, common_share: float = 2e-6, looked_up: int = 2_000_000, depth: int = 3, class_share: float | None = None, context_share: float | None = None, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of each whole text.
 
     The model learns from the rows where `held_out` is false. base_score sums log10((c + 0.1) / (N + 0.1 (V + 1)));
     score is the suffix tree's of `fit_contexts`, which sums to 1 over all words, one unknown word and the end. Null
     texts are empty and consist of an end. Without training rows N = V = 0. Rows come back one for one, repeated ones
-    too. `common_share` says what is looked up in the task; scores don't depend on it. With shares for classes and
+    too. Words and grams of more than `common_share` of the tokens, and others down to `looked_up` in all of
+    either, are looked up in the task; scores don't depend on it. With shares for classes and
     contexts it is the small tree of `fit_suffix_tree` instead.
     """
     if class_share or context_share:
@@ -453,20 +461,20 @@ def score_texts(docs: DataFrame, held_out: Column, common_share: float = 2e-6, d
     n, v = (x or 0 for x in totals.agg(F.sum("n"), F.count(F.lit(1))).first())
     z = n + _ADD * (v + 1)
     values = fit_contexts(train, totals, n, v, depth, **options)
-    least = max(1.0, n * common_share)
-    known = totals.where(F.col("n") >= least).toArrow()  # at most 1 / common_share rows
+    least_word, least = (_least(x, looked_up, max(1.0, n * common_share)) for x in (totals, values))
+    known = totals.where(F.col("n") >= least_word).toArrow()  # at most looked_up or 1 / common_share rows
     common = Lookup(known.column("token").to_numpy().view(np.uint64), known.column("n").to_numpy(), -1)
     finds, bitmaps = [], []
     for m in range(1, depth + 2):
         own = values.where(F.col("m") == m)
-        hot = own.where(F.col("n") >= least).select("key", "value").toArrow()  # likewise
+        hot = own.where(F.col("n") >= least).select("key", "value").toArrow()  # likewise, for each m
         finds.append(Lookup(hot.column("key").to_numpy().view(np.uint64), hot.column("value").to_numpy(), np.nan))
         bitmaps.append(_bitmap(own))
     parts = df.mapInArrow(_score_grams(spark.sparkContext.broadcast((common, finds, bitmaps)), z), _COLUMNS).withColumn("row", F.monotonically_increasing_id())
     parts = written(parts, "scores")
     rare = (
         parts.select("row", F.explode("tail").alias("x")).select("row", "x.*")
-        .join(totals.select("token", F.col("n").alias("c")), "token", "left")
+        .join(totals.where(F.col("n") < least_word).select("token", F.col("n").alias("c")), "token", "left")
         .groupBy("row")
         .agg(
             F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(_ADD)) / F.lit(z))).alias("tail_log10"),

@@ -101,8 +101,8 @@ def plain_model(texts, least, s, strength=3.0, depth=3):
     return p, kept
 
 
-@pytest.mark.parametrize("common_share", [2e-6, 1 / 50])
-def test_contexts_count_by_absolute_numbers(spark, common_share):
+@pytest.mark.parametrize("common_share, looked_up", [(2e-6, 2_000_000), (1 / 50, 5)])
+def test_contexts_count_by_absolute_numbers(spark, common_share, looked_up):
     """A phrase seen eight times in a corpus of which it is a vanishing share is learned; scores equal plain ones."""
     rng = np.random.default_rng(3)
     texts = [" ".join(f"w{min(i, 400)}" for i in rng.zipf(1.3, 400)) for _ in range(60)] + [f"x{i} quick brown fox jumps" for i in range(8)] + ["quick brown cat", None]
@@ -110,7 +110,7 @@ def test_contexts_count_by_absolute_numbers(spark, common_share):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     p, kept = plain_model(texts, 5, 5.0)
     assert ("brown",) in kept and ("one", "b", "c") in kept and max(map(len, kept)) == 3
-    for r in score_texts(df, F.lit(False), common_share=common_share, smoothing=5.0).collect():
+    for r in score_texts(df, F.lit(False), common_share=common_share, looked_up=looked_up, smoothing=5.0).collect():
         own = ["<s>", *tokens(texts[r.doc_id])]
         assert r.score == pytest.approx(sum(math.log10(p(tuple(own[max(0, i - 3) : i]), own[i])) for i in range(1, len(own))), rel=1e-9)
     assert sum(p(("one", "b", "c"), x) for x in {t for q in texts for t in tokens(q)}) + p(("one", "b", "c"), "?") == pytest.approx(1)
