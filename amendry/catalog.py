@@ -716,21 +716,20 @@ def apply_ranks(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    df = view(spark, sf_dir, "pref_vectors").withColumns({c: F.slice(c, 1, 8) for c in ("src", "a", "b")})
-    zero = F.lit(0.0)
-    return df.select("project_id", "label", V.preference_features("src", "a", "b", zero, zero, zero).alias("features"), V.pointwise_features("src", "a", zero, zero).alias("fa"), V.pointwise_features("src", "b", zero, zero).alias("fb"))
+    df = view(spark, sf_dir, "pref_vectors")
+    return df.select("project_id", "label", V.preference_features("src", "a", "b", "len_src", "len_a", "len_b").alias("features"), V.pointwise_features("src", "a", "len_src", "len_a").alias("fa"), V.pointwise_features("src", "b", "len_src", "len_b").alias("fb"))
 
 
 @query()
 def lopo_pairwise(spark, sf_dir):
-    return models.lopo(_features(spark, sf_dir).select("project_id", "label", "features"), max_iter=100)
+    return models.lopo(_features(spark, sf_dir).select("project_id", "label", "features"))
 
 
 @query()
 def lopo_bt(spark, sf_dir):
     first = F.col("label") == 1
     df = _features(spark, sf_dir).select("project_id", F.when(first, F.col("fa")).otherwise(F.col("fb")).alias("better"), F.when(first, F.col("fb")).otherwise(F.col("fa")).alias("worse"))
-    return models.lopo(df, "bt", max_iter=100)
+    return models.lopo(df, "bt")
 
 
 @query()

@@ -49,3 +49,15 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["project_id", "part", "n"] and df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_fits_see_whole_vectors_and_lengths(spark, monkeypatch):
+    """9 d + 9 and 4 d + 5 features of 64 numbers, lengths as they are, and the operator's own number of steps."""
+    seen = []
+    monkeypatch.setattr(catalog.models, "lopo", lambda df, kind="pairwise", **options: seen.append((df, options)))
+    catalog.lopo_pairwise(spark, SF)
+    catalog.lopo_bt(spark, SF)
+    assert [x[1] for x in seen] == [{}, {}]
+    rows = seen[0][0].collect()
+    assert {len(r.features) for r in rows} == {585} and any(r.features[-5:-2] != [0.0, 0.0, 0.0] for r in rows)
+    assert {len(v) for r in seen[1][0].collect() for v in (r.better, r.worse)} == {261}
