@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -656,10 +657,23 @@ def candidate_set(spark, sf_dir):
     return df.select("path", "section_key", "unit", "window_start", F.transform("candidates", lambda c: c["id"]).alias("ids"))
 
 
+def words_and_marks(base: str, text: str) -> int:
+    """Stands for a tokenizer's joint count."""
+    return len(re.findall(r"\w+|[^\w\s]", base)) + len(re.findall(r"\w+|[^\w\s]", text))
+
+
 @query()
 def greedy_pick(spark, sf_dir):
-    pool = windows(spark, sf_dir).withColumn("line_no", F.xxhash64("path", "section_key", "unit", "window_start"))
-    return hardeval.greedy_pick(pool, n_items=50).select("path", "section_key", "unit", "window_start")
+    """The whole build: best sections, windows, candidate sets, token limit, pick."""
+    return hardeval.build_hard_eval(section_rows(spark, sf_dir), n_items=50, count=words_and_marks).select("path", "section_key", "unit", "window_start")
+
+
+@query()
+def check_report(spark, sf_dir):
+    """Hunks of documents' texts, scored by the vectors of the same number."""
+    texts = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").alias("source_text"), F.replace("text", F.lit("e"), F.lit("E")).alias("edited_text"))
+    hunks = view(spark, sf_dir, "pref_vectors").join(texts, "id").withColumnRenamed("project_id", "file").withColumn("line_no", F.col("id"))
+    return scoring.check(hunks, literal_sines(N_PAIR)).select("file", "line_no", "index", F.round("score_edit", 6).alias("score_edit"), F.round("score_base", 6).alias("score_base"), "verdict", "source_preview", "edited_preview")
 
 
 def items(spark, sf_dir):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from amendry.functions import hooks
 from amendry.functions import text as T
 from amendry.operators.curation import first_by
 
@@ -90,6 +93,19 @@ def greedy_pick(pool: DataFrame, n_items: int = 24, per_project: int = 8, n: int
     return df.orderBy("_order").limit(n_items).drop("_order", "_rank")
 
 
+def build_hard_eval(pairs: DataFrame, n_items: int = 24, per_project: int = 8, n: int = 3, min_paragraphs: int = 3, max_tokens: int = 512, count: Callable[[str, str], int] | None = None) -> DataFrame:
+    """Items with candidates, picked from all windows of the best sections that pass every rule.
+
+    Before the pick go windows whose human body has too few paragraphs, items of which degradations coincide, and those
+    of which a candidate and the base have more than `max_tokens` by `count`.
+    """
+    pool = expand_windows(best_section(pairs, min_paragraphs), n)
+    pool = pool.where(F.size(T.paragraphs(T.heading_and_body("human_text")[1])) >= min_paragraphs)
+    pool = hooks.fits_tokens(candidate_set(pool), max_tokens, count)
+    pool = pool.withColumn("line_no", F.xxhash64("path", "section_key", "unit", "window_start"))
+    return greedy_pick(pool, n_items, per_project, n)
+
+
 def validate(items: DataFrame) -> DataFrame:
     """The first error of each labelled item, or null."""
     ids = F.transform("candidates", lambda c: c["id"])

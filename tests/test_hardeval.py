@@ -84,3 +84,12 @@ def test_best_section_ties(spark):
     df = spark.createDataFrame(rows, "line_no int, project_id string, path string, section_key string, source_text string, edited_text string, paragraph_count_source int, paragraph_count_edited int")
     assert [r.line_no for r in H.best_section(df).collect()] == [2]
     assert H.best_section(df.where(F.lit(False))).count() == 0
+
+
+def test_build_rejects_before_it_picks(spark):
+    """A rejected item takes no place from a valid one: of one place, the pair with the larger change is too long."""
+    long = "## T\n\n" + "\n\n".join(f"{p} {'word ' * 300}" for p in PARAS) + "\n"
+    rows = [("p", "long.md", "k1", long, long.replace("one", "1"), 3, 9, 1), ("p", "fine.md", "k2", TEXT, TEXT.replace("one", "1"), 3, 4, 2)]
+    df = spark.createDataFrame(rows, "project_id string, path string, section_key string, source_text string, edited_text string, paragraph_count_source int, paragraph_count_edited int, line_no long")
+    found = H.build_hard_eval(df, n_items=1, count=lambda base, text: len(base.split()) + len(text.split())).collect()
+    assert [(r.path, [c.id for c in r.candidates]) for r in found] == [("fine.md", list(H.GOLD_RANK))]
