@@ -748,8 +748,8 @@ def lopo_bt(spark, sf_dir):
 
 @query()
 def encoded_texts(spark, sf_dir):
-    e = view(spark, sf_dir, "examples").select(F.col("source_text").alias("text"))
-    return hooks.encode_texts(e, dim=64).select(F.md5("text").alias("digest"), *digest(V.doubles("vec")))
+    e = view(spark, sf_dir, "examples").select(F.explode(F.array("source_text", "edited_text")).alias("text"))
+    return hooks.encode_texts(e).select(F.md5("text").alias("digest"), *digest(V.doubles("vec")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

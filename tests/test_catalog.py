@@ -61,3 +61,10 @@ def test_fits_see_whole_vectors_and_lengths(spark, monkeypatch):
     rows = seen[0][0].collect()
     assert {len(r.features) for r in rows} == {585} and any(r.features[-5:-2] != [0.0, 0.0, 0.0] for r in rows)
     assert {len(v) for r in seen[1][0].collect() for v in (r.better, r.worse)} == {261}
+
+
+def test_encoded_texts_are_whole_and_of_both_columns(spark):
+    rows = catalog.encoded_texts(spark, SF).collect()
+    e = catalog.view(spark, SF, "examples")
+    assert {r["size"] for r in rows} == {256}
+    assert len(rows) == e.select("source_text").union(e.select("edited_text")).distinct().count()
