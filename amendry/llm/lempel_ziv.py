@@ -1,20 +1,19 @@
 """Substring dedup by relative Lempel-Ziv parsing, in words.
 
-Method. The corpus is a reference cut into blocks, one for each seed; `windows` routes every segment of every document
-to the blocks that can hold a match. In a block, each document's segment is factored greedily against the segments of
-all earlier documents, which an index of `size`-word strings makes searchable. A factor of `size` words or more is a
+Method. The corpus is a reference cut into blocks by content, one for each string of 12 words that can matter;
+`windows` routes the pieces of every document to the blocks that can hold a match, and whole segments that are equal
+count once, with their least document. In a block, each document's piece is factored greedily against the pieces of all
+earlier documents, which an index of `size`-word strings makes searchable. A factor of `size` words or more is a
 duplicate span. Parsing resumes `size` - 1 words before a factor's end, so windows over factor boundaries are checked too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from .textarrays import slices, text_bytes, words_of
 from .windows import Windows, cut_documents
 
-WORDS = Windows("words", 13, 5)
+WORDS = Windows("words", 13, 5, 2)
 
 
 class ReferenceBlock:
@@ -25,7 +24,7 @@ class ReferenceBlock:
 
     def add(self, words: list[bytes]) -> None:
         base = len(self.words)
-        self.words += [*words, None]  # no match goes on past a segment
+        self.words += [*words, None]  # no match goes on past a piece
         for i in range(len(words) - self.size + 1):
             self.index.setdefault(tuple(words[i : i + self.size]), base + i)
 
@@ -45,10 +44,10 @@ class ReferenceBlock:
         return out
 
 
-def parse_block(segments: list[tuple[int, bytes, int]], size: int, k: int) -> list[tuple[int, int, int]]:
-    """Factor each segment against those of smaller documents; segments come in order of documents."""
+def parse_block(pieces: list[tuple[int, bytes, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """Factor each piece (document, words, ..) against those of smaller documents; pieces come in order of documents."""
     block, out, waiting = ReferenceBlock(size), [], []
-    for i, (doc, text, _) in enumerate(segments):
+    for i, (doc, text, *_) in enumerate(pieces):
         if waiting and waiting[0][0] != doc:
             for _, words in waiting:
                 block.add(words)
@@ -59,42 +58,17 @@ def parse_block(segments: list[tuple[int, bytes, int]], size: int, k: int) -> li
     return out
 
 
-def _whole_texts(batches):
-    import hashlib
-
-    import numpy as np
-    import pyarrow as pa
-
-    for batch in slices(batches, "text"):
-        texts = text_bytes(batch.column("text"))
-        words = words_of(texts)
-        joined = [hashlib.sha256(words_text).hexdigest() for words_text in (b" ".join(t.split()) for t in texts)]
-        yield pa.RecordBatch.from_pydict(
-            {"doc_id": batch.column("doc_id"), "text_sha256": [hashlib.sha256(t).hexdigest() for t in texts], "n_words": words.count.astype(np.int64), "whole": joined}
-        )
-
-
 def remove_repeated_windows(docs: DataFrame, windows: Windows = WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, n_spans and kept_sha256 of each document after cutting repeated windows of words.
 
     A word goes when a window of 13 words that covers it also starts in a document with a smaller doc_id. Null and
     short texts have nothing to cut. Rows come back one for one; rows that share a doc_id don't cover each other, and
-    rows without one keep everything.
+    each loses what its own text repeats; rows without one keep everything. Long texts are worked through in parts.
     """
-    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_whole_texts, "doc_id long, text_sha256 string, n_words long, whole string")
-    cut = cut_documents(docs, windows, parse_block).drop("kept_text")
-    return base.join(cut, ["doc_id", "text_sha256"], "left").select(
-        "doc_id", "n_words", _or_zero("n_removed"), _or_zero("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256")
-    )
-
-
-def _or_zero(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0).cast("long")).alias(name)
+    return cut_documents(docs, windows, parse_block, keep=False).withColumnRenamed("n_units", "n_words")
 
 
 def without_repeated_windows(docs: DataFrame, windows: Windows = WORDS) -> DataFrame:
-    """The documents with repeated words cut from `text`; other columns stay, and so do documents left empty."""
-    cut = cut_documents(docs, windows, parse_block).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept_text")
-    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (sha == F.col("_sha"))
-    return docs.join(cut, same, "left").withColumn("text", F.coalesce("kept_text", "text")).select(*docs.columns)
+    """The documents with repeated words cut from `text`; other columns stay, whatever their names, and so do documents
+    left empty. Rows as in `remove_repeated_windows`; null texts stay null."""
+    return cut_documents(docs, windows, parse_block, keep=True)

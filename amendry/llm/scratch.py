@@ -29,6 +29,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(columns: list[str], *wanted: str) -> list[str]:
+    """Names for columns of one's own that none of `columns` has."""
+    taken, names = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name in taken:
+            name += "_"
+        names.append(name)
+    return names
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session, for the places where a number has to be given."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -4,21 +4,20 @@ Method. Suffixes start in groups by their first symbol. Groups are processed in
 group points to the nearest suffix before it that is in a smaller group, and the suffixes pointed to move, by how many
 pointers they got, to new groups right above their own. In the end a group holds the suffixes that share a longest
 Lyndon prefix, and one ascending pass along the pointers puts each group's suffixes in order. Nothing is renamed and
-nothing recurs; time is linear in the text.
+nothing recurs. (The members of a group are put in text order by Python's sort, so time is n log n here, not n.)
 
-`windows` routes every segment of every document to its seed; equal segments count once, with their least document.
-Segments of one seed that overlap in part are one text here, and neighbours in its suffix array with 50 equal bytes are
-the repeats.
+`windows` routes every segment of every document to its seed; whole segments that are equal count once, with their
+least document. Of the others, pieces that share a core of 45 bytes or more are one text here, and neighbours in its
+suffix array with 50 equal bytes are the repeats.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from .windows import Windows, cut_documents
 
-BYTES = Windows("bytes", 50, 16)
+BYTES = Windows("bytes", 50, 16, 6)
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -125,38 +124,32 @@ def _repeats(segments: list[tuple[int, list[int]]], size: int) -> list[tuple[int
     return out
 
 
-PIECES = 6
 _CORE = 256  # stands for the bytes that all pieces of a group share
 
 
-def repeats_by_piece(segments: list[tuple[int, bytes, int]], size: int, k: int) -> list[tuple[int, int, int]]:
-    """As `repeats`, for segments that share a seed of `k` bytes at a known place, in order of documents.
+def repeats_by_core(pieces: list[tuple[int, bytes, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """As `repeats`, for pieces (document, bytes, first byte and number of bytes of the core), in order of documents.
 
-    Windows are taken apart by where the seed stands in them. Those of a sixth of the places form a piece of the
-    segment, and each of them holds the piece's core. Equal pieces count once, with their least document; different
-    pieces with equal cores are one text for the suffix array, in which the core is a single symbol.
+    Equal pieces count once, with their least document; different pieces with equal cores are one text for the suffix
+    array, in which the core is a single symbol: every window of a piece holds it.
     """
-    out = []
-    places = size - k + 1
-    step = -(-places // PIECES)
-    for low in range(0, places, step):
-        high = min(low + step, places) - 1
-        first: dict[bytes, int] = {}
-        cores: dict[bytes, list[tuple[int, bytes, int]]] = {}
-        for i, (doc, data, at) in enumerate(segments):
-            start = max(0, at - high)
-            piece = data[start : at - low + size]
-            if len(piece) < size:
-                continue
-            before = first.setdefault(piece, i)
-            if before != i and segments[before][0] < doc:
-                out.append((i, start, len(piece)))
-            else:  # new, or held twice by one document
-                cores.setdefault(data[at - low : at - high + size], []).append((i, piece, start))
-        for core, group in cores.items():
-            if len(group) > 1:
-                short = [(segments[i][0], [*piece[: segments[i][2] - low - start], _CORE, *piece[segments[i][2] - low - start + len(core) :]]) for i, piece, start in group]
-                out += [(group[j][0], group[j][2] + start, length + len(core) - 1) for j, start, length in _repeats(short, size - len(core) + 1)]
+    out: list[tuple[int, int, int]] = []
+    groups: dict[bytes, dict[bytes, list[int]]] = {}
+    for i, (doc, piece, at, length) in enumerate(pieces):
+        holders = groups.setdefault(piece[at : at + length], {}).setdefault(piece, [])
+        if holders and pieces[holders[0]][0] < doc:
+            out.append((i, 0, len(piece)))
+        else:  # new, or held twice by one document
+            holders.append(i)
+    for core, group in groups.items():
+        if len(group) < 2:
+            continue
+        own, short = list(group.values()), []
+        for holders in own:
+            doc, piece, at, length = pieces[holders[0]]
+            short.append((doc, [*piece[:at], _CORE, *piece[at + length :]]))
+        for j, start, length in _repeats(short, size - len(core) + 1):
+            out += [(i, start, length + len(core) - 1) for i in own[j]]
     return out
 
 
@@ -164,16 +157,8 @@ def remove_repeated_bytes(docs: DataFrame, windows: Windows = BYTES) -> DataFram
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of each document.
 
     A byte goes when a string of 50 bytes that covers it also starts in a document with a smaller doc_id. Null texts
-    are empty. Rows come back one for one; rows that share a doc_id don't cover each other, and rows without one keep
-    everything. A cut may fall inside a character: digests are those of bytes.
+    are empty. Rows come back one for one; rows that share a doc_id don't cover each other, and each loses what its own
+    text repeats; rows without one keep everything. A cut may fall inside a character: digests are those of bytes.
+    Long texts are worked through in parts.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), F.octet_length(text).cast("long").alias("n_bytes"))
-    cut = cut_documents(docs, windows, repeats_by_piece).drop("kept_text")
-    return base.join(cut, ["doc_id", "text_sha256"], "left").select(
-        "doc_id", "n_bytes", _or_zero("n_removed"), _or_zero("n_spans"), F.coalesce("kept_sha256", "text_sha256").alias("kept_sha256")
-    )
-
-
-def _or_zero(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0).cast("long")).alias(name)
+    return cut_documents(docs, windows, repeats_by_core, keep=False).withColumnRenamed("n_units", "n_bytes")

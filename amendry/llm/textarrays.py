@@ -82,6 +82,15 @@ class Words:
         return self.data[self.start[a] : self.end[b - 1]].tobytes() if b > a else b""
 
 
+_INSIDE = np.ones(256, bool)
+_INSIDE[list(b" \t\n\v\f\r")] = False
+
+
+def word_bytes(text: bytes) -> np.ndarray:
+    """Which bytes of a text lie in words."""
+    return _INSIDE[np.frombuffer(text, np.uint8)]
+
+
 def words_of(texts: list[bytes], lower: bool = False) -> Words:
     """Split texts into words. `lower` maps A-Z to a-z and leaves other characters."""
     parts = [(t.lower() if lower else t).split() for t in texts]
@@ -147,10 +156,10 @@ def minimiser_runs(grams: np.ndarray, doc: np.ndarray, window: int, k: int) -> R
 
 def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     """Mask of the units in the union of [start, start + length)."""
-    steps = np.zeros(n + 1, np.int64)
+    steps = np.zeros(n + 1, np.int32)
     np.add.at(steps, starts, 1)
     np.add.at(steps, starts + lengths, -1)
-    return np.cumsum(steps)[:n] > 0
+    return np.cumsum(steps, dtype=np.int32)[:n] > 0
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -180,6 +189,12 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2_000_000
                 yield batch.slice(a, b - a)
 
 
+def within(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places of the ranges [start, start + length), one range after the other."""
+    begin = np.cumsum(length) - length
+    return np.arange(int(length.sum())) + np.repeat(start - begin, length)
+
+
 def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of word values for each text."""
     sums = np.concatenate(([0], np.cumsum(values)))

@@ -2,26 +2,31 @@
 
 A window is `size` neighbouring units (words or bytes) of one text. Each window has a seed, its least k-gram by hash;
 neighbouring windows with one seed form a run, and the text of a run is a segment. Equal windows have equal seeds
-wherever they stand, so they meet at the seed. Four steps, of which only the second moves whole texts:
-
-1. `routed`: every task sends (seed, segment, flanks, document) as a few packed bytes to the seed's owner, equal
-   segments of the task once, and gets back which of its segments an earlier document holds whole ("known"), which
-   share their seed and a flank with another segment ("mixed"), and which have a seed with very many segments
-   ("crowded"). The flanks are the seed with the `side` units before or after it; a window with this seed holds one of them,
-   so segments that share neither share no window.
-2. `flagged`: documents with such flags take them up. Known segments are covered. The others leave as rows.
-3. Mixed segments meet by seed and a `matcher` finds their equal windows (Lempel-Ziv factors, or a suffix array).
-   Crowded ones, where one seed could fill a task, send the hash of each window instead, and a combining
-   aggregation finds the least document of each.
-4. `cut`: the spans come back to the documents, which lose the covered units.
-
-All of it is exact for hashes of 80 bits (64 for windows of crowded seeds); nothing is capped or dropped.
+wherever they stand, so they meet at the seed. Steps, of which only the first moves whole texts:
+
+1. The documents are written once, in buckets by doc_id; all later joins go to these buckets.
+2. `routed`: every task sends (seed, segment, flanks, document) as a few packed bytes to the seed's owner, equal
+   segments of the task once, and gets back which of its segments an earlier document holds whole ("known") and
+   which share their seed and a flank with a different segment. The flanks are the seed with the `side` units
+   before or after it; a window with this seed holds one of them, so segments that share neither share no window.
+   A segment that shares a flank with another one of its own task is told so at once, and of those of one flank
+   the first one alone is sent: a seed that very many segments have costs a few entries a task.
+3. `found`: segments that share a flank are split by longer seeds. The windows of `step` neighbouring places of the
+   seed form a piece; all of them hold the piece's core, which is a seed of size - step + 1 units. Equal pieces of a
+   task leave once, from their least document. Pieces with equal cores meet in one group, and a `matcher` (Lempel-Ziv
+   factors, or a suffix array) finds what later documents repeat. What differs in a group are at most step - 1 units
+   on either side of the core, so that groups stay small for a passage in any number of documents.
+4. `cut`: the spans go to the documents' buckets, and covered units are cut.
+
+Equal whole segments are told by 96 bits of hashes (seed and text) and count once, with their least document; all that
+overlaps in part is decided by the matcher on texts. There is one path at every size, without a limit on groups.
+Long texts are worked through in parts of `_SLICE` bytes that overlap by a window.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,28 +36,32 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import partitions, written
-from .textarrays import RollingHash, Runs, covered, minimiser_runs, mix, slices, text_bytes, word_grams, words_of
+from .scratch import beside, partitions, shared_folder, written
+from .textarrays import RollingHash, Runs, covered, minimiser_runs, mix, slices, text_bytes, word_bytes, word_grams, words_of
 
-#: Segments of one task, and of all tasks, from which a seed counts as crowded.
-CROWDED_IN_TASK, CROWDED = 512, 2048
-_ENTRIES, _SLICE = 600_000, 1_000_000
-_KEY = np.uint64((1 << 48) - 1)
+#: Entries and pieces that a task holds before it sends them; bytes of text worked on at once; and bytes of text for
+#: each bucket, whose entries one task holds.
+_ENTRIES, _PIECES, _SLICE, _BUCKET_BYTES = 600_000, 200_000, 1_000_000, 32 << 20
 _SEED = np.uint64((1 << 32) - 1)
-_MARK = np.uint64(0)
+_MOST_BUCKETS = 100_000  # of a table, by Spark's own setting; what is routed may have more
 
-#: Takes the segments of one seed as (document, bytes, seed's first unit) in order of documents, the window and the seed
-#: size; gives (index, first unit, units).
-Matcher = Callable[[list[tuple[int, bytes, int]], int, int], list[tuple[int, int, int]]]
+#: Takes the pieces of one core as (document, bytes, first byte of the core, bytes of the core) in order of documents,
+#: and the window; gives (index, first unit, units).
+Matcher = Callable[[list[tuple[int, bytes, int, int]], int], list[tuple[int, int, int]]]
 
 
 @dataclass(frozen=True)
 class Windows:
-    """size and k in units; kind "words" or "bytes"."""
+    """size, k and step in units; kind "words" or "bytes"."""
 
     kind: str
     size: int
     k: int
+    step: int
+
+    @property
+    def side(self) -> int:
+        return -(-(self.size - self.k) // 2)
 
 
 @dataclass
@@ -66,9 +75,9 @@ class Units:
     first: np.ndarray  # index of each text's first unit, and the number of all
     runs: Runs
     seed: np.ndarray  # 32 bits for each run
-    key: np.ndarray  # 48 bits for each run: its seed and its whole text
-    flanks: np.ndarray  # twice 16 bits for each run; 0 where the run has no such flank
-    grams: Callable[[], np.ndarray]  # hashes of the windows, where they are wanted
+    key: np.ndarray  # 64 bits for each run: its seed and its whole text
+    flanks: np.ndarray  # twice 15 bits and a mark for each run; 0 where the run has no such flank
+    rolling: RollingHash
 
 
 def units_of(texts: list[bytes], windows: Windows) -> Units:
@@ -76,8 +85,7 @@ def units_of(texts: list[bytes], windows: Windows) -> Units:
         words = words_of(texts)
         doc, begin, end, data, first = words.doc, words.start, words.end, words.data, words.first
         rolling = RollingHash(data)
-        hashes = rolling.of(begin, end)
-        seeds, grams = word_grams(hashes, windows.k), lambda: word_grams(hashes, windows.size)
+        seeds = word_grams(rolling.of(begin, end), windows.k)
     else:
         data = np.frombuffer(b"".join(texts), np.uint8)
         count = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -85,24 +93,64 @@ def units_of(texts: list[bytes], windows: Windows) -> Units:
         begin = np.arange(len(data))
         end = begin + 1
         rolling = RollingHash(data)
-        seeds, grams = rolling.grams(windows.k), lambda: rolling.grams(windows.size)
+        seeds = rolling.grams(windows.k)
     runs = minimiser_runs(seeds, doc, windows.size, windows.k)
     last = runs.start + runs.length + windows.size - 2
     whole = rolling.of(begin[runs.start], end[last]) if len(runs.start) else runs.seed
-    key = np.maximum(mix(whole + mix(runs.seed)) & _KEY, np.uint64(1))
     flanks = _flanks(rolling, begin, end, runs, last, windows)
-    return Units(doc, begin, end, data, first, runs, mix(runs.seed) & _SEED, key, flanks, grams)
+    return Units(doc, begin, end, data, first, runs, mix(runs.seed) & _SEED, mix(whole + mix(runs.seed)), flanks, rolling)
 
 
 def _flanks(rolling: RollingHash, begin: np.ndarray, end: np.ndarray, runs: Runs, last: np.ndarray, windows: Windows) -> np.ndarray:
-    side = -(-(windows.size - windows.k) // 2)
     out = np.zeros((2, len(runs.at)), np.uint64)
-    for row, (low, high) in zip(out, ((runs.at - side, runs.at + windows.k - 1), (runs.at, runs.at + windows.k - 1 + side))):
+    for row, (low, high) in zip(out, ((runs.at - windows.side, runs.at + windows.k - 1), (runs.at, runs.at + windows.k - 1 + windows.side))):
         inside = (low >= runs.start) & (high <= last)
-        row[inside] = np.maximum(rolling.of(begin[low[inside]], end[high[inside]]) & np.uint64(0xFFFF), np.uint64(1))
+        row[inside] = np.maximum(rolling.of(begin[low[inside]], end[high[inside]]) & np.uint64(0xFFFE), np.uint64(2))
     return out[0] << np.uint64(16) | out[1]
 
 
+def _parts_of(text: bytes, kind: str, overlap: int, most: int) -> Iterator[tuple[int, bytes]]:
+    """(first unit, bytes) of parts of a long text, so that each window of overlap + 1 units lies in exactly one."""
+    if kind == "bytes":
+        for a in range(0, max(1, len(text) - overlap), most):
+            yield a, text[a : a + most + overlap]
+        return
+    at = unit = 0
+    while True:
+        size, end = most, len(text)
+        while at + size < len(text):
+            ahead = text[at + size : at + size + 4096]
+            blank = next((i for i, b in enumerate(ahead) if b in b" \t\n\v\f\r"), None)
+            if blank is None:
+                size += len(ahead)
+                continue
+            starts = np.flatnonzero(np.diff(word_bytes(text[at : at + size + blank]).view(np.int8), prepend=0) == 1)
+            if len(starts) > overlap:
+                end = at + size + blank
+                break
+            size *= 2
+        yield unit, text[at:end]
+        if end == len(text):
+            return
+        at, unit = at + int(starts[-overlap]), unit + len(starts) - overlap
+
+
+def parts(batches: Iterator[pa.RecordBatch], windows: Windows, text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray]]:
+    """(rows, their texts, first unit of each), about `_SLICE` bytes at a time; a long text comes in several parts."""
+    for batch in slices(batches, text, _SLICE):
+        texts = text_bytes(batch.column(text))
+        long = [i for i, t in enumerate(texts) if len(t) > 2 * _SLICE]
+        if not long:
+            yield batch, texts, np.zeros(len(texts), np.int64)
+            continue
+        short = [i for i, t in enumerate(texts) if len(t) <= 2 * _SLICE]
+        if short:
+            yield batch.take(pa.array(short)), [texts[i] for i in short], np.zeros(len(short), np.int64)
+        for i in long:
+            for unit, part in _parts_of(texts[i], windows.kind, windows.size - 1, _SLICE):
+                yield batch.slice(i, 1), [part], np.array([unit])
+
+
 def _packed(x: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
@@ -115,9 +163,9 @@ def _unpacked(data: bytes, width: int) -> np.ndarray:
 
 _ROUTE_SCHEMA = pa.schema([("bucket", pa.int32()), ("width", pa.int32()), ("entries", pa.binary()), ("replies", pa.binary())])
 _REPLY_SCHEMA = pa.schema([("bucket", pa.int32()), ("replies", pa.binary())])
-_FLAG_SCHEMA = pa.schema([("doc_id", pa.int64()), ("known", pa.binary()), ("mixed", pa.binary()), ("crowded", pa.binary())])
+_FLAG_SCHEMA = pa.schema([("doc", pa.int64()), ("flags", pa.binary())])
 _DDL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
-_KNOWN, _MIXED, _CROWDED = 1, 2, 3
+_KNOWN, _LEFT, _RIGHT = 1, 2, 4
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -138,7 +186,7 @@ def _replies(doc: np.ndarray, key: np.ndarray, flag: np.ndarray, buckets: int) -
     order, cuts = _dealt(bucket, doc, buckets)
     doc, key, flag = doc[order].view(np.uint64), key[order], flag[order].astype(np.uint64)
     full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-    return full, [_packed(doc[a:z], 8) + _packed(key[a:z], 6) + _packed(flag[a:z], 1) for a, z in ((cuts[b], cuts[b + 1]) for b in full)]
+    return full, [_packed(doc[a:z], 8) + _packed(key[a:z], 8) + _packed(flag[a:z], 1) for a, z in ((cuts[b], cuts[b + 1]) for b in full)]
 
 
 @dataclass
@@ -154,7 +202,7 @@ class Segments:
 
     @classmethod
     def of(cls, seed: np.ndarray, key: np.ndarray, doc: np.ndarray, flanks: np.ndarray) -> "Segments":
-        # Should two segments of a seed agree in 32 of 48 bits, they may come apart here; they then count as mixed.
+        # Should two segments of a seed agree in half of their bits, they may come apart here; their pieces meet again.
         order = np.argsort(seed << np.uint64(32) | (key & _SEED))
         seed, key, doc, flanks = seed[order], key[order], doc[order], flanks[order]
         if not len(seed):
@@ -164,17 +212,21 @@ class Segments:
         later = doc > np.repeat(least, np.diff(np.append(start, len(doc))))
         own = seed[start]
         number = np.cumsum(np.concatenate(([True], own[1:] != own[:-1]))) - 1
-        return cls(own, key[start], least, flanks[start], number, (doc[later], key[later]))
+        return cls(own, key[start], least, np.bitwise_or.reduceat(flanks, start), number, (doc[later], key[later]))
 
+    def sharing(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which flanks (_LEFT, _RIGHT) each shares with a different segment, and whether it is the first of either.
 
-def _sharing(number: np.ndarray, flanks: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Which of the entries `among` share a flank with another one of their seed."""
-    out, at = np.zeros(len(number), bool), np.flatnonzero(among)
-    for flank in (flanks[at] >> np.uint64(16), flanks[at] & np.uint64(0xFFFF)):
-        of, has = number[at].astype(np.uint64) << np.uint64(16) | flank, flank > 0
-        _, index, count = np.unique(of, return_inverse=True, return_counts=True)
-        out[at] |= has & (count[index] > 1)
-    return out
+        A flank with a mark was shared in the task that sent it.
+        """
+        flag, first = np.zeros(len(self.number), np.uint64), np.zeros(len(self.number), bool)
+        for bit, flank in ((_LEFT, self.flanks >> np.uint64(16)), (_RIGHT, self.flanks & np.uint64(0xFFFF))):
+            at = np.flatnonzero(flank > 0)
+            _, place, index, count = np.unique(self.number[at].astype(np.uint64) << np.uint64(16) | flank[at] >> np.uint64(1), return_index=True, return_inverse=True, return_counts=True)
+            shared = (count > 1) | (np.bincount(index, weights=flank[at] & np.uint64(1), minlength=len(count)) > 0)
+            flag[at] |= np.where(shared[index], np.uint64(bit), np.uint64(0))
+            first[at[place]] = True
+        return flag, first
 
 
 def _requests(windows: Windows, buckets: int) -> Callable:
@@ -184,26 +236,25 @@ def _requests(windows: Windows, buckets: int) -> Callable:
         def sent() -> Iterator[pa.RecordBatch]:
             own = Segments.of(*(np.concatenate(x) for x in zip(*held)))
             held.clear()
-            crowded = np.bincount(own.number)[own.number] > CROWDED_IN_TASK if len(own.number) else np.zeros(0, bool)
-            doc, key = np.append(own.later[0], own.doc[crowded]), np.append(own.later[1], own.key[crowded])
-            flag = np.repeat([_KNOWN, _CROWDED], [len(own.later[0]), crowded.sum()])
-            full, blobs = _replies(doc, key, flag, buckets)
+            flag, first = own.sharing()
+            told = flag > 0
+            doc, key = np.append(own.later[0], own.doc[told]), np.append(own.later[1], own.key[told])
+            full, blobs = _replies(doc, key, np.append(np.full(len(own.later[0]), _KNOWN, np.uint64), flag[told]), buckets)
             none = len(full)
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.array(blobs, pa.binary())], schema=_ROUTE_SCHEMA)
-            marks = np.unique(own.seed[crowded])
-            zeros = np.zeros(len(marks), np.uint64)
-            seed, key, flanks = np.append(own.seed[~crowded], marks), np.append(own.key[~crowded], zeros), np.append(own.flanks[~crowded], zeros)
-            doc = np.append(own.doc[~crowded], zeros.view(np.int64))
+            use = ~told | first
+            marks = (flag & np.uint64(_LEFT)) // np.uint64(_LEFT) << np.uint64(16) | (flag & np.uint64(_RIGHT)) // np.uint64(_RIGHT)
+            seed, key, flanks, doc = own.seed[use], own.key[use], (own.flanks | marks)[use], own.doc[use]
             order, cuts = _dealt((seed % np.uint64(buckets)).astype(np.int64), doc, buckets)
             width = 4 if not len(doc) or (doc.min() >= 0 and doc.max() < 1 << 32) else 8
             seed, key, flanks, doc = seed[order], key[order], flanks[order], doc[order].view(np.uint64)
             full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            blobs = [_packed(seed[a:z], 4) + _packed(key[a:z], 6) + _packed(flanks[a:z], 4) + _packed(doc[a:z], width) for a, z in ((cuts[b], cuts[b + 1]) for b in full)]
+            blobs = [_packed(seed[a:z], 4) + _packed(key[a:z], 8) + _packed(flanks[a:z], 4) + _packed(doc[a:z], width) for a, z in ((cuts[b], cuts[b + 1]) for b in full)]
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([width] * len(full), pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(full), pa.binary())], schema=_ROUTE_SCHEMA)
 
-        for batch in slices(batches, "text", _SLICE):
-            units = units_of(text_bytes(batch.column("text")), windows)
-            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        for batch, texts, _ in parts(batches, windows, "text"):
+            units = units_of(texts, windows)
+            docs = batch.column("doc").to_numpy(zero_copy_only=False)
             held.append((units.seed, units.key, docs[units.doc[units.runs.start]], units.flanks))
             if sum(len(x[0]) for x in held) > _ENTRIES:
                 yield from sent()
@@ -221,214 +272,285 @@ def _answers(buckets: int) -> Callable:
             yield batch.filter(told).select([0, 3])
             asked = batch.filter(pc.invert(told))
             for width, blob in zip(asked.column("width").to_pylist(), asked.column("entries").to_pylist()):
-                n = len(blob) // (14 + width)
-                for part, (a, b, w) in zip(parts, ((0, 4, 4), (4, 10, 6), (14, 14 + width, width), (10, 14, 4))):
+                n = len(blob) // (16 + width)
+                for part, (a, b, w) in zip(parts, ((0, 4, 4), (4, 12, 8), (16, 16 + width, width), (12, 16, 4))):
                     part.append(_unpacked(blob[n * a : n * b], w))
         if not parts[0]:
             return
         seed, key, doc, flanks = (np.concatenate(x) for x in parts)
         parts.clear()
         own = Segments.of(seed, key, doc.view(np.int64), flanks)
-        mark = own.key == _MARK
-        sharing = _sharing(own.number, own.flanks, ~mark)
-        crowded = ((np.bincount(own.number, weights=mark)[own.number] > 0) | (np.bincount(own.number, weights=sharing)[own.number] > CROWDED)) & ~mark
-        mixed = sharing & ~crowded
-        later = own.later[1] != _MARK
-        docs = np.concatenate((own.later[0][later], own.doc[mixed], own.doc[crowded]))
-        keys = np.concatenate((own.later[1][later], own.key[mixed], own.key[crowded]))
-        flag = np.repeat([_KNOWN, _MIXED, _CROWDED], [later.sum(), mixed.sum(), crowded.sum()])
-        full, blobs = _replies(docs, keys, flag, buckets)
+        flag, _ = own.sharing()
+        told = flag > 0
+        docs, keys = np.append(own.later[0], own.doc[told]), np.append(own.later[1], own.key[told])
+        full, blobs = _replies(docs, keys, np.append(np.full(len(own.later[0]), _KNOWN, np.uint64), flag[told]), buckets)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], schema=_REPLY_SCHEMA)
 
     return run
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document: its known, mixed and crowded keys."""
+    """One row for each document: its flagged keys, nine bytes each."""
     parts: list[list[np.ndarray]] = [[], [], []]
     for batch in batches:
         for blob in batch.column("replies").to_pylist():
-            n = len(blob) // 15
-            for part, (a, b) in zip(parts, ((0, 8), (8, 14), (14, 15))):
+            n = len(blob) // 17
+            for part, (a, b) in zip(parts, ((0, 8), (8, 16), (16, 17))):
                 part.append(_unpacked(blob[n * a : n * b], b - a))
     if not parts[0]:
         return
     doc, key, flag = (np.concatenate(x) for x in parts)
     parts.clear()
     doc = doc.view(np.int64)
-    order = np.lexsort((flag, doc))
-    doc, flag, packed = doc[order], flag[order].astype(np.int64), _packed(key[order], 6)
+    order = np.argsort(doc, kind="stable")
+    doc = doc[order]
+    packed = np.empty((len(doc), 9), np.uint8)
+    packed[:, :8] = key[order].astype("<u8").view(np.uint8).reshape(-1, 8)
+    packed[:, 8] = flag[order]
     start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-    place = 4 * np.repeat(np.arange(len(start)), np.diff(np.append(start, len(doc)))) + flag
-    cuts = [np.searchsorted(place, 4 * np.arange(len(start)) + f).tolist() for f in (1, 2, 3, 4)]
-    columns = [[packed[6 * a : 6 * z] for a, z in zip(cuts[f], cuts[f + 1])] for f in range(3)]
-    ids = doc[start].tolist()
+    cuts = np.append(start, len(doc)).tolist()
+    ids = doc[start]
     for a in range(0, len(ids), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 10_000], pa.int64()), *(pa.array(c[a : a + 10_000], pa.binary()) for c in columns)], schema=_FLAG_SCHEMA)
+        blobs = [packed[x:y].tobytes() for x, y in zip(cuts[a : a + 10_000], cuts[a + 1 :])]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 10_000], pa.int64()), pa.array(blobs, pa.binary())], schema=_FLAG_SCHEMA)
 
 
-def routed(docs: DataFrame, windows: Windows) -> DataFrame:
-    """(doc_id, known, mixed, crowded): packed keys of each document's flagged segments."""
-    buckets = partitions(docs.sparkSession)
-    asked = docs.where("doc_id IS NOT NULL").mapInArrow(_requests(windows, buckets), _ddl(_ROUTE_SCHEMA))
+def routed(docs: DataFrame, windows: Windows, buckets: int) -> DataFrame:
+    """(doc, flags): the flagged segments of each document of (doc, text)."""
+    asked = docs.mapInArrow(_requests(windows, buckets), _ddl(_ROUTE_SCHEMA))
     told = asked.repartition(buckets, "bucket").mapInArrow(_answers(buckets), _ddl(_REPLY_SCHEMA))
     return told.repartition(buckets, "bucket").mapInArrow(_by_document, _ddl(_FLAG_SCHEMA))
 
 
-_FLAGGED = (
-    "doc_id long, text string, known binary, mixed array<struct<seed:long,start:long,at:long,segment:binary>>, "
-    "crowded array<struct<window:long,start:long>>"
-)
+def _flags_of(units: Units, owner: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+    """The flags of each run among those of its own document."""
+    flat = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 9)
+    of = np.repeat(np.arange(len(blobs), dtype=np.uint64), [len(x) // 9 for x in blobs])
+    keys = mix(np.ascontiguousarray(flat[:, :8]).view("<u8").ravel() ^ mix(of))
+    out = np.zeros(len(units.key), np.uint8)
+    if len(keys):
+        wanted, index = np.unique(keys, return_inverse=True)
+        flags = np.zeros(len(wanted), np.uint8)
+        np.bitwise_or.at(flags, index, flat[:, 8])
+        own = mix(units.key ^ mix(owner.astype(np.uint64)))
+        at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+        out = np.where(wanted[at] == own, flags[at], 0).astype(np.uint8)
+    return out
+
+
+_FOUND_SCHEMA = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("core", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("piece", pa.binary())])
+_FOUND = ", ".join(f"{x.name} {_DDL[x.type]}" for x in _FOUND_SCHEMA)
 
 
-def _merged(start: np.ndarray, end: np.ndarray, doc: np.ndarray, n: int) -> list[bytes]:
-    """Spans of each of n texts as packed (first unit, units), overlapping ones joined; both bounds ascend in a text."""
+def _joined(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of texts in a row, overlapping ones joined; both bounds ascend in a text."""
     if not len(start):
-        return [b""] * n
-    new = np.flatnonzero(np.concatenate(([True], (start[1:] > end[:-1]) | (doc[1:] != doc[:-1]))))
-    last = np.append(new[1:], len(start)) - 1
-    packed = np.stack([start[new], end[last] - start[new]], 1).astype("<i8").tobytes()
-    cuts = np.searchsorted(doc[new], np.arange(n + 1)).tolist()
-    return [packed[16 * a : 16 * z] for a, z in zip(cuts, cuts[1:])]
-
-
-def _flagged(windows: Windows) -> Callable:
-    def member(units: Units, blobs: list[bytes]) -> np.ndarray:
-        """Which runs have a key among those of their own document."""
-        keys = [_unpacked(x, 6) for x in blobs]
-        owner = np.repeat(np.arange(len(keys), dtype=np.uint64), [len(x) for x in keys])
-        wanted = mix(np.concatenate(keys) ^ mix(owner))
-        return np.isin(mix(units.key ^ mix(units.doc[units.runs.start].astype(np.uint64))), wanted)
+        return doc, row, start, end
+    new = np.flatnonzero(np.concatenate(([True], (start[1:] > end[:-1]) | (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]))))
+    return doc[new], row[new], start[new], end[np.append(new[1:], len(start)) - 1]
+
+
+def _spans(doc: np.ndarray, row: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    """Rows without a piece, spread by their documents."""
+    n, spread = len(doc), mix(np.asarray(doc, np.int64).view(np.uint64)).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (doc, row, start, length, spread)] + [pa.nulls(n, x.type) for x in list(_FOUND_SCHEMA)[5:]], schema=_FOUND_SCHEMA)
+
+
+def _found(windows: Windows) -> Callable:
+    """Spans of known segments, and pieces of those that share a flank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", _SLICE):
-            n = batch.num_rows
-            units = units_of(text_bytes(batch.column("text")), windows)
-            runs = units.runs
-            of_doc = units.doc[runs.start]
-            local = runs.start - units.first[of_doc]
-            known, mixed, crowded = (member(units, batch.column(x).to_pylist()) for x in ("known", "mixed", "crowded"))
-            spans = _merged(local[known], local[known] + runs.length[known] + windows.size - 1, of_doc[known], n)
-            segments: list[list] = [[] for _ in range(n)]
-            at = np.flatnonzero(mixed)
-            low, high = units.begin[runs.start[at]].tolist(), units.end[runs.start[at] + runs.length[at] + windows.size - 2].tolist()
-            data = units.data.tobytes() if len(at) else b""
-            for d, seed, start, place, a, z in zip(of_doc[at].tolist(), units.seed[at].tolist(), local[at].tolist(), (runs.at[at] - runs.start[at]).tolist(), low, high):
-                segments[d].append({"seed": seed, "start": start, "at": place, "segment": data[a:z]})
-            hashes: list[list] = [[] for _ in range(n)]
-            grams = units.grams() if crowded.any() else None
-            for i in np.flatnonzero(crowded).tolist():
-                at = np.arange(runs.start[i], runs.start[i] + runs.length[i])
-                hashes[of_doc[i]] += [{"window": w, "start": s} for w, s in zip(grams[at].view(np.int64).tolist(), (at - units.first[of_doc[i]]).tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("text"), pa.array(spans, pa.binary()),
-                    pa.array(segments, pa.list_(pa.struct([("seed", pa.int64()), ("start", pa.int64()), ("at", pa.int64()), ("segment", pa.binary())]))),
-                    pa.array(hashes, pa.list_(pa.struct([("window", pa.int64()), ("start", pa.int64())]))),
-                ],
-                names=["doc_id", "text", "known", "mixed", "crowded"],
-            )
+        held: dict[tuple[int, bytes], list[tuple[int, int, int, int, int, int]]] = {}
+        number = 0
 
-    return run
+        def sent() -> Iterator[pa.RecordBatch]:
+            rows, later = [], []
+            for (core, piece), holders in held.items():
+                least = min(x[0] for x in holders)
+                for doc, row, start, units, at, size in holders:
+                    if doc > least:
+                        later.append((doc, row, start, units))
+                    else:
+                        rows.append((doc, row, start, units, core, at, size, piece))
+            held.clear()
+            if later:
+                yield _spans(*np.array(later, np.int64).T)
+            for a in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[a : a + 20_000]), _FOUND_SCHEMA)], schema=_FOUND_SCHEMA)
 
+        for batch, texts, offset in parts(batches, windows, "text"):
+            units = units_of(texts, windows)
+            runs = units.runs
+            owner = units.doc[runs.start]
+            flags = _flags_of(units, owner, batch.column("flags").to_pylist())
+            docs, rows = (batch.column(x).to_numpy(zero_copy_only=False)[owner] for x in ("doc", "row"))
+            shift = (offset - units.first[:-1])[owner] if len(owner) else owner  # from places in the batch to units of the text
+            known = (flags & _KNOWN) > 0
+            doc, row, start, end = _joined(docs[known], rows[known], (runs.start + shift)[known], (runs.start + shift + runs.length)[known] + windows.size - 1)
+            yield _spans(doc, row, start, end - start)
+            data = units.data.tobytes()
+            for low in range(0, windows.size - windows.k + 1, windows.step):
+                high = min(low + windows.step, windows.size - windows.k + 1) - 1
+                wanted = (_LEFT if low >= windows.side else 0) | (_RIGHT if high <= windows.size - windows.k - windows.side else 0) or _LEFT | _RIGHT
+                first, last = np.maximum(runs.start, runs.at - high), np.minimum(runs.start + runs.length - 1, runs.at - low)  # windows
+                i = np.flatnonzero(~known & ((flags & wanted) > 0) & (first <= last))
+                if not len(i):
+                    continue
+                first, last = first[i], last[i]
+                begin, stop = units.begin[first], units.end[last + windows.size - 1]
+                core_begin, core_stop = units.begin[runs.at[i] - low], units.end[runs.at[i] - high + windows.size - 1]
+                core = mix(units.rolling.of(core_begin, core_stop) + np.uint64(low)).view(np.int64)
+                columns = (core, begin, stop, docs[i], rows[i], first + shift[i], last - first + windows.size, core_begin - begin, core_stop - core_begin)
+                for c, a, z, *holder in zip(*(x.tolist() for x in columns)):
+                    held.setdefault((c, data[a:z]), []).append(tuple(holder))
+                number += len(i)
+            if number > _PIECES:
+                yield from sent()
+                number = 0
+        yield from sent()
 
-def flagged(docs: DataFrame, windows: Windows) -> DataFrame:
-    """Documents with at least one flag: their texts, known spans, mixed segments and windows of crowded seeds."""
-    return docs.join(routed(docs, windows), "doc_id").select("doc_id", "text", "known", "mixed", "crowded").mapInArrow(_flagged(windows), _FLAGGED)
+    return run
 
 
 def _matched(windows: Windows, matcher: Matcher) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seed, group, out = None, [], ([], [], [])
+        core, group, out = None, [], []
 
         def close() -> None:
-            if len(group) > 1:
-                for i, start, length in matcher([x[:3] for x in group], windows.size, windows.k):
-                    for column, value in zip(out, (group[i][0], group[i][3] + start, length)):
-                        column.append(value)
+            if len(group) > 1 and group[0][0] != group[-1][0]:
+                for i, start, length in matcher([x[:4] for x in group], windows.size):
+                    out.append((group[i][0], group[i][4], group[i][5] + start, length))
             group.clear()
 
         def batch_out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(("doc_id", "start", "length"), out)})
-            for column in out:
-                column.clear()
+            made = pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(("doc", "row", "start", "length"), zip(*out))})
+            out.clear()
             return made
 
         for batch in batches:
-            for now, doc, start, at, segment in zip(*(batch.column(x).to_pylist() for x in ("seed", "doc_id", "start", "at", "segment"))):
-                if now != seed:
+            told = pc.is_null(batch.column("piece"))
+            yield batch.filter(told).select(["doc", "row", "start", "length"])
+            batch = batch.filter(pc.invert(told))
+            for now, *entry in zip(*(batch.column(x).to_pylist() for x in ("core", "doc", "piece", "at", "size", "row", "start"))):
+                if now != core:
                     close()
-                    seed = now
-                group.append((doc, segment, at, start))
-            if len(out[0]) > 50_000:
+                    core = now
+                group.append(tuple(entry))
+            if len(out) > 50_000:
                 yield batch_out()
         close()
-        if out[0]:
+        if out:
             yield batch_out()
 
     return run
 
 
-def matched_spans(found: DataFrame, windows: Windows, matcher: Matcher) -> DataFrame:
-    """(doc_id, start, length) of windows that an earlier document holds, from mixed and crowded segments."""
-    number = partitions(found.sparkSession)
-    mixed = found.select("doc_id", F.explode("mixed").alias("x")).select("doc_id", "x.*")
-    mixed = mixed.repartition(number, "seed").sortWithinPartitions("seed", "doc_id", "start")
-    spans = mixed.select("seed", "doc_id", "start", "at", "segment").mapInArrow(_matched(windows, matcher), "doc_id long, start long, length long")
-    crowded = found.select("doc_id", F.explode("crowded").alias("x")).select("doc_id", "x.*")
-    least = crowded.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "least")
-    later = crowded.join(least, "window").where("least < doc_id").select("doc_id", "start", F.lit(windows.size).cast("long").alias("length"))
-    return spans.union(later)
-
+def removed_spans(docs: DataFrame, windows: Windows, matcher: Matcher, buckets: int) -> DataFrame:
+    """(doc, row, start, length) of what earlier documents of (doc, row, text) also hold; spans may overlap."""
+    flagged = docs.join(routed(docs.select("doc", "text"), windows, buckets), "doc").select("doc", "row", "text", "flags")
+    pieces = flagged.mapInArrow(_found(windows), _FOUND).repartition(buckets, "core").sortWithinPartitions("core", "doc", "row", "start")
+    return pieces.mapInArrow(_matched(windows, matcher), "doc long, row long, start long, length long")
 
-_BLANKS = re.compile(rb"[^\x20\x09-\x0D]+")
 
-
-def _kept(text: bytes, mask: np.ndarray, kind: str) -> tuple[bytes, bytes]:
-    """What is left of a text without the masked units: as the digest wants it, and as text."""
+def _cut_text(text: bytes, gone: np.ndarray, kind: str) -> tuple[bytes, bytes]:
+    """What is left of a text without the units that are gone: as the digest wants it, and as text."""
+    data = np.frombuffer(text, np.uint8)
     if kind == "bytes":
-        left = np.frombuffer(text, np.uint8)[~mask].tobytes()
+        left = data[~gone].tobytes()
         return left, left
-    words = list(_BLANKS.finditer(text))
-    kept, out, at = [], [], 0
-    for gone, word in zip(mask.tolist(), words):
-        if not gone:
-            kept.append(word[0])
-            out.append(text[at : word.end()])
-        at = word.end()
-    return b" ".join(kept), b"".join(out).strip()
+    inside = word_bytes(text)
+    # A blank belongs to the word after it; blanks at the end to none.
+    ended = np.cumsum(np.concatenate(([False], inside[:-1] & ~inside[1:])), dtype=np.int32) if len(data) else np.zeros(0, np.int32)
+    keep = ~np.append(gone, False)[ended]
+    kept = data[keep].tobytes().strip()
+    before = np.append(inside[1:] & ~inside[:-1], False) if len(data) else inside  # the blank right before a word
+    use = keep & (inside | before)
+    joined = np.where(inside, data, 32)[use].astype(np.uint8).tobytes()
+    return joined.removeprefix(b" "), kept
+
+
+@dataclass(frozen=True)
+class Names:
+    """Columns of the written documents that hold what the operator adds."""
 
+    doc: str
+    row: str
+    spans: str
 
-def _cut(windows: Windows) -> Callable:
+    @classmethod
+    def beside(cls, columns: list[str]) -> "Names":
+        return cls(*beside(columns, "doc", "row", "spans"))
+
+
+def _cut(windows: Windows, names: Names, output: pa.Schema | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", _SLICE):
             rows: list[tuple] = []
-            for doc, text, known, spans in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), batch.column("known").to_pylist(), batch.column("spans").to_pylist()):
-                n = len(text) if windows.kind == "bytes" else len(text.split())
-                pairs = np.concatenate([np.frombuffer(known, "<i8").reshape(-1, 2), np.array([(s["start"], s["length"]) for s in spans or []], np.int64).reshape(-1, 2)])
-                mask = covered(pairs[:, 0], pairs[:, 1], n)
-                left, kept = _kept(text, mask, windows.kind)
-                n_spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())
-                rows.append((doc, hashlib.sha256(text).hexdigest(), int(mask.sum()), n_spans, hashlib.sha256(left).hexdigest(), kept.decode("utf-8", "replace")))
-            names = ("doc_id", "text_sha256", "n_removed", "n_spans", "kept_sha256", "kept_text")
-            yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))))
+            texts = text_bytes(batch.column("text"))
+            given = [batch.column(x).to_pylist() for x in ("doc_id", names.row, names.spans)]
+            for doc, row, spans, text in zip(*given, texts):
+                own = np.array([(s["start"], s["length"]) for s in spans or [] if s["row"] == row], np.int64).reshape(-1, 2)
+                if not len(own) and output is not None:
+                    rows.append((None,))
+                    continue
+                if len(own) or len(text) > _SLICE:
+                    n = len(text) if windows.kind == "bytes" else int((np.diff(word_bytes(text).view(np.int8), prepend=0) == 1).sum())
+                    gone = covered(own[:, 0], own[:, 1], n)
+                    left, kept = _cut_text(text, gone, windows.kind)
+                    removed, n_spans = int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                else:
+                    words = text.split() if windows.kind == "words" else []
+                    left, n, removed, n_spans = (b" ".join(words), len(words), 0, 0) if windows.kind == "words" else (text, len(text), 0, 0)
+                if output is None:
+                    rows.append((doc, n, removed, n_spans, hashlib.sha256(left).hexdigest()))
+                else:
+                    rows.append((kept.decode("utf-8", "replace"),))
+            if output is None:
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for k, v, t in zip(_DIGEST, map(list, zip(*rows)), (pa.int64(),) * 4 + (pa.string(),))})
+            else:
+                new = pc.coalesce(pa.array([x[0] for x in rows], batch.column("text").type), batch.column("text"))
+                yield pa.RecordBatch.from_arrays([new if f == "text" else batch.column(f) for f in output], names=list(output))
 
     return run
 
 
-_CUT_SCHEMA = "doc_id long, text_sha256 string, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+_DIGEST = ("doc_id", "n_units", "n_removed", "n_spans", "kept_sha256")
 
 
-def cut_documents(docs: DataFrame, windows: Windows, matcher: Matcher) -> DataFrame:
-    """Documents that lose units: doc_id, text_sha256, n_removed, n_spans, kept_sha256 and kept_text, once for each text.
+def cut_documents(docs: DataFrame, windows: Windows, matcher: Matcher, keep: bool) -> DataFrame:
+    """Each row after losing its units: with `keep` the row, its `text` cut; else doc_id and n_units, n_removed,
+    n_spans and kept_sha256.
 
     A unit goes when a window that covers it also stands in a document with a smaller doc_id. Windows are judged on
-    the input. Rows that share a doc_id are one document (they never cover each other); rows without one lose nothing.
-    For words, kept_text is the text without the removed words and the blanks before them, trimmed.
+    the input. Rows that share a doc_id don't cover each other, and each of them is cut on its own; rows without one
+    lose nothing. Rows come back one for one. For words, the cut text is the text without the removed words and the
+    blanks before them, trimmed; texts that lose nothing stay as they are, null ones too.
+
+    The documents are written in buckets by doc_id once; the table's entry in the catalog goes when the result is
+    written. A task holds the entries of one bucket and works on `_SLICE` bytes of text at a time.
     """
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = written(flagged(df, windows), "flagged")
-    spans = matched_spans(found, windows, matcher).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    lost = found.select("doc_id", "text", "known").join(spans, "doc_id", "left").where("length(known) > 0 OR spans IS NOT NULL")
-    cut = lost.mapInArrow(_cut(windows), _CUT_SCHEMA)
-    return cut.where("n_removed > 0").groupBy("doc_id", "text_sha256").agg(*(F.first(x).alias(x) for x in ("n_removed", "n_spans", "kept_sha256", "kept_text")))
+    spark = docs.sparkSession
+    names = Names.beside(docs.columns)
+    own = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = own.withColumn("text", F.col("text").cast("string"))
+    number, digest = F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = max(partitions(spark), -(-size // _BUCKET_BYTES))
+    tables = min(buckets, _MOST_BUCKETS)
+    table = f"amendry_{uuid.uuid4().hex}"
+    # Rows without doc_id are spread by their texts; they have no row number, so no span meets them.
+    own = own.withColumns({names.doc: F.coalesce(number, digest), names.row: F.when(number.isNotNull(), digest)})
+    own.repartition(tables, names.doc).write.bucketBy(tables, names.doc).option("compression", "zstd").option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    try:
+        stored = spark.table(table)
+        plain = stored.where(F.col(names.row).isNotNull()).select(F.col(names.doc).alias("doc"), F.col(names.row).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+        spans = removed_spans(plain, windows, matcher, buckets).groupBy("doc").agg(F.collect_list(F.struct("row", "start", "length")).alias(names.spans))
+        spans = spans.withColumnRenamed("doc", names.doc)
+        joined = stored.join(spans, names.doc, "left")
+        if keep:
+            cut = joined.mapInArrow(_cut(windows, names, docs.columns), docs.withColumn("text", F.col("text").cast("string")).schema)
+        else:
+            cut = joined.mapInArrow(_cut(windows, names, None), "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string")
+        return written(cut, "cut")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
