@@ -144,11 +144,31 @@ def hash_split(spark, sf_dir):
   UNION ALL SELECT project_id, reason, count(*) FROM reasons WHERE reason IS NOT NULL GROUP BY 1, 2""")
 def pref_by_split(spark, sf_dir):
     """Per project: usable pairs of each split, and dropped rows of each reason."""
-    rows = dpo(spark, sf_dir)
-    ruled = curation.with_reason(rows, **RULES)
-    kept = curation.hash_split(curation.build_pref(ruled.where("reason IS NULL").drop("reason"))).select("project_id", F.col("split").alias("part"))
-    dropped = ruled.where("reason IS NOT NULL").select("project_id", F.col("reason").alias("part"))
-    return kept.union(dropped).groupBy("project_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    return curation.split_counts(curation.with_reason(dpo(spark, sf_dir), **RULES))
+
+
+@query(f"""WITH {DPO}, ruled AS (SELECT *, CASE WHEN project_id <> 'p1' THEN 'project_id_mismatch' ELSE {D.reject_reason(citations=True)} END AS broken FROM dpo),
+  reasons AS (SELECT *, CASE WHEN broken IS NULL AND row_number() OVER (PARTITION BY {D.normalize('input')}, {D.normalize('chosen')}, {D.normalize('rejected')}, broken IS NULL ORDER BY created_at, id) > 1 THEN 'duplicate' ELSE broken END AS reason FROM ruled)
+  SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM reasons GROUP BY 1""")
+def curate_project(spark, sf_dir):
+    """The report of one project, with the rule on citations on."""
+    return curation.curate_report(dpo(spark, sf_dir), project="p1", drop_citation_only=True, **RULES)
+
+
+@query(f"""WITH e AS {duck('examples')}, c AS (SELECT id, line_no, source_text, CASE WHEN conv_id % 2 = 0 THEN replace(source_text, ' ', ' [1] ') ELSE source_text || ' [@book:key2020]x' END AS cited FROM e)
+  SELECT id, line_no, {D.markup_free('cited')} AS bare, {D.citation_only('source_text', 'cited')} AS only_citations FROM c""")
+def citation_rules(spark, sf_dir):
+    """Texts against copies that differ in citations, or in a citation and a letter."""
+    e = view(spark, sf_dir, "examples")
+    cited = F.when(F.col("conv_id") % 2 == 0, F.replace("source_text", F.lit(" "), F.lit(" [1] "))).otherwise(F.concat("source_text", F.lit(" [@book:key2020]x")))
+    df = e.select("id", "line_no", "source_text", cited.alias("cited"))
+    return df.select("id", "line_no", T.strip_markup("cited").alias("bare"), T.is_citation_only("source_text", "cited").alias("only_citations"))
+
+
+@query(f"""WITH {PREF}, t AS (SELECT label, CASE WHEN label = 1 THEN ['section_pair_mined', 'x'] ELSE ['x'] END AS labels FROM pref) SELECT count(*) AS n_merged, count_if(list_contains(labels, 'section_pair_mined')) AS n_tagged FROM t""")
+def merge_counts(spark, sf_dir):
+    tags = F.when(F.col("label") == 1, F.array(F.lit("section_pair_mined"), F.lit("x"))).otherwise(F.array(F.lit("x")))
+    return curation.merge_counts(pref(spark, sf_dir).withColumn("labels", tags))
 
 
 @query(f"WITH {PREF} SELECT id, label FROM pref WHERE pair_order = 'chosen_first' AND label = 1")
@@ -187,9 +207,9 @@ def content_ids(spark, sf_dir):
     return e.select("id", "line_no", T.content_id(F.col("project_id"), F.col("source_reference"), source=F.col("source_text"), edited=F.col("edited_text")).alias("content_id"))
 
 
-@query(f"WITH {DPO} SELECT id, {D.slug('left(input, 40)')} AS slug, {D.normalize('input')} AS dense, {D.before_reference('input')} AS plain FROM dpo")
+@query(f"WITH {DPO} SELECT id, {D.slug('input')} AS slug, {D.normalize('input')} AS dense, {D.before_reference('input')} AS plain FROM dpo")
 def text_functions(spark, sf_dir):
-    return dpo(spark, sf_dir).select("id", T.slug(F.substring("input", 1, 40)).alias("slug"), T.normalize("input").alias("dense"), T.strip_reference("input").alias("plain"))
+    return dpo(spark, sf_dir).select("id", T.slug("input").alias("slug"), T.normalize("input").alias("dense"), T.strip_reference("input").alias("plain"))
 
 
 @query(f"SELECT path, ref, len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: {D.strip('p')} <> '')) AS paragraphs, len(list_filter(string_split(text, chr(10)), lambda p: {D.strip('p')} <> '')) AS lines FROM {duck('revisions')}")
@@ -214,6 +234,23 @@ def pair_stats(spark, sf_dir):
     return sft.pair_stats(revised(spark, sf_dir)).select("project_id", "n", *(F.round(c, 9).alias(c) for c in ("mean_ratio", "p10", "p50", "p90")))
 
 
+@query()
+def pair_similarity(spark, sf_dir):
+    """As pair_stats, with the likeness of both texts, which SQL can't express."""
+    df = sft.pair_stats(revised(spark, sf_dir), sft.char_similarity)
+    return df.select("project_id", "n", *(F.round(c, 6).alias(c) for c in df.columns[2:]))
+
+
+@query(f"WITH {DRAFTS} SELECT 'Revise.' || chr(10) || chr(10) || draft AS user_turn, revised AS assistant_turn FROM pairs WHERE length(draft) % 5 <> 0")
+def sft_rows(spark, sf_dir):
+    """Rows with messages; those of some texts have none."""
+    chat = sft.chat_rows(revised(spark, sf_dir).withColumn("n", F.length("draft")).drop("n"), "Revise.")
+    none = F.length(sft.draft_of(F.get("messages", F.lit(0))["content"])) % 5 == 0
+    rows = sft.sft_rows(chat.withColumn("messages", F.when(~none, F.col("messages")).otherwise(F.slice("messages", 1, 0))))
+    turn = lambda i: F.get("messages", F.lit(i))["content"]
+    return rows.select(turn(0).alias("user_turn"), turn(1).alias("assistant_turn"))
+
+
 @query(f"WITH {DRAFTS} SELECT id, 'Revise.' || chr(10) || chr(10) || draft AS user_turn, revised AS assistant_turn, draft AS back FROM pairs")
 def chat_rows(spark, sf_dir):
     turn = lambda i: F.get("messages", F.lit(i))["content"]
@@ -258,6 +295,29 @@ def load_generations(spark, sf_dir):
     return sft.load_generations(gens.withColumn("generated", dressed)).select("mode", "id", "generated")
 
 
+#: What stands around a generation, by its line number modulo 8.
+DRESS = (
+    ("<think>a</think>\n", ""), ("", "\n<think>open"), ("以下は指示に従った推敲の結果です。\n\n", ""), ("以下は推敲です。\n---\n", ""),
+    ("**推敲後（案）**：\n\n", ""), ("", "\n**変更点**: x"), ("", "\n### 説明：y"), ("推敲後の本文：\n", "\n---"),
+)
+
+
+@query(f"SELECT mode, id, {D.strip(D.LINES)} AS generated FROM {GENS} WHERE {D.strip(D.LINES)} <> ''")
+def clean_generation(spark, sf_dir):
+    """Generations of one line between what models add, all of which cleaning removes."""
+    g = view(spark, sf_dir, "generations").withColumn("bare", T.strip(F.regexp_replace("generated", r"[\n#*-]+", " "))).where("bare <> ''")
+    kind = F.pmod(F.xxhash64("id", "mode"), F.lit(len(DRESS)))
+    around = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in DRESS)), (kind + 1).cast("int"))
+    return g.select("mode", "id", T.clean_generation(F.concat(around(0), "bare", around(1))).alias("generated"))
+
+
+@query(f"""WITH g AS {GENS}, c AS (SELECT id FROM g WHERE mode IN ('adapter', 'base_norms') GROUP BY id HAVING count(DISTINCT mode) = 2)
+  SELECT mode, count(*) AS n, round(avg(score), 9) AS mean_score, round(avg(length(generated) / greatest(length(draft), 1)::DOUBLE), 9) AS mean_length_ratio FROM g WHERE mode IN ('adapter', 'base_norms') AND id IN (SELECT id FROM c) GROUP BY mode""")
+def mode_summary(spark, sf_dir):
+    df = evaluation.mode_summary(view(spark, sf_dir, "generations"), ("adapter", "base_norms"))
+    return df.select("mode", "n", F.round("mean_score", 9).alias("mean_score"), F.round("mean_length_ratio", 9).alias("mean_length_ratio"))
+
+
 @query(f"SELECT id FROM {GENS} GROUP BY id HAVING count(DISTINCT mode) = 3")
 def common_ids(spark, sf_dir):
     return evaluation.common_ids(view(spark, sf_dir, "generations"), ("adapter", "base_norms", "gold"))
@@ -286,6 +346,18 @@ def parse_diff(spark, sf_dir):
     return mining.parse_unified_diff(view(spark, sf_dir, "diffs")).select("path", "hunk_no", "line_new", F.md5("source_text").alias("source"), F.md5("edited_text").alias("edited"))
 
 
+@query(f"""WITH x AS {duck('diffs')} SELECT DISTINCT path, path || ':x@' || left(md5(path), 8) || '->edit/x@' || left(sha256(path), 8) AS source_reference,
+  CASE WHEN project_id = 'p3' THEN 'given' ELSE project_id || '-repo' END AS project FROM x WHERE diff LIKE '%@@ %'""")
+def source_references(spark, sf_dir):
+    """References and projects of hunks that name both sides' labels and commits."""
+    sides = {"base_label": F.lit("x"), "edit_label": F.lit("edit/x"), "base_commit": F.md5("path"), "edit_commit": F.sha2("path", 256)}
+    hunks = mining.parse_unified_diff(view(spark, sf_dir, "diffs").withColumns(sides))
+    every = view(spark, sf_dir, "diffs").where("diff LIKE '%@@ %'").withColumns(sides)
+    named = every.select("path", T.source_reference(F.col("path"), *map(F.col, mining.SIDES)).alias("source_reference"), T.project_id_of(F.concat(F.lit("-"), "project_id", F.lit("/ repo-")), F.when(F.col("project_id") == "p3", "given")).alias("project")).distinct()
+    odd = hunks.select("path", "source_reference").distinct().join(named, ["path", "source_reference"], "left_anti")  # none
+    return named.unionByName(odd.withColumn("project", F.lit("differs")))
+
+
 SECTIONS = f"""l AS (SELECT project_id, path, ref, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {duck('revisions')}),
   n AS (SELECT *, length(regexp_extract(x, '^(#+) ', 1)) AS lv, regexp_extract(x, '^#+ (.*)$', 1) AS title FROM l),
   s AS (SELECT *, sum(CASE WHEN lv > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY path, ref ORDER BY i) AS sec,
@@ -321,10 +393,14 @@ def section_pairs(spark, sf_dir):
     return mined(spark, sf_dir).select("id", "paragraph_count_source", "paragraph_count_edited", "line_count_source", "line_count_edited")
 
 
-@query(f"SELECT path, ref FROM {duck('revisions')} WHERE {D.usable(D.strip('text'), D.strip('text'), 3000)}")
+OTHER = "CASE WHEN length(text) % 2 = 0 THEN ' ' || chr(10) || text || chr(10) || ' ' ELSE replace(text, 'e', 'E') END"
+
+
+@query(f"SELECT path, ref FROM {duck('revisions')} WHERE {D.usable(D.strip('text'), D.strip(OTHER), 3000)} AND {D.strip('text')} <> {D.strip(OTHER)}")
 def usable_sections(spark, sf_dir):
-    r = view(spark, sf_dir, "revisions")
-    return r.where(T.usable_section("text", F.concat(F.lit("."), "text"), 3001) & (F.length(T.strip("text")) <= 3000)).select("path", "ref")
+    """Against a copy with more blanks around it, or with E for e, which differs only where there is an e."""
+    other = F.when(F.length("text") % 2 == 0, F.concat(F.lit(" \n"), "text", F.lit("\n "))).otherwise(F.replace("text", F.lit("e"), F.lit("E")))
+    return view(spark, sf_dir, "revisions").where(T.usable_section("text", other, 3000)).select("path", "ref")
 
 
 def _lengths(side: str) -> str:
@@ -510,10 +586,13 @@ def cands(spark, sf_dir):
     return df.withColumns({"score": scoring.score_bt(w, "src", "cand_vec", "len_src", "_len"), "source_score": scoring.score_bt(w, "src", "src", "len_src", "len_src")})
 
 
-@query(f"""WITH {CANDS}, r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, cand_index) AS rank, score - source_score AS margin FROM c)
+@query(f"""WITH {CANDS}, a AS (SELECT item, cand_index, score, source_score FROM c UNION ALL SELECT item, 0, min(source_score), min(source_score) FROM c GROUP BY item),
+  r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, cand_index) AS rank, score - source_score AS margin FROM a)
   SELECT item, cand_index, rank, round(margin, 6) AS margin, max(margin) OVER (PARTITION BY item) >= 0.1 AS accepted FROM r""")
 def best_of_n(spark, sf_dir):
-    return scoring.best_of_n(cands(spark, sf_dir), min_margin=0.1).select("item", "cand_index", "rank", F.round("margin", 6).alias("margin"), "accepted")
+    """The source is candidate 0."""
+    own = cands(spark, sf_dir).select("item", "cand_index", "score", "source_score")
+    return scoring.best_of_n(scoring.with_source(own), min_margin=0.1).select("item", "cand_index", "rank", F.round("margin", 6).alias("margin"), "accepted")
 
 
 @query(f"WITH {BT} SELECT id, round(ta - ts, 6) AS improvement, ta - ts < 0.5 AS converged FROM t")
@@ -528,11 +607,12 @@ def converged_pairs(spark, sf_dir):
 
 
 @query(f"""WITH {SCORED}, g AS (SELECT label, p_ab AS p, (p_ab >= 0.5)::INT AS y FROM s), c AS (SELECT count(*) AS n, avg((label = y)::INT) AS accuracy, avg(-ln(CASE label WHEN 1 THEN least(greatest(p, 1e-15), 1 - 1e-15) ELSE 1 - least(greatest(p, 1e-15), 1 - 1e-15) END)) AS log_loss,
-  count_if(label = 1 AND y = 1) AS tp, count_if(label = 0 AND y = 1) AS fp, count_if(label = 1 AND y = 0) AS fn FROM g)
-  SELECT n, round(accuracy, 6) AS accuracy, round(log_loss, 6) AS log_loss, tp + fn AS support_1, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 6) AS precision_1, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END, 6) AS recall_1, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1_1 FROM c""")
+  count_if(label = 1 AND y = 1) AS tp, count_if(label = 0 AND y = 1) AS fp, count_if(label = 1 AND y = 0) AS fn, count_if(label = 0 AND y = 0) AS tn FROM g)
+  SELECT n, round(accuracy, 6) AS accuracy, round(log_loss, 6) AS log_loss, tp + fn AS support_1, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 6) AS precision_1, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END, 6) AS recall_1, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1_1,
+  round(2 * tn / (2 * tn + fp + fn)::DOUBLE, 6) AS f1_0, round((2 * tp / (2 * tp + fp + fn)::DOUBLE + 2 * tn / (2 * tn + fp + fn)::DOUBLE) / 2, 6) AS macro_f1, round((2 * tp / (2 * tp + fp + fn)::DOUBLE * (tp + fn) + 2 * tn / (2 * tn + fp + fn)::DOUBLE * (tn + fp)) / n, 6) AS weighted_f1 FROM c""")
 def clf_report(spark, sf_dir):
     df = evaluation.classification_report(scored(spark, sf_dir).withColumn("p", F.col("p_ab")))
-    return df.select("n", F.round("accuracy", 6).alias("accuracy"), F.round("log_loss", 6).alias("log_loss"), "support_1", *(F.round(c, 6).alias(c) for c in ("precision_1", "recall_1", "f1_1")))
+    return df.select("n", F.round("accuracy", 6).alias("accuracy"), F.round("log_loss", 6).alias("log_loss"), "support_1", *(F.round(c, 6).alias(c) for c in ("precision_1", "recall_1", "f1_1", "f1_0", "macro_f1", "weighted_f1")))
 
 
 @query(f"WITH e AS {duck('examples')} SELECT id, line_no, CAST(length(source_text) AS DOUBLE) AS n_source, CAST(length(edited_text) AS DOUBLE) AS n_edited FROM e")
@@ -563,6 +643,14 @@ def hard_eval_score(spark, sf_dir):
     return evaluation.score_hard_eval(cands(spark, sf_dir).withColumn("length", F.col("len_cand"))).select("item", "top1_hit", "pairwise_agree", "pairwise_total")
 
 
+@query(f"""WITH {CANDS}, best AS (SELECT item, arg_min(cand, gold_rank) AS best_human, arg_max(cand, score) AS best_model FROM c GROUP BY item),
+  pairs AS (SELECT a.item, count_if(a.score > b.score) AS agree, count(*) AS total FROM c a JOIN c b ON a.item = b.item AND a.gold_rank < b.gold_rank GROUP BY a.item)
+  SELECT count(*) AS n_labeled, count_if(best_human = best_model) AS top1_hits, round(count_if(best_human = best_model) / count(*)::DOUBLE, 9) AS top1_accuracy, sum(agree)::BIGINT AS pairwise_agree, sum(total)::BIGINT AS pairwise_total, round(sum(agree) / sum(total)::DOUBLE, 9) AS pairwise_accuracy FROM best JOIN pairs USING (item)""")
+def hard_eval_totals(spark, sf_dir):
+    df = evaluation.hard_eval_totals(evaluation.score_hard_eval(cands(spark, sf_dir).withColumn("length", F.col("len_cand"))))
+    return df.withColumns({c: F.round(c, 9) for c in ("top1_accuracy", "pairwise_accuracy")}).drop("mean_spearman")
+
+
 @query(f"""WITH c AS (SELECT item, round(cosine, 1) AS x, floor(len_cand / 500) AS y FROM {duck('candidates')}), r AS (SELECT item,
   rank() OVER (PARTITION BY item ORDER BY x) + (count(*) OVER (PARTITION BY item, x) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY item ORDER BY y) + (count(*) OVER (PARTITION BY item, y) - 1) / 2.0::DOUBLE AS b FROM c)
   SELECT item, CASE WHEN min(a) < max(a) AND min(b) < max(b) THEN round(corr(a, b), 6) END AS spearman FROM r GROUP BY item""")
@@ -579,11 +667,21 @@ def margin_stats(spark, sf_dir):
 
 
 @query(f"""WITH c AS {duck('candidates')}, w AS (SELECT item, max(CASE cand WHEN 'c1' THEN cosine END) AS h, max(CASE cand WHEN 'c2' THEN cosine END) AS m, max(CASE cand WHEN 'c3' THEN cosine END) AS k FROM c GROUP BY item)
-  SELECT item, round(CASE WHEN abs(h - k) > 0.001 THEN (m - k) / (h - k) END, 4) AS position FROM w""")
+  SELECT item, round(CASE WHEN h - k > 0.001 THEN (m - k) / (h - k) END, 4) AS position, CASE WHEN h >= m AND h >= k THEN 'human' WHEN m >= k THEN 'model' ELSE 'copy' END AS leader FROM w WHERE h IS NOT NULL AND m IS NOT NULL AND k IS NOT NULL""")
 def relative_position(spark, sf_dir):
+    return evaluation.relative_position(named_scores(spark, sf_dir)).select("item", F.round("position", 4).alias("position"), F.get("order", F.lit(0)).alias("leader"))
+
+
+@query(f"""WITH c AS {duck('candidates')}, w AS (SELECT item, max(CASE cand WHEN 'c1' THEN cosine END) AS h, max(CASE cand WHEN 'c2' THEN cosine END) AS m, max(CASE cand WHEN 'c3' THEN cosine END) AS k FROM c GROUP BY item),
+  p AS (SELECT CASE WHEN h - k > 0.001 THEN (m - k) / (h - k) END AS p FROM w WHERE h IS NOT NULL AND m IS NOT NULL AND k IS NOT NULL) SELECT count(*) AS n, round(avg(p), 4) AS mean_position, round(median(p), 4) AS median_position, round(count_if(p > 0 AND p < 1) / count(p)::DOUBLE, 6) AS between_0_1 FROM p""")
+def position_summary(spark, sf_dir):
+    df = evaluation.position_summary(evaluation.relative_position(named_scores(spark, sf_dir)))
+    return df.select("n", F.round("mean_position", 4).alias("mean_position"), F.round("median_position", 4).alias("median_position"), F.round("between_0_1", 6).alias("between_0_1"))
+
+
+def named_scores(spark, sf_dir):
     name = F.when(F.col("cand") == "c1", "human").when(F.col("cand") == "c2", "model").when(F.col("cand") == "c3", "copy")
-    df = view(spark, sf_dir, "candidates").select("item", name.alias("cand"), F.col("cosine").alias("score"))
-    return evaluation.relative_position(df).select("item", F.round("position", 4).alias("position"))
+    return view(spark, sf_dir, "candidates").select("item", name.alias("cand"), F.col("cosine").alias("score"))
 
 
 FOLDS = duck("folds")
@@ -600,6 +698,19 @@ def weak_folds(spark, sf_dir):
     return evaluation.weak_folds(view(spark, sf_dir, "folds")).select("model", "project_id", "weakness")
 
 
+@query(f"""WITH f AS {FOLDS}, r AS (SELECT model, sum(accuracy * n) / sum(n) AS micro, avg(accuracy) AS macro FROM f GROUP BY model),
+  w AS (SELECT model, string_agg(project_id, ',' ORDER BY weakness) AS weakest FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY accuracy, project_id) AS weakness FROM f) WHERE weakness <= 3 GROUP BY model)
+  SELECT model, 'b' AS source, round(micro, 6) AS micro_accuracy, round(macro, 6) AS macro_accuracy, weakest FROM r JOIN w USING (model)""")
+def encoder_compare(spark, sf_dir):
+    """Two reports of each model, of which the later one counts."""
+    f = view(spark, sf_dir, "folds")
+    own = f.groupBy("model").agg(F.collect_list(F.struct("project_id", "accuracy")).alias("folds")).join(evaluation.fold_summary(f, "model").drop("folds"), "model").withColumnRenamed("model", "embedding_model")
+    older = own.withColumn("micro_accuracy", F.lit(0.0)).withColumn("source", F.lit("a"))
+    df = evaluation.encoder_compare(own.withColumn("source", F.lit("b")).unionByName(older))
+    weakest = F.array_join(F.transform("weak_folds", lambda x: x["project_id"]), ",")
+    return df.select("model", "source", F.round("micro_accuracy", 6).alias("micro_accuracy"), F.round("macro_accuracy", 6).alias("macro_accuracy"), weakest.alias("weakest"))
+
+
 PROBE = f"""a AS {duck('activations')}, x AS (SELECT layer, project_id, unnest(draft) AS d, unnest(revised) AS r, generate_subscripts(draft, 1) AS i FROM a),
   g AS (SELECT DISTINCT layer, project_id FROM a), o AS (SELECT g.layer, g.project_id, x.i, avg(x.r) - avg(x.d) AS diff, (avg(x.r) + avg(x.d)) / 2 AS mid FROM g JOIN x ON x.layer = g.layer AND x.project_id <> g.project_id GROUP BY 1, 2, 3),
   v AS (SELECT layer, project_id, list(diff ORDER BY i) AS w, sqrt(sum(diff * diff)) AS size, sum(diff * mid) AS t FROM o GROUP BY 1, 2),
@@ -637,24 +748,65 @@ def degradations(spark, sf_dir):
     return df.select("path", "section_key", F.md5("deg_join").alias("joined"), F.md5("deg_reverse").alias("reversed"), F.md5("deg_split").alias("split"))
 
 
-@query(f"""WITH {SECTION_PAIRS} SELECT path, section_key FROM pairs WHERE paragraph_count_source >= 3 AND paragraph_count_edited >= 3 AND NOT regexp_matches(source_text || edited_text, '```|~~~|\\|--|af://|★|<!--|TODO|FIXME')""")
+def rival_rows(spark, sf_dir):
+    """Each pair of sections, and one of the same section with a longer edit and maybe another number of paragraphs."""
+    rows = mined(spark, sf_dir)
+    more = (F.length("edited_text") % 3 - 1).cast("int")
+    rival = rows.withColumn("paragraph_count_edited", F.col("paragraph_count_edited") + more).withColumn("edited_text", F.concat("edited_text", F.lit(" z"))).withColumn("line_no", F.lit(1))
+    return rows.withColumn("line_no", F.lit(0)).unionByName(rival)
+
+
+CLEAN = "paragraph_count_source >= 3 AND paragraph_count_edited >= 3 AND NOT regexp_matches(source_text || edited_text, '```|~~~|\\|--|af://|★|<!--|TODO|FIXME')"
+
+
+@query(f"""WITH {SECTION_PAIRS}, rivals AS (SELECT path, section_key, paragraph_count_source, paragraph_count_edited, source_text, edited_text, 0 AS line_no FROM pairs
+    UNION ALL SELECT path, section_key, paragraph_count_source, paragraph_count_edited + length(edited_text) % 3 - 1, source_text, edited_text || ' z', 1 FROM pairs)
+  SELECT path, section_key, md5(edited_text) AS edited, line_no FROM (SELECT *, row_number() OVER (PARTITION BY path, section_key ORDER BY abs(paragraph_count_edited - paragraph_count_source) DESC, length(edited_text), line_no) AS k FROM rivals WHERE {CLEAN}) WHERE k = 1""")
 def best_section(spark, sf_dir):
-    return hardeval.best_section(section_rows(spark, sf_dir)).select("path", "section_key")
+    return hardeval.best_section(rival_rows(spark, sf_dir)).select("path", "section_key", F.md5("edited_text").alias("edited"), "line_no")
 
 
 def windows(spark, sf_dir):
     return hardeval.expand_windows(hardeval.best_section(section_rows(spark, sf_dir)))
 
 
-@query()
+NL = "chr(10)"
+
+
+def _trim(t: str) -> str:
+    return f"regexp_replace({t}, '^\n+|\n+$', '', 'g')"
+
+
+def _paragraphs(t: str) -> str:
+    body = _trim(f"substr({t}, length(string_split({t}, {NL})[1]) + 2)")
+    return f"list_transform(list_filter(string_split({body}, {NL} || {NL}), lambda p: {D.strip('p')} <> ''), lambda p: {_trim('p')})"
+
+
+def _headed(head: str, body: str) -> str:
+    return f"({head} || {NL} || {NL} || {_trim(body)} || {NL})"
+
+
+WINDOWS = f"""{SECTION_PAIRS}, two AS (SELECT path, section_key, {_trim('source_text')} || {NL} AS s, {_trim('edited_text')} || {NL} AS e FROM pairs WHERE {CLEAN}),
+  parted AS (SELECT *, string_split(s, {NL})[1] AS hs, string_split(e, {NL})[1] AS he, {_paragraphs('s')} AS ps, {_paragraphs('e')} AS pe FROM two),
+  fit AS (SELECT *, least(len(ps), len(pe)) AS few, least(len(ps), len(pe)) >= 3 AND list_avg(list_transform(ps, lambda x: length(x))) >= 20 AND list_avg(list_transform(pe, lambda x: length(x))) >= 20 AS fine FROM parted),
+  w AS (SELECT path, section_key, 'section' AS unit, 0 AS window_start, s AS base, e AS human FROM fit
+    UNION ALL SELECT path, section_key, 'window', CAST(i AS INT), {_headed('hs', f"array_to_string(ps[i + 1:i + 3], {NL} || {NL})")}, {_headed('he', f"array_to_string(pe[i + 1:i + 3], {NL} || {NL})")} FROM (SELECT *, unnest(range(0, few - 2)) AS i FROM fit WHERE fine))"""
+
+
+@query(f"WITH {WINDOWS} SELECT path, section_key, unit, window_start, md5(base) AS base, md5(human) AS human FROM w")
 def window_candidates(spark, sf_dir):
-    return windows(spark, sf_dir).select("path", "section_key", "unit", "window_start", F.md5("human_text").alias("human"))
+    return windows(spark, sf_dir).select("path", "section_key", "unit", "window_start", F.md5("base_text").alias("base"), F.md5("human_text").alias("human"))
 
 
-@query()
+@query(f"""WITH {WINDOWS}, h AS (SELECT *, string_split(human, {NL})[1] AS head, {_paragraphs('human')} AS ps FROM w),
+  c AS (SELECT *, {_headed('head', f"array_to_string(ps, {NL})")} AS joined, {_headed('head', f"array_to_string(list_reverse(ps), {NL} || {NL})")} AS reversed,
+    {_headed('head', f"array_to_string(list_filter(string_split(array_to_string(ps, {NL}), {NL}), lambda l: {D.strip('l')} <> ''), {NL} || {NL})")} AS split FROM h),
+  a AS (SELECT *, list_transform([human, joined, split, base, reversed], lambda t: {D.strip('t')}) AS five FROM c)
+  SELECT path, section_key, unit, window_start, md5(joined) AS joined, md5(split) AS split, md5(reversed) AS reversed FROM a
+  WHERE len(list_filter(five, lambda t: t = five[2])) = 1 AND len(list_filter(five, lambda t: t = five[3])) = 1 AND len(list_filter(five, lambda t: t = five[5])) = 1""")
 def candidate_set(spark, sf_dir):
-    df = hardeval.candidate_set(windows(spark, sf_dir))
-    return df.select("path", "section_key", "unit", "window_start", F.transform("candidates", lambda c: c["id"]).alias("ids"))
+    text = lambda i: F.md5(F.get("candidates", F.lit(i))["text"])
+    return hardeval.candidate_set(windows(spark, sf_dir)).select("path", "section_key", "unit", "window_start", text(1).alias("joined"), text(2).alias("split"), text(4).alias("reversed"))
 
 
 def words_and_marks(base: str, text: str) -> int:

@@ -27,6 +27,9 @@ DEFAULT_PROMPT = (
     "\n修正前にない含意を追加せず、段落内の主題連鎖を意識してください。"
 )
 
+#: Characters of Unicode's White_Space, which `(?U)\s` stands for.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 _LINE_END = r"\r\n|[\n\r\u000B\f\u001C\u001D\u001E\u0085  ]"
 
 
@@ -35,11 +38,11 @@ def _c(x: Column | str) -> Column:
 
 
 def strip(t: Column | str) -> Column:
-    return F.regexp_replace(_c(t), r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(_c(t), F.lit(WHITE))
 
 
 def rstrip(t: Column | str) -> Column:
-    return F.regexp_replace(_c(t), r"(?U)\s+\z", "")
+    return F.rtrim(_c(t), F.lit(WHITE))
 
 
 def split_lines(t: Column | str) -> Column:
@@ -73,20 +76,32 @@ def english_words(t: Column) -> Column:
 
 
 def has_language(t: Column | str, script: str = TARGET_SCRIPT) -> Column:
-    text = strip_reference(t)
-    return text.rlike(script) | (english_words(text) >= 4)
+    return plain_has_language(strip_reference(t), script)
+
+
+def plain_has_language(plain: Column, script: str) -> Column:
+    """Of a text without its reference block."""
+    return plain.rlike(script) | (english_words(plain) >= 4)
 
 
-def _filled_lines(t: Column | str) -> Column:
-    return F.filter(F.transform(split_lines(strip_reference(t)), strip), lambda x: x != "")
+def filled_lines(plain: Column) -> Column:
+    """Stripped lines that aren't empty, of a text without its reference block."""
+    return F.filter(F.transform(split_lines(plain), strip), lambda x: x != "")
 
 
 def is_directive_only(t: Column | str) -> Column:
-    return F.forall(_filled_lines(t), lambda x: x.rlike(RULE_LINE) | x.rlike(DIRECTIVE_LINE))
+    return lines_are_directives(filled_lines(strip_reference(t)))
+
+
+def lines_are_directives(lines: Column) -> Column:
+    return F.forall(lines, lambda x: x.rlike(RULE_LINE) | x.rlike(DIRECTIVE_LINE))
 
 
 def is_short_fragment(t: Column | str, script: str = TARGET_SCRIPT) -> Column:
-    lines = _filled_lines(t)
+    return lines_are_fragment(filled_lines(strip_reference(t)), script)
+
+
+def lines_are_fragment(lines: Column, script: str) -> Column:
     line = F.element_at(lines, 1)
     foreign, size = ~line.rlike(script), F.length(normalize(line))
     short = line.rlike(AUTHOR_DATE) | (line.rlike(r"\A[-*]") & foreign) | (foreign & (english_words(line) <= 3) & (size < 40)) | (size < 12)
@@ -184,6 +199,7 @@ def _up_to(t: Column, pattern: str) -> Column:
 
 def strip_meta_revision(t: Column | str) -> Column:
     """Lead-ins before a revision, rules and explanations after it, in this order."""
+    # The patterns and their order.
     text = strip(t)
     marked = r"(?s)\A.*?\*\*推敲後[^*]*\*\*[：:]*(?U)\s*\n+(.*)\z"
     text = F.when(text.rlike(marked), strip(F.regexp_extract(text, marked, 1))).otherwise(text)
@@ -254,6 +270,19 @@ def length_ratio(revised: Column, draft: Column) -> Column:
     return F.length(revised) / F.greatest(F.length(draft), F.lit(1))
 
 
+def project_id_of(repo_name: Column | str, explicit: Column | str | None = None) -> Column:
+    """The given id, or else the slug of the repository's name."""
+    named = slug(repo_name)
+    return named if explicit is None else F.coalesce(F.nullif(_c(explicit), F.lit("")), named)
+
+
+def source_reference(path: Column, base: Column, edit: Column, base_commit: Column, edit_commit: Column, section: Column | None = None) -> Column:
+    """path:base@commit->edit@commit with 8 digits of each commit; of sections with their mark and key."""
+    side = lambda name, commit: F.concat(name, F.lit("@"), F.substring(commit, 1, 8))
+    span = F.concat(side(base, base_commit), F.lit("->"), side(edit, edit_commit))
+    return F.concat(path, F.lit(":"), span) if section is None else F.concat(path, F.lit(":section:"), span, F.lit(":"), section)
+
+
 def project_of(t: Column | str) -> Column:
     return F.coalesce(F.nullif(_c(t), F.lit("")), F.lit("(unknown)"))
 

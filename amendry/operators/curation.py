@@ -51,24 +51,41 @@ def build_dpo(examples: DataFrame, rejected: str = "source", prompt: str = T.DEF
     )
 
 
+def prepared(df: DataFrame, *texts: str) -> DataFrame:
+    """Adds `_made`: each text stripped, without its reference block, as filled lines and without white space.
+
+    Exploding a struct of one row keeps the optimizer from copying these expressions into every rule.
+    """
+    plain = F.explode(F.array(F.struct(*(T.strip_reference(t).alias(t) for t in texts))))
+    df = df.withColumn("_plain", plain)
+    made = F.struct(*(F.struct(F.col(f"_plain.{t}").alias("plain"), F.length(T.strip(t)).alias("size"), T.filled_lines(F.col(f"_plain.{t}")).alias("lines"), T.normalize(t).alias("dense")).alias(t) for t in texts))
+    return df.withColumn("_made", F.explode(F.array(made))).drop("_plain")
+
+
+def _bad_ratio(low: float = 0.15, high: float = 6.0) -> Column:
+    size = lambda x: F.greatest(F.length(x), F.lit(1))
+    base = size(T.normalize(F.col("_made.input.plain")))
+    return reduce(lambda a, b: a | b, [(r > high) | (r < low) for r in (size(F.col(f"_made.{t}.dense")) / base for t in ("chosen", "rejected"))])
+
+
 def reject_reason(
     min_chars: int = 5, max_chars: int = 2500, script: str = T.TARGET_SCRIPT, exclude: Sequence[str] = (), drop_citation_only: bool = False
 ) -> Column:
-    """The first rule that a row (input, chosen, rejected, source_reference) breaks, or null."""
-    texts = [F.col(x) for x in ("input", "chosen", "rejected")]
-    either = lambda f: reduce(lambda a, b: a | b, [f(t) for t in texts])
+    """The first rule that a row (input, chosen, rejected, source_reference) breaks, or null; after `prepared`."""
+    texts = ("input", "chosen", "rejected")
+    either = lambda part, f: reduce(lambda a, b: a | b, [f(F.col(f"_made.{t}.{part}")) for t in texts])
     blob = F.concat_ws("\n", *texts, F.coalesce(F.col("source_reference"), F.lit("")))
     rules = [
-        ("bad_length", either(lambda t: ~F.length(T.strip(t)).between(min_chars, max_chars))),
-        ("same_choice", T.normalize("chosen") == T.normalize("rejected")),
+        ("bad_length", either("size", lambda n: ~n.between(min_chars, max_chars))),
+        ("same_choice", F.col("_made.chosen.dense") == F.col("_made.rejected.dense")),
         ("citation_or_bib_only", T.is_citation_only("chosen", "rejected") if drop_citation_only else F.lit(False)),
         ("user_exclude_pattern", reduce(lambda a, b: a | b, [blob.rlike(p) for p in exclude], F.lit(False))),
         ("placeholder_note", blob.rlike(T.PLACEHOLDER)),
-        ("directive_only", either(T.is_directive_only)),
-        ("short_fragment", either(lambda t: T.is_short_fragment(t, script))),
+        ("directive_only", either("lines", T.lines_are_directives)),
+        ("short_fragment", either("lines", lambda x: T.lines_are_fragment(x, script))),
         ("no_japanese_target", ~F.col("chosen").rlike(script) & ~F.col("rejected").rlike(script)),
-        ("non_paragraph", either(lambda t: ~T.has_language(t, script))),
-        ("bad_length_ratio", T.bad_length_ratio("input", "chosen", "rejected")),
+        ("non_paragraph", either("plain", lambda t: ~T.plain_has_language(t, script))),
+        ("bad_length_ratio", _bad_ratio()),
     ]
     case = F.when(rules[0][1], rules[0][0])
     for name, rule in rules[1:]:
@@ -79,10 +96,12 @@ def reject_reason(
 def with_reason(dpo: DataFrame, project: str | None = None, **options) -> DataFrame:
     """Each row with its `reason`: of another project, rejected by a rule, a later duplicate, or null for kept rows."""
     other = (F.col("project_id") != project) if project else F.lit(False)
-    df = dpo.withColumn("reason", F.when(other, "project_id_mismatch").otherwise(reject_reason(**options)))
-    key = F.md5(F.concat_ws("\u0001", T.normalize("input"), T.normalize("chosen"), T.normalize("rejected")))
-    rank = F.row_number().over(Window.partitionBy(key, F.col("reason").isNull()).orderBy("created_at", "id"))
-    return df.withColumn("_rank", rank).withColumn("reason", F.when(F.col("reason").isNull() & (F.col("_rank") > 1), "duplicate").otherwise(F.col("reason"))).drop("_rank")
+    df = prepared(dpo, "input", "chosen", "rejected")
+    df = df.withColumn("reason", F.when(other, "project_id_mismatch").otherwise(reject_reason(**options)))
+    key = F.md5(F.concat_ws("\u0001", *(F.col(f"_made.{t}.dense") for t in ("input", "chosen", "rejected"))))
+    df = df.withColumn("_key", key).drop("_made")
+    rank = F.row_number().over(Window.partitionBy("_key", F.col("reason").isNull()).orderBy("created_at", "id"))
+    return df.withColumn("_rank", rank).withColumn("reason", F.when(F.col("reason").isNull() & (F.col("_rank") > 1), "duplicate").otherwise(F.col("reason"))).drop("_rank", "_key")
 
 
 def curated(dpo: DataFrame, **options) -> DataFrame:
@@ -104,6 +123,18 @@ def build_pref(dpo: DataFrame, swap: bool = True, strip_reference: bool = False)
     return dpo.select(F.col("id").alias("base_id"), source.alias("source_text"), "project_id", "created_at", F.explode(F.array(*sides)).alias("side")).select("base_id", "source_text", "project_id", "created_at", "side.*")
 
 
+def split_counts(ruled: DataFrame, swap: bool = True, key: str = "id", train: float = 0.8, valid: float = 0.1) -> DataFrame:
+    """(project_id, part, n) of rows `with_reason`, in one pass: pairs of each split, and dropped rows of each reason."""
+    kept = F.col("reason").isNull()
+    part = F.coalesce("reason", T.choose_split(T.bucket(key), train, valid))
+    return ruled.groupBy("project_id", part.alias("part")).agg(F.sum(F.when(kept, 2 if swap else 1).otherwise(1)).alias("n"))
+
+
+def merge_counts(merged: DataFrame, tag: str = "section_pair_mined", labels: str = "labels") -> DataFrame:
+    """Rows of a merged table, and those with the tag."""
+    return merged.agg(F.count(F.lit(1)).alias("n_merged"), F.count_if(F.coalesce(F.array_contains(labels, tag), F.lit(False))).alias("n_tagged"))
+
+
 def hash_split(pref: DataFrame, key: str = "base_id", train: float = 0.8, valid: float = 0.1) -> DataFrame:
     """The split of each row by a hash of its key, so twins stay together."""
     return pref.withColumn("score", T.bucket(key)).withColumn("split", T.choose_split(F.col("score"), train, valid))

@@ -32,6 +32,15 @@ def score_hard_eval(cands: DataFrame, item: str = "item") -> DataFrame:
     return best.join(agree, item).join(spearman(cands, item, "score", "length"), item).withColumn("top1_hit", F.col("best_human") == F.col("best_model"))
 
 
+def hard_eval_totals(items: DataFrame) -> DataFrame:
+    """One row over the items of `score_hard_eval`: top-1 and pairwise accuracy with their counts, and the mean correlation."""
+    hits, agree, total = F.count_if("top1_hit"), F.sum("pairwise_agree"), F.sum("pairwise_total")
+    return items.agg(
+        F.count(F.lit(1)).alias("n_labeled"), hits.alias("top1_hits"), F.try_divide(hits, F.count(F.lit(1))).alias("top1_accuracy"), agree.alias("pairwise_agree"),
+        total.alias("pairwise_total"), F.try_divide(agree, total).alias("pairwise_accuracy"), F.avg("spearman").alias("mean_spearman"),
+    )
+
+
 def margin_stats(scores: DataFrame, item: str = "item") -> DataFrame:
     """Per pair of candidates (a before b by gold rank): n, win rate, mean, median, least and largest s(a) - s(b)."""
     a, b = scores.alias("a"), scores.alias("b")
@@ -43,11 +52,19 @@ def margin_stats(scores: DataFrame, item: str = "item") -> DataFrame:
 
 
 def relative_position(scores: DataFrame, item: str = "item", least_span: float = 1e-3) -> DataFrame:
-    """(model - copy) / (human - copy) of each item with enough span, with the three margins."""
-    wide = scores.groupBy(item).pivot("cand", ["human", "model", "copy"]).agg(F.first("score"))
+    """(model - copy) / (human - copy) of each item whose human text is far enough above the copy, the three margins, and
+    the names in order of their scores. Items that lack one of the three take no part."""
+    wide = scores.groupBy(item).pivot("cand", ["human", "model", "copy"]).agg(F.first("score")).where("human IS NOT NULL AND model IS NOT NULL AND copy IS NOT NULL")
     span = F.col("human") - F.col("copy")
-    df = wide.select(item, (F.col("human") - F.col("model")).alias("human_model"), (F.col("model") - F.col("copy")).alias("model_copy"), span.alias("human_copy"))
-    return df.withColumn("position", F.when(F.abs("human_copy") > least_span, F.col("model_copy") / F.col("human_copy")))
+    names = F.array_sort(F.array(*(F.struct((-F.col(c)).alias("s"), F.lit(i).alias("i"), F.lit(c).alias("name")) for i, c in enumerate(("human", "model", "copy")))))
+    df = wide.select(item, F.transform(names, lambda x: x["name"]).alias("order"), (F.col("human") - F.col("model")).alias("human_model"), (F.col("model") - F.col("copy")).alias("model_copy"), span.alias("human_copy"))
+    return df.withColumn("position", F.when(F.col("human_copy") > least_span, F.col("model_copy") / F.col("human_copy")))
+
+
+def position_summary(positions: DataFrame) -> DataFrame:
+    """Items, mean and median position, and the share of positions between copy and human."""
+    p = F.col("position")
+    return positions.agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_position"), F.median(p).alias("median_position"), F.avg(F.when(p.isNotNull(), ((p > 0) & (p < 1)).cast("double"))).alias("between_0_1"))
 
 
 def classification_report(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
@@ -79,6 +96,24 @@ def weak_folds(folds: DataFrame, model: str = "model", most: int = 3) -> DataFra
     return folds.withColumn("weakness", rank).where(F.col("weakness") <= most)
 
 
+def encoder_compare(reports: DataFrame, most: int = 3) -> DataFrame:
+    """The last report of each model by its source, with its weakest folds, best micro accuracy first.
+
+    `reports` has embedding_model, source, micro_accuracy, macro_accuracy, micro_log_loss and folds.
+    """
+    last = F.row_number().over(Window.partitionBy("embedding_model").orderBy(F.desc("source")))
+    folds = F.array_sort(F.transform("folds", lambda f: F.struct(f["accuracy"].alias("accuracy"), f["project_id"].alias("project_id"))))
+    df = reports.withColumn("_last", last).where("_last = 1").withColumn("weak_folds", F.slice(folds, 1, most))
+    return df.select(F.col("embedding_model").alias("model"), "source", "micro_accuracy", "macro_accuracy", "micro_log_loss", "weak_folds").orderBy(F.desc("micro_accuracy"), "model")
+
+
+def mode_summary(gens: DataFrame, modes: tuple[str, ...]) -> DataFrame:
+    """Per mode, over the ids that all modes have: n, mean score and mean length ratio of `generated` to `draft`."""
+    ratio = F.length("generated") / F.greatest(F.length("draft"), F.lit(1))
+    df = gens.where(F.col("mode").isin(*modes)).join(common_ids(gens, modes), "id", "left_semi")
+    return df.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.avg(ratio).alias("mean_length_ratio"))
+
+
 def generation_summary(gens: DataFrame, modes: tuple[str, str]) -> DataFrame:
     """Per project and (project null) overall: wins, losses, ties and win rate of the first mode over the second.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from amendry.functions import text as T
 from amendry.operators.curation import first_by
 
+SIDES = ("base_label", "edit_label", "base_commit", "edit_commit")
 TEXT_SUFFIXES = ("md", "rst", "txt", "adoc", "org")
 
 
@@ -23,7 +24,7 @@ def parse_unified_diff(diffs: DataFrame, diff: str = "diff") -> DataFrame:
     """One row for each usable hunk of each diff: its number, line numbers, and both sides without blank lines.
 
     Works inside each row, without a shuffle. File headers are skipped wherever they stand, so a removed line that
-    starts with "-- " is lost.
+    starts with "-- " is lost. Diffs that name labels and commits of both sides give each hunk its source_reference.
     """
     lines = T.split_lines(diff)
     numbered = F.filter(F.transform(F.col("_lines"), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("at"))), lambda s: F.startswith(s["x"], F.lit("@@ ")))
@@ -36,6 +37,8 @@ def parse_unified_diff(diffs: DataFrame, diff: str = "diff") -> DataFrame:
     )
     number = lambda sign: F.nullif(F.regexp_extract("_hunk.head", rf"\A@@ .*?\{sign}(\d+)", 1), F.lit("")).cast("int")
     out = df.withColumn("source_text", side("-", "--- ")).withColumn("edited_text", side("+", "+++ "))
+    if set(SIDES) <= set(diffs.columns):
+        out = out.withColumn("source_reference", T.source_reference(F.col("path"), *map(F.col, SIDES)))
     out = out.withColumn("hunk_no", F.col("_hunk.hunk_no")).withColumn("line_old", number("-")).withColumn("line_new", number("+"))
     return out.where(T.usable_pair("source_text", "edited_text")).drop("_hunk", diff)
 
@@ -102,26 +105,43 @@ def section_pairs(revisions: DataFrame, base: str, edit: str, max_chars: int = 1
     digest = F.substring(F.sha2(F.concat_ws("\n---\n", "section_key", "source_text", "edited_text"), 256), 1, 12)
     shapes = [f(x).alias(f"{n}_count_{s}") for n, f in (("paragraph", T.paragraph_count), ("line", T.line_count)) for s, x in (("source", "source_text"), ("edited", "edited_text"))]
     key = F.substring(T.slug("section_key"), 1, 48)
+    if "commit" in revisions.columns:
+        named = lambda ref, name: revisions.where(F.col("ref") == ref).select("project_id", "path", F.col("commit").alias(name))
+        df = df.join(named(base, "_base"), ["project_id", "path"]).join(named(edit, "_edit"), ["project_id", "path"])
+        whence = T.source_reference(F.col("path"), F.lit(base), F.lit(edit), F.col("_base"), F.col("_edit"), F.col("section_key"))
+        df = df.withColumn("source_reference", whence).drop("_base", "_edit")
     return df.select("*", F.concat_ws("-", "project_id", T.slug("path"), key, digest).alias("id"), *shapes)
 
 
 def section_stats(pairs: DataFrame) -> DataFrame:
-    """Shares of paragraph and line changes, and lengths of both sides (mean cut to int, median, positional 90 %)."""
-    share = lambda c: F.avg(c.cast("double"))
+    """Shares of paragraph and line changes, and lengths of both sides (mean cut to int, median, positional 90 %).
+
+    Rows are counted by side and length first; percentiles come from running sums over the lengths, of which there are
+    as many as the longest text has characters.
+    """
+    flags = {
+        "boundary_share": F.contains("source_text", F.lit("\n\n")) | F.contains("edited_text", F.lit("\n\n")),
+        "multi_share": (F.col("paragraph_count_source") > 1) | (F.col("paragraph_count_edited") > 1),
+        "paragraphs_changed": F.col("paragraph_count_source") != F.col("paragraph_count_edited"),
+        "lines_changed": F.col("line_count_source") != F.col("line_count_edited"),
+    }
+    sides = F.array(*(F.struct(F.lit(s).alias("side"), F.length(f"{s}_text").alias("length")) for s in ("source", "edited")))
+    rows = pairs.select(*(c.alias(name) for name, c in flags.items()), F.explode(sides).alias("s")).select(*flags, "s.*")
+    by = rows.groupBy("side", "length").agg(F.count(F.lit(1)).alias("c"), *(F.count_if(F.col(x)).alias(x) for x in flags))
+    own = Window.partitionBy("side")
+    by = by.withColumn("upto", F.sum("c").over(own.orderBy("length"))).withColumn("all", F.sum("c").over(own))
+    n = F.sum(F.when(F.col("side") == "source", F.col("c")).otherwise(0))
 
     def lengths(side: str) -> list[Column]:
-        n = F.length(f"{side}_text")
-        at = F.sort_array(F.collect_list(n))
-        return [F.floor(F.avg(n)).alias(f"{side}_mean"), F.median(n).alias(f"{side}_median"), F.element_at(at, (F.floor(F.count(n) * 0.9) + 1).cast("int")).alias(f"{side}_p90")]
+        here = F.col("side") == side
+        at = lambda place: F.min(F.when(here & (F.col("upto") >= place), F.col("length")))  # noqa: E731  the length with this number, from 1
+        total = F.col("all")
+        median = (at(F.floor((total + 1) / 2)) + at(F.floor(total / 2) + 1)) / 2
+        mean = F.floor(F.sum(F.when(here, F.col("length") * F.col("c")).otherwise(0)) / F.nullif(n, F.lit(0)))
+        return [mean.alias(f"{side}_mean"), median.alias(f"{side}_median"), at(F.floor(total * 0.9) + 1).alias(f"{side}_p90")]
 
-    return pairs.agg(
-        F.count(F.lit(1)).alias("n"),
-        share(F.contains("source_text", F.lit("\n\n")) | F.contains("edited_text", F.lit("\n\n"))).alias("boundary_share"),
-        share((F.col("paragraph_count_source") > 1) | (F.col("paragraph_count_edited") > 1)).alias("multi_share"),
-        share(F.col("paragraph_count_source") != F.col("paragraph_count_edited")).alias("paragraphs_changed"),
-        share(F.col("line_count_source") != F.col("line_count_edited")).alias("lines_changed"),
-        *lengths("source"), *lengths("edited"),
-    )
+    share = lambda x: F.sum(F.when(F.col("side") == "source", F.col(x))) / F.nullif(n, F.lit(0))
+    return by.agg(F.coalesce(n, F.lit(0)).alias("n"), *(share(x).alias(x) for x in flags), *lengths("source"), *lengths("edited"))
 
 
 def edit_merges(commits: DataFrame, prefix: str = "edit/") -> DataFrame:
@@ -148,7 +168,7 @@ def fork_points(commits: DataFrame, merges: DataFrame, most_steps: int = 10_000)
     """(project_id, commit, fork): the nearest common ancestor of each merge's two parents.
 
     Ancestors of both parents are walked together, one join a generation; the fork is the common ancestor that is no
-    ancestor of another common one, the least id if several.
+    ancestor of another common one, the least id if several. A history deeper than `most_steps` generations is an error.
     """
     from amendry.plans.scratch import written
 
@@ -156,11 +176,13 @@ def fork_points(commits: DataFrame, merges: DataFrame, most_steps: int = 10_000)
     starts = merges.select("project_id", "commit", F.posexplode("parents").alias("side", "ancestor"))
     seen = written(starts, "ancestors")
     front = seen
-    for _ in range(most_steps):
+    for step_no in range(most_steps + 1):
         step = front.join(edges, (front["project_id"] == edges["project_id"]) & (front["ancestor"] == edges["child"])).select(front["project_id"], "commit", "side", F.col("parent").alias("ancestor")).distinct()
         front = written(step.join(seen, ["project_id", "commit", "side", "ancestor"], "left_anti"), "front")
         if front.isEmpty():
             break
+        if step_no == most_steps:
+            raise ValueError(f"histories are deeper than {most_steps} generations")
         seen = written(seen.union(front), "ancestors")
     common = written(seen.groupBy("project_id", "commit", "ancestor").agg(F.countDistinct("side").alias("sides")).where("sides = 2").select("project_id", "commit", "ancestor"), "common")
     passed = common.join(edges, (common["project_id"] == edges["project_id"]) & (common["ancestor"] == edges["child"])).select(common["project_id"], "commit", F.col("parent").alias("ancestor"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amendry.functions import vectors as V
+from amendry.functions.text import project_of
 from amendry.operators.evaluation import fold_summary
 
 
@@ -60,14 +61,17 @@ def fit_bt(pairs: DataFrame, c: float = 1.0, max_iter: int = 2000) -> LinearMode
     return _fit(both, c, max_iter, center=False, intercept=False)
 
 
-def lopo(df: DataFrame, kind: str = "pairwise", threads: int = 4, **options) -> DataFrame:
+def lopo(df: DataFrame, kind: str = "pairwise", threads: int = 4, most_projects: int = 200, **options) -> DataFrame:
     """(project_id, n, accuracy, log_loss) of a model fitted on all other projects, for each project.
 
     kind "pairwise" has features and label, "bt" better and worse. Features are kept while the folds are fitted by a
-    few threads of the driver; the number of projects is small. Two projects at least.
+    few threads of the driver; more than `most_projects` are an error. Rows without a project are one project.
+    Two projects at least.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    projects = [r[0] for r in df.groupBy("project_id").count().orderBy(F.desc("count"), "project_id").collect()]
+    df = df.withColumn("project_id", project_of("project_id")).persist(StorageLevel.MEMORY_AND_DISK)
+    projects = [r[0] for r in df.groupBy("project_id").count().orderBy(F.desc("count"), "project_id").limit(most_projects + 1).collect()]
+    if len(projects) > most_projects:
+        raise ValueError(f"more than {most_projects} projects, each of which needs a fit")
     if len(projects) < 2:
         raise ValueError("leave-one-project-out needs two projects")
 

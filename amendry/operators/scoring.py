@@ -82,6 +82,13 @@ def check(hunks: DataFrame, weights: Column, flagged: bool = False) -> DataFrame
     return only_flagged(df) if flagged else df
 
 
+def with_source(df: DataFrame, item: str = "item", index: str = "cand_index", score: str = "score", source_score: str = "source_score") -> DataFrame:
+    """The candidates and, as candidate 0 of each item, its source with the source's own score; `is_source` marks it."""
+    columns = [F.col(c) if c in (item, source_score) else F.lit(0).cast(df.schema[c].dataType).alias(c) if c == index else F.col(source_score).alias(c) if c == score else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns]
+    own = df.groupBy(item).agg(F.min(source_score).alias(source_score)).select(*columns, F.lit(True).alias("is_source"))
+    return df.withColumn("is_source", F.lit(False)).unionByName(own)
+
+
 def best_of_n(df: DataFrame, item: str = "item", index: str = "cand_index", score: str = "score", source_score: str = "source_score", min_margin: float | None = None) -> DataFrame:
     """Rank of each candidate by (-score, index), its margin over the source, and whether the item's best is accepted."""
     own = Window.partitionBy(item)

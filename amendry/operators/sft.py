@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -36,7 +37,12 @@ def prompt(draft: Column | str, norms: Column | str | None, task: str) -> Column
 
 
 def sft_holdout(pairs: DataFrame, holdout: DataFrame, seed: int = 7) -> DataFrame:
-    """Every pair with split "holdout" or "train"; train rows have their place in a seeded order."""
+    """Every pair with split "holdout" or "train"; train rows have their place in a seeded order.
+
+    A holdout project without pairs is an error.
+    """
+    if unknown := [r[0] for r in missing_keys(holdout, pairs, "project_id").orderBy("project_id").limit(5).collect()]:
+        raise ValueError(f"unknown holdout projects: {unknown}")
     names = holdout.select("project_id").distinct().withColumn("_held", F.lit(True))
     df = pairs.join(names, "project_id", "left")
     return df.withColumn("split", F.when(F.col("_held"), "holdout").otherwise("train")).withColumn("order_key", F.xxhash64("id", F.lit(seed))).drop("_held")
@@ -75,11 +81,16 @@ def edit_similarity(a: str, b: str) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def pair_stats(pairs: DataFrame) -> DataFrame:
-    """Per project and (project null) overall: rows, mean and 10, 50 and 90 % points of the length ratio."""
+def pair_stats(pairs: DataFrame, similarity: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """Per project and (project null) overall: rows, mean and 10, 50 and 90 % points of the length ratio.
+
+    With `similarity` (`char_similarity` or `edit_similarity`) the same of the likeness of draft and revised.
+    """
     ratio = T.length_ratio(F.col("revised"), F.col("draft"))
-    df = pairs.select("project_id", ratio.alias("r"))
-    return df.rollup("project_id").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_ratio"), *(F.percentile("r", F.lit(q / 100)).alias(f"p{q}") for q in (10, 50, 90)))
+    df = pairs.select("project_id", ratio.alias("r"), *([similarity("draft", "revised").alias("s")] if similarity else []))
+    points = lambda c, lead: [F.percentile(c, F.lit(q / 100)).alias(f"{lead}{q}") for q in (10, 50, 90)]
+    more = [F.avg("s").alias("mean_similarity"), *points("s", "s")] if similarity else []
+    return df.rollup("project_id").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_ratio"), *points("r", "p"), *more)
 
 
 def load_generations(gens: DataFrame) -> DataFrame:

@@ -54,7 +54,19 @@ def usable(s: str, e: str, most: int) -> str:
     return f"({s} <> '' AND {e} <> '' AND length({s}) <= {most} AND length({e}) <= {most} AND regexp_matches({s} || {e}, '[\\x{{3040}}-\\x{{30FF}}\\x{{4E00}}-\\x{{9FFF}}A-Za-z0-9]'))"
 
 
-def reject_reason() -> str:
+def markup_free(t: str) -> str:
+    return normalize(f"regexp_replace(regexp_replace({before_reference(t)}, '\\[\\d+\\]', '', 'g'), '\\[@(?:book|article|inproceedings|misc):[^\\]]+\\]', '', 'g')")
+
+
+def citation_only(a: str, b: str) -> str:
+    return f"({normalize(a)} <> {normalize(b)} AND {markup_free(a)} = {markup_free(b)})"
+
+
+#: Text of a generation in one line, without marks that cleaning looks for.
+LINES = "regexp_replace(generated, '[\\n#*-]+', ' ', 'g')"
+
+
+def reject_reason(citations: bool = False) -> str:
     three = ("input", "chosen", "rejected")
     some = lambda f: "(" + " OR ".join(f(t) for t in three) + ")"
     blob = "concat_ws(chr(10), input, chosen, rejected, source_reference)"
@@ -62,6 +74,7 @@ def reject_reason() -> str:
     return f"""CASE
   WHEN {some(lambda t: f"length({strip(t)}) NOT BETWEEN 5 AND 2500")} THEN 'bad_length'
   WHEN {normalize('chosen')} = {normalize('rejected')} THEN 'same_choice'
+  WHEN {citation_only('chosen', 'rejected') if citations else 'false'} THEN 'citation_or_bib_only'
   WHEN regexp_matches({blob}, 'zz9') THEN 'user_exclude_pattern'
   WHEN regexp_matches({blob}, '(要確認|原著者に確認|著者に確認|真意を.*確認|念の為.*確認|と思われるが|確認する必要|確認が必要)') THEN 'placeholder_note'
   WHEN {some(directive_only)} THEN 'directive_only'

@@ -136,10 +136,11 @@ FROM embeddings x JOIN embeddings y ON x.vec_id % 2 = 0 AND y.vec_id = x.vec_id
 def generations(d: Dialect) -> str:
     """First, second and third assistant turn of each conversation as two modes and a reference text."""
     return """
-WITH r AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'assistant')
-SELECT concat('g', conv_id) AS id, concat('p', conv_id % 13) AS project_id,
-  CASE k WHEN 1 THEN 'adapter' WHEN 2 THEN 'base_norms' ELSE 'gold' END AS mode, text AS generated, CAST(k AS INT) AS line_no,
-  CAST(length(text) % 17 AS DOUBLE) AS score FROM r WHERE k <= 3"""
+WITH r AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'assistant'),
+u AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user')
+SELECT concat('g', r.conv_id) AS id, concat('p', r.conv_id % 13) AS project_id,
+  CASE r.k WHEN 1 THEN 'adapter' WHEN 2 THEN 'base_norms' ELSE 'gold' END AS mode, r.text AS generated, CAST(r.k AS INT) AS line_no,
+  CAST(length(r.text) % 17 AS DOUBLE) AS score, u.text AS draft FROM r LEFT JOIN u ON u.conv_id = r.conv_id AND u.k = 1 WHERE r.k <= 3"""
 
 
 def commits(d: Dialect) -> str:

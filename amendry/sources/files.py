@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -53,7 +53,8 @@ def read_revisions(spark: SparkSession, path: str, project_id: str, ref: str) ->
 def read_candidates_dir(spark: SparkSession, path: str) -> DataFrame:
     """One candidate for each file that isn't hidden, numbered in order of names."""
     df = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("text"))
-    place = F.array_position(F.lit(sorted(r.name for r in df.select("name").collect())), F.col("name")).cast("int") - 1
+    # The window has one group: a folder of candidates for one source text.
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("name")) - 1
     return df.withColumn("cand_index", place)
 
 

@@ -7,7 +7,8 @@ SCHEMA = "id string, input string, chosen string, rejected string, source_refere
 
 
 def reason(spark, inp, chosen, rejected, reference="", **options):
-    return spark.createDataFrame([("i", inp, chosen, rejected, reference, "p", 0)], SCHEMA).select(C.reject_reason(**options)).first()[0]
+    row = spark.createDataFrame([("i", inp, chosen, rejected, reference, "p", 0)], SCHEMA)
+    return C.prepared(row, "input", "chosen", "rejected").select(C.reject_reason(**options)).first()[0]
 
 
 A, B = "これは下書きの本文であり十分な長さがある。", "これは推敲後の本文であり十分に長い文章だ。"
