@@ -18,7 +18,7 @@ from .textarrays import covered, mix, per_text, slices, text_bytes, word_grams,
 
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _BASE_SCHEMA = (
-    "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+    "doc_id long, host string, version long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 )
 
 
@@ -50,12 +50,13 @@ def _base_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = words.first
         hashes = words.hashes()
         length = words.end - words.start
-        marks = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
-        symbols = np.concatenate(([0], np.cumsum(_SYMBOLS[words.data])))
+        marks = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80, dtype=np.int32)))
+        symbols = np.concatenate(([0], np.cumsum(_SYMBOLS[words.data], dtype=np.int32)))
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),
                 "host": batch.column("host"),
+                "version": batch.column("version"),
                 "n_words": words.count,
                 "word_chars": per_text(marks[words.end] - marks[words.start], first) if len(length) else words.count,
                 "n_symbols": per_text(symbols[words.end] - symbols[words.start], first) if len(length) else words.count,
@@ -65,9 +66,15 @@ def _base_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _version() -> Column:
+    """Tells apart rows that share a doc_id."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def base_counts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each whole text (null: none)."""
-    df = docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.col("text").cast("string"))
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each whole text (null: none), with its host and
+    version (a hash of the text)."""
+    df = docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), F.col("text").cast("string"), _version().alias("version"))
     return df.mapInArrow(_base_counts, _BASE_SCHEMA)
 
 
@@ -76,23 +83,27 @@ def _normalised(line: Column) -> Column:
 
 
 def line_documents(docs: DataFrame, host: str = "source") -> DataFrame:
-    """(host, line, n_docs): in how many rows of each host a normalised line stands; line is its 64-bit hash."""
+    """(host, line, n_docs): how many documents of each host hold a normalised line; line is its 64-bit hash.
+
+    Rows that share a doc_id are one document; rows without one don't count. The distinct count goes over (host, line,
+    document) first, so that no task gathers the documents of a line.
+    """
     lines = F.transform(F.split("text", "\n"), lambda x: _normalised(x))
     hashes = F.array_distinct(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.xxhash64(x)))
     return (
-        docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.explode(hashes).alias("line"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.explode(hashes).alias("line"))
         .groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("n_docs"))
+        .agg(F.count_distinct("doc_id").alias("n_docs"))
     )
 
 
 def host_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """(doc_id, host, line, words): a row for each line with a word, repeats included."""
+    """(doc_id, host, version, place, line, words): a row for each line with a word, repeats included."""
     return (
-        docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.explode(F.split("text", "\n")).alias("line"))
-        .select("doc_id", "host", _normalised(F.col("line")).alias("line"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), _version().alias("version"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+        .select("doc_id", "host", "version", "place", _normalised(F.col("line")).alias("line"))
         .where("line <> ''")
-        .select("doc_id", "host", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("words"))
+        .select("doc_id", "host", "version", "place", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("words"))
     )
 
 
@@ -109,8 +120,8 @@ def line_frequency_rules(
 
     A line that more than `max_docs` documents of one host hold is removed; a document keeps its place when at
     least `min_left` of its words remain. Hosts that are null share one group; documents without lines lose nothing.
-    Null texts count as empty and fail the base rule. Rows that repeat a doc_id are documents of their own in the
-    counts of lines but lose lines together; their rows all appear.
+    Null texts count as empty and fail the base rule. Rows that repeat a doc_id are one document in the counts of
+    lines; each of them loses the lines of its own text, and all appear. Rows without doc_id neither count nor lose lines.
 
     Counting is combined before the shuffle, so a line in every document costs one row a task. On the way back the
     frequent lines, of which there are at most lines / max_docs, are copied to `salts` keys so that the rows of a
@@ -125,15 +136,18 @@ def line_frequency_rules(
         host_lines(docs, host)
         .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
         .join(frequent, ["host", "line", "salt"])
-        .groupBy("doc_id")
-        .agg(F.sum("words").alias("n_removed_words"), F.count(F.lit(1)).alias("n_removed_lines"))
+        .groupBy("doc_id", "host", "version")
+        .agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("rows"), F.count_distinct("place").alias("n_removed_lines"))
     )
+    # Rows that repeat one wholly were summed together.
+    lost = lost.select("doc_id", "host", "version", F.expr("words * n_removed_lines div rows").alias("n_removed_words"), "n_removed_lines")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
     return (
         base_counts(docs, host)
-        .drop("host")
-        .join(lost, "doc_id", "left")
+        .withColumn("host", F.coalesce("host", F.lit("")))
+        .join(lost, ["doc_id", "host", "version"], "left")
+        .drop("host", "version")
         .fillna(0, ["n_removed_words", "n_removed_lines"])
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (left >= min_left * F.col("n_words")))
