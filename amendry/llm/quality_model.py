@@ -55,9 +55,11 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     within = np.arange(len(words.doc)) - words.first[words.doc]
     part = base[words.doc] + within // PASSAGE
     size = np.bincount(part, minlength=len(x)).astype(np.float64)
+    x[:, -1] = size / PASSAGE
     size[size == 0] = 1
     of_byte = np.repeat(part, np.diff(np.append(words.start, len(words.data))))
     classes = np.bincount(of_byte * _CLASSES + _CLASS[words.data], minlength=len(x) * _CLASSES).reshape(len(x), -1)
+    classes[:, _CLASS[32]] = 0  # only what joins words here, so a passage's features don't depend on what follows it
     x[:, :_CLASSES] = np.sqrt(classes / np.maximum(1, classes.sum(1, keepdims=True)))
     hashes = words.hashes()
     buckets = np.bincount(part * WORD_BUCKETS + (hashes % np.uint64(WORD_BUCKETS)).astype(np.int64), minlength=len(x) * WORD_BUCKETS)
@@ -78,7 +80,6 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     )
     for i, value in enumerate(shapes):
         x[:, _CLASSES + WORD_BUCKETS + i] = np.bincount(part, weights=value, minlength=len(x)) / size
-    x[:, -1] = np.minimum(size, PASSAGE) / PASSAGE
     return x, number
 
 
@@ -141,7 +142,8 @@ class AttentionModel:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int) -> DataFrame:
     """(doc_id, text, label) of at most `most` labelled documents that are `usable`, least hash of the id first.
 
-    A doc_id with several labels takes the least; null labels and ids are left out.
+    A doc_id with several labels takes the least, and one with several rows the least text; null labels and ids are
+    left out.
     """
     picked = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable)
@@ -151,7 +153,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
         .limit(most)
     )
     # At most `most` rows of two numbers: a proven bound.
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def _shard_trainer(flat: np.ndarray, turn: int, steps: int, rate: float, decay: float) -> Callable:
