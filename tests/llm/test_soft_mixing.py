@@ -1,5 +1,9 @@
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from amendry.llm.soft_mixing import fit_rates, memberships, mixed, mixing_rates, fit_domains, _rate
@@ -26,6 +30,37 @@ def test_targets_are_met_and_rates_match_numpy(spark):
     assert np.allclose((n * own) @ p, (n * r) @ p, rtol=1e-4)
 
 
+def test_posteriors_match_plain_naive_bayes(spark):
+    df = corpus(spark)
+    rows = [(r.doc_id, (r.text or "").lower().split(), r.lang) for r in df.collect() if r.doc_id is not None]
+    bucket = lambda w: (lambda h: (h - (1 << 64) if h >> 63 else h) % 4096)(xxhash.xxh64_intdigest(w.encode(), 42))
+    counts = {d: Counter(bucket(w) for _, own, e in rows if e == d for w in own) for d in ("de", "en", "fr")}
+    for r in mixing_rates(df, df.select("doc_id", "lang"), "lang").collect():
+        own = next(w for d, w, _ in rows if d == r.doc_id)
+        logs = [sum(math.log((c[bucket(w)] + 1) / (c.total() + 4096)) for w in own) * min(1, 16 / max(1, len(own))) for c in counts.values()]
+        likely = [math.exp(x - max(logs)) for x in logs]
+        assert r.posterior == pytest.approx([x / sum(likely) for x in likely], abs=1e-9)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    df = spark.createDataFrame([(1, "the of and", "en"), (1, "the to in", "en"), (2, "le la les", "fr"), (2, "le la les", "fr")], "doc_id long, text string, lang string")
+    rates = {r.doc_id: (r.n_tokens, r.domain) for r in mixing_rates(df, df.select("doc_id", "lang"), "lang").collect()}
+    assert rates == {1: (6, "en"), 2: (6, "fr")}
+    assert mixed(df, spark.createDataFrame([(1, 2.0), (2, 0.0)], "doc_id long, rate double")).count() == 4
+
+
+def test_columns_with_names_of_the_operator(spark):
+    df = spark.createDataFrame([(1, "a", "b", "c", "d")], "doc_id long, copies string, copy string, _copy string, rate string")
+    out = mixed(df, spark.createDataFrame([(1, 2.0)], "doc_id long, rate double"))
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, "a", "b", "c", "d")] * 2
+
+
+def test_steps_that_run_out_are_an_error(spark):
+    df = corpus(spark)
+    with pytest.raises(ValueError, match="steps"):
+        mixing_rates(df, df.select("doc_id", "lang"), "lang", most_steps=1)
+
+
 def test_zero_targets_and_limits(spark):
     df = corpus(spark)
     rates = mixing_rates(df, df.select("doc_id", "lang"), "lang", weights={"fr": 1.0}, most_rate=3.0).collect()
@@ -42,7 +77,7 @@ def test_tempered_targets_shrink_no_domain(spark):
     steps, targets = fit_rates(members, names, temper=0.5)
     got = members.agg(*(F.sum(F.col("n_tokens") * F.col("p")[k]).alias(d) for k, d in enumerate(names))).first()
     assert all(targets[d] >= got[d] - 1e-6 for d in names) and targets["de"] > 1.5 * got["de"]
-    assert members.select(_rate(F.col("p"), steps, None).alias("r")).agg(F.min("r")).first()[0] > 0.9
+    assert members.select(_rate(F.col("q"), steps, None).alias("r")).agg(F.min("r")).first()[0] > 0.9
 
 
 def test_copies_follow_rates_and_keep_columns(spark):
