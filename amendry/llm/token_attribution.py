@@ -78,11 +78,21 @@ def attribute(start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndar
     return count, crossing, float((~meets).sum())
 
 
+def in_order(spans: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, start, end) of sections by their starts; what an earlier one holds isn't part of a later one."""
+    pairs = [(x["start"], x["end"], i) for i, x in enumerate(spans) if x and x["start"] is not None and x["end"] is not None]
+    low, high, number = np.array(sorted(pairs), np.int64).reshape(-1, 3).T
+    reach = np.maximum.accumulate(np.maximum(high, low))
+    low = np.maximum(low, np.concatenate(([0], reach[:-1])))[: len(low)]
+    return number, low, np.maximum(high, low)
+
+
 def token_counts(docs: DataFrame, path: str, pattern: str, rule: str = "most", sections: str | None = None) -> DataFrame:
     """doc_id, section_no, char_start, char_end, n_tokens (double) and n_crossing of each section of each document.
 
-    `sections` names a column array<struct<start:int,end:int>> of character spans, ordered and without overlap;
-    without it each line with its line end is a section. Tokens outside all sections come as section -1, if any.
+    `sections` names a column array<struct<start:int,end:int>> of character spans, numbered as they stand there; they
+    are taken by their starts, a later one begins where an earlier one ends, and those with a null bound are left out.
+    Without it each line with its line end is a section. Tokens outside all sections come as section -1, if any.
     Null texts count as empty: one empty section without tokens. Null or absent sections leave all tokens outside.
     Counts of a document's rows sum to its tokens, whatever the rule. Rows that repeat a doc_id come back each.
     """
@@ -96,12 +106,12 @@ def token_counts(docs: DataFrame, path: str, pattern: str, rule: str = "most", s
             for doc, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), spans):
                 text = text or ""
                 if sections:
-                    pairs = np.array([(x["start"], x["end"]) for x in own or []], np.int64).reshape(-1, 2)
-                    low, high = pairs[:, 0], pairs[:, 1]
+                    order, low, high = in_order(own or [])
                 else:
                     low, high = line_spans(text)
+                    order = np.arange(len(low))
                 count, crossing, outside = attribute(*token_spans(text, path, pattern), low, high, rule) if text else (np.zeros(len(low)), np.zeros(len(low), np.int64), 0.0)
-                number = np.arange(len(low))
+                number = order
                 if outside or not len(low):
                     number, low, high = np.append(number, OUTSIDE), np.append(low, 0), np.append(high, len(text))
                     count, crossing = np.append(count, outside), np.append(crossing, 0)

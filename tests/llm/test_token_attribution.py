@@ -65,3 +65,10 @@ def test_given_sections_and_tokens_outside(spark):
     assert line_spans("")[1].tolist() == [0]
     with pytest.raises(ValueError):
         token_counts(df, *ARGS, rule="best")
+
+
+def test_odd_sections_have_a_defined_result(spark):
+    """Unordered and overlapping spans, one that ends before it begins, and null bounds; numbers are places in the array."""
+    df = spark.createDataFrame([(1, "one two three", [(7, 13), (0, 5), (3, 7), (9, 8), (None, 4), None])], "doc_id long, text string, parts array<struct<start:int,end:int>>")
+    found = {r.section_no: (r.char_start, r.char_end, r.n_tokens) for r in token_counts(df, *ARGS, rule="first", sections="parts").collect()}
+    assert found == {1: (0, 5, 2.0), 2: (5, 7, 0.0), 0: (7, 13, 1.0), 3: (13, 13, 0.0)}
