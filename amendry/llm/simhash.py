@@ -5,10 +5,14 @@ For each half the anchors are a covering code of radius 1: the Hamming code of 3
 fingerprint has a home, the anchor within 1 of its half, and visits every anchor within radius + threshold = 2 of it
 (17 at most). If two halves differ in at most one bit, the home of either is an anchor that the other visits; so
 comparing homes with visitors at each anchor finds every pair and, at 2^27 anchors a half, few others.
+
+`near_duplicate_groups` links fingerprints by their bits alone. `similar_groups` links documents by the share of their
+shingles: longer fingerprints propose pairs at the same anchors, and each pair is checked on its shingles.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .textarrays import slices, text_bytes, words_of
+from .textarrays import Words, mix, slices, text_bytes, word_grams, words_of
 
 _CODE_BITS = 31
 
@@ -35,9 +39,19 @@ def _fingerprints_of(texts: list[bytes], width: int) -> np.ndarray:
     hashes = np.fromiter((digest(data[a:b], 42) for a, b in zip(words.start[begin].tolist(), words.end[last].tolist())), np.uint64, len(begin))
     out = np.zeros(len(texts), np.uint64)
     if len(hashes):
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts = np.add.reduceat(bits, np.concatenate(([0], np.cumsum(shingles)[:-1])), axis=0, dtype=np.int32)
-        out[n_shingles > 0] = np.packbits(2 * counts > shingles[:, None], axis=1).view(">u8").ravel()
+        out[n_shingles > 0] = np.packbits(2 * _ones(hashes, shingles) > shingles[:, None], axis=1).view(">u8").ravel()
+    return out
+
+
+def _ones(hashes: np.ndarray, number: np.ndarray, most: int = 500_000) -> np.ndarray:
+    """How many of each text's hashes have each bit; `number` of them belong to each, one at least. Bits of `most`
+    hashes are laid out at a time."""
+    out, first = np.zeros((len(number), 64), np.int64), np.cumsum(number) - number
+    for a in range(0, len(hashes), most):
+        bits = np.unpackbits(hashes[a : a + most].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        low = int(np.searchsorted(first, a, "right")) - 1
+        high = int(np.searchsorted(first, a + len(bits)))
+        out[low:high] += np.add.reduceat(bits, np.maximum(first[low:high] - a, 0), axis=0, dtype=np.int32)
     return out
 
 
@@ -136,18 +150,122 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame:
+def _attached(own: DataFrame, found: DataFrame, crowd: int) -> DataFrame:
+    """Each row (doc_id, fp) with its group; `found` has the number of copies of each fingerprint."""
+    found = found.withColumn("parts", F.ceil(F.col("copies") / crowd).cast("int"))
+    crowded = found.where("parts > 1").select("fp", "parts")  # one row for `crowd` documents at most; Spark sends it out where it is small
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.lit(0))
+    dealt = own.where("doc_id IS NOT NULL").join(crowded, "fp", "left").select("doc_id", "fp", part.alias("part"))
+    return dealt.join(found.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), ["fp", "part"])
+
+
+def near_duplicate_groups(docs: DataFrame, width: int = 3, most: int = 3, crowd: int = 100_000) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach) and n_links of the fingerprint.
 
     Equal fingerprints are one node, named by the least doc_id, so copies are never paired with each other. n_links
-    counts the other fingerprints within `most` bits. Rows without doc_id are left out; rows that repeat one come
-    back each, and an empty table gives an empty result.
+    counts the other fingerprints within `most` bits. Rows without doc_id have their fingerprint alone; rows that repeat
+    an id come back each, and an empty table gives an empty result.
+
+    The last join has one row for each fingerprint on one side. Copies of a fingerprint beyond `crowd` go to as many
+    more keys as they need, by their doc_id, so that a text with very many copies is no hot key.
     """
-    own = written(fingerprints(docs, width).where("doc_id IS NOT NULL"), "fp")
-    nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    edges = written(links(nodes, most).distinct(), "links")
+    own = written(fingerprints(docs, width), "fp")
+    nodes = written(own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
+    edges = written(links(nodes.select("fp", "node"), most).distinct(), "links")
     groups = components(nodes, edges)
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    found = written(nodes.join(groups, "node").join(ends, "node", "left").select("fp", "component", F.coalesce("n_links", F.lit(0)).alias("n_links")), "groups")
-    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return own.join(found, "fp").select("doc_id", digits.alias("fingerprint"), F.col("component").alias("component_id"), "n_links")
+    found = nodes.join(groups, "node").join(ends, "node", "left").select("fp", "copies", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    result = _attached(own, written(found, "groups"), crowd)
+    alone = own.where("doc_id IS NULL").select("doc_id", digits, F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return result.select("doc_id", digits, F.col("component").alias("component_id"), "n_links").union(alone)
+
+
+# --- documents that share most of their shingles -----------------------------------------------------------------------
+
+_PROPOSING = 2  # words of the shingles behind the longer fingerprints: word edits turn fewer of their bits
+
+
+def _digests(words: Words) -> list[bytes]:
+    """MD5 of each text's words joined by spaces."""
+    data, first = words.data.tobytes(), words.first.tolist()
+    start, end = words.start.tolist(), words.end.tolist()
+    return [hashlib.md5(data[start[a] : end[z - 1]] if z > a else b"").digest() for a, z in zip(first, first[1:])]
+
+
+def _shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of `width` words, and how many each text has; shorter texts are one, those without words have none."""
+    hashes = words.hashes()
+    count = np.where(words.count < width, np.minimum(words.count, 1), words.count - width + 1)
+    grams = np.zeros(int(count.sum()), np.uint64)
+    first, base = words.first[:-1], np.cumsum(count) - count
+    long = words.count >= width
+    every = word_grams(hashes, width)
+    at = np.arange(int(count[long].sum())) + np.repeat(first[long] - (np.cumsum(count[long]) - count[long]), count[long])
+    grams[np.repeat(long, count)] = every[at]
+    for i in np.flatnonzero(~long & (count > 0)).tolist():
+        grams[base[i]] = word_grams(hashes[first[i] : first[i] + words.count[i]], int(words.count[i]))[0]
+    return grams, count
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", 1_000_000):
+        words = words_of(text_bytes(batch.column("text")), lower=True)
+        grams, count = _shingles(words, _PROPOSING)
+        full, columns = count > 0, []
+        for j in range(parts):
+            out = np.zeros(len(count), np.uint64)
+            if len(grams):
+                out[full] = np.packbits(2 * _ones(mix(grams + np.uint64(j)), count[full]) > count[full][:, None], axis=1).view(">u8").ravel()
+            columns.append(pa.array(out.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_digests(words), pa.binary()), *columns], names=["doc_id", "digest", *(f"f{j}" for j in range(parts))])
+
+
+def _shingle_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1_000_000):
+            words = words_of(text_bytes(batch.column("text")), lower=True)
+            grams, count = _shingles(words, width)
+            own = [np.unique(x).view(np.int64) for x in np.split(grams, np.cumsum(count)[:-1])] if len(count) else []
+            made = pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], names=["node", "shingles"])
+            yield made.filter(pa.array([a == b for a, b in zip(_digests(words), batch.column("digest").to_pylist())], pa.bool_()))
+
+    return run
+
+
+def proposed(nodes: DataFrame, parts: int) -> DataFrame:
+    """Pairs (node, least): each node with the least node of each anchor that both visit.
+
+    An anchor proposes one pair for each of its visitors, not all pairs of them, so the pairs grow with the documents.
+    """
+    each = nodes.select("node", F.posexplode(F.array(*(F.col(f"f{j}") for j in range(parts)))).alias("print", "fp"))
+    at = visits(each).select("node", ((F.col("print") * 2 + F.col("half")).cast("long") * (1 << 32) + F.col("anchor")).alias("at"))
+    least = at.groupBy("at").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("at", "least")
+    return at.join(least, "at").where("least < node").select("node", "least").distinct()
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, parts: int = 4) -> DataFrame:
+    """(doc_id, component_id): the least doc_id that links reach, a link being a Jaccard similarity of the sets of
+    `width`-word shingles of at least `similarity`, A-Z lower-cased.
+
+    Texts with equal words are one node; texts of fewer words are one shingle, those without words one node. Pairs come
+    from fingerprints of `parts` times 64 bits over two-word shingles, at the anchors of each half: two documents are
+    proposed where some half differs in few bits, each with the least document there, so a pair may be missed (README
+    has the share); a proposed pair is linked exactly when its shingles say so. Rows without doc_id are left out, rows
+    that repeat one come back each.
+    """
+    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = "doc_id long, digest binary, " + ", ".join(f"f{j} long" for j in range(parts))
+    sketches = written(own.mapInArrow(lambda batches: _sketch(batches, parts), schema), "sketches")
+    nodes = written(sketches.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(f"f{j}").alias(f"f{j}") for j in range(parts))), "nodes")
+    # Equal least ids can stand for two texts where rows share a doc_id; a node is then told by its digest.
+    pairs = written(proposed(nodes.select("node", *(f"f{j}" for j in range(parts))), parts), "proposed")
+    wanted = pairs.select(F.explode(F.array("node", "least")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
+    texts = own.join(wanted, own["doc_id"] == wanted["node"]).select("node", "digest", "text")
+    sets = written(texts.mapInArrow(_shingle_sets(width), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("least"), F.col("shingles").alias("others")), "least")
+    shared = F.size(F.array_intersect("shingles", "others"))
+    edges = both.where(shared >= F.lit(similarity) * (F.size("shingles") + F.size("others") - shared)).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    groups = components(nodes.select("node").distinct(), edges)
+    found = nodes.select("digest", "node").join(groups, "node").select("digest", "component")
+    return sketches.select("doc_id", "digest").join(found, "digest").select("doc_id", F.col("component").alias("component_id"))
