@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import KEPT, slices
+from .textarrays import KEPT, slices, text_bytes, within
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -134,7 +134,7 @@ _BAD = 8
 
 
 class Decoder:
-    """Token ids in, text out, piece by piece: text is released up to the last whole character."""
+    """Token ids in, bytes out, piece by piece: bytes are released up to the last whole character."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.token = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -147,14 +147,40 @@ class Decoder:
         self.step = step
         #: Ids that read from between characters to between characters; the machine need not look inside them.
         self.whole = np.array([bool(t) and self.state_after(0, t) == 0 for t in self.token], bool)
+        self.size = np.array([len(t) for t in self.token], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(self.token), np.uint8)
 
     def state_after(self, state: int, data: bytes) -> int:
         for byte in data:
             state = self.step[state][byte]
         return state
 
-    def bytes_of(self, ids: list[int]) -> bytes:
-        return b"".join([self.token[i] for i in ids])
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        return self.data[within(self.start[ids], self.size[ids])].tobytes()
+
+    def pieces(self, ids: np.ndarray) -> Iterator[tuple[bytes, bool]]:
+        """(bytes, whether they are whole characters) in order: rows of tokens that end between characters at once, the
+        others as soon as the machine is between characters again. After a byte that fits nowhere all follows as it is.
+        """
+        ids, at, n = np.asarray(ids, np.int64), 0, len(ids)
+        odd = np.flatnonzero(~self.whole[ids]).tolist() + [n]
+        for i in odd:
+            if i < at:
+                continue  # taken with the character before
+            if i > at:
+                yield self.bytes_of(ids[at:i]), True
+            at, state, held = i, 0, b""
+            while at < n:
+                data = self.token[ids[at]]
+                state, held, at = self.state_after(state, data), held + data, at + 1
+                if state == _BAD:
+                    yield held + self.bytes_of(ids[at:]), False
+                    return
+                if state == 0:
+                    break
+            if held:
+                yield held, state == 0
 
     def stream(self, ids: Iterator[int]) -> Iterator[str]:
         """Text of each id as soon as its last character is complete; ValueError where the bytes aren't UTF-8."""
@@ -171,23 +197,31 @@ class Decoder:
         if held:
             raise ValueError("the ids end inside a character")
 
-    def valid(self, ids: np.ndarray) -> bool:
-        """Whether the ids decode to whole characters; only tokens that split characters pass through the machine."""
-        state, odd = 0, np.flatnonzero(~self.whole[ids])
-        for n, at in enumerate(odd.tolist()):
-            if state and at != odd[n - 1] + 1:
-                return False  # a whole token stands inside a character
-            state = self.state_after(state, self.token[ids[at]])
-        return state == 0
+    def digest(self, ids: np.ndarray) -> tuple[str, bool]:
+        """SHA-256 of the decoded bytes, taken piece by piece, and whether they are whole characters."""
+        total, fine = hashlib.sha256(), True
+        for piece, whole in self.pieces(ids):
+            total.update(piece)
+            fine &= whole
+        return total.hexdigest(), fine
+
+
+#: Fixed value: the pattern of which it is known that no match goes from a character that isn't white space to a space.
+BREAKS_AT_SPACES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Encoder:
-    """Splits text by the pattern and encodes each match by the transducer; recent matches are remembered."""
+    """Splits text by the pattern and encodes each match by the transducer; recent matches are remembered.
+
+    With a pattern that breaks at spaces, texts are first cut before each space that follows a printable ASCII
+    character. Equal cuts of a batch are split and encoded once.
+    """
 
     def __init__(self, path: str, pattern: str, most_known: int = 300_000):
         ranks = read_ranks(path)
         self.find, self.transducer, self.decoder = regex.compile(pattern).findall, Transducer(ranks), Decoder(ranks)
-        self.known: dict[str, list[int]] = {}
+        self.at_spaces = pattern == BREAKS_AT_SPACES
+        self.known: dict[str | bytes, list[int]] = {}
         self.most_known = most_known
 
     def encode(self, text: str) -> list[int]:
@@ -203,6 +237,38 @@ class Encoder:
             out += ids
         return out
 
+    def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin and the last one's end."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        bounds = np.concatenate(([0], np.cumsum(size)))
+        data = b"".join(texts)
+        if not self.at_spaces:
+            own = [self.encode(t.decode()) for t in texts]
+            count = np.fromiter(map(len, own), np.int64, len(own))
+            return np.array([i for x in own for i in x], np.uint32), np.concatenate(([0], np.cumsum(count)))
+        codes = np.frombuffer(data, np.uint8)
+        cut = np.zeros(len(codes) + 1, bool)
+        cut[1:-1] = (codes[1:] == 32) & (codes[:-1] > 32) & (codes[:-1] < 127)
+        cut[bounds] = True
+        start = np.flatnonzero(cut)
+        if len(start) < 2:
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        cuts = pa.Array.from_buffers(pa.binary(), len(start) - 1, [None, pa.py_buffer(start.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        own = []
+        for x in cuts.dictionary.to_pylist():
+            ids = self.known.get(x)
+            if ids is None:
+                ids = self.encode(x.decode())
+                if len(x) <= 64:
+                    self.known[x] = ids
+            own.append(ids)
+        count = np.fromiter(map(len, own), np.int64, len(own))
+        flat = np.fromiter((i for x in own for i in x), np.uint32, int(count.sum()))
+        which = cuts.indices.to_numpy()
+        ids = flat[within((np.cumsum(count) - count)[which], count[which])]
+        ends = np.concatenate(([0], np.cumsum(count[which])))
+        return ids, ends[np.searchsorted(start, bounds)]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
@@ -224,18 +290,15 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in slices(batches, "text", owner="byte-bpe"):
-            counts, hashes, decoded, fine, kept = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = own.encode(text or "")
-                array = np.array(ids, "<u4")
-                counts.append(len(ids))
-                hashes.append(hashlib.sha256(array.tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(own.decoder.bytes_of(ids)).hexdigest())
-                fine.append(own.decoder.valid(array))
-                if keep_ids:
-                    kept.append(ids)
-            out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": hashes, "decoded_sha256": decoded, "utf8": fine}
-            yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(kept, pa.list_(pa.int32()))} if keep_ids else {}))
+            ids, cuts = own.encode_all(text_bytes(batch.column("text")))
+            each = [ids[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            decoded = [own.decoder.digest(x) for x in each]
+            out = {
+                "doc_id": batch.column("doc_id"), "n_tokens": pa.array(np.diff(cuts), pa.int64()), "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each],
+                "decoded_sha256": [x[0] for x in decoded], "utf8": [x[1] for x in decoded],
+            }
+            kept = {"ids": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))} if keep_ids else {}
+            yield pa.RecordBatch.from_pydict(out | kept)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, utf8 boolean" + ", ids array<int>" * keep_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

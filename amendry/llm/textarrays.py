@@ -73,8 +73,16 @@ class Words:
         """Index of each text's first word, and the number of all words at the end."""
         return np.concatenate(([0], np.cumsum(self.count)))
 
-    def hashes(self) -> np.ndarray:
-        return RollingHash(self.data).of(self.start, self.end)
+    def hashes(self, most: int = 4_000_000) -> np.ndarray:
+        """Of each word; of long texts `most` bytes at a time, for which tables of powers are kept."""
+        if len(self.data) <= 2 * most:
+            return RollingHash(self.data).of(self.start, self.end)
+        cuts = np.unique(np.append(np.searchsorted(self.start, np.arange(0, len(self.data), most)), len(self.start))).tolist()
+        out = np.zeros(len(self.start), np.uint64)
+        for a, z in zip(cuts, cuts[1:]):
+            base = self.start[a]
+            out[a:z] = RollingHash(self.data[base : self.end[z - 1]]).of(self.start[a:z] - base, self.end[a:z] - base)
+        return out
 
     def text(self, doc: int) -> bytes:
         """The words of one text joined by single spaces."""

@@ -42,6 +42,20 @@ def test_transducer_equals_merging_and_restarts():
         assert machine.encode(text) == [ranks[x] for x in merges.encode(text)]
 
 
+def test_cuts_at_spaces_change_nothing(library):
+    own = encoder(PATH, P.PATTERN)
+    assert own.at_spaces
+    rng = np.random.default_rng(1)
+    alphabet = ["a", "B's", " ", "  ", "\n", "\t ", " \n ", "\u3000", "\xa0 ", "é", "漢 ", "12", "½", "...", "'ll", "\x85", "\x1c ", "🎉 x"]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 30))) for _ in range(600)]
+    ids, cuts = own.encode_all([t.encode() for t in texts])
+    assert [ids[a:z].tolist() for a, z in zip(cuts, cuts[1:])] == [library.encode_ordinary(t) for t in texts]
+    own.at_spaces = False
+    again, same = own.encode_all([t.encode() for t in texts])
+    own.at_spaces = True
+    assert np.array_equal(ids, again) and np.array_equal(cuts, same)
+
+
 def test_decoding_is_incremental():
     decoder = Decoder(read_ranks(PATH))
     text = "aé漢🎉 z"
@@ -50,8 +64,10 @@ def test_decoding_is_incremental():
     assert "".join(pieces) == text and len(pieces) > 3
     one_byte = {decoder.token[i]: i for i in range(len(decoder.token)) if len(decoder.token[i]) == 1}
     split = [one_byte[bytes([b])] for b in "🎉".encode()]
-    assert list(decoder.stream(iter(split))) == ["🎉"] and decoder.valid(np.array(split))
+    assert list(decoder.stream(iter(split))) == ["🎉"] and list(decoder.pieces(split)) == [("🎉".encode(), True)]
+    assert list(decoder.pieces([*ids, *split, *ids])) == [*decoder.pieces(ids), ("🎉".encode(), True), *decoder.pieces(ids)]
     for bad in (split[:3], [split[1]], [split[0], one_byte[b"a"]], [one_byte[b"\xed"], one_byte[b"\xa0"], one_byte[b"\x80"]]):
-        assert not decoder.valid(np.array(bad))
+        digest, fine = decoder.digest(np.array([*ids, *bad]))
+        assert not fine and digest == hashlib.sha256(text.encode() + b"".join(decoder.token[i] for i in bad)).hexdigest()
         with pytest.raises(ValueError):
             list(decoder.stream(iter(bad)))
