@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from amendry.functions import hooks
 from amendry.functions import text as T
 from amendry.operators.curation import first_by
+from amendry.plans.scratch import written
 
 # The order of candidates by definition.
 GOLD_RANK = ("human", "deg-join", "deg-split", "base", "deg-reverse")
@@ -70,13 +71,16 @@ def greedy_pick(pool: DataFrame, n_items: int = 24, per_project: int = 8, n: int
 
     A choice depends only on earlier choices of its own section (same window key, or a window that starts less than n
     paragraphs from a chosen one), so each section is folded by itself, then projects are capped and the best kept.
+    Of items with one unit and window key all but the first clash with whatever the first clashes with, or with it, so
+    a combining aggregation leaves one of each before the fold: its arrays grow with the windows of the longest section.
     """
     delta = F.abs(F.col("paragraph_count_edited") - F.col("paragraph_count_source"))
     unit = (F.col("unit") != "section").cast("int")
     order = F.struct((-delta).alias("a"), unit.alias("b"), F.length("base_text").alias("c"), F.col("line_no").cast("long").alias("d"))
     df = pool.withColumn("_order", order)
     item = F.struct("_order", "unit", "window_start", "window_paragraphs")
-    sections = df.groupBy("project_id", "section_key").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    first = df.groupBy("project_id", "section_key", "unit", "window_start", "window_paragraphs").agg(F.min("_order").alias("_order"))
+    sections = first.groupBy("project_id", "section_key").agg(F.array_sort(F.collect_list(item)).alias("_items"))
 
     def step(taken: Column, x: Column) -> Column:
         clash = F.exists(
@@ -103,7 +107,7 @@ def build_hard_eval(pairs: DataFrame, n_items: int = 24, per_project: int = 8, n
     pool = pool.where(F.size(T.paragraphs(T.heading_and_body("human_text")[1])) >= min_paragraphs)
     pool = hooks.fits_tokens(candidate_set(pool), max_tokens, count)
     pool = pool.withColumn("line_no", F.xxhash64("path", "section_key", "unit", "window_start"))
-    return greedy_pick(pool, n_items, per_project, n)
+    return greedy_pick(written(pool, "pool"), n_items, per_project, n)  # read twice by the pick
 
 
 def validate(items: DataFrame) -> DataFrame:
