@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import KEPT, slices, text_bytes, within
+from .textarrays import KEPT, slices, within
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -206,68 +206,36 @@ class Decoder:
         return total.hexdigest(), fine
 
 
-#: Fixed value: the pattern of which it is known that no match goes from a character that isn't white space to a space.
-BREAKS_AT_SPACES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
 class Encoder:
-    """Splits text by the pattern and encodes each match by the transducer; recent matches are remembered.
-
-    With a pattern that breaks at spaces, texts are first cut before each space that follows a printable ASCII
-    character. Equal cuts of a batch are split and encoded once.
-    """
+    """Splits text by the pattern and encodes each match by the transducer; recent matches are remembered."""
 
     def __init__(self, path: str, pattern: str, most_known: int = 300_000):
         ranks = read_ranks(path)
         self.find, self.transducer, self.decoder = regex.compile(pattern).findall, Transducer(ranks), Decoder(ranks)
-        self.at_spaces = pattern == BREAKS_AT_SPACES
-        self.known: dict[str | bytes, list[int]] = {}
+        self.known: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}  # of the matches before those in `known`
         self.most_known = most_known
 
     def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        if len(known) > self.most_known:
-            known.clear()
+        get, out = self.known.get, []
         for match in self.find(text):
-            ids = known.get(match)
+            ids = get(match)
             if ids is None:
-                ids = self.transducer.encode(match.encode())
-                if len(match) <= 64:
-                    known[match] = ids
+                ids = self._missed(match)
+                get = self.known.get
             out += ids
         return out
 
-    def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and where each text's begin and the last one's end."""
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        bounds = np.concatenate(([0], np.cumsum(size)))
-        data = b"".join(texts)
-        if not self.at_spaces:
-            own = [self.encode(t.decode()) for t in texts]
-            count = np.fromiter(map(len, own), np.int64, len(own))
-            return np.array([i for x in own for i in x], np.uint32), np.concatenate(([0], np.cumsum(count)))
-        codes = np.frombuffer(data, np.uint8)
-        cut = np.zeros(len(codes) + 1, bool)
-        cut[1:-1] = (codes[1:] == 32) & (codes[:-1] > 32) & (codes[:-1] < 127)
-        cut[bounds] = True
-        start = np.flatnonzero(cut)
-        if len(start) < 2:
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        cuts = pa.Array.from_buffers(pa.binary(), len(start) - 1, [None, pa.py_buffer(start.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
-        own = []
-        for x in cuts.dictionary.to_pylist():
-            ids = self.known.get(x)
-            if ids is None:
-                ids = self.encode(x.decode())
-                if len(x) <= 64:
-                    self.known[x] = ids
-            own.append(ids)
-        count = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.fromiter((i for x in own for i in x), np.uint32, int(count.sum()))
-        which = cuts.indices.to_numpy()
-        ids = flat[within((np.cumsum(count) - count)[which], count[which])]
-        ends = np.concatenate(([0], np.cumsum(count[which])))
-        return ids, ends[np.searchsorted(start, bounds)]
+    def _missed(self, match: str) -> list[int]:
+        """Ids of a match that isn't in `known`; when too many are, those that don't come again are let go."""
+        ids = self.before.get(match)
+        if ids is None:
+            ids = self.transducer.encode(match.encode())
+        if len(match) <= 64:
+            if len(self.known) > self.most_known // 2:
+                self.before, self.known = self.known, {}
+            self.known[match] = ids
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -290,15 +258,14 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in slices(batches, "text", owner="byte-bpe"):
-            ids, cuts = own.encode_all(text_bytes(batch.column("text")))
-            each = [ids[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            decoded = [own.decoder.digest(x) for x in each]
+            each = [own.encode(text or "") for text in batch.column("text").to_pylist()]
+            arrays = [np.array(x, "<u4") for x in each]
+            decoded = [own.decoder.digest(x) for x in arrays]
             out = {
-                "doc_id": batch.column("doc_id"), "n_tokens": pa.array(np.diff(cuts), pa.int64()), "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in each],
+                "doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(x) for x in each], pa.int64()), "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in arrays],
                 "decoded_sha256": [x[0] for x in decoded], "utf8": [x[1] for x in decoded],
             }
-            kept = {"ids": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))} if keep_ids else {}
-            yield pa.RecordBatch.from_pydict(out | kept)
+            yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(each, pa.list_(pa.int32()))} if keep_ids else {}))
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, utf8 boolean" + ", ids array<int>" * keep_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
