@@ -6,7 +6,7 @@ suffix's, at last with the unigram's. A text is scored by the longest retained s
 
 Sizes. Grams of up to depth + 1 words are counted by a combining aggregation, one length after the other: a gram is
 counted when both of its shorter ones are frequent, which tasks look up in a map of fixed size that may say yes too often.
-Contexts and the words after them stay in Spark tables and grow with the corpus. Smoothing makes the log probability of
+A counted gram goes on with the keys of its context and its suffix. Contexts and the words after them stay in Spark tables and grow with the corpus. Smoothing makes the log probability of
 a text the sum of one number for each of its grams; the most frequent, a fixed number, are looked up in the
 task, and the long tail, which has no hot keys, by a join. `fit_suffix_tree` is the small form with shares as limits, in
 which other words share a class: the driver builds it, and it does not grow.
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .textarrays import RollingHash, mix, slices, text_bytes, words_of
+from .textarrays import mix, slices, text_bytes, words_of
 
 END, RARE, BEGIN = np.uint64(1), 0, 2
 _END_CLASS, _FIRST_CLASS = 1, 3
@@ -34,7 +34,7 @@ _BASE, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(token, text) of all tokens: hashes of lower-cased words, then one end for each text."""
     words = words_of(texts, lower=True)
-    hashes = RollingHash(words.data).of(words.start, words.end)
+    hashes = words.hashes()
     hashes[hashes <= END] += np.uint64(2)
     token = np.insert(hashes, np.cumsum(words.count), END)
     return token, np.repeat(np.arange(len(texts)), words.count + 1)
@@ -284,70 +284,67 @@ def _maybe(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def grams_of(token: np.ndarray, doc: np.ndarray, most: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Text of each symbol (a BEGIN before each text), and for 1 to `most` symbols the key of those that end there, and whether they lie in one text.
 
-    The key of one symbol is itself, 0 for BEGIN. The gram before (without the last symbol) ends one place earlier, the
-    suffix (without the first) is the shorter one at the same place.
+    The key of one symbol is itself, 0 for BEGIN. A longer gram's key comes from those of its context (the gram without
+    the last symbol, which ends one place earlier) and its suffix (without the first, which ends at the same place).
     """
     starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
     symbol, text = np.insert(token, starts, 0), np.insert(doc, starts, doc[starts])
     n = len(symbol)
     at = np.arange(n) - np.repeat(starts + np.arange(len(starts)), np.bincount(text, minlength=1)[np.bincount(text, minlength=1) > 0]) if n else np.zeros(0, np.int64)
-    out, total, power = [(symbol, np.ones(n, bool))], symbol.copy(), np.uint64(1)
+    out = [(symbol, np.ones(n, bool))]
     for m in range(2, most + 1):
-        power = power * _BASE
-        total = total.copy()
-        total[m - 1 :] += symbol[: n - m + 1] * power
-        out.append((mix(total + np.uint64(m) * _SALT), at >= m - 1))
+        key = np.zeros(n, np.uint64)
+        key[1:] = _key(out[-1][0][:-1], out[-1][0][1:])
+        out.append((key, at >= m - 1))
     return text, out
 
 
-def _combined(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of (keys, counts) pairs and their sums."""
-    keys, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-    return keys, np.bincount(at, weights=np.concatenate([x[1] for x in held])).astype(np.int64)
+def _key(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    return mix(mix(context + _SALT) * _BASE + suffix)
+
+
+def _combined(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct keys of (keys, contexts, suffixes, counts) and their sums."""
+    key, context, suffix, n = (np.concatenate(x) for x in zip(*held))
+    keys, first, at = np.unique(key, return_index=True, return_inverse=True)
+    return keys, context[first], suffix[first], np.bincount(at, weights=n).astype(np.int64)
 
 
 def _count_grams(shared, m: int) -> Callable:
-    """(key, n) of grams of m symbols whose two grams of m - 1 symbols may be frequent."""
+    """(context, suffix, n) of grams of m symbols whose two grams of m - 1 symbols may be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, held = shared.value[-1], []
+        bitmap, held = shared.value, []
+
+        def sent() -> pa.RecordBatch:
+            _, context, suffix, n = held[0]
+            held.clear()
+            return pa.RecordBatch.from_pydict({"context": context.view(np.int64), "suffix": suffix.view(np.int64), "n": n})
+
         for batch in slices(batches, "text"):
             _, grams = grams_of(*tokens_of(text_bytes(batch.column("text"))), m)
             key, fine = grams[-1]
-            shorter = _maybe(bitmap, grams[-2][0])
-            fine[1:] &= shorter[1:] & shorter[:-1]
-            held.append(np.unique(key[fine], return_counts=True))
+            shorter = grams[-2][0]
+            may = _maybe(bitmap, shorter)
+            fine[1:] &= may[1:] & may[:-1]
+            at = np.flatnonzero(fine)
+            keys, first, times = np.unique(key[at], return_index=True, return_counts=True)
+            held.append((keys, shorter[at[first] - 1], shorter[at[first]], times))
             if sum(len(x[0]) for x in held) > 2_000_000:
                 held[:] = [_combined(held)]
                 if len(held[0][0]) > 1_000_000:
-                    yield pa.RecordBatch.from_pydict({"key": held[0][0].view(np.int64), "n": held[0][1]})
-                    held.clear()
+                    yield sent()
         if held:
-            key, n = _combined(held)
-            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "n": n})
+            held[:] = [_combined(held)]
+            yield sent()
 
     return run
 
 
-def _gram_parts(shared) -> Callable:
-    """(m, key, context, suffix) of the grams that may be frequent, once or a few times a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmaps = shared.value
-        seen = [np.zeros(0, np.uint64) for _ in bitmaps]
-        for batch in slices(batches, "text"):
-            _, grams = grams_of(*tokens_of(text_bytes(batch.column("text"))), len(bitmaps))
-            for m in range(2, len(bitmaps) + 1):
-                key, fine = grams[m - 1]
-                at = np.flatnonzero(fine & _maybe(bitmaps[m - 1], key))
-                own, first = np.unique(key[at], return_index=True)
-                fresh = ~np.isin(own, seen[m - 1], assume_unique=True)
-                own, at = own[fresh], at[first[fresh]]
-                seen[m - 1] = np.concatenate((seen[m - 1], own)) if len(seen[m - 1]) < 1_000_000 else own
-                before, suffix = grams[m - 2][0][at - 1], grams[m - 2][0][at]
-                yield pa.RecordBatch.from_pydict({"m": np.full(len(own), m, np.int32), "key": own.view(np.int64), "context": before.view(np.int64), "suffix": suffix.view(np.int64)})
-
-    return run
+def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        context, suffix = (batch.column(x).to_numpy(zero_copy_only=False).view(np.uint64) for x in ("context", "suffix"))
+        yield pa.RecordBatch.from_arrays([pa.array(_key(context, suffix).view(np.int64)), *(batch.column(x) for x in ("context", "suffix", "n"))], names=["key", "context", "suffix", "n"])
 
 
 def fit_contexts(train: DataFrame, totals: DataFrame, n: int, v: int, depth: int = 3, min_count: int = 5, smoothing: float = 50.0, strength: float = 3.0) -> DataFrame:
@@ -363,17 +360,17 @@ def fit_contexts(train: DataFrame, totals: DataFrame, n: int, v: int, depth: int
     text = train.select(F.col("text").cast("string"))
     words = totals.select(F.when(F.col("token") == int(END), 0).otherwise(F.col("token")).cast("long").alias("key"), "n")  # as many begins as ends
     frequent = [written(words.where(F.col("n") >= min_count), "grams")]
-    bitmaps = [_bitmap(totals.where(F.col("n") >= min_count).select(F.col("token").alias("key")).union(frequent[0].select("key")))]
+    bitmap = _bitmap(totals.where(F.col("n") >= min_count).select(F.col("token").alias("key")).union(frequent[0].select("key")))
     for m in range(2, depth + 2):
-        counts = text.mapInArrow(_count_grams(sc.broadcast(bitmaps), m), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        frequent.append(written(counts.where(F.col("n") >= min_count), "grams"))
-        bitmaps.append(_bitmap(frequent[-1]))
-    parts = text.mapInArrow(_gram_parts(sc.broadcast(bitmaps)), "m int, key long, context long, suffix long")
-    parts = written(parts.groupBy("m", "key").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix")), "parts")
+        shared = sc.broadcast(bitmap)
+        counts = text.mapInArrow(_count_grams(shared, m), "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n"))
+        frequent.append(written(counts.where(F.col("n") >= min_count).mapInArrow(_with_keys, "key long, context long, suffix long, n long"), "grams"))
+        shared.destroy()  # its copies would stay on every executor's disk
+        bitmap = _bitmap(frequent[-1])
     known = totals.select(F.col("token").alias("suffix"), ((F.col("n") + F.lit(_ADD)) / F.lit(z)).alias("p"))  # P of the last symbol after its longest retained context
     backs, deltas = [], []
     for m in range(2, depth + 2):
-        cells = parts.where(F.col("m") == m).select("key", "context", "suffix").join(frequent[m - 1], "key").join(known, "suffix")
+        cells = frequent[m - 1].join(known, "suffix")
         cells = written(cells.select("key", "context", "n", "p"), "cells")
         sums = cells.groupBy("context").agg(F.sum("n").alias("seen"), F.sum("p").alias("mass"), F.count(F.lit(1)).alias("symbols"), F.sum(F.col("n") * F.log(F.col("n") / F.col("p"))).alias("g"))
         sums = sums.join(frequent[m - 2].select(F.col("key").alias("context"), F.col("n").alias("total")), "context").withColumn("rest", F.col("total") - F.col("seen"))
@@ -441,14 +438,14 @@ def _least(counts: DataFrame, most: int, share: float) -> float:
     return min(share, float(found.column("n")[int(fits[-1])].as_py()) if len(fits) else share)
 
 
-def score_texts(docs: DataFrame, held_out: Column, common_share: float = 2e-6, looked_up: int = 2_000_000, depth: int = 3, class_share: float | None = None, context_share: float | None = None, **options) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, common_share: float = 2e-6, looked_up: int = 1_500_000, words_looked_up: int = 200_000, depth: int = 3, class_share: float | None = None, context_share: float | None = None, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of each whole text.
 
     The model learns from the rows where `held_out` is false. base_score sums log10((c + 0.1) / (N + 0.1 (V + 1)));
     score is the suffix tree's of `fit_contexts`, which sums to 1 over all words, one unknown word and the end. Null
     texts are empty and consist of an end. Without training rows N = V = 0. Rows come back one for one, repeated ones
-    too. Words and grams of more than `common_share` of the tokens, and others down to `looked_up` in all of
-    either, are looked up in the task; scores don't depend on it. With shares for classes and
+    too. Words and grams of more than `common_share` of the tokens, and others down to `words_looked_up` and `looked_up`
+    in all, are looked up in the task; scores don't depend on it. With shares for classes and
     contexts it is the small tree of `fit_suffix_tree` instead.
     """
     if class_share or context_share:
@@ -461,8 +458,8 @@ def score_texts(docs: DataFrame, held_out: Column, common_share: float = 2e-6, l
     n, v = (x or 0 for x in totals.agg(F.sum("n"), F.count(F.lit(1))).first())
     z = n + _ADD * (v + 1)
     values = fit_contexts(train, totals, n, v, depth, **options)
-    least_word, least = (_least(x, looked_up, max(1.0, n * common_share)) for x in (totals, values))
-    known = totals.where(F.col("n") >= least_word).toArrow()  # at most looked_up or 1 / common_share rows
+    least_word, least = (_least(x, most, max(1.0, n * common_share)) for x, most in ((totals, words_looked_up), (values, looked_up)))
+    known = totals.where(F.col("n") >= least_word).toArrow()  # at most words_looked_up or 1 / common_share rows
     common = Lookup(known.column("token").to_numpy().view(np.uint64), known.column("n").to_numpy(), -1)
     finds, bitmaps = [], []
     for m in range(1, depth + 2):
@@ -470,8 +467,10 @@ def score_texts(docs: DataFrame, held_out: Column, common_share: float = 2e-6, l
         hot = own.where(F.col("n") >= least).select("key", "value").toArrow()  # likewise, for each m
         finds.append(Lookup(hot.column("key").to_numpy().view(np.uint64), hot.column("value").to_numpy(), np.nan))
         bitmaps.append(_bitmap(own))
-    parts = df.mapInArrow(_score_grams(spark.sparkContext.broadcast((common, finds, bitmaps)), z), _COLUMNS).withColumn("row", F.monotonically_increasing_id())
+    shared = spark.sparkContext.broadcast((common, finds, bitmaps))
+    parts = df.mapInArrow(_score_grams(shared, z), _COLUMNS).withColumn("row", F.monotonically_increasing_id())
     parts = written(parts, "scores")
+    shared.destroy()
     rare = (
         parts.select("row", F.explode("tail").alias("x")).select("row", "x.*")
         .join(totals.where(F.col("n") < least_word).select("token", F.col("n").alias("c")), "token", "left")

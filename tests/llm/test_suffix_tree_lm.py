@@ -110,7 +110,7 @@ def test_contexts_count_by_absolute_numbers(spark, common_share, looked_up):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     p, kept = plain_model(texts, 5, 5.0)
     assert ("brown",) in kept and ("one", "b", "c") in kept and max(map(len, kept)) == 3
-    for r in score_texts(df, F.lit(False), common_share=common_share, looked_up=looked_up, smoothing=5.0).collect():
+    for r in score_texts(df, F.lit(False), common_share=common_share, looked_up=looked_up, words_looked_up=looked_up, smoothing=5.0).collect():
         own = ["<s>", *tokens(texts[r.doc_id])]
         assert r.score == pytest.approx(sum(math.log10(p(tuple(own[max(0, i - 3) : i]), own[i])) for i in range(1, len(own))), rel=1e-9)
     assert sum(p(("one", "b", "c"), x) for x in {t for q in texts for t in tokens(q)}) + p(("one", "b", "c"), "?") == pytest.approx(1)
