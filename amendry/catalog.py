@@ -820,7 +820,18 @@ def greedy_pick(spark, sf_dir):
     return hardeval.build_hard_eval(section_rows(spark, sf_dir), n_items=50, count=words_and_marks).select("path", "section_key", "unit", "window_start")
 
 
-@query()
+def _preview(t: str) -> str:
+    flat = FLAT.replace("(text,", f"({t},")
+    return f"CASE WHEN length({flat}) <= 120 THEN {flat} ELSE left({flat}, 119) || '…' END"
+
+
+@query(f"""WITH {PV}, t AS (SELECT doc_id AS id, text AS source_text, replace(text, 'e', 'E') AS edited_text FROM documents WHERE text IS NOT NULL),
+  h AS (SELECT v.*, t.source_text, t.edited_text FROM v JOIN t ON v.id = t.id WHERE {D.usable('t.source_text', 't.edited_text', 1800)}),
+  p AS (SELECT *, {_p('a', 'src', 'len_src', 'len_a', 'len_src')} AS p_ab, {_p('src', 'a', 'len_src', 'len_src', 'len_a')} AS p_ba FROM h),
+  s AS (SELECT *, (p_ab + 1 - p_ba) / 2 AS score_edit, (1 - p_ab + p_ba) / 2 AS score_base, p_ab - p_ba AS margin FROM p)
+  SELECT project_id AS file, id AS line_no, row_number() OVER (PARTITION BY project_id ORDER BY id) AS index, round(score_edit, 6) AS score_edit, round(score_base, 6) AS score_base,
+    CASE WHEN margin >= 0.12 THEN 'preferred_edit' WHEN margin <= -0.25 THEN 'reject_edit' WHEN margin <= -0.12 THEN 'preferred_base' ELSE 'uncertain' END AS verdict,
+    {_preview('source_text')} AS source_preview, {_preview('edited_text')} AS edited_preview FROM s""")
 def check_report(spark, sf_dir):
     """Hunks of documents' texts, scored by the vectors of the same number."""
     texts = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").alias("source_text"), F.replace("text", F.lit("e"), F.lit("E")).alias("edited_text"))
