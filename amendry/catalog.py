@@ -396,11 +396,11 @@ def section_pairs(spark, sf_dir):
 OTHER = "CASE WHEN length(text) % 2 = 0 THEN ' ' || chr(10) || text || chr(10) || ' ' ELSE replace(text, 'e', 'E') END"
 
 
-@query(f"SELECT path, ref FROM {duck('revisions')} WHERE {D.usable(D.strip('text'), D.strip(OTHER), 3000)} AND {D.strip('text')} <> {D.strip(OTHER)}")
+@query(f"SELECT path, ref FROM {duck('revisions')} WHERE {D.usable(D.strip('text'), D.strip(OTHER), 20000)} AND {D.strip('text')} <> {D.strip(OTHER)}")
 def usable_sections(spark, sf_dir):
     """Against a copy with more blanks around it, or with E for e, which differs only where there is an e."""
     other = F.when(F.length("text") % 2 == 0, F.concat(F.lit(" \n"), "text", F.lit("\n "))).otherwise(F.replace("text", F.lit("e"), F.lit("E")))
-    return view(spark, sf_dir, "revisions").where(T.usable_section("text", other, 3000)).select("path", "ref")
+    return view(spark, sf_dir, "revisions").where(T.usable_section("text", other, 20000)).select("path", "ref")
 
 
 def _lengths(side: str) -> str:
