@@ -244,14 +244,14 @@ def proposed(nodes: DataFrame, parts: int) -> DataFrame:
     return at.join(least, "at").where("least < node").select("node", "least").distinct()
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, parts: int = 4) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, parts: int = 4, most_apart: float = 0.22) -> DataFrame:
     """(doc_id, component_id): the least doc_id that links reach, a link being a Jaccard similarity of the sets of
     `width`-word shingles of at least `similarity`, A-Z lower-cased.
 
     Texts with equal words are one node; texts of fewer words are one shingle, those without words one node. Pairs come
     from fingerprints of `parts` times 64 bits over two-word shingles, at the anchors of each half: two documents are
-    proposed where some half differs in few bits, each with the least document there, so a pair may be missed (README
-    has the share); a proposed pair is linked exactly when its shingles say so. Rows without doc_id are left out, rows
+    proposed where some half differs in few bits, each with the least document there, and dropped where more than
+    `most_apart` of all bits differ, so a pair may be missed (README has the share); a proposed pair is linked exactly when its shingles say so. Rows without doc_id are left out, rows
     that repeat one come back each.
     """
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -260,6 +260,11 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, par
     nodes = written(sketches.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(f"f{j}").alias(f"f{j}") for j in range(parts))), "nodes")
     # Equal least ids can stand for two texts where rows share a doc_id; a node is then told by its digest.
     pairs = written(proposed(nodes.select("node", *(f"f{j}" for j in range(parts))), parts), "proposed")
+    # Strangers that met at an anchor differ in far more of all bits than texts at the similarity do.
+    prints = nodes.select("node", F.array(*(f"f{j}" for j in range(parts))).alias("own"))
+    apart = F.aggregate(F.zip_with("own", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    pairs = pairs.join(prints, "node").join(prints.select(F.col("node").alias("least"), F.col("own").alias("other")), "least")
+    pairs = written(pairs.where(apart <= int(most_apart * 64 * parts)).select("node", "least").distinct(), "near")
     wanted = pairs.select(F.explode(F.array("node", "least")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
     texts = own.join(wanted, own["doc_id"] == wanted["node"]).select("node", "digest", "text")
     sets = written(texts.mapInArrow(_shingle_sets(width), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
