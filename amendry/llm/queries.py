@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import encode_and_decode
+from .dictionary_codes import compress_vectors
 from .lempel_ziv import remove_repeated_windows
 from .quality_model import fit_attention_model, score_quality
 from .quality_rules import line_frequency_rules
+from .shallot import shallot_clusters
 from .simhash import near_duplicate_groups
 from .soft_mixing import mixing_rates
 from .suffix_groups import remove_repeated_bytes
@@ -83,11 +85,19 @@ def op10_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op11_dictionary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_soft_mixing, op2_quality_model, op3_quality_rules, op4_token_counts, op5_top_k, op6_simhash, op7_byte_bpe,
-        op8_substring_dedup, op9_suffix_tree_lm, op10_suffix_groups,
+        op8_substring_dedup, op9_suffix_tree_lm, op10_suffix_groups, op11_dictionary_codes, op13_shallot,
     )
 }
 
@@ -128,5 +138,44 @@ n AS (SELECT a.doc_id, count(*) AS n_removed, count(*) FILTER (b.p IS NULL) AS n
 SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
+
+def _op11(dims: int = 64, parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    w = dims // parts
+    steps = [f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(coalesce(x, 0))))),
+x AS MATERIALIZED (SELECT r, p, v[{w} * p + 1:{w} * p + {w}] AS s FROM k, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, s FROM x WHERE r <= {entries})"""]
+    nearest = "SELECT r, p, min((list_sum(list_transform(list_zip(x.s, b.s), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e)) AS m FROM x JOIN {0} b USING (p) GROUP BY r, p"
+    for i in range(rounds):
+        means = ", ".join(f"sum(s[{j}])::HUGEINT AS t{j}" for j in range(1, w + 1))
+        floors = ", ".join(f"((t{j} - ((t{j} % n) + n) % n) // n)::BIGINT" for j in range(1, w + 1))
+        steps.append(f"""a{i} AS MATERIALIZED ({nearest.format(f"b{i}")}),
+c{i} AS (SELECT p, e, [{floors}] AS s FROM (SELECT p, m[2] AS e, count(*)::HUGEINT AS n, {means} FROM a{i} JOIN x USING (r, p) GROUP BY p, m[2])),
+b{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(c.s, b.s) AS s FROM b{i} b LEFT JOIN c{i} c USING (p, e))""")
+    steps.append(f"""z AS ({nearest.format(f"b{rounds}")}),
+y AS (SELECT r, string_agg(printf('%02x', m[2]), '' ORDER BY p) AS code, sum(m[1])::BIGINT AS error FROM z GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM y JOIN k USING (r), h""")
+    return ",\n".join(steps)
+
+
+def _op13(dims: int = 64, k: int = 8, rounds: int = 10) -> str:
+    steps = [f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), embedding) AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(coalesce(x, 0))))),
+b0 AS MATERIALIZED (SELECT r - 1 AS c, v FROM k WHERE r <= {k})"""]
+    nearest = "SELECT r, any_value(k.v) AS v, min((list_sum(list_transform(list_zip(k.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c)) AS m FROM k, {0} b GROUP BY r"
+    for i in range(rounds):
+        steps.append(f"""a{i} AS ({nearest.format(f"b{i}")}),
+u{i} AS (SELECT c, j, sum(x)::HUGEINT AS t, count(*)::HUGEINT AS n FROM (SELECT m[2] AS c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY c, j),
+w{i} AS (SELECT c, list(((t - ((t % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM u{i} GROUP BY c),
+b{i + 1} AS MATERIALIZED (SELECT b.c, coalesce(w.v, b.v) AS v FROM b{i} b LEFT JOIN w{i} w USING (c))""")
+    steps.append(f"""z AS (SELECT r, m[2]::INTEGER AS cluster, m[1]::BIGINT AS distance FROM ({nearest.format(f"b{rounds}")}))
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(b.v, ',')) AS centroid_sha256
+FROM z JOIN k USING (r) JOIN b{rounds} b ON b.c = z.cluster""")
+    return ",\n".join(steps)
+
+
 #: DuckDB SQL for the same rows, where SQL can express them at a bearable cost; the others are tested by brute force.
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": _OP3, "op8_substring_dedup": _OP8, "op10_suffix_groups": _OP10}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": _OP3, "op8_substring_dedup": _OP8, "op10_suffix_groups": _OP10, "op11_dictionary_codes": _op11(), "op13_shallot": _op13()}
