@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import encode_and_decode
 from .dictionary_codes import compress_vectors
 from .lempel_ziv import remove_repeated_windows
+from .prefix_join import similar_sets
 from .quality_model import fit_attention_model, score_quality
 from .quality_rules import line_frequency_rules
 from .shallot import shallot_clusters
@@ -89,6 +90,10 @@ def op11_dictionary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_vectors(table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op12_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(table(spark, sf_dir, "documents"))
+
+
 def op13_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shallot_clusters(table(spark, sf_dir, "embeddings"))
 
@@ -97,7 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_soft_mixing, op2_quality_model, op3_quality_rules, op4_token_counts, op5_top_k, op6_simhash, op7_byte_bpe,
-        op8_substring_dedup, op9_suffix_tree_lm, op10_suffix_groups, op11_dictionary_codes, op13_shallot,
+        op8_substring_dedup, op9_suffix_tree_lm, op10_suffix_groups, op11_dictionary_codes, op12_prefix_join, op13_shallot,
     )
 }
 
