@@ -30,7 +30,7 @@ from .simhash import _digests, _shingles, components
 from .textarrays import slices, text_bytes, words_of
 
 #: Shingles that a bucket's task holds at once, and the most frequent shingles that all tasks know.
-_BUCKET, _KNOWN = 6_000_000, 4_000_000
+_BUCKET, _KNOWN = 2_000_000, 4_000_000
 #: Documents whose ids are sent to all tasks instead of being joined by a shuffle.
 _SENT = 500_000
 
@@ -54,7 +54,7 @@ def _routed(width: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
-        for batch in slices(batches, "text", 4_000_000):
+        for batch in slices(batches, "text", 2_000_000):
             words = words_of(text_bytes(batch.column("text")), lower=True)
             grams, count = _shingles(words, width)
             digests = b"".join(_digests(words))
