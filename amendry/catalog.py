@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from amendry.functions import hooks
 from amendry.functions import text as T
 from amendry.functions import vectors as V
-from amendry.operators import curation, evaluation, hardeval, mining, models, scoring, sft
+from amendry.operators import curation, evaluation, hardeval, history, mining, models, scoring, sft
 from amendry.plans import duck as D
 from amendry.plans.fixtures import duck, view
 
@@ -430,11 +430,61 @@ def edit_merges(spark, sf_dir):
     return mining.edit_merges(dag(spark, sf_dir)).select("project_id", "commit", "branch", "base")
 
 
-@query(f"""WITH c AS {duck('commits')} SELECT project_id, 'c' || lpad(k::VARCHAR, 6, '0') AS "commit", 'c' || lpad(greatest(k - 3, 1)::VARCHAR, 6, '0') AS fork FROM c WHERE k % 5 = 0""")
+FORKS = f"""h AS MATERIALIZED {duck('history')}, edge AS MATERIALIZED (SELECT DISTINCT project_id, "commit" AS child, unnest(parents) AS parent FROM h),
+  m AS (SELECT project_id, "commit", subject, parents FROM h WHERE len(parents) = 2),
+  up AS (SELECT project_id, "commit", 1 AS side, parents[1] AS a FROM m UNION SELECT project_id, "commit", 2, parents[2] FROM m
+    UNION SELECT u.project_id, u."commit", u.side, e.parent FROM up u JOIN edge e ON e.project_id = u.project_id AND e.child = u.a),
+  common AS MATERIALIZED (SELECT project_id, "commit", a FROM up GROUP BY ALL HAVING count(DISTINCT side) = 2),
+  forks AS (SELECT c.project_id, c."commit", min(c.a) AS fork FROM common c ANTI JOIN
+    (SELECT c.project_id, c."commit", e.parent AS a FROM common c JOIN edge e ON e.project_id = c.project_id AND e.child = c.a) b ON b.project_id = c.project_id AND b."commit" = c."commit" AND b.a = c.a GROUP BY ALL)"""
+MERGED = f"""{FORKS}, subjects AS (SELECT *, regexp_extract(subject, 'edit/[^ '']+') AS branch FROM m WHERE contains(subject, 'edit/')),
+  branches AS (SELECT project_id, "commit", branch, substr(branch, 6) AS base, fork, parents[2] AS tip FROM subjects JOIN forks USING (project_id, "commit") WHERE fork <> parents[2])"""
+
+
+@query(f"WITH RECURSIVE {FORKS} SELECT * FROM forks")
 def fork_points(spark, sf_dir):
-    """A merged commit is an ancestor of the line it merges into here, so it is the fork itself."""
-    commits = dag(spark, sf_dir)
-    return mining.fork_points(commits, commits.where(F.size("parents") == 2))
+    """Over histories with branches, criss-cross and octopus merges, and merges of what the mainline already holds."""
+    commits = view(spark, sf_dir, "history").select("project_id", "commit", "parents")
+    return history.fork_points(commits, commits.where(F.size("parents") == 2))
+
+
+@query(f"WITH RECURSIVE {MERGED} SELECT * FROM branches")
+def merged_branches(spark, sf_dir):
+    return history.merged_branches(view(spark, sf_dir, "history"))
+
+
+@query(f"""WITH RECURSIVE h AS {duck('history')}, top AS (SELECT project_id, max(k) - 3 AS k FROM h GROUP BY 1),
+  line AS (SELECT h.project_id, h."commit", h.parents[1] AS up FROM h JOIN top USING (project_id, k) UNION ALL SELECT h.project_id, h."commit", h.parents[1] FROM line JOIN h ON h.project_id = line.project_id AND h."commit" = line.up)
+  SELECT project_id, "commit" FROM line""")
+def mainline(spark, sf_dir):
+    """What first parents lead to from the fourth commit from the end of each project."""
+    commits = view(spark, sf_dir, "history")
+    last = commits.groupBy("project_id").agg((F.max("k") - 3).alias("k"))
+    return history.mainline(commits, commits.join(last, ["project_id", "k"]))
+
+
+@query(f"""WITH RECURSIVE {MERGED}, t AS {duck('snapshots')},
+  files AS (SELECT b.project_id, b."commit", b.branch, b.fork, b.tip, x.path, x.text AS base_text, y.text AS edit_text FROM branches b JOIN t x ON x.project_id = b.project_id AND x.ref = b.fork JOIN t y ON y.project_id = b.project_id AND y.ref = b.tip AND y.path = x.path
+    WHERE x.text <> y.text AND regexp_matches(x.path, '\\.(md|rst|txt|adoc|org)$')),
+  sides AS (SELECT project_id, path || '|' || "commit" AS path, unnest(['x', 'edit/x']) AS ref, unnest([base_text, edit_text]) AS text FROM files),
+  {SECTION_PAIRS.replace(duck('revisions'), 'sides')}
+  SELECT p.project_id, f.path, f."commit" AS merge_commit, f.branch AS merged_branch, p.section_key, f.path || ':section:' || f.fork || '@' || f.fork[1:8] || '->' || f.tip || '@' || f.tip[1:8] || ':' || p.section_key AS source_reference,
+    concat_ws('-', p.project_id, {D.slug('f.path')}, left({D.slug('p.section_key')}, 48), substr(sha256(concat_ws(chr(10) || '---' || chr(10), p.section_key, source_text, edited_text)), 1, 12)) AS id, paragraph_count_source, paragraph_count_edited
+  FROM pairs p JOIN files f ON f.project_id = p.project_id AND p.path = f.path || '|' || f."commit" """)
+def merged_section_pairs(spark, sf_dir):
+    """From merges to pairs in one job: where a branch forked, what it changed, and which sections differ."""
+    found = history.merged_section_pairs(view(spark, sf_dir, "history"), view(spark, sf_dir, "snapshots"))
+    return found.select("project_id", "path", "merge_commit", "merged_branch", "section_key", "source_reference", "id", "paragraph_count_source", "paragraph_count_edited")
+
+
+@query(f"""WITH {SECTION_PAIRS}, hunks AS (SELECT text AS source_text, '' AS edited_text FROM conversations),
+  both_sides AS (SELECT 'pairs' AS side, source_text, edited_text FROM pairs UNION ALL SELECT 'compare', source_text, edited_text FROM hunks),
+  flagged AS (SELECT side, contains(coalesce(source_text, ''), chr(10) || chr(10)) OR contains(coalesce(edited_text, ''), chr(10) || chr(10)) AS b FROM both_sides)
+  SELECT side, count(*) AS n, count_if(b)::BIGINT AS with_boundary, round(count_if(b) / count(*), 9) AS share FROM flagged GROUP BY side""")
+def section_contrast(spark, sf_dir):
+    """Sections against single turns of conversations, which stand for hunks."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("text").alias("source_text"), F.lit("").alias("edited_text"))
+    return mining.boundary_shares(mined(spark, sf_dir), turns).withColumn("share", F.round("share", 9))
 
 
 BRANCHES = "b AS (SELECT DISTINCT source AS project_id, CASE WHEN doc_id % 3 = 0 THEN 'edit/' WHEN doc_id % 3 = 1 THEN 'origin/edit/' ELSE 'origin/' END || lang AS branch FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)"

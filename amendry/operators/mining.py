@@ -99,17 +99,23 @@ def section_pairs(revisions: DataFrame, base: str, edit: str, max_chars: int = 1
     both = revisions.where(F.col("ref").isin(base, edit))
     found = split_sections(both)
     side = lambda ref, name: found.where(F.col("ref") == ref).select("project_id", "path", "section_key", F.col("body").alias(name))
-    df = side(base, "source_text").join(side(edit, "edited_text"), ["project_id", "path", "section_key"], "full_outer")
-    df = df.select("project_id", "path", "section_key", *(T.strip(F.coalesce(x, F.lit(""))).alias(x) for x in ("source_text", "edited_text")))
-    df = df.where(T.usable_section("source_text", "edited_text", max_chars))
-    digest = F.substring(F.sha2(F.concat_ws("\n---\n", "section_key", "source_text", "edited_text"), 256), 1, 12)
-    shapes = [f(x).alias(f"{n}_count_{s}") for n, f in (("paragraph", T.paragraph_count), ("line", T.line_count)) for s, x in (("source", "source_text"), ("edited", "edited_text"))]
-    key = F.substring(T.slug("section_key"), 1, 48)
+    df = section_rows(side(base, "source_text").join(side(edit, "edited_text"), ["project_id", "path", "section_key"], "full_outer"), max_chars)
     if "commit" in revisions.columns:
         named = lambda ref, name: revisions.where(F.col("ref") == ref).select("project_id", "path", F.col("commit").alias(name))
         df = df.join(named(base, "_base"), ["project_id", "path"]).join(named(edit, "_edit"), ["project_id", "path"])
         whence = T.source_reference(F.col("path"), F.lit(base), F.lit(edit), F.col("_base"), F.col("_edit"), F.col("section_key"))
         df = df.withColumn("source_reference", whence).drop("_base", "_edit")
+    return df
+
+
+def section_rows(both: DataFrame, max_chars: int = 12000) -> DataFrame:
+    """Of matched sections (project_id, path, section_key, source_text, edited_text, ...) those with usable, different
+    texts, stripped, with their shapes and ids."""
+    df = both.withColumns({x: T.strip(F.coalesce(x, F.lit(""))) for x in ("source_text", "edited_text")})
+    df = df.where(T.usable_section("source_text", "edited_text", max_chars))
+    digest = F.substring(F.sha2(F.concat_ws("\n---\n", "section_key", "source_text", "edited_text"), 256), 1, 12)
+    shapes = [f(x).alias(f"{n}_count_{s}") for n, f in (("paragraph", T.paragraph_count), ("line", T.line_count)) for s, x in (("source", "source_text"), ("edited", "edited_text"))]
+    key = F.substring(T.slug("section_key"), 1, 48)
     return df.select("*", F.concat_ws("-", "project_id", T.slug("path"), key, digest).alias("id"), *shapes)
 
 
@@ -144,6 +150,14 @@ def section_stats(pairs: DataFrame) -> DataFrame:
     return by.agg(F.coalesce(n, F.lit(0)).alias("n"), *(share(x).alias(x) for x in flags), *lengths("source"), *lengths("edited"))
 
 
+def boundary_shares(pairs: DataFrame, compare: DataFrame) -> DataFrame:
+    """(side, n, with_boundary, share) of both tables: rows whose source or edited text holds a blank line; null counts
+    as empty. `compare` is the contrast, such as hunk pairs against section pairs."""
+    blank = F.contains(F.coalesce("source_text", F.lit("")), F.lit("\n\n")) | F.contains(F.coalesce("edited_text", F.lit("")), F.lit("\n\n"))
+    rows = [df.agg(F.count(F.lit(1)).alias("n"), F.count_if(blank).alias("with_boundary")).select(F.lit(name).alias("side"), "*") for name, df in (("pairs", pairs), ("compare", compare))]
+    return rows[0].union(rows[1]).withColumn("share", F.col("with_boundary") / F.nullif("n", F.lit(0)))
+
+
 def edit_merges(commits: DataFrame, prefix: str = "edit/") -> DataFrame:
     """Commits of two parents whose subject names a branch under the prefix."""
     df = commits.where(F.size("parents") == 2).withColumn("branch", T.branch_of_subject("subject"))
@@ -164,32 +178,6 @@ def resolve_refs(pairs: DataFrame, branches: DataFrame) -> DataFrame:
     return df.withColumn("resolved", F.when(F.col("_own"), F.col("ref")).when(F.col("_remote"), F.concat(F.lit("origin/"), "ref"))).drop("_own", "_remote")
 
 
-def fork_points(commits: DataFrame, merges: DataFrame, most_steps: int = 10_000) -> DataFrame:
-    """(project_id, commit, fork): the nearest common ancestor of each merge's two parents.
-
-    Ancestors of both parents are walked together, one join a generation; the fork is the common ancestor that is no
-    ancestor of another common one, the least id if several. A history deeper than `most_steps` generations is an error.
-    """
-    from amendry.plans.scratch import written
-
-    edges = written(commits.select("project_id", F.col("commit").alias("child"), F.explode("parents").alias("parent")), "parents")
-    starts = merges.select("project_id", "commit", F.posexplode("parents").alias("side", "ancestor"))
-    seen = written(starts, "ancestors")
-    front = seen
-    for step_no in range(most_steps + 1):
-        step = front.join(edges, (front["project_id"] == edges["project_id"]) & (front["ancestor"] == edges["child"])).select(front["project_id"], "commit", "side", F.col("parent").alias("ancestor")).distinct()
-        front = written(step.join(seen, ["project_id", "commit", "side", "ancestor"], "left_anti"), "front")
-        if front.isEmpty():
-            break
-        if step_no == most_steps:
-            raise ValueError(f"histories are deeper than {most_steps} generations")
-        seen = written(seen.union(front), "ancestors")
-    common = written(seen.groupBy("project_id", "commit", "ancestor").agg(F.countDistinct("side").alias("sides")).where("sides = 2").select("project_id", "commit", "ancestor"), "common")
-    passed = common.join(edges, (common["project_id"] == edges["project_id"]) & (common["ancestor"] == edges["child"])).select(common["project_id"], "commit", F.col("parent").alias("ancestor"))
-    best = common.join(passed, ["project_id", "commit", "ancestor"], "left_anti")
-    return best.groupBy("project_id", "commit").agg(F.min("ancestor").alias("fork"))
-
-
 def manifest_pairs(manifest: DataFrame) -> DataFrame:
     return manifest.select("project_id", F.explode("branch_pairs").alias("p")).select("project_id", "p.base", "p.edit")
 

@@ -1,8 +1,7 @@
-"""Fits: pairwise logistic regression and Bradley-Terry, and leave-one-project-out evaluation."""
+"""Fits: pairwise logistic regression and Bradley-Terry, and a certificate of their optimum; folds are in `folds`."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -13,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amendry.functions import vectors as V
-from amendry.functions.text import project_of
 from amendry.operators.evaluation import fold_summary
+from amendry.operators.folds import lopo  # noqa: F401
 
 
 @dataclass
@@ -28,12 +27,12 @@ class LinearModel:
         return V.dot(F.array(*map(F.lit, self.weights)), features) + self.bias
 
 
-def _fit(df: DataFrame, c: float, max_iter: int, center: bool, intercept: bool) -> LinearModel:
-    """min C * sum of log losses + |w|^2 / 2 over scaled features, as MLlib's mean loss with regParam 1 / (C n)."""
-    data = df.select(array_to_vector("features").alias("raw"), F.col("label").cast("double").alias("label"))
+def _fit(df: DataFrame, scaled: DataFrame, c: float, max_iter: int, center: bool, intercept: bool) -> LinearModel:
+    """The scaler is fitted on the vectors of `scaled`; min C * sum of log losses + |w|^2 / 2 over scaled features, as MLlib's mean loss with regParam 1 / (C n)."""
+    data = scaled.select(array_to_vector("features").alias("raw"))
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=center, withStd=True).fit(data)
-    n = data.count()
-    grow = ((n - 1) / n) ** 0.5 if n > 1 else 1.0  # MLlib divides by the sample deviation
+    n, number = df.count(), data.count()
+    grow = ((number - 1) / number) ** 0.5 if number > 1 else 1.0  # MLlib divides by the sample deviation
     std = [s * grow for s in scaler.std.toArray().tolist()]
     mean = scaler.mean.toArray().tolist() if center else [0.0] * len(std)
     inverse = [1 / s if s > 0 else 0.0 for s in std]
@@ -49,48 +48,42 @@ def _fit(df: DataFrame, c: float, max_iter: int, center: bool, intercept: bool)
 
 def fit_pairwise(df: DataFrame, c: float = 1.0, max_iter: int = 2000) -> LinearModel:
     """P(first candidate is chosen) from the columns features (array<double>) and label."""
-    return _fit(df, c, max_iter, center=True, intercept=True)
+    return _fit(df, df, c, max_iter, center=True, intercept=True)
 
 
 def fit_bt(pairs: DataFrame, c: float = 1.0, max_iter: int = 2000) -> LinearModel:
     """Score weights from the columns better and worse (features): P = sigmoid(s(better) - s(worse)).
 
-    Each pair counts in both directions; columns that only describe the source cancel.
+    Each pair counts in both directions; columns that only describe the source cancel. Scales are those of better and
+    worse stacked.
     """
     both = pairs.select(F.explode(F.array(F.struct(V.minus("better", "worse").alias("features"), F.lit(1).alias("label")), F.struct(V.minus("worse", "better").alias("features"), F.lit(0).alias("label")))).alias("x")).select("x.*")
-    return _fit(both, c, max_iter, center=False, intercept=False)
+    stacked = pairs.select(F.explode(F.array("better", "worse")).alias("features"))
+    return _fit(both, stacked, c, max_iter, center=False, intercept=False)
 
 
-def lopo(df: DataFrame, kind: str = "pairwise", threads: int = 4, most_projects: int = 200, **options) -> DataFrame:
-    """(project_id, n, accuracy, log_loss) of a model fitted on all other projects, for each project.
+def optimality(df: DataFrame, model: LinearModel, kind: str = "pairwise", c: float = 1.0) -> DataFrame:
+    """(pos, weight, gradient) of the objective that the fits minimise, at a model's weights: position 0 is the bias.
 
-    kind "pairwise" has features and label, "bt" better and worse. Features are kept while the folds are fitted by a
-    few threads of the driver; more than `most_projects` are an error. Rows without a project are one project.
-    Two projects at least.
+    Weights and gradient are those of scaled features; at the optimum every gradient is 0. Features are centred for
+    "pairwise"; features that don't vary have weight and gradient 0. Expressions and one shuffle by position, no fit.
     """
-    df = df.withColumn("project_id", project_of("project_id")).persist(StorageLevel.MEMORY_AND_DISK)
-    projects = [r[0] for r in df.groupBy("project_id").count().orderBy(F.desc("count"), "project_id").limit(most_projects + 1).collect()]
-    if len(projects) > most_projects:
-        raise ValueError(f"more than {most_projects} projects, each of which needs a fit")
-    if len(projects) < 2:
-        raise ValueError("leave-one-project-out needs two projects")
-
-    def fold(project: str) -> tuple:
-        rest, own = df.where(F.col("project_id") != project), df.where(F.col("project_id") == project)
-        if kind == "bt":
-            m = fit_bt(rest, **options)
-            margin = m.margin("better") - m.margin("worse")
-        else:
-            sign = 2 * F.col("label") - 1
-            margin = fit_pairwise(rest, **options).margin("features") * sign
-        return (project, *own.select(margin.alias("m")).agg(F.count(F.lit(1)), F.avg((F.col("m") > 0).cast("double")), F.avg(V.softplus_of_minus("m"))).first())
-
-    try:
-        with ThreadPoolExecutor(threads) as pool:
-            rows = list(pool.map(fold, projects))
-    finally:
-        df.unpersist()
-    return df.sparkSession.createDataFrame(rows, "project_id string, n long, accuracy double, log_loss double")
+    if kind == "bt":
+        vectors = df.select(F.explode(F.array("better", "worse")).alias("v"))
+        rows = df.select(V.minus("better", "worse").alias("x"), F.lit(1.0).alias("y"), F.lit(2.0).alias("copies"))
+    else:
+        vectors = df.select(F.col("features").alias("v"))
+        rows = df.select(F.col("features").alias("x"), (2.0 * F.col("label") - 1).alias("y"), F.lit(1.0).alias("copies"))
+    scales = vectors.select(F.posexplode("v").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    pull = -F.col("y") * F.col("copies") * V.sigmoid(-F.col("y") * model.margin("x"))
+    parts = rows.select("x", pull.alias("pull")).select("pull", F.posexplode("x").alias("pos", "x"))
+    sums = parts.groupBy("pos").agg(F.sum("pull").alias("pulls"), F.sum(F.col("pull") * F.col("x")).alias("pulled"))
+    weight = F.get(F.array(*map(F.lit, model.weights)), F.col("pos"))
+    mean = F.lit(0.0) if kind == "bt" else F.col("mean")
+    at = sums.join(scales, "pos").withColumn("weight", F.when(F.col("std") > 0, weight * F.col("std")).otherwise(0.0))
+    slope = F.when(F.col("std") > 0, c * (F.col("pulled") - mean * F.col("pulls")) / F.col("std") + F.col("weight")).otherwise(0.0)
+    rows = at.select((F.col("pos") + 1).alias("pos"), "weight", slope.alias("gradient"))
+    return rows if kind == "bt" else rows.union(sums.where("pos = 0").select(F.lit(0).alias("pos"), F.lit(model.bias).alias("weight"), (c * F.col("pulls")).alias("gradient")))
 
 
 def lopo_summary(folds: DataFrame) -> DataFrame:

@@ -151,6 +151,33 @@ SELECT concat('p', o_custkey) AS project_id, k, CASE WHEN k % 5 = 0 THEN 2 ELSE
   CASE WHEN k % 10 = 0 THEN concat('Merge pull request #', k, ' from me/edit/b', k % 7) WHEN k % 5 = 0 THEN concat('Merge branch ''edit/l', k % 3, '''') ELSE concat('work ', k) END AS subject FROM n"""
 
 
+def history(d: Dialect) -> str:
+    """Commits in blocks of seven: three of the mainline, two of a branch, one more of the mainline, and their merge.
+    Every third block is criss-cross, every third ends in an octopus; some blocks begin with a merge of what they hold."""
+    name = lambda k: f"substring(md5(concat('p', p, '-', {k})), 1, 12)"
+    block = d.div("k", 7)
+    items = lambda *xs: ("array(" if d.spark else "[") + ", ".join(xs) + (")" if d.spark else "]")
+    parents = f"""CASE WHEN k % 7 = 6 AND {block} % 3 = 2 THEN {items('k - 1', 'k - 2', 'k - 6')} WHEN k % 7 = 6 THEN {items('k - 1', 'k - 2')}
+    WHEN k % 7 = 5 AND {block} % 3 = 1 THEN {items('k - 3', 'k - 2')} WHEN k % 7 = 5 THEN {items('k - 3')} WHEN k % 7 = 4 AND {block} % 3 = 1 THEN {items('k - 1', 'k - 2')}
+    WHEN k % 7 = 3 THEN {items('k - 2')} WHEN k % 7 = 0 AND {block} % 4 = 3 THEN {items('k - 1', 'k - 5')} ELSE {items('k - 1')} END"""
+    return f"""
+WITH n AS (SELECT CAST(o_custkey % 40 AS INT) AS p, CAST(row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS INT) AS k FROM orders),
+x AS (SELECT p, k, {parents} AS xs FROM n)
+SELECT concat('p', p) AS project_id, {name('k')} AS commit, {d.map(d.keep('xs', 'x', 'x >= 1'), 'y', name('y'))} AS parents, k, {block} AS block,
+  CASE WHEN k % 7 IN (0, 6) AND k % 2 = 0 THEN concat('Merge pull request #', k, ' from me/edit/b', {block}) WHEN k % 7 IN (0, 6) THEN concat('Merge branch ', chr(39), 'edit/l', {block}, chr(39)) ELSE concat('work ', k) END AS subject FROM x"""
+
+
+def snapshots(d: Dialect) -> str:
+    """The files of `revisions` at the fork and at the last commit of a block's branch; some miss one side, some don't change."""
+    at = lambda k: f"substring(md5(concat(project_id, '-', 7 * (n % 9) + {k})), 1, 12)"
+    number = d.div("CAST(substring(path, 2, length(path) - 4) AS INT)", 20)
+    return f"""
+WITH r AS ({revisions(d)}),
+s AS (SELECT project_id, path, ref AS label, text, {number} AS n FROM r)
+SELECT project_id, CASE WHEN n % 5 = 4 THEN concat(path, '.png') ELSE path END AS path, CASE WHEN label = 'x' THEN {at(1)} ELSE {at(4)} END AS ref, CASE WHEN n % 6 = 5 THEN 'same' ELSE text END AS text
+FROM s WHERE NOT (n % 7 = 6 AND label = 'x')"""
+
+
 def folds(d: Dialect) -> str:
     """Documents of a source as folds of their language's report."""
     return """
@@ -158,7 +185,7 @@ SELECT lang AS model, source AS project_id, count(*) AS n, avg(CASE WHEN n_chars
 FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY lang, source"""
 
 
-VIEWS = {f.__name__: f for f in (examples, revisions, diffs, pref_vectors, candidates, activations, generations, commits, folds)}
+VIEWS = {f.__name__: f for f in (examples, revisions, diffs, pref_vectors, candidates, activations, generations, commits, history, snapshots, folds)}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -70,13 +70,6 @@ def test_line_matcher_finds_replaced_blocks(spark):
     assert [(r.line_old, r.source_text, r.edited_text) for r in found] == [(2, "old", "new")]
 
 
-def test_fork_points(spark):
-    parents = {"1": [], "2": ["1"], "3": ["2"], "4": ["2"], "5": ["4"], "6": ["3", "5"], "7": ["6"], "8": ["5"], "9": ["7", "8"], "a": ["1", "9"]}
-    commits = spark.createDataFrame([("p", c, p) for c, p in parents.items()], "project_id string, commit string, parents array<string>")
-    found = {r.commit: r.fork for r in M.fork_points(commits, commits.where(F.size("parents") == 2)).collect()}
-    assert found == {"6": "2", "9": "5", "a": "1"}
-
-
 def test_refs(spark):
     branches = spark.createDataFrame([("p", "main"), ("p", "origin/edit/a"), ("p", "edit/b"), ("p", "origin/edit/b")], "project_id string, branch string")
     wanted = spark.createDataFrame([("p", x) for x in ("main", "edit/a", "edit/b", "gone")], "project_id string, ref string")
