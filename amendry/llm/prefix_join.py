@@ -10,9 +10,12 @@ share enough with any other. Shingles travel once for this, 4 bytes each, to buc
 several documents of one batch hold is sent once. What frequent shingles a bucket sees becomes the order.
 
 Only what joins components is verified. Each group is first held against one leader of a block (a prefix shingle and a
-band of sizes), each member against its group's first. Then pairs are made between different components only: in a block
-everything outside its largest component meets the whole block. So thousands of near copies cost a pair each, and every
-link between documents that aren't connected otherwise is still tried; the components are exact.
+band of sizes): the group whose prefix most others share, such as the text that near copies were made from; members are
+held against one of their group. Two more rounds take other leaders for what is still apart. Then pairs are made between
+different components only: in a block everything outside its largest component meets the whole block. So thousands of
+near copies cost a few pairs each, and every link between documents that aren't connected otherwise is still tried; the
+components are exact. Pairs also pass a filter by 512 bits of each set, where each shingle turns a bit by its hash: sets
+differ in at least as many shingles as their bits differ.
 """
 
 from __future__ import annotations
@@ -34,6 +37,10 @@ _BUCKET, _KNOWN = 2_000_000, 4_000_000
 #: Documents whose ids are sent to all tasks instead of being joined by a shuffle.
 _SENT = 500_000
 
+#: Rounds of leaders, and the words of 64 bits of a set's sketch.
+_ROUNDS, _WORDS = 3, 8
+_SKETCH = [f"s{j}" for j in range(_WORDS)]
+
 _ROUTED = "bucket int, keys binary, counts binary, hashes binary, seen binary, times binary"
 _COUNTED = "doc_id long, mark long, digest binary, n int, key long, own int, code long, df long"
 
@@ -173,8 +180,10 @@ def _prefixes(known, buckets: int, per_cent: int):
             token = token[np.lexsort((token, doc))]
             length, start = n + (-per_cent * n // 100) + 1, np.cumsum(n) - n
             own = [token[a : a + p] for a, p in zip(start.tolist(), length.tolist())]
+            bits = np.bincount(doc * 64 * _WORDS + (grams % np.uint64(64 * _WORDS)).astype(np.int64), minlength=len(n) * 64 * _WORDS) & 1
+            sketch = np.packbits(bits.astype(np.uint8).reshape(len(n), -1), axis=1).view(np.int64)
             group = np.array([xxhash.xxh64_intdigest(p.tobytes(), k) for p, k in zip(own, n.tolist())], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n.astype(np.int32)), pa.array(group), pa.array(own, pa.list_(pa.int64()))], names=["digest", "n", "group", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n.astype(np.int32)), pa.array(group), pa.array(own, pa.list_(pa.int64())), *map(pa.array, sketch.T)], names=["digest", "n", "group", "prefix", *_SKETCH])
 
     return run
 
@@ -184,6 +193,11 @@ def _least_shared(per_cent: int, a: Column, b: Column) -> Column:
     return F.ceil(per_cent * (a + b) / F.lit(100 + per_cent)).cast("int")
 
 
+def _apart(a: str, b: str) -> Column:
+    """Bits in which two sketches differ, whose columns end in `a` and `b`."""
+    return sum((F.bit_count(F.col(f"{x}{a}").bitwiseXOR(F.col(f"{x}{b}"))) for x in _SKETCH[1:]), F.bit_count(F.col(f"s0{a}").bitwiseXOR(F.col(f"s0{b}"))))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """Of pairs (a, b) of digests those whose whole sets are similar enough."""
     one, two = sets.select(F.col("digest").alias("a"), F.col("own").alias("own_a")), sets.select(F.col("digest").alias("b"), F.col("own").alias("own_b"))
@@ -192,38 +206,56 @@ def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
 
 
 def _labels(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(digest, group, n, component) of all members; those without edges are their own component."""
+    """Members with their component; those without edges are their own."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     found = components(ends, edges).select(F.col("node").alias("digest"), "component")
-    return members.join(found, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    return written(members.join(found, "digest", "left").withColumn("component", F.coalesce("component", "digest")), "labels")
 
 
-def _first_pairs(groups: DataFrame, members: DataFrame, band: Column) -> DataFrame:
-    """Each group's leader with the leader of one block of it, and each member with the leader of its group."""
-    at = groups.select("group", band.alias("band"), F.posexplode("prefix").alias("pos", "token"))
-    least = at.groupBy("token", "band").agg(F.min("group").alias("lead"), F.max("group").alias("most")).where("lead < most").select("token", "band", "lead")
-    one = at.join(least, ["token", "band"]).where("group <> lead").groupBy("group").agg(F.min_by("lead", "pos").alias("lead"))
-    leaders = groups.select("group", "leader")
-    across = one.join(leaders, "group").join(leaders.select(F.col("group").alias("lead"), F.col("leader").alias("b")), "lead").select(F.col("leader").alias("a"), "b")
-    return across.union(members.join(leaders, "group").where("digest <> leader").select(F.col("digest").alias("a"), F.col("leader").alias("b")))
+def _grouped(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Groups with their component, null where members are in several."""
+    state = labels.groupBy("group").agg(F.min("component").alias("component"), F.max("component").alias("other"))
+    return written(groups.join(state, "group").withColumn("component", F.when(F.col("component") == F.col("other"), F.col("component"))).drop("other"), "grouped")
 
 
-def _group_pairs(groups: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
+def _leader_pairs(groups: DataFrame, labels: DataFrame, per_cent: int, turn: int) -> DataFrame:
+    """Each group's first member with that of one block's leader in another component, and each member with another one
+    of its group: the leader that most shingles lead to at first, others by hash in later turns."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / per_cent)))
+    at = groups.select("group", "leader", "component", band.alias("band"), F.posexplode("prefix").alias("pos", "token"))
+    if turn:
+        by = F.xxhash64("group", F.lit(turn))
+    else:
+        sizes = at.groupBy("token").agg(F.log(F.count(F.lit(1)).cast("double")).alias("size"))
+        weight = at.join(sizes, "token").groupBy("group").agg(F.avg("size").alias("weight"))
+        at, by = at.join(weight, "group"), F.struct("weight", "group")
+    lead = at.groupBy("token", "band").agg(F.max_by(F.struct(F.col("group").alias("lead"), F.col("leader").alias("b"), F.col("component").alias("of_b")), by).alias("x"), F.min("group").alias("least"), F.max("group").alias("most"))
+    lead = lead.where("least < most").select("token", "band", "x.*")
+    apart = F.coalesce(F.col("component") != F.col("of_b"), F.lit(True)) & (F.col("group") != F.col("lead"))
+    across = at.join(lead, ["token", "band"]).where(apart).groupBy("group").agg(F.first("leader").alias("a"), F.min_by("b", F.struct("pos", "b")).alias("b")).select("a", "b")
+    inside = labels.groupBy("group").agg(F.max_by(F.struct(F.col("digest").alias("b"), F.col("component").alias("of_b")), F.xxhash64("digest", F.lit(turn))).alias("x"), F.min("digest").alias("least"), F.max("digest").alias("most"))
+    inside = inside.where("least < most").select("group", "x.*")
+    return across.union(labels.join(inside, "group").where("component <> of_b").select(F.col("digest").alias("a"), "b"))
+
+
+def _group_pairs(held: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
     """Pairs of different groups (g, h) that may hold a link between different components."""
-    state = labels.groupBy("group").agg(F.min("component").alias("component"), F.max("component").alias("other"))
-    held = written(groups.join(state, "group").select("group", "n", F.when(F.col("component") == F.col("other"), F.col("component")).alias("component"), "prefix"), "grouped")
-    at = held.select("group", "n", "component", F.posexplode("prefix").alias("pos", "token"))
+    firsts = held.select("group", *(F.col(x).alias(f"{x}_first") for x in _SKETCH))
+    spread = labels.join(firsts, "group").groupBy("group").agg(F.max(_apart("", "_first")).alias("spread"))
+    columns = ["group", "n", "component", "spread", *_SKETCH]
+    at = held.join(spread, "group").select(*columns, F.posexplode("prefix").alias("pos", "token"))
     # A token's largest component; groups of several components stand for themselves.
     sizes = at.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
     blocks = sizes.groupBy("token").agg(F.max_by("component", F.when(F.col("component").isNotNull(), F.col("size"))).alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("total"))
     blocks = blocks.where("total > 1 AND (parts > 1 OR largest IS NULL)").select("token", "largest")
     alive = written(at.join(blocks, "token"), "blocks")
-    sides = [alive.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("group", "n", "component", "pos"))) for x in "ab"]
-    outside = alive.where("component IS NULL OR largest IS NULL OR component <> largest").select("token", *(F.col(c).alias(f"{c}_b") for c in ("group", "n", "component", "pos")))
+    side = lambda df, x: df.select("token", *(F.col(c).alias(f"{c}_{x}") for c in (*columns, "pos")))
+    outside = alive.where("component IS NULL OR largest IS NULL OR component <> largest")
     need = _least_shared(per_cent, F.col("n_a"), F.col("n_b"))
     differ = F.coalesce(F.col("component_a") != F.col("component_b"), F.lit(True)) & (F.col("group_a") != F.col("group_b"))
     near = (100 * F.least("n_a", "n_b") >= per_cent * F.greatest("n_a", "n_b")) & (F.col("pos_a") <= F.col("n_a") - need) & (F.col("pos_b") <= F.col("n_b") - need)
-    met = sides[0].join(outside, "token").where(differ & near).select(F.least("group_a", "group_b").alias("g"), F.greatest("group_a", "group_b").alias("h")).distinct()
+    alike = _apart("_a", "_b") - F.col("spread_a") - F.col("spread_b") <= F.col("n_a") + F.col("n_b") - 2 * need
+    met = side(alive, "a").join(side(outside, "b"), "token").where(differ & near & alike).select(F.least("group_a", "group_b").alias("g"), F.greatest("group_a", "group_b").alias("h")).distinct()
     one, two = [held.select(F.col("group").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}")) for x in "gh"]
     last = F.least(F.element_at("prefix_g", -1), F.element_at("prefix_h", -1))
     need = _least_shared(per_cent, F.col("n_g"), F.col("n_h"))
@@ -233,16 +265,17 @@ def _group_pairs(groups: DataFrame, labels: DataFrame, per_cent: int) -> DataFra
     return both.where(misses[0] & misses[1]).select("g", "h")
 
 
-def _member_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+def _member_pairs(pairs: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
     """Members of paired groups, and of one group, that are in different components."""
-    one = labels.select(F.col("group").alias("g"), F.col("digest").alias("a"), F.col("component").alias("of_a"))
-    two = labels.select(F.col("group").alias("h"), F.col("digest").alias("b"), F.col("component").alias("of_b"))
-    across = pairs.join(one, "g").join(two, "h").where("of_a <> of_b").select("a", "b")
-    # Within a group only what lies outside the leader's component meets all members.
-    lead = labels.groupBy("group").agg(F.min_by("component", "digest").alias("largest"), F.max("component").alias("most"), F.min("component").alias("least")).where("most <> least")
-    mixed = labels.join(lead.select("group", "largest"), "group")
-    outside = mixed.where("component <> largest").select(F.col("group").alias("g"), F.col("digest").alias("b"), F.col("component").alias("of_b"))
-    inside = one.join(outside, "g").where("of_a <> of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    side = lambda df, x, name: df.select(F.col("group").alias(name), F.col("digest").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n", *_SKETCH)))
+    need = _least_shared(per_cent, F.col("n_a"), F.col("n_b"))
+    fits = (F.col("component_a") != F.col("component_b")) & (_apart("_a", "_b") <= F.col("n_a") + F.col("n_b") - 2 * need)
+    across = pairs.join(side(labels, "a", "g"), "g").join(side(labels, "b", "h"), "h").where(fits).select("a", "b")
+    # Within a group only what lies outside one component, its largest, meets all members.
+    sizes = labels.groupBy("group", "component").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("group").agg(F.max_by("component", "size").alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("group", "largest")
+    inner = labels.join(mixed, "group")
+    inside = side(inner, "a", "g").join(side(inner.where("component <> largest"), "b", "g"), "g").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return across.union(inside).distinct()
 
 
@@ -275,15 +308,19 @@ def similar_sets(docs: DataFrame, width: int = 4, per_cent: int = 85) -> DataFra
     codes, df = (np.asarray(known.column(c).combine_chunks()) for c in ("code", "df"))
     order = np.argsort(codes)
     known = spark.sparkContext.broadcast((codes[order], (np.minimum(15, 1 + np.log2(np.maximum(1, df[order] // frequent)))).astype(np.int64)))
-    prefixes = written(sets.mapInArrow(_prefixes(known, buckets, per_cent), "digest binary, n int, group long, prefix array<long>"), "prefixes")
+    prefixes = written(sets.mapInArrow(_prefixes(known, buckets, per_cent), "digest binary, n int, group long, prefix array<long>, " + ", ".join(f"{x} long" for x in _SKETCH)), "prefixes")
     known.destroy()
 
-    groups = written(prefixes.groupBy("group").agg(F.first("n").alias("n"), F.min("digest").alias("leader"), F.first("prefix").alias("prefix")), "groups")
-    members = prefixes.select("digest", "group", "n")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / per_cent)))
-    edges = written(_verified(_first_pairs(groups, members, band), sets, per_cent), "first-links")
-    labels = written(_labels(members, edges), "labels")
-    more = written(_verified(_member_pairs(_group_pairs(groups, labels, per_cent), labels), sets, per_cent), "more-links")
+    first = F.min(F.struct(F.col("digest").alias("leader"), "n", "prefix", *_SKETCH)).alias("x")
+    groups = written(prefixes.groupBy("group").agg(first).select("group", "x.*"), "groups")
+    members = prefixes.select("digest", "group", "n", *_SKETCH)
+    labels, edges = members.withColumn("component", F.col("digest")), None
+    for turn in range(_ROUNDS):
+        more = written(_verified(_leader_pairs(_grouped(groups, labels), labels, per_cent, turn), sets, per_cent), "links")
+        edges = more if edges is None else edges.union(more)
+        labels = _labels(members, edges)
+    held = _grouped(groups, labels)
+    more = written(_verified(_member_pairs(_group_pairs(held, labels, per_cent), labels, per_cent), sets, per_cent), "more-links")
     found = _labels(members, edges.union(more)).select("digest", "component")
 
     least = found.join(texts, "digest").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")).where("size > 1")
