@@ -42,7 +42,7 @@ _ROUNDS, _WORDS = 3, 8
 _SKETCH = [f"s{j}" for j in range(_WORDS)]
 
 _ROUTED = "bucket int, keys binary, counts binary, hashes binary, seen binary, times binary"
-_COUNTED = "doc_id long, mark long, digest binary, n int, key long, own int, code long, df long"
+_COUNTED = "doc_id long, mark long, digest binary, n int, key long, part int, keys binary, own binary, code long, df long"
 
 
 def _place(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,11 +102,11 @@ def _routed(width: int, buckets: int):
 
 
 def _rows(number: int, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
-    kinds = {"doc_id": pa.int64(), "mark": pa.int64(), "digest": pa.binary(), "n": pa.int32(), "key": pa.int64(), "own": pa.int32(), "code": pa.int64(), "df": pa.int64()}
+    kinds = {"doc_id": pa.int64(), "mark": pa.int64(), "digest": pa.binary(), "n": pa.int32(), "key": pa.int64(), "part": pa.int32(), "keys": pa.binary(), "own": pa.binary(), "code": pa.int64(), "df": pa.int64()}
     return pa.RecordBatch.from_arrays([columns[c] if c in columns and isinstance(columns[c], pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(number, t) for c, t in kinds.items()], names=list(kinds))
 
 
-def _bucket_counts(bucket: int, rows: list[tuple], frequent: int) -> Iterator[pa.RecordBatch]:
+def _bucket_counts(bucket: int, rows: list[tuple], frequent: int, buckets: int) -> Iterator[pa.RecordBatch]:
     join = lambda k, kind: np.frombuffer(b"".join(r[k] for r in rows), kind)
     keys, place = np.unique(join(0, np.int64), return_inverse=True)
     both = join(2, np.uint32).astype(np.uint64) << np.uint64(32) | np.repeat(place, join(1, np.uint32)).astype(np.uint64)
@@ -119,14 +119,19 @@ def _bucket_counts(bucket: int, rows: list[tuple], frequent: int) -> Iterator[pa
         df = df + np.where(seen[spot] == hashes, times[spot], 0)
     own = np.bincount((both & np.uint64(0xFFFFFFFF)).astype(np.int64)[df[which] == 1], minlength=len(keys))
     has = np.flatnonzero(own)
-    yield _rows(len(has), key=keys[has], own=own[has].astype(np.int32))
+    part = (keys[has].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    has, cuts = has[order], np.searchsorted(part[order], np.arange(buckets + 1))
+    full = np.flatnonzero(np.diff(cuts)).tolist()
+    packed = [(keys[at := has[cuts[p] : cuts[p + 1]]].tobytes(), own[at].astype(np.uint32).tobytes()) for p in full]
+    yield _rows(len(full), part=np.array(full, np.int32), keys=pa.array([x for x, _ in packed], pa.binary()), own=pa.array([x for _, x in packed], pa.binary()))
     rest = ~np.isin(seen, hashes)
     values, df = np.concatenate((hashes, seen[rest])), np.concatenate((df, times[rest]))
     many = np.flatnonzero(df >= frequent)
     yield _rows(len(many), code=np.int64(bucket) << 32 | values[many].astype(np.int64), df=df[many])
 
 
-def _counted(frequent: int):
+def _counted(frequent: int, buckets: int):
     """Rows come sorted by bucket; a task holds one bucket at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,16 +144,36 @@ def _counted(frequent: int):
                     yield _rows(len(n), doc_id=pa.array(ids, mask=~np.frombuffer(row[3], bool)), mark=marks, digest=digest, n=n, key=np.frombuffer(digests, np.int64)[::2])
                     continue
                 if bucket != now and held:
-                    yield from _bucket_counts(now, held, frequent)
+                    yield from _bucket_counts(now, held, frequent, buckets)
                     held = []
                 now = bucket
                 held.append(tuple(row))
         if held:
-            yield from _bucket_counts(now, held, frequent)
+            yield from _bucket_counts(now, held, frequent, buckets)
 
     return run
 
 
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by key of the shingles that are a document's own, a part of the keys at a time; rows come sorted by part."""
+
+    def summed(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        keys, at = np.unique(np.frombuffer(b"".join(k for k, _ in held), np.int64), return_inverse=True)
+        own = np.bincount(at, np.frombuffer(b"".join(x for _, x in held), np.uint32), minlength=len(keys))
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own.astype(np.int64))], names=["key", "alone"])
+
+    now, held = None, []
+    for batch in batches:
+        for part, keys, own in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "own"))):
+            if part != now and held:
+                yield summed(held)
+                held = []
+            now = part
+            held.append((keys, own))
+    if held:
+        yield summed(held)
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
@@ -293,12 +318,12 @@ def similar_sets(docs: DataFrame, width: int = 4, per_cent: int = 85) -> DataFra
     about = (own.agg(F.sum(F.octet_length("text")).alias("x")).first().x or 0) // 6  # shingles, roughly; a plan choice alone
     buckets, frequent = max(8, -(-about // _BUCKET)), max(16, -(-about // _KNOWN))
     routed = own.mapInArrow(_routed(width, buckets), _ROUTED).repartition(min(buckets, 50_000), "bucket").sortWithinPartitions("bucket")
-    counted = written(routed.mapInArrow(_counted(frequent), _COUNTED), "counted")
+    counted = written(routed.mapInArrow(_counted(frequent, buckets), _COUNTED), "counted")
 
     rows = counted.where("digest IS NOT NULL").select("doc_id", "mark", "digest", "n", "key")
     texts = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.first("n").alias("n"), F.first("key").alias("key"))
     texts = written(texts.select("digest", "one.*", "n", "key"), "texts")
-    alone = counted.where("own IS NOT NULL").groupBy("key").agg(F.sum("own").alias("alone"))
+    alone = counted.where("part IS NOT NULL").select("part", "keys", "own").repartition(min(buckets, 50_000), "part").sortWithinPartitions("part").mapInArrow(_alone, "key long, alone long")
     spare = F.col("n") - F.ceil(F.col("n") * per_cent / F.lit(100))
     kept = written(texts.join(alone, "key", "left").where(F.coalesce("alone", F.lit(0)) <= spare).select("doc_id", "mark", "digest"), "kept")
 

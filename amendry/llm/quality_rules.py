@@ -123,7 +123,8 @@ def line_frequency_rules(
     Null texts count as empty and fail the base rule. Rows that repeat a doc_id are one document in the counts of
     lines; each of them loses the lines of its own text, and all appear. Rows without doc_id neither count nor lose lines.
 
-    Counting is combined before the shuffle, so a line in every document costs one row a task. On the way back the
+    The first shuffle has a row for each line of each document, repeats in a task combined; counts are then combined
+    before their shuffle, so a line in every document costs one row a task there. On the way back the
     frequent lines, of which there are at most lines / max_docs, are copied to `salts` keys so that the rows of a
     very common line spread over as many tasks.
     """

@@ -2,8 +2,6 @@
 
 import random
 
-import pytest
-
 from amendry.llm import prefix_join
 from amendry.llm.prefix_join import similar_sets
 
@@ -62,35 +60,27 @@ def families(seed=1, prefix=""):
     return [(i * 3 + 1, prefix + t, "en", "s", len(t), 0, 0) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_odd_documents(spark, seed):
-    rows = documents(seed)
+def test_odd_documents(spark):
+    rows = documents()
     rows += [(rows[3][0], "another text under a known id that has ten words", *rows[0][2:]), (77001, "another text under a known id that has ten words", *rows[0][2:]), rows[4], rows[4]]
     assert found(spark.createDataFrame(rows, SCHEMA).repartition(5)) == plain(rows)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_families(spark, seed, monkeypatch):
-    monkeypatch.setattr(prefix_join, "_BUCKET", 300)
-    monkeypatch.setattr(prefix_join, "_KNOWN", 400)
-    rows = families(seed)
+def test_families(spark, monkeypatch):
+    """Many buckets, levels of frequency, ids joined by a shuffle, and one round of leaders, so that pairs do the rest."""
+    for name, value in (("_BUCKET", 300), ("_KNOWN", 400), ("_SENT", 3), ("_ROUNDS", 1)):
+        monkeypatch.setattr(prefix_join, name, value)
+    rows = families()
     want = plain(rows)
     assert len({c for _, _, c in want}) > 10
     assert found(spark.createDataFrame(rows, SCHEMA).repartition(4)) == want
 
 
-@pytest.mark.parametrize("options", [{"width": 2, "per_cent": 50}, {"width": 5, "per_cent": 80}])
-def test_other_thresholds(spark, options):
-    rows = families(3)
+def test_another_threshold(spark):
+    rows, options = families(3), {"width": 2, "per_cent": 50}
     assert found(spark.createDataFrame(rows, SCHEMA), **options) == plain(rows, **options)
 
 
-def test_ids_joined_by_a_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(prefix_join, "_SENT", 3)
-    rows = families(4)
-    assert found(spark.createDataFrame(rows, SCHEMA)) == plain(rows)
-
-
 def test_no_rows(spark):
     assert found(spark.createDataFrame([], SCHEMA)) == []
     assert found(spark.createDataFrame([(1, None, "", "", 0, 0, 0), (2, " ", "", "", 0, 0, 0)], SCHEMA)) == [(1, 0, 1), (2, 0, 2)]
