@@ -159,22 +159,29 @@ def _attached(own: DataFrame, found: DataFrame, crowd: int) -> DataFrame:
     return dealt.join(found.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), ["fp", "part"])
 
 
+def _least_ids(groups: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, least_id): the least doc_id of each node's component, from (node, component) and (node, least)."""
+    of = groups.join(ids, "node").groupBy("component").agg(F.min("least").alias("least_id"))
+    return groups.join(of, "component").select("node", "least_id")
+
+
 def near_duplicate_groups(docs: DataFrame, width: int = 3, most: int = 3, crowd: int = 100_000) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach) and n_links of the fingerprint.
 
-    Equal fingerprints are one node, named by the least doc_id, so copies are never paired with each other. n_links
-    counts the other fingerprints within `most` bits. Rows without doc_id have their fingerprint alone; rows that repeat
-    an id come back each, and an empty table gives an empty result.
+    Equal fingerprints are one node, so copies are never paired with each other. n_links counts the other fingerprints
+    within `most` bits. Rows without doc_id have their fingerprint alone; rows that repeat an id come back each, with the
+    group of their own text, and an empty table gives an empty result. Long texts take some 30 bytes a byte in their task.
 
     The last join has one row for each fingerprint on one side. Copies of a fingerprint beyond `crowd` go to as many
     more keys as they need, by their doc_id, so that a text with very many copies is no hot key.
     """
     own = written(fingerprints(docs, width), "fp")
-    nodes = written(own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
-    edges = written(links(nodes.select("fp", "node"), most).distinct(), "links")
-    groups = components(nodes, edges)
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    found = nodes.join(groups, "node").join(ends, "node", "left").select("fp", "copies", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    nodes = written(own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
+    edges = written(links(nodes.select("fp", F.col("fp").alias("node")), most).distinct(), "links")
+    ends = written(edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links")), "ends")
+    groups = _least_ids(components(ends.select("node"), edges), nodes.select(F.col("fp").alias("node"), "least"))
+    found = nodes.join(groups.join(ends, "node").withColumnRenamed("node", "fp"), "fp", "left")
+    found = found.select("fp", "copies", F.coalesce("least_id", "least").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     result = _attached(own, written(found, "groups"), crowd)
     alone = own.where("doc_id IS NULL").select("doc_id", digits, F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
@@ -212,13 +219,14 @@ def _sketch(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     for batch in slices(batches, "text", 1_000_000):
         words = words_of(text_bytes(batch.column("text")), lower=True)
         grams, count = _shingles(words, _PROPOSING)
-        full, columns = count > 0, []
+        full, columns, digests = count > 0, [], _digests(words)
         for j in range(parts):
             out = np.zeros(len(count), np.uint64)
             if len(grams):
                 out[full] = np.packbits(2 * _ones(mix(grams + np.uint64(j)), count[full]) > count[full][:, None], axis=1).view(">u8").ravel()
             columns.append(pa.array(out.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_digests(words), pa.binary()), *columns], names=["doc_id", "digest", *(f"f{j}" for j in range(parts))])
+        name = pa.array(np.frombuffer(b"".join(digests), np.int64)[::2])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(digests, pa.binary()), name, *columns], names=["doc_id", "mark", "digest", "node", *(f"f{j}" for j in range(parts))])
 
 
 def _shingle_sets(width: int):
@@ -234,43 +242,57 @@ def _shingle_sets(width: int):
 
 
 def proposed(nodes: DataFrame, parts: int) -> DataFrame:
-    """Pairs (node, least): each node with the least node of each anchor that both visit.
+    """Pairs (node, least): each node of (node, component, f0, ...) with the least node of each anchor that both visit, if
+    that is in another component.
 
     An anchor proposes one pair for each of its visitors, not all pairs of them, so the pairs grow with the documents.
     """
-    each = nodes.select("node", F.posexplode(F.array(*(F.col(f"f{j}") for j in range(parts)))).alias("print", "fp"))
-    at = visits(each).select("node", ((F.col("print") * 2 + F.col("half")).cast("long") * (1 << 32) + F.col("anchor")).alias("at"))
-    least = at.groupBy("at").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("at", "least")
-    return at.join(least, "at").where("least < node").select("node", "least").distinct()
+    each = nodes.select("node", "component", F.posexplode(F.array(*(F.col(f"f{j}") for j in range(parts)))).alias("print", "fp"))
+    at = visits(each).select("node", "component", ((F.col("print") * 2 + F.col("half")).cast("long") * (1 << 32) + F.col("anchor")).alias("at"))
+    least = at.groupBy("at").agg(F.min(F.struct(F.col("node").alias("least"), F.col("component").alias("of"))).alias("x"), F.min("component").alias("one"), F.max("component").alias("other"))
+    return at.join(least.where("one < other").select("at", "x.*"), "at").where("component <> of").select("node", "least")
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, parts: int = 4, most_apart: float = 0.22) -> DataFrame:
-    """(doc_id, component_id): the least doc_id that links reach, a link being a Jaccard similarity of the sets of
-    `width`-word shingles of at least `similarity`, A-Z lower-cased.
-
-    Texts with equal words are one node; texts of fewer words are one shingle, those without words one node. Pairs come
-    from fingerprints of `parts` times 64 bits over two-word shingles, at the anchors of each half: two documents are
-    proposed where some half differs in few bits, each with the least document there, and dropped where more than
-    `most_apart` of all bits differ, so a pair may be missed (README has the share); a proposed pair is linked exactly when its shingles say so. Rows without doc_id are left out, rows
-    that repeat one come back each.
+    """(doc_id, mark, component_id): the least doc_id that links reach, a link being a Jaccard similarity of the sets of
+    `width`-word shingles of at least `similarity`, A-Z lower-cased; mark is xxhash64 of the text.
+
+    Texts with equal words are one node, named by 64 bits of their digest; texts of fewer words are one shingle, those
+    without words, and null, one node. Pairs come from fingerprints of `parts` times 64 bits over two-word shingles, at
+    the anchors of each half: two documents are proposed where some half differs in few bits, each with the least node
+    there, and dropped where more than `most_apart` of all bits differ, so a pair may be missed (README has the share); a
+    proposed pair is linked exactly when its shingles say so. First each document is held against the least node of all
+    its anchors, then against the others that this has not connected it with, so crowds of copies make few pairs. Rows without doc_id are left out, rows that repeat one come
+    back each, with the group of their own text. Long texts take some 30 bytes a byte in their task.
     """
-    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, digest binary, " + ", ".join(f"f{j} long" for j in range(parts))
+    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    schema = "doc_id long, mark long, digest binary, node long, " + ", ".join(f"f{j} long" for j in range(parts))
     sketches = written(own.mapInArrow(lambda batches: _sketch(batches, parts), schema), "sketches")
-    nodes = written(sketches.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(f"f{j}").alias(f"f{j}") for j in range(parts))), "nodes")
-    # Equal least ids can stand for two texts where rows share a doc_id; a node is then told by its digest.
-    pairs = written(proposed(nodes.select("node", *(f"f{j}" for j in range(parts))), parts), "proposed")
-    # Strangers that met at an anchor differ in far more of all bits than texts at the similarity do.
-    prints = nodes.select("node", F.array(*(f"f{j}" for j in range(parts))).alias("own"))
-    apart = F.aggregate(F.zip_with("own", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
-    pairs = pairs.join(prints, "node").join(prints.select(F.col("node").alias("least"), F.col("own").alias("other")), "least")
-    pairs = written(pairs.where(apart <= int(most_apart * 64 * parts)).select("node", "least").distinct(), "near")
-    wanted = pairs.select(F.explode(F.array("node", "least")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
-    texts = own.join(wanted, own["doc_id"] == wanted["node"]).select("node", "digest", "text")
-    sets = written(texts.mapInArrow(_shingle_sets(width), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
-    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("least"), F.col("shingles").alias("others")), "least")
-    shared = F.size(F.array_intersect("shingles", "others"))
-    edges = both.where(shared >= F.lit(similarity) * (F.size("shingles") + F.size("others") - shared)).select(F.col("least").alias("a"), F.col("node").alias("b"))
-    groups = components(nodes.select("node").distinct(), edges)
-    found = nodes.select("digest", "node").join(groups, "node").select("digest", "component")
-    return sketches.select("doc_id", "digest").join(found, "digest").select("doc_id", F.col("component").alias("component_id"))
+    one = F.min(F.struct("doc_id", "mark")).alias("one")
+    nodes = sketches.groupBy("digest").agg(F.first("node").alias("node"), one, *(F.first(f"f{j}").alias(f"f{j}") for j in range(parts)))
+    nodes = written(nodes.select("digest", "node", "one.*", *(f"f{j}" for j in range(parts))), "nodes")
+    fields = [f"f{j}" for j in range(parts)]
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        # Strangers that met at an anchor differ in far more of all bits than texts at the similarity do.
+        prints = nodes.select("node", F.array(*fields).alias("own"))
+        apart = F.aggregate(F.zip_with("own", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+        near = pairs.join(prints, "node").join(prints.select(F.col("node").alias("least"), F.col("own").alias("other")), "least")
+        near = written(near.where(apart <= int(most_apart * 64 * parts)).select("node", "least"), "near")
+        wanted = near.select(F.explode(F.array("node", "least")).alias("node")).distinct().join(nodes.select("node", "digest", "doc_id", "mark"), "node")
+        texts = own.join(wanted, ["doc_id", "mark"]).select("node", "digest", "text")
+        sets = written(texts.mapInArrow(_shingle_sets(width), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+        both = near.join(sets, "node").join(sets.select(F.col("node").alias("least"), F.col("shingles").alias("others")), "least")
+        shared = F.size(F.array_intersect("shingles", "others"))
+        return written(both.where(shared >= F.lit(similarity) * (F.size("shingles") + F.size("others") - shared)).select(F.col("least").alias("a"), F.col("node").alias("b")), "similar")
+
+    first = written(proposed(nodes.select("node", F.col("node").alias("component"), *fields), parts).groupBy("node").agg(F.min("least").alias("least")), "proposed")
+    edges = linked(first)
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    met = first.select(F.explode(F.array("node", "least")).alias("node")).distinct().join(components(ends, edges), "node", "left")
+    again = nodes.join(met, "node").select("node", F.coalesce("component", "node").alias("component"), *fields)
+    edges = edges.union(linked(written(proposed(written(again, "met"), parts).distinct(), "proposed")))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    groups = _least_ids(components(ends, edges), nodes.select("node", F.col("doc_id").alias("least")))
+    found = nodes.join(groups, "node", "left").select("digest", F.coalesce("least_id", "doc_id").alias("component_id"))
+    return sketches.select("doc_id", "mark", "digest").join(found, "digest").select("doc_id", "mark", "component_id")

@@ -92,7 +92,8 @@ def test_encoding_has_a_row_for_each_document(stages):
 
 def test_registered_queries_match_their_sql(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         want = con.execute(sql).df()
         got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
