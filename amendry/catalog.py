@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -859,15 +859,37 @@ def candidate_set(spark, sf_dir):
     return hardeval.candidate_set(windows(spark, sf_dir)).select("path", "section_key", "unit", "window_start", text(1).alias("joined"), text(2).alias("split"), text(4).alias("reversed"))
 
 
-def words_and_marks(base: str, text: str) -> int:
-    """Stands for a tokenizer's joint count."""
-    return len(re.findall(r"\w+|[^\w\s]", base)) + len(re.findall(r"\w+|[^\w\s]", text))
+def words_and_marks(text):
+    """Stands for a tokenizer: words, and other characters than blanks."""
+    return F.regexp_count(text, F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"))
 
 
-@query()
+def _tokens(t: str) -> str:
+    return f"len(regexp_extract_all({t}, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]'))"
+
+
+POOL = f"""{WINDOWS.replace('(SELECT path, section_key, ', '(SELECT project_id, path, section_key, paragraph_count_source, paragraph_count_edited, ').replace('SELECT path, section_key, ', 'SELECT project_id, path, section_key, paragraph_count_source, paragraph_count_edited, ')},
+  h AS (SELECT *, string_split(human, {NL})[1] AS head, {_paragraphs('human')} AS ps, {_tokens('base')} AS tb, {_tokens('human')} AS th FROM w),
+  c AS (SELECT *, {_headed('head', f"array_to_string(ps, {NL})")} AS joined, {_headed('head', f"array_to_string(list_reverse(ps), {NL} || {NL})")} AS reversed,
+    {_headed('head', f"array_to_string(list_filter(string_split(array_to_string(ps, {NL}), {NL}), lambda l: {D.strip('l')} <> ''), {NL} || {NL})")} AS split FROM h WHERE len(ps) >= 3 AND 2 * tb <= 512 AND tb + th <= 512),
+  five AS (SELECT *, list_transform([human, joined, split, base, reversed], lambda t: {D.strip('t')}) AS f FROM c),
+  pool AS (SELECT project_id, path, section_key, unit, window_start, CASE WHEN unit = 'window' THEN 3 ELSE paragraph_count_edited END AS np,
+    row_number() OVER (PARTITION BY project_id, section_key ORDER BY -abs(paragraph_count_edited - paragraph_count_source), unit <> 'section', length(base), tie) AS rn,
+    row_number() OVER (ORDER BY -abs(paragraph_count_edited - paragraph_count_source), unit <> 'section', length(base), tie) AS ord
+    FROM (SELECT *, ('0x' || substr(md5(concat_ws('|', project_id, path, section_key, unit, window_start)), 1, 15))::BIGINT AS tie FROM five)
+    WHERE len(list_filter(f, lambda t: t = f[2])) = 1 AND len(list_filter(f, lambda t: t = f[3])) = 1 AND len(list_filter(f, lambda t: t = f[5])) = 1)"""
+
+
+@query(f"""WITH RECURSIVE {POOL.replace('  pool AS (', '  pool AS MATERIALIZED (')},
+  fold AS (SELECT DISTINCT project_id, section_key, 0::BIGINT AS rn, []::STRUCT(u VARCHAR, s INTEGER, p BIGINT)[] AS taken, NULL::BIGINT AS chosen FROM pool
+    UNION ALL SELECT f.project_id, f.section_key, x.rn, CASE WHEN clash THEN taken ELSE list_append(taken, {{'u': x.unit, 's': x.window_start, 'p': x.np}}) END, CASE WHEN clash THEN NULL ELSE x.ord END
+    FROM (SELECT f.*, x.rn AS nrn, len(list_filter(f.taken, lambda t: (t.s = x.window_start AND t.p = x.np) OR (t.u = 'window' AND x.unit = 'window' AND abs(t.s - x.window_start) < 3))) > 0 AS clash FROM fold f JOIN pool x ON x.project_id = f.project_id AND x.section_key = f.section_key AND x.rn = f.rn + 1) f
+    JOIN pool x ON x.project_id = f.project_id AND x.section_key = f.section_key AND x.rn = f.nrn),
+  capped AS (SELECT p.*, row_number() OVER (PARTITION BY p.project_id ORDER BY p.ord) AS k FROM fold JOIN pool p ON p.ord = fold.chosen)
+  SELECT path, section_key, unit, window_start FROM capped WHERE k <= 8 ORDER BY ord LIMIT 50""")
 def greedy_pick(spark, sf_dir):
     """The whole build: best sections, windows, candidate sets, token limit, pick."""
-    return hardeval.build_hard_eval(section_rows(spark, sf_dir), n_items=50, count=words_and_marks).select("path", "section_key", "unit", "window_start")
+    return hardeval.build_hard_eval(section_rows(spark, sf_dir), n_items=50, pieces=words_and_marks).select("path", "section_key", "unit", "window_start")
 
 
 def _preview(t: str) -> str:
@@ -959,11 +981,50 @@ def lopo_bt(spark, sf_dir):
     return models.lopo(df, "bt")
 
 
-@query()
+@query(f"""WITH t AS (SELECT DISTINCT unnest([source_text, edited_text]) AS text FROM {duck('examples')}), c AS (SELECT text, list_transform(string_split(text, ''), lambda x: unicode(x)::BIGINT) AS c FROM t),
+  g AS (SELECT text, unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i] + 131 * c[i + 1] + 17161 * c[i + 2]) % 256)) AS b FROM c WHERE len(c) >= 3),
+  n AS (SELECT text, b, count(*)::DOUBLE AS x FROM g GROUP BY text, b), v AS (SELECT text, b, (x / sqrt(sum(x * x) OVER (PARTITION BY text)))::FLOAT::DOUBLE AS x FROM n)
+  SELECT md5(t.text) AS digest, 256 AS size, round(coalesce(sum(x), 0), 5) AS total, round(coalesce(sum(x * sin(b) / 10), 0), 5) AS weighed FROM t LEFT JOIN v USING (text) GROUP BY t.text""")
 def encoded_texts(spark, sf_dir):
     e = view(spark, sf_dir, "examples").select(F.explode(F.array("source_text", "edited_text")).alias("text"))
     return hooks.encode_texts(e).select(F.md5("text").alias("digest"), *digest(V.doubles("vec")))
 
 
+FEATURES = f"""{PV}, f AS (SELECT {D.preference('src', 'a', 'b', 'len_src', 'len_a', 'len_b')} AS x, 2 * label - 1 AS y FROM v),
+  p AS (SELECT unnest(x) AS x, generate_subscripts(x, 1) AS pos, -y / (1 + exp(y * (list_dot_product({D.weights(N_PAIR)}, x) + 0.25))) AS pull FROM f)"""
+
+
+@query(f"""WITH {FEATURES}, s AS (SELECT pos, avg(x) AS mean, stddev_pop(x) AS std, sum(pull) AS pulls, sum(pull * x) AS pulled FROM p GROUP BY pos)
+  SELECT pos, round(sin(pos - 1) / 10 * std, 6) AS weight, round(0.5 * (pulled - mean * pulls) / std + sin(pos - 1) / 10 * std, 6) AS gradient FROM s UNION ALL SELECT 0, 0.25, round(0.5 * pulls, 6) FROM s WHERE pos = 1""")
+def objective_gradient(spark, sf_dir):
+    """The gradient of the fits' objective, at given weights."""
+    weights = models.LinearModel([math.sin(i) / 10 for i in range(N_PAIR)], 0.25)
+    return models.optimality(_features(spark, sf_dir).select("label", "features"), weights, c=0.5).select("pos", F.round("weight", 6).alias("weight"), F.round("gradient", 6).alias("gradient"))
+
+
+@query(f"""WITH {FEATURES} SELECT kind, features, true AS optimal, n FROM (SELECT count(DISTINCT pos) AS features, count(*) // count(DISTINCT pos) AS n FROM p), (VALUES ('pairwise')) k(kind)
+  UNION ALL SELECT 'bt', {N_POINT}, true, count(*) FROM v""")
+def fit_optimality(spark, sf_dir):
+    """Both fits on whole features; optimal where the gradient at the fitted weights is under a thousandth of that at zero."""
+    df = _features(spark, sf_dir).persist()
+    first = F.col("label") == 1
+    pairs = df.select(F.when(first, F.col("fa")).otherwise(F.col("fb")).alias("better"), F.when(first, F.col("fb")).otherwise(F.col("fa")).alias("worse"))
+    found = None
+    for kind, data, fit, n in (("pairwise", df, models.fit_pairwise, N_PAIR), ("bt", pairs, models.fit_bt, N_POINT)):
+        size = lambda model: models.optimality(data, model, kind).agg(F.sqrt(F.sum(F.col("gradient") ** 2)).alias("size"), F.count_if(F.col("pos") > 0).alias("features"))  # noqa: B023, E731
+        at, start = size(fit(data)), size(models.LinearModel([0.0] * n, 0.0)).select(F.col("size").alias("start"))
+        row = at.crossJoin(start).select(F.lit(kind).alias("kind"), "features", (F.col("size") <= F.col("start") / 1000).alias("optimal"))
+        found = row if found is None else found.union(row)
+    return found.crossJoin(df.agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(f"SELECT project_id, path, md5(text) AS text FROM {duck('revisions')} WHERE ref = 'edit/x'")
+def edit_hunks(spark, sf_dir):
+    """Each edited file made again from its base and the hunks between the two."""
+    revisions = view(spark, sf_dir, "revisions")
+    rebuilt = mining.apply_hunks(revisions.where("ref = 'x'").drop("ref"), mining.edit_hunks(revisions, "x", "edit/x"))
+    return rebuilt.select("project_id", "path", F.md5("rebuilt").alias("text"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pref_by_split(spark, sf_dir)

@@ -24,8 +24,32 @@ def hashed_ngrams(texts: list[str], dim: int = 256, n: int = 3) -> np.ndarray:
     return out
 
 
-def encode_texts(texts: DataFrame, encoder: Encoder = hashed_ngrams, prefix: str = "", dim: int = 0, normalize: bool = True) -> DataFrame:
-    """(text, vec) of each distinct text, encoded once; `dim` keeps the first numbers before scaling to length 1."""
+def ngram_vectors(texts: DataFrame, dim: int = 0, n: int = 3, buckets: int = 256, prefix: str = "", normalize: bool = True) -> DataFrame:
+    """(text, vec) as `encode_texts` with `hashed_ngrams` gives, in expressions: characters to n-grams to buckets, counted
+    by text and bucket. The counts travel under a digest of the text; the text itself is shuffled once, to be distinct."""
+    own = texts.select("text").distinct().withColumn("_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    codes = F.transform(F.split(F.concat(F.lit(prefix), F.coalesce("text", F.lit(""))), ""), lambda c: F.ascii(c).cast("long"))
+    chars = own.select("_id", F.explode(F.array(codes)).alias("c")).where(F.size("c") >= n)
+    gram = lambda i: sum((F.get(F.col("c"), i + k) * 131**k for k in range(1, n)), F.get(F.col("c"), i))
+    placed = chars.select("_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("c") - n), lambda i: (gram(i) % buckets).cast("int"))).alias("bucket"))
+    counts = placed.groupBy("_id", "bucket").agg(F.count(F.lit(1)).alias("x"))
+    found = counts.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("x").cast("double")))).alias("m"))
+    dense = lambda m: F.transform(F.sequence(F.lit(0), F.lit((dim or buckets) - 1)), lambda b: F.coalesce(F.element_at(m, b), F.lit(0.0)))
+    vec = dense(F.coalesce("m", F.expr("cast(map() as map<int,double>)")))
+    df = own.join(found, "_id", "left").select("text", vec.alias("vec"))
+    size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    if normalize:
+        df = df.withColumn("_size", size).withColumn("vec", F.when(F.col("_size") > 0, F.transform("vec", lambda x: x / F.col("_size"))).otherwise(F.col("vec"))).drop("_size")
+    return df.withColumn("vec", F.col("vec").cast("array<float>"))
+
+
+def encode_texts(texts: DataFrame, encoder: Encoder | None = None, prefix: str = "", dim: int = 0, normalize: bool = True) -> DataFrame:
+    """(text, vec) of each distinct text, encoded once; `dim` keeps the first numbers before scaling to length 1.
+
+    Without an encoder of the user's, counts of hashed character n-grams, which need no Python.
+    """
+    if encoder is None:
+        return ngram_vectors(texts, dim, prefix=prefix, normalize=normalize)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,22 +42,90 @@ def parse_unified_diff(diffs: DataFrame, diff: str = "diff") -> DataFrame:
     return out.where(T.usable_pair("source_text", "edited_text")).drop("_hunk", diff)
 
 
-def _changed_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _meeting(a: list[int], b: list[int]) -> tuple[int, int, int, int]:
+    """A run of equal lines (from, to in both) in the middle of a shortest edit script, found from both ends at once.
+
+    Only the furthest points of each diagonal are kept, so memory grows with the lines, not with their product.
+    """
+    n, m = len(a), len(b)
+    delta = n - m
+    ahead, back = {1: 0}, {1: 0}
+    for d in range((n + m + 1) // 2 + 1):
+        diagonals = range(2 * max(0, d - m) - d, d - 2 * max(0, d - n) + 1, 2)
+        for from_start, own, other in ((True, ahead, back), (False, back, ahead)):
+            for k in diagonals:
+                down, right = own.get(k + 1, -1), own.get(k - 1, -1) + 1
+                x = begin = down if k == -d or (k != d and right <= down) else right
+                y = x - k
+                while x < n and y < m and (a[x] == b[y] if from_start else a[n - 1 - x] == b[m - 1 - y]):
+                    x, y = x + 1, y + 1
+                own[k] = x
+                turns = d - 1 if from_start else d  # of the other side so far
+                if (delta % 2 == 1) == from_start and abs(delta - k) <= turns and x + other.get(delta - k, -1 - n) >= n:
+                    return (begin, begin - k, x, y) if from_start else (n - x, m - y, n - begin, m - begin + k)
+    raise AssertionError
+
+
+def changed_blocks(old: list[str], new: list[str]) -> list[tuple[int, int, int, int]]:
+    """Blocks (a, b, c, d): lines a to b of `old` are replaced by lines c to d of `new`, as few lines as possible."""
+    number: dict[str, int] = {}
+    x, y = ([number.setdefault(line, len(number)) for line in lines] for lines in (old, new))
+    todo, found = [(0, len(x), 0, len(y))], []
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and x[a] == y[c]:
+            a, c = a + 1, c + 1
+        while a < b and c < d and x[b - 1] == y[d - 1]:
+            b, d = b - 1, d - 1
+        if a == b or c == d:
+            if a < b or c < d:
+                found.append((a, b, c, d))
+            continue
+        begin, low, end, high = _meeting(x[a:b], y[c:d])
+        todo += [(a + end, b, c + high, d), (a, a + begin, c, c + low)]
+    blocks: list[tuple[int, int, int, int]] = []
+    for a, b, c, d in sorted(found):
+        if blocks and blocks[-1][1] == a and blocks[-1][3] == c:
+            blocks[-1] = (blocks[-1][0], b, blocks[-1][2], d)
+        else:
+            blocks.append((a, b, c, d))
+    return blocks
+
+
+def _edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for row in batch.itertuples(index=False):
             old, new = (row.base_text or "").split("\n"), (row.edit_text or "").split("\n")
-            for tag, a, b, c, d in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
-                if tag == "replace":
-                    clean = lambda x: "\n".join(y.rstrip() for y in x if y.strip())
-                    rows.append((row.project_id, row.path, a + 1, c + 1, clean(old[a:b]), clean(new[c:d])))
-        yield pd.DataFrame(rows, columns=["project_id", "path", "line_old", "line_new", "source_text", "edited_text"])
+            rows += [(row.project_id, row.path, k + 1, a + 1, c + 1, old[a:b], new[c:d]) for k, (a, b, c, d) in enumerate(changed_blocks(old, new))]
+        yield pd.DataFrame(rows, columns=["project_id", "path", "hunk_no", "line_old", "line_new", "removed", "added"])
+
+
+def edit_hunks(revisions: DataFrame, base: str, edit: str) -> DataFrame:
+    """(project_id, path, hunk_no, line_old, line_new, removed, added): a shortest line edit script of each file.
+
+    Files that one side lacks have no rows; null texts are empty. Applied to the base the hunks give the edited text.
+    """
+    schema = "project_id string, path string, hunk_no int, line_old int, line_new int, removed array<string>, added array<string>"
+    return pair_revisions(revisions, base, edit).mapInPandas(_edits, schema)
+
+
+def apply_hunks(files: DataFrame, hunks: DataFrame, text: str = "text") -> DataFrame:
+    """Files (project_id, path, text) with `rebuilt`: the text after its hunks; files without hunks stay as they are."""
+    own = hunks.groupBy("project_id", "path").agg(F.array_sort(F.collect_list(F.struct("line_old", F.size("removed").alias("gone"), "added"))).alias("_hunks"))
+    df = files.join(own, ["project_id", "path"], "left").withColumn("_lines", F.split(F.coalesce(text, F.lit("")), "\n"))
+    start = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    step = lambda s, h: F.struct((h["line_old"] + h["gone"]).alias("at"), F.concat(s["out"], F.slice(F.col("_lines"), s["at"], h["line_old"] - s["at"]), h["added"]).alias("out"))
+    done = F.aggregate(F.coalesce("_hunks", F.array()), start, step, lambda s: F.concat(s["out"], F.slice(F.col("_lines"), s["at"], F.size("_lines") + 1)))
+    return df.withColumn("rebuilt", F.array_join(done, "\n")).drop("_hunks", "_lines")
 
 
 def diff_hunks(revisions: DataFrame, base: str, edit: str) -> DataFrame:
-    """Replaced blocks of lines between two revisions of each file; borders of ambiguous edits may differ from git's."""
-    pairs = pair_revisions(revisions, base, edit)
-    found = pairs.mapInPandas(_changed_blocks, "project_id string, path string, line_old int, line_new int, source_text string, edited_text string")
+    """Replaced blocks of lines between two revisions of each file, without blank lines; borders of ambiguous edits may
+    differ from git's."""
+    both = edit_hunks(revisions, base, edit).where("size(removed) > 0 AND size(added) > 0")
+    clean = lambda x: F.array_join(T.clean_lines(x), "\n")
+    found = both.select("project_id", "path", "line_old", "line_new", clean(F.col("removed")).alias("source_text"), clean(F.col("added")).alias("edited_text"))
     return found.where(T.usable_pair("source_text", "edited_text"))
 
 

@@ -57,13 +57,13 @@ def only_flagged(df: DataFrame) -> DataFrame:
     return df.where("verdict <> 'preferred_edit'")
 
 
-def hunk_stats(df: DataFrame, file: str = "file", total: bool = True) -> DataFrame:
-    """Statistics of each file and, as the row with file null, of all; one shuffle."""
+def hunk_stats(df: DataFrame, file: str = "file", total: bool = True, more: list[Column] | None = None) -> DataFrame:
+    """Statistics of each file and, as the row with file null, of all; one shuffle. `more` are further aggregates."""
     group = df.rollup(file) if total else df.groupBy(file)
     return group.agg(
         F.count(F.lit(1)).alias("n"), F.avg("margin").alias("mean_margin"), F.min("margin").alias("min_margin"), F.max("margin").alias("max_margin"),
         F.avg("score_edit").alias("mean_edit"), F.avg("score_base").alias("mean_base"), F.min("score_edit").alias("min_edit"), F.max("score_edit").alias("max_edit"),
-        F.avg((F.col("margin") > 0).cast("double")).alias("win_rate"),
+        F.avg((F.col("margin") > 0).cast("double")).alias("win_rate"), *(more or []),
     )
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -93,3 +94,22 @@ def test_build_rejects_before_it_picks(spark):
     df = spark.createDataFrame(rows, "project_id string, path string, section_key string, source_text string, edited_text string, paragraph_count_source int, paragraph_count_edited int, line_no long")
     found = H.build_hard_eval(df, n_items=1, count=lambda base, text: len(base.split()) + len(text.split())).collect()
     assert [(r.path, [c.id for c in r.candidates]) for r in found] == [("fine.md", list(H.GOLD_RANK))]
+
+
+def test_tokens_are_counted_by_paragraph(spark):
+    """Counts of windows equal counts of their texts; the build by counted pieces picks what the build by texts picks."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(12):
+        paras = ["first line\n" + " ".join(f"word{rng.randrange(50)}," for _ in range(rng.randint(8, 60))) for _ in range(rng.randint(3, 7))]
+        text = f"## T{i}\n\n" + "\n\n".join(paras) + "\n"
+        rows.append((f"p{i % 3}", f"f{i}.md", f"k{i % 5}", text, text.replace("word1", "Word1").replace("word2", "new word2"), len(paras), len(paras) + i % 2, i))
+    df = spark.createDataFrame(rows, "project_id string, path string, section_key string, source_text string, edited_text string, paragraph_count_source int, paragraph_count_edited int, line_no long")
+    pieces = lambda t: F.regexp_count(t, F.lit(r"[A-Za-z0-9#]+|,"))
+    windows = H.expand_windows(df, pieces=pieces).select(F.col("base_tokens") == pieces("base_text"), F.col("human_tokens") == pieces("human_text"), "human_paragraphs").collect()
+    assert len(windows) > 30 and all(a and b for a, b, _ in windows)
+    count = lambda base, text: len(re.findall(r"[A-Za-z0-9#]+|,", base)) + len(re.findall(r"[A-Za-z0-9#]+|,", text))
+    keys = lambda found: [(r.path, r.unit, r.window_start, r.line_no, [c.text for c in r.candidates]) for r in found.collect()]
+    for most in (700, 2000):
+        by_pieces = keys(H.build_hard_eval(df, 8, 3, max_tokens=most, pieces=pieces))
+        assert by_pieces == keys(H.build_hard_eval(df, 8, 3, max_tokens=most, count=count)) and len(by_pieces) > 2

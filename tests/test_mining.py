@@ -70,6 +70,44 @@ def test_line_matcher_finds_replaced_blocks(spark):
     assert [(r.line_old, r.source_text, r.edited_text) for r in found] == [(2, "old", "new")]
 
 
+def shortest(old, new):
+    """Lines removed and added by a shortest script, by the table of longest common subsequences."""
+    row = [0] * (len(new) + 1)
+    for x in old:
+        last = row
+        row = [0]
+        for j, y in enumerate(new):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return len(old) + len(new) - 2 * row[-1]
+
+
+def test_edit_scripts_are_shortest_and_rebuild_the_text():
+    rng = random.Random(5)
+    for n in [0, 1, 2, 3, 5, 8, 30, 60] * 25:
+        old, new = ([rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(rng.randint(0, n))] for _ in range(2))
+        if rng.random() < 0.4:
+            new = [x for x in old if rng.random() < 0.8] + new[:2]
+        blocks = M.changed_blocks(old, new)
+        out, at = [], 0
+        for a, b, c, d in blocks:
+            out += old[at:a] + new[c:d]
+            at = b
+        assert out + old[at:] == new and sum(b - a + d - c for a, b, c, d in blocks) == shortest(old, new)
+        assert all(p[1] < q[0] and p[3] < q[2] for p, q in zip(blocks, blocks[1:]))
+    long = [f"line {i % 700}" for i in range(20_000)]
+    edited = [x + "!" if i % 997 == 5 else x for i, x in enumerate(long)]
+    assert len(M.changed_blocks(long, edited)) == 21
+
+
+def test_hunks_of_files(spark):
+    rows = [("p", "f", "a", "x\nold\ny\n"), ("p", "f", "b", "x\nnew\ny\nadded\n"), ("p", "gone", "a", "x"), ("p", "same", "a", "x"), ("p", "same", "b", "x"), ("p", "null", "a", None), ("p", "null", "b", "z")]
+    df = spark.createDataFrame(rows, "project_id string, path string, ref string, text string")
+    hunks = M.edit_hunks(df, "a", "b")
+    assert sorted((r.path, r.hunk_no, r.line_old, r.line_new, r.removed, r.added) for r in hunks.collect()) == [("f", 1, 2, 2, ["old"], ["new"]), ("f", 2, 4, 4, [], ["added"]), ("null", 1, 1, 1, [""], ["z"])]
+    rebuilt = M.apply_hunks(df.where("ref = 'a'").drop("ref"), hunks)
+    assert {r.path: r.rebuilt for r in rebuilt.collect()} == {"f": "x\nnew\ny\nadded\n", "gone": "x", "same": "x", "null": "z"}
+
+
 def test_refs(spark):
     branches = spark.createDataFrame([("p", "main"), ("p", "origin/edit/a"), ("p", "edit/b"), ("p", "origin/edit/b")], "project_id string, branch string")
     wanted = spark.createDataFrame([("p", x) for x in ("main", "edit/a", "edit/b", "gone")], "project_id string, ref string")
