@@ -35,7 +35,9 @@ def test_query_matches_oracle(spark, oracle, name):
     assert plain(catalog.QUERIES[name](spark, SF).toPandas()) == plain(oracle.execute(catalog.ORACLE_SQL[name]).df())
 
 
-NATIVE = sorted(n for n in catalog.ORACLE_SQL if n not in {"edit_hunks", "fit_optimality"})
+#: Jobs of several steps run when the query is built; the plan of the last step says little about them.
+STEPS = {"fork_points", "merged_branches", "merged_section_pairs", "mainline", "greedy_pick"}
+NATIVE = sorted(n for n in catalog.ORACLE_SQL if n not in STEPS | {"edit_hunks", "fit_optimality"})
 
 
 @pytest.mark.parametrize("name", NATIVE)

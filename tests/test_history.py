@@ -57,11 +57,10 @@ def table(spark, graphs):
     return spark.createDataFrame([(p, c, up, f"Merge branch 'edit/{c}'" if len(up) == 2 else "work") for p, g in graphs.items() for c, up in g.items()], SCHEMA)
 
 
-@pytest.mark.parametrize("window", [1, 16])
-def test_fork_points_of_random_graphs(spark, window):
+def test_fork_points_of_random_graphs(spark):
     graphs = {f"p{s}": graph(s, 60 + 20 * s) for s in range(6)}
     commits = table(spark, graphs)
-    found = {(r.project_id, r.commit): r.fork for r in H.fork_points(commits, commits, window).collect()}
+    found = {(r.project_id, r.commit): r.fork for r in H.fork_points(commits, commits, window=4).collect()}
     want = {(p, c): f for p, g in graphs.items() for c, up in g.items() if len(up) == 2 and (f := plain_fork(g, *up))}
     assert found == want and len(want) > 60
 
