@@ -108,7 +108,7 @@ def plain_clusters(given, k, rounds):
     return [(i, j, d, each[j], sum(each), digest[j]) for i, d, j in found]
 
 
-@pytest.mark.parametrize("k", [1, 2, 8, 40, 500])
+@pytest.mark.parametrize("k", [1, 8, 500])
 def test_clusters_equal_the_plain_ones(spark, k):
     given = rows()
     found = shallot_clusters(spark.createDataFrame(given, SCHEMA).repartition(4), k, 6, DIMS)
