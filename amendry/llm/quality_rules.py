@@ -120,7 +120,7 @@ def line_frequency_rules(
 
     A line that more than `max_docs` documents of one host hold is removed; a document keeps its place when at
     least `min_left` of its words remain. Hosts that are null share one group; documents without lines lose nothing.
-    Null texts count as empty and fail the base rule. Rows that repeat a doc_id are one document in the counts of
+    Null texts count as empty and fail the base rule. A task holds some 25 to 35 bytes for each byte of its longest text. Rows that repeat a doc_id are one document in the counts of
     lines; each of them loses the lines of its own text, and all appear. Rows without doc_id neither count nor lose lines.
 
     The first shuffle has a row for each line of each document, repeats in a task combined; counts are then combined

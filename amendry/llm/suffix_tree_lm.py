@@ -6,16 +6,14 @@ suffix's, at last with the unigram's. A text is scored by the longest retained s
 
 Sizes. Grams of up to depth + 1 words are counted by a combining aggregation, one length after the other: a gram is
 counted when both of its shorter ones are frequent, which tasks look up in a map of fixed size that may say yes too often.
-A counted gram goes on with the keys of its context and its suffix. Contexts and the words after them stay in Spark tables and grow with the corpus. Smoothing makes the log probability of
-a text the sum of one number for each of its grams; the most frequent, a fixed number, are looked up in the
-task, and the long tail, which has no hot keys, by a join. `fit_suffix_tree` is the small form with shares as limits, in
-which other words share a class: the driver builds it, and it does not grow.
+A counted gram goes on with the keys of its context and its suffix. Contexts and the words after them stay in Spark
+tables and grow with the corpus. Smoothing makes the log probability of a text the sum of one number for each of its
+grams; the most frequent, a fixed number, are looked up in the task, and the long tail, which has no hot keys, by a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +23,7 @@ from pyspark.sql import functions as F
 from .scratch import written
 from .textarrays import mix, slices, text_bytes, words_of
 
-END, RARE, BEGIN = np.uint64(1), 0, 2
-_END_CLASS, _FIRST_CLASS = 1, 3
+END = np.uint64(1)
 _ADD = 0.1
 _BASE, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -81,188 +78,6 @@ class Lookup:
         return np.where(self.keys[at] == keys, self.values[at], self.missing)
 
 
-@dataclass
-class SuffixTree:
-    """Row 0 of `log10` is the root; contexts[d - 1] finds the rows of contexts of d symbols."""
-
-    classes: Lookup
-    alphabet: int
-    contexts: list[Lookup]
-    log10: np.ndarray
-
-    def symbols(self, token: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of the tokens, each text after a BEGIN, and which positions are tokens."""
-        own = self.classes(token).astype(np.int64)
-        own[token == END] = _END_CLASS
-        starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-        out = np.insert(own, starts, BEGIN)
-        return out, out != BEGIN
-
-    def codes(self, symbols: np.ndarray, depth: int) -> np.ndarray:
-        """Code of the `depth` symbols before each position; -1 where a text has fewer."""
-        n = len(symbols)
-        code, fine = np.zeros(n, np.int64), np.ones(n, bool)
-        for back in range(depth, 0, -1):
-            before = np.full(n, -1, np.int64)
-            before[back:] = symbols[: n - back]
-            code = code * self.alphabet + before
-            fine &= before >= 0
-        for back in range(0, depth):
-            at = symbols == BEGIN  # no context reaches over a BEGIN to the text before
-            crossed = np.zeros(n, bool)
-            crossed[back:] = at[: n - back]
-            fine &= ~crossed
-        return np.where(fine, code, -1)
-
-    def score(self, token: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """log10 probability of each token's symbol in the state of the longest retained suffix."""
-        symbols, real = self.symbols(token, doc)
-        state = np.zeros(len(symbols), np.int64)
-        for depth, find in enumerate(self.contexts, 1):
-            found = find(self.codes(symbols, depth))
-            state = np.where(found >= 0, found, state)
-        return self.log10[state[real], symbols[real]].astype(np.float64)
-
-
-def _count_contexts(tree: SuffixTree, candidates: np.ndarray, depth: int) -> Callable:
-    """Counts of each symbol after each candidate context, as dense rows in the task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Lookup(candidates, np.arange(len(candidates)), -1)
-        dense = np.zeros(len(candidates) * tree.alphabet, np.int64)
-        for batch in slices(batches, "text"):
-            symbols, real = tree.symbols(*tokens_of(text_bytes(batch.column("text"))))
-            row = find(tree.codes(symbols, depth))
-            use = real & (row >= 0)
-            dense += np.bincount(row[use] * tree.alphabet + symbols[use], minlength=len(dense))
-        at = np.flatnonzero(dense)
-        yield pa.RecordBatch.from_pydict({"cell": at, "n": dense[at]})
-
-    return run
-
-
-def fit_suffix_tree(
-    docs: DataFrame, totals: DataFrame, n: int, v: int, depth: int = 3, class_share: float = 1 / 1024,
-    context_share: float = 1 / 4096, smoothing: float = 50.0, strength: float = 3.0,
-) -> SuffixTree:
-    """Fit on `docs`, whose `totals` (token, n) sum to `n` over `v` tokens.
-
-    A context is retained when its G statistic, 2 * sum n log(observed / expected by the suffix), is at least
-    `strength` times the number of symbols seen after it.
-    """
-    z = n + _ADD * (v + 1)
-    frequent = totals.where((F.col("n") >= max(1.0, n * class_share)) & (F.col("token") != int(END))).orderBy("token").toArrow()  # at most 1 / class_share
-    tokens = frequent.column("token").to_numpy().view(np.uint64)
-    counts = frequent.column("n").to_numpy()
-    alphabet = _FIRST_CLASS + len(tokens)
-    root = np.zeros(alphabet)
-    root[_FIRST_CLASS:] = (counts + _ADD) / z
-    ends = totals.where(F.col("token") == int(END)).agg(F.sum("n")).first()[0] or 0
-    root[_END_CLASS] = (ends + _ADD) / z
-    root[RARE] = max(1e-300, 1 - root.sum())
-    tree = SuffixTree(Lookup(tokens, np.arange(_FIRST_CLASS, alphabet), RARE), alphabet, [], np.log10(np.maximum(root, 1e-300))[None, :])
-    rows = {(): root}
-    retained: list[tuple[tuple[int, ...], np.ndarray]] = []
-    candidates = [(s,) for s in range(alphabet) if s != _END_CLASS and (s == BEGIN or root[s] * z >= n * context_share)] if n else []
-    for d in range(1, depth + 1):
-        if not candidates:
-            break
-        codes = np.array([sum(s * alphabet ** (d - 1 - i) for i, s in enumerate(c)) for c in candidates], np.int64)
-        order = np.argsort(codes)
-        found = (
-            docs.select(F.col("text").cast("string")).mapInArrow(_count_contexts(tree, codes[order], d), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        )  # at most contexts * symbols cells
-        cell, number = found.column("cell").to_numpy(), found.column("n").to_numpy()
-        after = np.zeros((len(candidates), alphabet))
-        after[cell // alphabet, cell % alphabet] = number
-        longer = []
-        for at, i in enumerate(order.tolist()):
-            context, own = candidates[i], after[at]
-            total = own.sum()
-            if not total:
-                continue
-            suffix = next(rows[context[k:]] for k in range(1, d + 1) if context[k:] in rows)
-            seen = own > 0
-            g = 2 * (own[seen] * np.log(own[seen] / (total * suffix[seen]))).sum()
-            if g >= strength * seen.sum():
-                rows[context] = (own + smoothing * suffix) / (total + smoothing)
-                retained.append((context, rows[context]))
-            longer += [(*context, s) for s in np.flatnonzero(own >= n * context_share).tolist() if s != _END_CLASS]
-        candidates = longer
-    log10 = np.log10(np.maximum(np.vstack([root, *(p for _, p in retained)]), 1e-300)).astype(np.float32)
-    finds = []
-    for d in range(1, max((len(c) for c, _ in retained), default=0) + 1):
-        own = [(sum(s * alphabet ** (d - 1 - i) for i, s in enumerate(c)), row) for row, (c, _) in enumerate(retained, 1) if len(c) == d]
-        finds.append(Lookup(np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], np.int64), -1))
-    tree.contexts, tree.log10 = finds, log10
-    return tree
-
-
-_PARTS = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<token:long,n:int>>"
-
-
-def _score(shared, z: float) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, common, rare_log10 = shared.value
-        for batch in slices(batches, "text"):
-            token, doc = tokens_of(text_bytes(batch.column("text")))
-            n = batch.num_rows
-            count = common(token)
-            looked_up = count >= 0
-            unigram = np.log10((np.maximum(count, 0) + _ADD) / z)
-            rare = (tree.classes(token) == RARE) & (token != END)
-            value = tree.score(token, doc) - np.where(rare, rare_log10, 0)
-            add = lambda x: np.bincount(doc, weights=x, minlength=n)
-            odd_doc, odd = doc[~looked_up], token[~looked_up]
-            order = np.lexsort((odd, odd_doc))
-            odd_doc, odd = odd_doc[order], odd[order]
-            new = np.flatnonzero(np.concatenate(([True], (odd_doc[1:] != odd_doc[:-1]) | (odd[1:] != odd[:-1])))) if len(odd) else np.zeros(0, np.int64)
-            times = np.diff(np.append(new, len(odd))).astype(np.int32)
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(odd_doc[new], minlength=n)))).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(odd[new].view(np.int64)), pa.array(times)], names=["token", "n"]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("held_out"), pa.array(np.bincount(doc, minlength=n)), pa.array(add(looked_up).astype(np.int64)),
-                    pa.array(add(np.where(looked_up, unigram, 0))), pa.array(add(value + np.where(rare & looked_up, unigram, 0))), tail,
-                ],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"],
-            )
-
-    return run
-
-
-def _score_bounded(docs: DataFrame, held_out: Column, common_share: float, **options) -> DataFrame:
-    """The columns of `score_texts` by the tree of `fit_suffix_tree`, which keeps shares of the tokens only."""
-    spark = docs.sparkSession
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    train = df.where("NOT held_out")
-    totals = written(token_totals(train), "totals")
-    n, v = (x or 0 for x in totals.agg(F.sum("n"), F.count(F.lit(1))).first())
-    z = n + _ADD * (v + 1)
-    tree = fit_suffix_tree(train, totals, n, v, **options)
-    known = totals.where(F.col("n") >= max(1.0, n * common_share)).toArrow()  # at most 1 / common_share rows
-    common = Lookup(known.column("token").to_numpy().view(np.uint64), known.column("n").to_numpy(), -1)
-    shared = spark.sparkContext.broadcast((tree, common, float(tree.log10[0, RARE])))
-    parts = df.mapInArrow(_score(shared, z), _PARTS).withColumn("row", F.monotonically_increasing_id())
-    parts = written(parts, "scores")
-    tail = (
-        parts.select("row", F.explode("tail").alias("x")).select("row", "x.*")
-        .join(totals.select("token", F.col("n").alias("c")), "token", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(_ADD)) / F.lit(z))).alias("tail_log10"),
-            F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"),
-        )
-    )
-    more, known_more = F.coalesce("tail_log10", F.lit(0.0)), F.coalesce("tail_known", F.lit(0))
-    return parts.drop("tail").join(tail, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + known_more).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
-    )
-
-
-# --- contexts by absolute counts, in Spark tables --------------------------------------------------------------------
-
 _BITS = 26  # of a key, in a map of fixed size
 
 
@@ -438,19 +253,16 @@ def _least(counts: DataFrame, most: int, share: float) -> float:
     return min(share, float(found.column("n")[int(fits[-1])].as_py()) if len(fits) else share)
 
 
-def score_texts(docs: DataFrame, held_out: Column, common_share: float = 2e-6, looked_up: int = 1_500_000, words_looked_up: int = 200_000, depth: int = 3, class_share: float | None = None, context_share: float | None = None, **options) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, common_share: float = 2e-6, looked_up: int = 1_500_000, words_looked_up: int = 200_000, depth: int = 3, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of each whole text.
 
     The model learns from the rows where `held_out` is false. base_score sums log10((c + 0.1) / (N + 0.1 (V + 1)));
     score is the suffix tree's of `fit_contexts`, which sums to 1 over all words, one unknown word and the end. Null
     texts are empty and consist of an end. Without training rows N = V = 0. Rows come back one for one, repeated ones
     too. Words and grams of more than `common_share` of the tokens, and others down to `words_looked_up` and `looked_up`
-    in all, are looked up in the task; scores don't depend on it. With shares for classes and
-    contexts it is the small tree of `fit_suffix_tree` instead.
+    in all, are looked up in the task; scores don't depend on it. A task holds some 25 to 35 bytes for each byte of its
+    longest text.
     """
-    if class_share or context_share:
-        shares = {"class_share": class_share, "context_share": context_share}
-        return _score_bounded(docs, held_out, common_share, depth=depth, **{k: x for k, x in shares.items() if x}, **options)
     spark = docs.sparkSession
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     train = df.where("NOT held_out")
