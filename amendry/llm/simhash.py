@@ -242,15 +242,15 @@ def _shingle_sets(width: int):
 
 
 def proposed(nodes: DataFrame, parts: int) -> DataFrame:
-    """Pairs (node, least): each node of (node, component, f0, ...) with the least node of each anchor that both visit, if
-    that is in another component.
+    """Pairs (node, least): each node of (node, f0, ...) with the least node of each anchor that both visit.
 
     An anchor proposes one pair for each of its visitors, not all pairs of them, so the pairs grow with the documents.
+    Most anchors have one visitor: visits are counted first, and only the others, a small table, are joined with them.
     """
-    each = nodes.select("node", "component", F.posexplode(F.array(*(F.col(f"f{j}") for j in range(parts)))).alias("print", "fp"))
-    at = visits(each).select("node", "component", ((F.col("print") * 2 + F.col("half")).cast("long") * (1 << 32) + F.col("anchor")).alias("at"))
-    least = at.groupBy("at").agg(F.min(F.struct(F.col("node").alias("least"), F.col("component").alias("of"))).alias("x"), F.min("component").alias("one"), F.max("component").alias("other"))
-    return at.join(least.where("one < other").select("at", "x.*"), "at").where("component <> of").select("node", "least")
+    each = nodes.select("node", F.posexplode(F.array(*(F.col(f"f{j}") for j in range(parts)))).alias("print", "fp"))
+    at = visits(each).select("node", ((F.col("print") * 2 + F.col("half")).cast("long") * (1 << 32) + F.col("anchor")).alias("at"))
+    shared = written(at.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1").select("at", "least"), "anchors")
+    return at.join(shared, "at").where("node <> least").select("node", "least").distinct()
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, parts: int = 4, most_apart: float = 0.22) -> DataFrame:
@@ -261,9 +261,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, par
     without words, and null, one node. Pairs come from fingerprints of `parts` times 64 bits over two-word shingles, at
     the anchors of each half: two documents are proposed where some half differs in few bits, each with the least node
     there, and dropped where more than `most_apart` of all bits differ, so a pair may be missed (README has the share); a
-    proposed pair is linked exactly when its shingles say so. First each document is held against the least node of all
-    its anchors, then against the others that this has not connected it with, so crowds of copies make few pairs. Rows without doc_id are left out, rows that repeat one come
-    back each, with the group of their own text. Long texts take some 30 bytes a byte in their task.
+    proposed pair is linked exactly when its shingles say so. First each document is held against the least of its
+    partners, then against those that this has not connected it with, so crowds of copies compare few shingles. Rows
+    without doc_id are left out, rows that repeat one come back each, with the group of their own text. Long texts take
+    some 30 bytes a byte in their task.
     """
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     schema = "doc_id long, mark long, digest binary, node long, " + ", ".join(f"f{j} long" for j in range(parts))
@@ -271,27 +272,26 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, par
     one = F.min(F.struct("doc_id", "mark")).alias("one")
     nodes = sketches.groupBy("digest").agg(F.first("node").alias("node"), one, *(F.first(f"f{j}").alias(f"f{j}") for j in range(parts)))
     nodes = written(nodes.select("digest", "node", "one.*", *(f"f{j}" for j in range(parts))), "nodes")
-    fields = [f"f{j}" for j in range(parts)]
+    # Strangers that met at an anchor differ in far more of all bits than texts at the similarity do.
+    prints = nodes.select("node", F.array(*(F.col(f"f{j}") for j in range(parts))).alias("own"))
+    apart = F.aggregate(F.zip_with("own", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    near = proposed(nodes, parts).join(prints, "node").join(prints.select(F.col("node").alias("least"), F.col("own").alias("other")), "least")
+    near = written(near.where(apart <= int(most_apart * 64 * parts)).select("node", "least"), "near")
+    wanted = near.select(F.explode(F.array("node", "least")).alias("node")).distinct().join(nodes.select("node", "digest", "doc_id", "mark"), "node")
+    texts = own.join(written(wanted, "wanted"), ["doc_id", "mark"]).select("node", "digest", "text")  # its size is known when the join is planned
+    sets = written(texts.mapInArrow(_shingle_sets(width), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        # Strangers that met at an anchor differ in far more of all bits than texts at the similarity do.
-        prints = nodes.select("node", F.array(*fields).alias("own"))
-        apart = F.aggregate(F.zip_with("own", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
-        near = pairs.join(prints, "node").join(prints.select(F.col("node").alias("least"), F.col("own").alias("other")), "least")
-        near = written(near.where(apart <= int(most_apart * 64 * parts)).select("node", "least"), "near")
-        wanted = near.select(F.explode(F.array("node", "least")).alias("node")).distinct().join(nodes.select("node", "digest", "doc_id", "mark"), "node")
-        texts = own.join(wanted, ["doc_id", "mark"]).select("node", "digest", "text")
-        sets = written(texts.mapInArrow(_shingle_sets(width), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
-        both = near.join(sets, "node").join(sets.select(F.col("node").alias("least"), F.col("shingles").alias("others")), "least")
+        both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("least"), F.col("shingles").alias("others")), "least")
         shared = F.size(F.array_intersect("shingles", "others"))
         return written(both.where(shared >= F.lit(similarity) * (F.size("shingles") + F.size("others") - shared)).select(F.col("least").alias("a"), F.col("node").alias("b")), "similar")
 
-    first = written(proposed(nodes.select("node", F.col("node").alias("component"), *fields), parts).groupBy("node").agg(F.min("least").alias("least")), "proposed")
+    first = written(near.groupBy("node").agg(F.min("least").alias("least")), "first")
     edges = linked(first)
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    met = first.select(F.explode(F.array("node", "least")).alias("node")).distinct().join(components(ends, edges), "node", "left")
-    again = nodes.join(met, "node").select("node", F.coalesce("component", "node").alias("component"), *fields)
-    edges = edges.union(linked(written(proposed(written(again, "met"), parts).distinct(), "proposed")))
+    found = components(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), edges)
+    ends = [found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("node", "least")]
+    met = near.join(first.withColumnRenamed("least", "tried"), "node").where("least <> tried").join(ends[0], "node", "left").join(ends[1], "least", "left")
+    edges = edges.union(linked(written(met.where("coalesce(of_node, node) <> coalesce(of_least, least)").select("node", "least"), "second")))
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     groups = _least_ids(components(ends, edges), nodes.select("node", F.col("doc_id").alias("least")))
     found = nodes.join(groups, "node", "left").select("digest", F.coalesce("least_id", "doc_id").alias("component_id"))
