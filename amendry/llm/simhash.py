@@ -245,12 +245,13 @@ def proposed(nodes: DataFrame, parts: int) -> DataFrame:
     """Pairs (node, least): each node of (node, f0, ...) with the least node of each anchor that both visit.
 
     An anchor proposes one pair for each of its visitors, not all pairs of them, so the pairs grow with the documents.
-    Most anchors have one visitor: visits are counted first, and only the others, a small table, are joined with them.
+    Most anchors have one visitor: visits are counted first, and only the others, a small table, are joined with them,
+    by one kind of join at every size.
     """
     each = nodes.select("node", F.posexplode(F.array(*(F.col(f"f{j}") for j in range(parts)))).alias("print", "fp"))
     at = visits(each).select("node", ((F.col("print") * 2 + F.col("half")).cast("long") * (1 << 32) + F.col("anchor")).alias("at"))
     shared = written(at.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1").select("at", "least"), "anchors")
-    return at.join(shared, "at").where("node <> least").select("node", "least").distinct()
+    return at.join(shared.hint("merge"), "at").where("node <> least").select("node", "least").distinct()
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, parts: int = 4, most_apart: float = 0.22) -> DataFrame:
@@ -290,8 +291,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, par
     edges = linked(first)
     found = components(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), edges)
     ends = [found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("node", "least")]
-    met = near.join(first.withColumnRenamed("least", "tried"), "node").where("least <> tried").join(ends[0], "node", "left").join(ends[1], "least", "left")
-    edges = edges.union(linked(written(met.where("coalesce(of_node, node) <> coalesce(of_least, least)").select("node", "least"), "second")))
+    apart_yet = near.join(ends[0], "node", "left").join(ends[1], "least", "left").where("coalesce(of_node, node) <> coalesce(of_least, least)").select("node", "least")
+    second = apart_yet.join(first.withColumnRenamed("least", "tried"), "node").where("least <> tried").select("node", "least")
+    edges = edges.union(linked(written(second, "second")))
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     groups = _least_ids(components(ends, edges), nodes.select("node", F.col("doc_id").alias("least")))
     found = nodes.join(groups, "node", "left").select("digest", F.coalesce("least_id", "doc_id").alias("component_id"))
