@@ -69,56 +69,62 @@ def mainline(commits: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def _common(reach: DataFrame) -> DataFrame:
-    """(project_id, commit, chain, floor): chains that both sides of a merge reach, and how far up."""
-    both = reach.groupBy(*_NODE, "chain").agg(F.min("pos").alias("floor"), F.count(F.lit(1)).alias("sides"))
-    return both.where("sides = 2").drop("sides")
+    """(project_id, commit, chain, floor): chains that all sides of a merge reach, and how far up."""
+    both = reach.groupBy(*_NODE, "chain").agg(F.min("pos").alias("floor"), F.count(F.lit(1)).alias("sides"), F.first("of").alias("of"))
+    return both.where("sides = of").drop("sides", "of")
 
 
-def _last_common(merges: DataFrame, placed: DataFrame, links: DataFrame, window: int) -> DataFrame:
-    """(project_id, commit, ancestor, chain, pos): on each chain the last commit that both parents of a merge reach.
+def _reached(sides: DataFrame, placed: DataFrame, links: DataFrame, window: int) -> DataFrame:
+    """(project_id, commit, side, of, chain, pos): how far up each chain the sides of a merge reach.
 
-    Both sides follow the links of the last `window` positions of the chains they have reached, twice as many each
-    round, and none below a common commit; a merge leaves when nothing is new and nothing above its common commits is
-    left. So the work follows the length of the branch, not of the history.
+    `sides` has (project_id, commit, side, of, chain, pos), the place where each of `of` sides begins. Sides follow the
+    links of the last `window` positions of the chains they have reached, twice as many each round, and none below a
+    commit that all reach; a merge leaves when nothing is new and nothing above its common commits is left. So the work
+    follows the length of the branch, not of the history, and commits above the common ones are complete.
     """
-    state = merges.select(*_NODE, F.posexplode("parents").alias("side", "parent"))
-    at = placed.select("project_id", F.col("commit").alias("parent"), "chain", "pos")
-    state = written(state.join(at, ["project_id", "parent"]).groupBy(*_NODE, "side", "chain").agg(F.max("pos").alias("pos")), "reach")
+    state = written(sides, "reach")
     lowest = placed.groupBy("project_id", "chain").agg((F.min("pos") - 1).alias("below"))
-    found = []
+    found = [state]
     while not state.isEmpty():
         floors = state.join(_common(state), [*_NODE, "chain"], "left").withColumn("floor", F.greatest(F.coalesce("floor", F.lit(-1)), F.col("pos") - window))
-        way = floors.join(links.withColumnRenamed("pos", "leaves"), ["project_id", "chain"]).where("leaves <= pos AND leaves > floor")
-        new = way.select(*_NODE, "side", F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"), F.lit(None).cast("long").alias("was"))
-        merged = state.select(*_NODE, "side", "chain", "pos", F.col("pos").alias("was")).union(new).groupBy(*_NODE, "side", "chain").agg(F.max("pos").alias("pos"), F.max("was").alias("was"))
-        state = written(merged.select(*_NODE, "side", "chain", "pos", (F.coalesce("was", F.lit(-1)) < F.col("pos")).alias("moved")), "reach")
+        # At most `window` positions lie in two bins; joined by chain alone, each merge would meet all links of a mainline.
+        bins = floors.withColumn("bin", F.explode(F.sequence(F.floor((F.col("floor") + 1) / window), F.floor(F.col("pos") / window))))
+        leaving = links.withColumnRenamed("pos", "leaves").withColumn("bin", F.floor(F.col("leaves") / window))
+        way = bins.join(leaving, ["project_id", "chain", "bin"]).where("leaves <= pos AND leaves > floor")
+        new = way.select(*_NODE, "side", "of", F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"), F.lit(None).cast("long").alias("was"))
+        merged = state.select(*_NODE, "side", "of", "chain", "pos", F.col("pos").alias("was")).union(new).groupBy(*_NODE, "side", "of", "chain").agg(F.max("pos").alias("pos"), F.max("was").alias("was"))
+        state = written(merged.select(*_NODE, "side", "of", "chain", "pos", (F.coalesce("was", F.lit(-1)) < F.col("pos")).alias("moved")), "reach")
         left = state.join(_common(state), [*_NODE, "chain"], "left").join(lowest, ["project_id", "chain"])
         busy = left.groupBy(*_NODE).agg(F.bool_or(F.col("moved") | (F.col("pos") - window > F.coalesce("floor", "below"))).alias("busy")).where("busy").select(*_NODE)
         busy = written(busy, "busy")
-        found.append(_common(state.join(busy, _NODE, "left_anti")))
+        found.append(state.join(busy, _NODE, "left_anti").drop("moved"))
         state = written(state.join(busy, _NODE, "left_semi").drop("moved"), "reach")
         window *= 2
-    ends = found[0] if found else _common(state)
-    for x in found[1:]:
+    ends = found[0] if len(found) == 1 else found[1]
+    for x in found[2:]:
         ends = ends.union(x)
+    return ends
+
+
+def _last_common(merges: DataFrame, placed: DataFrame, links: DataFrame, window: int) -> DataFrame:
+    """(project_id, commit, ancestor, chain, pos): on each chain the last commit that both parents of a merge reach."""
+    at = placed.select("project_id", F.col("commit").alias("parent"), "chain", "pos")
+    sides = merges.select(*_NODE, F.posexplode("parents").alias("side", "parent")).join(at, ["project_id", "parent"])
+    sides = sides.groupBy(*_NODE, "side", "chain").agg(F.max("pos").alias("pos")).select(*_NODE, "side", F.lit(2).alias("of"), "chain", "pos")
     where = placed.select("project_id", "chain", "pos", F.col("commit").alias("ancestor"))
-    return ends.withColumnRenamed("floor", "pos").join(where, ["project_id", "chain", "pos"])
+    return _common(_reached(sides, placed, links, window)).withColumnRenamed("floor", "pos").join(where, ["project_id", "chain", "pos"])
 
 
-def _not_behind(ends: DataFrame, links: DataFrame) -> DataFrame:
-    """Common commits of a merge that no other of its common commits descends from; where there are several, each walks
-    down the links until it reaches nothing new."""
-    several = written(ends.groupBy(*_NODE).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*_NODE), "several")
-    own = written(ends.join(several, _NODE, "left_semi"), "ends")
-    key = [*_NODE, "ancestor", "chain"]
-    reach = front = written(own.select(*key, "pos", F.lit(-1).cast("long").alias("was")), "below")
-    while not front.isEmpty():
-        way = front.join(links.withColumnRenamed("pos", "leaves"), ["project_id", "chain"]).where("leaves <= pos AND leaves > was")
-        new = way.select(*_NODE, "ancestor", F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos")).groupBy(*key).agg(F.max("pos").alias("pos"))
-        old = reach.select(*key, F.col("pos").alias("was"))
-        front = written(new.join(old, key, "left").where("was IS NULL OR was < pos").select(*key, "pos", F.coalesce("was", F.lit(-1).cast("long")).alias("was")), "front")
-        reach = written(reach.union(front).groupBy(*key).agg(F.max("pos").alias("pos"), F.max("was").alias("was")), "below")
-    over = reach.select(*_NODE, F.col("ancestor").alias("by"), "chain", F.col("pos").alias("upto"))
+def _not_behind(ends: DataFrame, placed: DataFrame, links: DataFrame, window: int) -> DataFrame:
+    """Common commits of a merge that no other of its common commits descends from.
+
+    Where there are several, each is a side that walks down until all meet: what all reach lies below every one of them
+    and leads to none, so what is below needs no walking.
+    """
+    several = written(ends.groupBy(*_NODE).agg(F.count(F.lit(1)).cast("int").alias("of")).where("of > 1"), "several")
+    own = written(ends.join(several, _NODE), "ends")
+    over = _reached(own.select(*_NODE, F.col("ancestor").alias("side"), "of", "chain", "pos"), placed, links, window)
+    over = over.select(*_NODE, F.col("side").alias("by"), "chain", F.col("pos").alias("upto"))
     behind = own.join(over, [*_NODE, "chain"]).where("by <> ancestor AND upto >= pos").select(*_NODE, "ancestor").distinct()
     return ends.join(behind, [*_NODE, "ancestor"], "left_anti")
 
@@ -134,7 +140,7 @@ def fork_points(commits: DataFrame, merges: DataFrame, window: int = 16) -> Data
     placed = written(chains(commits), "placed")
     links = written(chain_links(commits, placed), "links")
     ends = written(_last_common(merges, placed, links, window), "ends")
-    return _not_behind(ends, links).groupBy(*_NODE).agg(F.min("ancestor").alias("fork"))
+    return _not_behind(ends, placed, links, window).groupBy(*_NODE).agg(F.min("ancestor").alias("fork"))
 
 
 def merged_branches(commits: DataFrame, heads: DataFrame | None = None, prefix: str = "edit/") -> DataFrame:

@@ -130,3 +130,18 @@ def test_work_follows_the_branch(spark, monkeypatch):
     monkeypatch.setattr(H, "written", lambda df, name: (lambda out: (sizes.append(out.count()) if name == "reach" else None, out)[1])(keep(df, name)))
     (row,) = H.fork_points(commits, commits.where("commit = 'last'"), 8).collect()
     assert row.fork == tip and max(sizes) < 12
+
+
+def test_criss_cross_forks_dont_walk_the_history(spark, monkeypatch):
+    """A merge with two forks on top of a long history: both walk until they meet, a few commits below."""
+    g, tip = {"c0": []}, "c0"
+    for i in range(1, 200):
+        g[f"b{i}"], g[f"c{i}"] = [tip], [tip]
+        g[f"m{i}"] = [f"c{i}", f"b{i}"]
+        tip = f"m{i}"
+    g |= {"x": [tip], "y": [tip], "p": ["x", "y"], "q": ["y", "x"], "last": ["p", "q"]}
+    commits = table(spark, {"p": g})
+    sizes, keep = [], H.written
+    monkeypatch.setattr(H, "written", lambda df, name: (lambda out: (sizes.append(out.count()) if name in ("reach", "below") else None, out)[1])(keep(df, name)))
+    (row,) = H.fork_points(commits, commits.where("commit = 'last'"), 8).collect()
+    assert row.fork == "x" and max(sizes) < 30
