@@ -47,8 +47,14 @@ def rstrip(t: Column | str) -> Column:
 
 def split_lines(t: Column | str) -> Column:
     """Lines at any line end; a final end opens no line, and an empty text has none."""
-    parts = F.split(_c(t), _LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    # Inside one lambda the text is split once; as a plain expression it would be split wherever `parts` is read.
+    own = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.get(F.transform(F.array(F.split(_c(t), _LINE_END)), own), F.lit(0))
+
+
+def trim_ends(t: Column | str) -> Column:
+    """Without the line feeds at both ends."""
+    return F.btrim(_c(t), F.lit("\n"))
 
 
 def normalize(t: Column | str) -> Column:
@@ -146,20 +152,20 @@ def normalize_heading(t: Column | str) -> Column:
 
 def heading_and_body(t: Column | str) -> tuple[Column, Column]:
     """The first line if it is a heading, else nothing; and the rest without line ends around it."""
-    lines = split_lines(t)
-    is_heading = F.coalesce(F.get(lines, F.lit(0)).rlike(r"\A#{1,6}\s"), F.lit(False))
-    rest = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n")
-    trimmed = lambda x: F.regexp_replace(x, r"\A\n+|\n+\z", "")
-    return F.when(is_heading, F.get(lines, F.lit(0))).otherwise(""), trimmed(F.when(is_heading, rest).otherwise(_c(t)))
+    first = F.get(F.split(_c(t), _LINE_END, 2), F.lit(0))
+    is_heading = F.coalesce(first.rlike(r"\A#{1,6}\s"), F.lit(False))
+    rest = F.coalesce(F.get(F.split(_c(t), _LINE_END, 2), F.lit(1)), F.lit(""))
+    body = F.when(is_heading, F.regexp_replace(rest, _LINE_END, "\n")).otherwise(_c(t))
+    return F.when(is_heading, first).otherwise(""), trim_ends(body)
 
 
 def paragraphs(body: Column) -> Column:
     filled = F.filter(F.split(body, "\n\n"), lambda p: strip(p) != "")
-    return F.transform(filled, lambda p: F.regexp_replace(p, r"\A\n+|\n+\z", ""))
+    return F.transform(filled, trim_ends)
 
 
 def with_heading(heading: Column, body: Column) -> Column:
-    text = F.concat(F.regexp_replace(body, r"\A\n+|\n+\z", ""), F.lit("\n"))
+    text = F.concat(trim_ends(body), F.lit("\n"))
     return F.when(heading == "", text).otherwise(F.concat(heading, F.lit("\n\n"), text))
 
 

@@ -57,7 +57,7 @@ def expand_windows(df: DataFrame, n: int = 3, min_mean: int = 20, pieces: Callab
     `pieces` counts the tokens of a text, as an expression to which blanks between paragraphs add nothing: each heading
     and paragraph is counted once, windows add them up as base_tokens and human_tokens.
     """
-    sides = {x: F.concat(F.regexp_replace(x, r"\A\n+|\n+\z", ""), F.lit("\n")) for x in ("source_text", "edited_text")}
+    sides = {x: F.concat(T.trim_ends(x), F.lit("\n")) for x in ("source_text", "edited_text")}
     df = df.where(~T.has_markers("source_text") & ~T.has_markers("edited_text")).withColumns(sides)
     parts = {}
     for side in ("source", "edited"):

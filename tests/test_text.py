@@ -97,3 +97,17 @@ def test_usable(spark):
     assert one(spark, T.usable_pair("a", "b"), a="x", b="…") and not one(spark, T.usable_pair("a", "b"), a="!", b="…")
     assert not one(spark, T.usable_pair("a", "b"), a="x" * 1801, b="y")
     assert not one(spark, T.usable_section("a", "b"), a="x\n", b=" x")
+
+
+def test_texts_are_split_once(spark):
+    """Lines and headings are taken from one pass over a text each, not from one for every part read."""
+    plan = lambda *c: spark.range(1).selectExpr("repeat('# a', int(id)) AS t").select(*c)._jdf.queryExecution().optimizedPlan().toString()
+    lines = T.split_lines("t")
+    assert plan(lines.alias("n")).count("split(") == 1
+    assert plan(*(c.alias(x) for c, x in zip(T.heading_and_body("t"), "hb"))).count("split(") <= 5
+    texts = ["", "\n", "# a", "# a\r\nb\r\n\r\nc\r", "#\nb", "#x\n", "a\n\n# b\n", "###### h\tx\u0085y\n\n", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(lines.alias("n"), *(c.alias(x) for c, x in zip(T.heading_and_body("t"), "hb"))).collect()
+    assert [tuple(r) for r in rows] == [
+        ([], "", ""), ([""], "", ""), (["# a"], "# a", ""), (["# a", "b", "", "c"], "# a", "b\n\nc"), (["#", "b"], "", "#\nb"), (["#x"], "", "#x"),
+        (["a", "", "# b"], "", "a\n\n# b"), (["###### h\tx", "y", ""], "###### h\tx", "y"), (None, "", None),
+    ]
