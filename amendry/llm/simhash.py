@@ -7,7 +7,8 @@ fingerprint has a home, the anchor within 1 of its half, and visits every anchor
 comparing homes with visitors at each anchor finds every pair and, at 2^27 anchors a half, few others.
 
 `near_duplicate_groups` links fingerprints by their bits alone. `similar_groups` links documents by the share of their
-shingles: longer fingerprints propose pairs at the same anchors, and each pair is checked on its shingles.
+shingles: longer fingerprints propose pairs at the same anchors, each pair is checked on its shingles, and an exact join of
+prefixes finds the links that no fingerprint proposed.
 """
 
 from __future__ import annotations
@@ -254,6 +255,18 @@ def proposed(nodes: DataFrame, parts: int) -> DataFrame:
     return at.join(shared.hint("merge"), "at").where("node <> least").select("node", "least").distinct()
 
 
+def _exact_links(own: DataFrame, nodes: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all that the similarity does: one text of each node through the prefix join."""
+    from .prefix_join import similar_sets  # it builds on this module
+
+    per_cent = round(100 * similarity)
+    if abs(100 * similarity - per_cent) > 1e-9:
+        raise ValueError("similarity must be a whole number of hundredths")
+    texts = own.join(nodes.select("doc_id", "mark", "node"), ["doc_id", "mark"]).dropDuplicates(["node"])
+    found = similar_sets(texts.select(F.col("node").alias("doc_id"), "text"), width, per_cent)
+    return found.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, parts: int = 4, most_apart: float = 0.22) -> DataFrame:
     """(doc_id, mark, component_id): the least doc_id that links reach, a link being a Jaccard similarity of the sets of
     `width`-word shingles of at least `similarity`, A-Z lower-cased; mark is xxhash64 of the text.
@@ -261,11 +274,12 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, par
     Texts with equal words are one node, named by 64 bits of their digest; texts of fewer words are one shingle, those
     without words, and null, one node. Pairs come from fingerprints of `parts` times 64 bits over two-word shingles, at
     the anchors of each half: two documents are proposed where some half differs in few bits, each with the least node
-    there, and dropped where more than `most_apart` of all bits differ, so a pair may be missed (README has the share); a
-    proposed pair is linked exactly when its shingles say so. First each document is held against the least of its
-    partners, then against those that this has not connected it with, so crowds of copies compare few shingles. Rows
-    without doc_id are left out, rows that repeat one come back each, with the group of their own text. Long texts take
-    some 30 bytes a byte in their task.
+    there, and dropped where more than `most_apart` of all bits differ. Fingerprints alone miss some pairs, so one text of
+    each node also goes through the exact prefix join, and the groups are those of all links; `similarity` is in whole
+    hundredths. A proposed pair is linked exactly when its shingles say so. First each document is held against the least
+    of its partners, then against those that this has not connected it with, so crowds of copies compare few shingles.
+    Rows without doc_id are left out, rows that repeat one come back each, with the group of their own text. Long texts
+    take some 50 bytes a byte in their task.
     """
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     schema = "doc_id long, mark long, digest binary, node long, " + ", ".join(f"f{j} long" for j in range(parts))
@@ -293,7 +307,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, par
     ends = [found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("node", "least")]
     apart_yet = near.join(ends[0], "node", "left").join(ends[1], "least", "left").where("coalesce(of_node, node) <> coalesce(of_least, least)").select("node", "least")
     second = apart_yet.join(first.withColumnRenamed("least", "tried"), "node").where("least <> tried").select("node", "least")
-    edges = edges.union(linked(written(second, "second")))
+    edges = edges.union(linked(written(second, "second"))).union(_exact_links(own, nodes, similarity, width))
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     groups = _least_ids(components(ends, edges), nodes.select("node", F.col("doc_id").alias("least")))
     found = nodes.join(groups, "node", "left").select("digest", F.coalesce("least_id", "doc_id").alias("component_id"))
