@@ -13,7 +13,9 @@ starts again from an empty table.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import KEPT, slices, within
+from .textarrays import KEPT, slices
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,12 +40,12 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
 
-    def encode(self, text: bytes) -> list[bytes]:
-        """Merge the pair of least rank, leftmost first, until none is left."""
+    def encode(self, text: bytes, least_parts: int = 1) -> list[bytes]:
+        """Merge the pair of least rank, leftmost first, until none is left or there are only `least_parts` parts."""
         rank, none = self.ranks.get, 1 << 60
         parts = [text[i : i + 1] for i in range(len(text))]
         pairs = [rank(text[i : i + 2], none) for i in range(len(text) - 1)]
-        while pairs and (least := min(pairs)) < none:
+        while len(parts) > least_parts and (least := min(pairs)) < none:
             i = pairs.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
             del pairs[i]
@@ -59,61 +61,106 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000):
         self.ranks, self.merges, self.most_states = ranks, Merges(ranks), most_states
-        self.prefixes = {token[:i] for token in ranks for i in range(len(token))}
-        self.follows: dict[tuple[bytes | None, bytes], bool] = {}
+        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        #: The tree of all tokens: (node * 256 + byte) -> node, the rank of the token that a node spells, nodes with more below.
+        self.below: dict[int, int] = {}
+        self.rank_at: list[int | None] = [None]
+        self.inner: set[int] = set()
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner.add(node)
+                edge = node << 8 | byte
+                node = self.below.get(edge) or self.below.setdefault(edge, len(self.rank_at))
+                if node == len(self.rank_at):
+                    self.rank_at.append(None)
+            self.rank_at[node] = rank
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.follows: dict[tuple[int | None, int], bool] = {}
         self._restart()
 
     def _restart(self) -> None:
-        #: A state's members: (last token or None, bytes of the next token so far, tokens not emitted).
+        #: A state's members: (last token or None, node of the next token so far, tokens not emitted).
         self.numbers: dict[tuple, int] = {}
         self.members: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.start = self._number(((None, b"", ()),))
+        #: state * 256 + byte -> next state and what is emitted; one table, since small ones by state fill the memory.
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.start = self._number(((None, 0, ()),))
 
     def _number(self, members: tuple) -> int:
-        if members not in self.numbers:
-            self.numbers[members] = len(self.members)
+        number = self.numbers.setdefault(members, len(self.members))
+        if number == len(self.members):
             self.members.append(members)
-            self.moves.append({})
-        return self.numbers[members]
+        return number
+
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that a token is merged from, twice itself for a byte; None if merging doesn't make it."""
+        if token not in self.halves:
+            parts = self.merges.encode(self.bytes_of[token], 2)
+            made = len(parts) == 1 or len(parts) == 2 and self.merges.encode(self.bytes_of[token]) == [self.bytes_of[token]]
+            self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[-1]]) if made else None
+        return self.halves[token]
 
-    def _may_follow(self, last: bytes | None, token: bytes) -> bool:
+    def _apart(self, last: int, token: int) -> bool:
+        """Whether merging never joins what lies on both sides of the border between two tokens.
+
+        The last merge of the higher of both ranks is undone in turn, down to the bytes at the border; before it is done,
+        a pair across the border of a lesser rank would have been merged.
+        """
+        limit, rank, bytes_of = 1 << 60, self.ranks.get, self.bytes_of
+        while True:
+            if rank(bytes_of[last] + bytes_of[token], limit) < limit:
+                return False
+            left, right = self.halves[last] if last in self.halves else self._halves(last), self.halves[token] if token in self.halves else self._halves(token)
+            if (last > token or right[0] == token) and left[1] != last:
+                limit, last = last, left[1]
+            elif right[0] != token:
+                limit, token = token + 1, right[0]
+            else:
+                return True
+
+    def _may_follow(self, last: int | None, token: int) -> bool:
         key = (last, token)
         if key not in self.follows:
             if len(self.follows) > 4 * self.most_states:
                 self.follows.clear()
-            both = (last or b"") + token
-            self.follows[key] = (last is None or both not in self.ranks) and self.merges.encode(both) == [x for x in key if x is not None]
+            made = self._halves(token) is not None and (last is None or self._halves(last) is not None)
+            self.follows[key] = made and (last is None or self._apart(last, token))
         return self.follows[key]
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        after, end = [], bytes((byte,))
-        for last, partial, pending in self.members[state]:
-            read = partial + end
-            if read in self.prefixes:
-                after.append((last, read, pending))
-            if read in self.ranks and self._may_follow(last, read):
-                after.append((read, b"", (*pending, self.ranks[read])))
+        after, below, follows = [], self.below.get, self.follows.get
+        for last, node, pending in self.members[state]:
+            node = below(node << 8 | byte)
+            if node is None:
+                continue
+            if node in self.inner:
+                after.append((last, node, pending))
+            token = self.rank_at[node]
+            if token is not None:
+                fits = follows((last, token))
+                if fits if fits is not None else self._may_follow(last, token):
+                    after.append((token, 0, (*pending, token)))
         pendings = [x[2] for x in after]
         common, least, most = 0, min(pendings), max(pendings)
         while common < len(least) and least[common] == most[common]:
             common += 1
         emitted = least[:common]
-        move = self._number(tuple((last, read, p[common:]) for last, read, p in after)), emitted
-        self.moves[state][byte] = move
+        move = self._number(tuple((last, node, p[common:]) for last, node, p in after) if common else tuple(after)), emitted
+        self.moves[state << 8 | byte] = move
         return move
 
     def encode(self, text: bytes) -> list[int]:
         if len(self.members) > self.most_states:
             self._restart()
-        state, out, moves = self.start, [], self.moves
+        state, out, moves = self.start, [], self.moves.get
         for byte in text:
-            move = moves[state].get(byte) or self._move(state, byte)
+            move = moves(state << 8 | byte) or self._move(state, byte)
             state = move[0]
             if move[1]:
                 out += move[1]
-        for _, partial, pending in self.members[state]:
-            if not partial:
+        for _, node, pending in self.members[state]:
+            if not node:
                 return out + list(pending)
         raise ValueError("the ranks lack a single byte of the text")
 
@@ -147,9 +194,6 @@ class Decoder:
         self.step = step
         #: Ids that read from between characters to between characters; the machine need not look inside them.
         self.whole = np.array([bool(t) and self.state_after(0, t) == 0 for t in self.token], bool)
-        self.size = np.array([len(t) for t in self.token], np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.data = np.frombuffer(b"".join(self.token), np.uint8)
 
     def state_after(self, state: int, data: bytes) -> int:
         for byte in data:
@@ -157,7 +201,7 @@ class Decoder:
         return state
 
     def bytes_of(self, ids: np.ndarray) -> bytes:
-        return self.data[within(self.start[ids], self.size[ids])].tobytes()
+        return b"".join(map(self.token.__getitem__, ids.tolist()))
 
     def pieces(self, ids: np.ndarray) -> Iterator[tuple[bytes, bool]]:
         """(bytes, whether they are whole characters) in order: rows of tokens that end between characters at once, the
@@ -212,25 +256,26 @@ class Encoder:
     def __init__(self, path: str, pattern: str, most_known: int = 300_000):
         ranks = read_ranks(path)
         self.find, self.transducer, self.decoder = regex.compile(pattern).findall, Transducer(ranks), Decoder(ranks)
-        self.known: dict[str, list[int]] = {}
-        self.before: dict[str, list[int]] = {}  # of the matches before those in `known`
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # of the matches before those in `known`
         self.most_known = most_known
 
     def encode(self, text: str) -> list[int]:
-        get, out = self.known.get, []
-        for match in self.find(text):
-            ids = get(match)
-            if ids is None:
-                ids = self._missed(match)
-                get = self.known.get
-            out += ids
-        return out
-
-    def _missed(self, match: str) -> list[int]:
-        """Ids of a match that isn't in `known`; when too many are, those that don't come again are let go."""
-        ids = self.before.get(match)
+        return np.frombuffer(self.packed(text), "<u4").tolist()
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        matches = self.find(text)
+        found = list(map(self.known.get, matches))
+        if None in found:
+            found = [self._missed(match) if ids is None else ids for match, ids in zip(matches, found)]
+        return b"".join(found)
+
+    def _missed(self, match: str) -> bytes:
+        """Ids of a match that wasn't in `known`; when too many are, those that don't come again are let go."""
+        ids = self.known.get(match) or self.before.get(match)
         if ids is None:
-            ids = self.transducer.encode(match.encode())
+            ids = array("I", self.transducer.encode(match.encode())).tobytes()
         if len(match) <= 64:
             if len(self.known) > self.most_known // 2:
                 self.before, self.known = self.known, {}
@@ -258,14 +303,18 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in slices(batches, "text", owner="byte-bpe"):
-            each = [own.encode(text or "") for text in batch.column("text").to_pylist()]
-            arrays = [np.array(x, "<u4") for x in each]
+            gc.disable()  # the tables hold no cycles, and going through them again and again costs a fifth of the time
+            try:
+                each = [own.packed(text or "") for text in batch.column("text").to_pylist()]
+            finally:
+                gc.enable()
+            arrays = [np.frombuffer(x, "<u4") for x in each]
             decoded = [own.decoder.digest(x) for x in arrays]
             out = {
-                "doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(x) for x in each], pa.int64()), "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in arrays],
+                "doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(x) for x in arrays], pa.int64()), "ids_sha256": [hashlib.sha256(x).hexdigest() for x in each],
                 "decoded_sha256": [x[0] for x in decoded], "utf8": [x[1] for x in decoded],
             }
-            yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(each, pa.list_(pa.int32()))} if keep_ids else {}))
+            yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array([x.view("<i4") for x in arrays], pa.list_(pa.int32()))} if keep_ids else {}))
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, utf8 boolean" + ", ids array<int>" * keep_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

@@ -42,6 +42,25 @@ def test_transducer_equals_merging_and_restarts():
         assert machine.encode(text) == [ranks[x] for x in merges.encode(text)]
 
 
+def test_tokens_that_may_follow_are_those_that_merging_keeps_apart():
+    ranks = read_ranks(PATH)
+    machine, merges, rng = Transducer(ranks), Merges(ranks), np.random.default_rng(2)
+    tokens, few = sorted(ranks), [t for t in ranks if len(t) < 4 and t.isalpha()]
+    pairs = [(x[i], x[j]) for x in (tokens, few) for i, j in rng.integers(0, len(x), (4000, 2))]
+    assert all(machine._may_follow(ranks[a], ranks[b]) == (merges.encode(a + b) == [a, b]) for a, b in pairs)
+    odd = Transducer({b"a": 0, b"b": 1, b"c": 2, b"ab": 3, b"bc": 4, b"abc": 5, b"cab": 6, b"bcab": 7})  # bcab comes from bc and ab, cab from c and ab
+    assert all(odd._may_follow(odd.ranks[a], odd.ranks[b]) == (odd.merges.encode(a + b) == [a, b]) for a in odd.ranks for b in odd.ranks)
+
+
+def test_the_machine_keeps_one_table_of_moves():
+    machine = Transducer(read_ranks(PATH))
+    machine.encode(b" tothnttition")
+    assert machine.moves and not any(isinstance(x, dict) for x in machine.moves.values())
+    text = "erblely 漢 🎉"
+    own = encoder(PATH, P.PATTERN)
+    assert np.frombuffer(own.packed(text), "<u4").tolist() == own.encode(text)
+
+
 def test_matches_are_remembered_for_a_while(library):
     own = Encoder(PATH, P.PATTERN, most_known=6)
     rng = np.random.default_rng(1)
