@@ -21,25 +21,30 @@ _NODE = ["project_id", "commit"]
 def chains(commits: DataFrame) -> DataFrame:
     """(project_id, commit, chain, pos) of all commits and of parents that have no row of their own, which are roots.
 
-    A chain is named by its last commit. Parents that form a circle are an error.
+    A chain is named by its last commit. Parents that form a circle are an error. Rounds move numbers only, given in the
+    order of the commits' names; names come back at the end.
     """
     listed = commits.select(*_NODE, F.get("parents", F.lit(0)).alias("up")).dropDuplicates(_NODE)
     named = commits.select("project_id", F.explode("parents").alias("commit")).distinct().join(listed, _NODE, "left_anti")
-    state = listed.unionByName(named, allowMissingColumns=True)
-    state = written(state.select("*", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long").alias("steps"), F.struct(F.lit(0).cast("long").alias("height"), F.col("commit").alias("tip")).alias("best")), "chains")
+    nodes = written(listed.unionByName(named, allowMissingColumns=True).orderBy("commit", "project_id").withColumn("id", F.monotonically_increasing_id()), "nodes")
+    first = nodes.join(nodes.select("project_id", F.col("commit").alias("up"), F.col("id").alias("up_id")), ["project_id", "up"], "left")
+    state = first.select("id", F.col("up_id").alias("up"), F.col("up_id").isNotNull().cast("long").alias("steps"), F.struct(F.lit(0).cast("long").alias("height"), F.col("id").alias("tip")).alias("best"))
+    state = written(state, "chains")
     for k in range(64):
         rising = state.where("up IS NOT NULL")
         if rising.isEmpty():
-            return state.select(*_NODE, F.col("best.tip").alias("chain"), F.col("steps").alias("pos"))
+            break
         if k == 40:
             raise ValueError("commits are their own ancestors")
         # `up` is 2^k steps away: the deepest tip seen from there, and the jump twice as long.
-        seen = rising.groupBy("project_id", F.col("up").alias("commit")).agg(F.max(F.struct((F.col("best.height") + (1 << k)).alias("height"), F.col("best.tip").alias("tip"))).alias("seen"))
-        above = state.select("project_id", F.col("commit").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
-        jumped = rising.join(above, ["project_id", "up"]).select(*_NODE, F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), "best")
-        moved = jumped.unionByName(state.where("up IS NULL")).join(seen, _NODE, "left")
-        state = written(moved.select(*_NODE, "up", "steps", F.greatest("best", F.coalesce("seen", "best")).alias("best")), "chains")
-    raise AssertionError
+        seen = rising.groupBy(F.col("up").alias("id")).agg(F.max(F.struct((F.col("best.height") + (1 << k)).alias("height"), F.col("best.tip").alias("tip"))).alias("seen"))
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
+        jumped = rising.join(above, "up").select("id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), "best")
+        moved = jumped.unionByName(state.where("up IS NULL")).join(seen, "id", "left")
+        state = written(moved.select("id", "up", "steps", F.greatest("best", F.coalesce("seen", "best")).alias("best")), "chains")
+    tips = nodes.select(F.col("id").alias("tip"), F.col("commit").alias("chain"))
+    placed = state.select("id", F.col("best.tip").alias("tip"), F.col("steps").alias("pos")).join(tips, "tip")
+    return nodes.join(placed, "id").select(*_NODE, "chain", "pos")
 
 
 def chain_links(commits: DataFrame, placed: DataFrame) -> DataFrame:

@@ -86,6 +86,15 @@ def test_parents_without_rows_are_roots_and_circles_an_error(spark):
     assert H.fork_points(commits.limit(0), commits.limit(0)).count() == 0
 
 
+def test_rounds_of_chains_move_no_names(spark, monkeypatch):
+    """Of the tables written only that of the nodes holds strings; of tips equally deep the last in order of names counts."""
+    real, kinds = H.written, []
+    monkeypatch.setattr(H, "written", lambda df, name: kinds.append((name, "string" in df.schema.simpleString())) or real(df, name))
+    commits = table(spark, {"p": {"r": [], "x": ["r"], "z": ["x"], "y": ["x"]}})
+    assert {(r.commit, r.chain, r.pos) for r in H.chains(commits).collect()} == {("r", "z", 0), ("x", "z", 1), ("z", "z", 2), ("y", "y", 2)}
+    assert sum(strings for _, strings in kinds) == 1 and len(kinds) > 2
+
+
 def test_mainline(spark):
     g = graph(3, 120)
     last = list(g)[-1]
