@@ -20,7 +20,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import written
@@ -242,17 +242,19 @@ def _shingle_sets(width: int):
     return run
 
 
-def proposed(nodes: DataFrame, parts: int) -> DataFrame:
+def proposed(nodes: DataFrame, parts: int, most: int = 1_000_000) -> DataFrame:
     """Pairs (node, least): each node of (node, f0, ...) with the least node of each anchor that both visit.
 
     An anchor proposes one pair for each of its visitors, not all pairs of them, so the pairs grow with the documents.
-    Most anchors have one visitor: visits are counted first, and only the others, a small table, are joined with them,
-    by one kind of join at every size.
+    Visits are dealt by anchor once, and sorted, in one kind of plan at every size. Few anchors have several visitors, so
+    counting them would hold nearly all visits of a task; tasks have some `most` visits each instead, however large the
+    table is and however few files it comes in.
     """
-    each = nodes.select("node", F.posexplode(F.array(*(F.col(f"f{j}") for j in range(parts)))).alias("print", "fp"))
+    tasks = max(1, -(-nodes.count() * 34 * parts // most))  # 17 visits a half
+    each = nodes.repartition(tasks, "node").select("node", F.posexplode(F.array(*(F.col(f"f{j}") for j in range(parts)))).alias("print", "fp"))
     at = visits(each).select("node", ((F.col("print") * 2 + F.col("half")).cast("long") * (1 << 32) + F.col("anchor")).alias("at"))
-    shared = written(at.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1").select("at", "least"), "anchors")
-    return at.join(shared.hint("merge"), "at").where("node <> least").select("node", "least").distinct()
+    least = F.min("node").over(Window.partitionBy("at"))
+    return at.repartition(tasks, "at").select("node", least.alias("least")).where("node <> least").distinct()
 
 
 def _exact_links(own: DataFrame, nodes: DataFrame, similarity: float, width: int) -> DataFrame:
