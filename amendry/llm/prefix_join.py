@@ -304,15 +304,10 @@ def _member_pairs(pairs: DataFrame, labels: DataFrame, per_cent: int) -> DataFra
     return across.union(inside).distinct()
 
 
-def similar_sets(docs: DataFrame, width: int = 4, per_cent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each document.
-
-    A set holds a whole text's distinct shingles of `width` words, A-Z lower-cased; fewer words are one shingle. Two sets
-    are linked when 100 * common >= per_cent * all; component_id is the least doc_id that links reach. Null and texts
-    without words have no shingles and are linked with nothing. Rows without doc_id come back without component; rows
-    that repeat an id come back each, and take part with each text of theirs. Empty tables give an empty result; other
-    columns are ignored. A task holds some 50 bytes for each byte of its longest text.
-    """
+def linked_sets(docs: DataFrame, width: int, per_cent: int, proposed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, mark, digest, n), different texts with shingles (digest, doc_id, n), and of those with partners
+    (digest, component_id), as `similar_sets` has them. `proposed` are pairs (a, b) of digests that are held against each
+    other before any leaders are."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     about = (own.agg(F.sum(F.octet_length("text")).alias("x")).first().x or 0) // 6  # shingles, roughly; a plan choice alone
@@ -341,7 +336,8 @@ def similar_sets(docs: DataFrame, width: int = 4, per_cent: int = 85) -> DataFra
     members = prefixes.select("digest", "group", "n", *_SKETCH)
     labels, edges = members.withColumn("component", F.col("digest")), None
     for turn in range(_ROUNDS):
-        more = written(_verified(_leader_pairs(_grouped(groups, labels), labels, per_cent, turn), sets, per_cent), "links")
+        pairs = _leader_pairs(_grouped(groups, labels), labels, per_cent, turn) if turn or proposed is None else proposed
+        more = written(_verified(pairs, sets, per_cent), "links")
         edges = more if edges is None else edges.union(more)
         labels = _labels(members, edges)
     held = _grouped(groups, labels)
@@ -350,6 +346,19 @@ def similar_sets(docs: DataFrame, width: int = 4, per_cent: int = 85) -> DataFra
 
     least = found.join(texts, "digest").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")).where("size > 1")
     linked = written(found.join(least, "component").select("digest", "component_id"), "linked")
+    return rows, texts, linked
+
+
+def similar_sets(docs: DataFrame, width: int = 4, per_cent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each document.
+
+    A set holds a whole text's distinct shingles of `width` words, A-Z lower-cased; fewer words are one shingle. Two sets
+    are linked when 100 * common >= per_cent * all; component_id is the least doc_id that links reach. Null and texts
+    without words have no shingles and are linked with nothing. Rows without doc_id come back without component; rows
+    that repeat an id come back each, and take part with each text of theirs. Empty tables give an empty result; other
+    columns are ignored. A task holds some 50 bytes for each byte of its longest text.
+    """
+    rows, texts, linked = linked_sets(docs, width, per_cent)
     each = texts.join(linked, "digest", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
     result = rows.join(each, "digest", "left")
     own_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -7,8 +7,8 @@ fingerprint has a home, the anchor within 1 of its half, and visits every anchor
 comparing homes with visitors at each anchor finds every pair and, at 2^27 anchors a half, few others.
 
 `near_duplicate_groups` links fingerprints by their bits alone. `similar_groups` links documents by the share of their
-shingles: longer fingerprints propose pairs at the same anchors, each pair is checked on its shingles, and an exact join of
-prefixes finds the links that no fingerprint proposed.
+shingles: longer fingerprints propose pairs at the same anchors, and an exact join of prefixes checks them on the shingles
+and finds the links that no fingerprint proposed.
 """
 
 from __future__ import annotations
@@ -230,22 +230,9 @@ def _sketch(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(digests, pa.binary()), name, *columns], names=["doc_id", "mark", "digest", "node", *(f"f{j}" for j in range(parts))])
 
 
-def _shingle_sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1_000_000):
-            words = words_of(text_bytes(batch.column("text")), lower=True)
-            grams, count = _shingles(words, width)
-            own = [np.unique(x).view(np.int64) for x in np.split(grams, np.cumsum(count)[:-1])] if len(count) else []
-            made = pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], names=["node", "shingles"])
-            yield made.filter(pa.array([a == b for a, b in zip(_digests(words), batch.column("digest").to_pylist())], pa.bool_()))
-
-    return run
+def _met(nodes: DataFrame, parts: int, most: int) -> DataFrame:
+    """(node, least) for each anchor that a node visits and some other one with a lesser name too; repeated pairs stay.
 
-
-def proposed(nodes: DataFrame, parts: int, most: int = 1_000_000) -> DataFrame:
-    """Pairs (node, least): each node of (node, f0, ...) with the least node of each anchor that both visit.
-
-    An anchor proposes one pair for each of its visitors, not all pairs of them, so the pairs grow with the documents.
     Visits are dealt by anchor once, and sorted, in one kind of plan at every size. Few anchors have several visitors, so
     counting them would hold nearly all visits of a task; tasks have some `most` visits each instead, however large the
     table is and however few files it comes in.
@@ -254,19 +241,25 @@ def proposed(nodes: DataFrame, parts: int, most: int = 1_000_000) -> DataFrame:
     each = nodes.repartition(tasks, "node").select("node", F.posexplode(F.array(*(F.col(f"f{j}") for j in range(parts)))).alias("print", "fp"))
     at = visits(each).select("node", ((F.col("print") * 2 + F.col("half")).cast("long") * (1 << 32) + F.col("anchor")).alias("at"))
     least = F.min("node").over(Window.partitionBy("at"))
-    return at.repartition(tasks, "at").select("node", least.alias("least")).where("node <> least").distinct()
+    return at.repartition(tasks, "at").select("node", least.alias("least")).where("node <> least")
 
 
-def _exact_links(own: DataFrame, nodes: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Pairs (a, b) of nodes that connect all that the similarity does: one text of each node through the prefix join."""
-    from .prefix_join import similar_sets  # it builds on this module
+def proposed(nodes: DataFrame, parts: int, most: int = 1_000_000) -> DataFrame:
+    """Pairs (node, least): each node of (node, f0, ...) with the least node of each anchor that both visit.
 
-    per_cent = round(100 * similarity)
-    if abs(100 * similarity - per_cent) > 1e-9:
-        raise ValueError("similarity must be a whole number of hundredths")
-    texts = own.join(nodes.select("doc_id", "mark", "node"), ["doc_id", "mark"]).dropDuplicates(["node"])
-    found = similar_sets(texts.select(F.col("node").alias("doc_id"), "text"), width, per_cent)
-    return found.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    An anchor proposes one pair for each of its visitors, not all pairs of them.
+    """
+    return _met(nodes, parts, most).distinct()
+
+
+def nearest(nodes: DataFrame, parts: int, most: int = 1_000_000) -> DataFrame:
+    """Of the pairs that `proposed` has, for each node the one that most anchors propose; of several the least.
+
+    Strangers meet at one anchor, the more of them the larger the table; texts alike meet at many. So there is one pair a
+    node at most, whatever the size.
+    """
+    times = _met(nodes, parts, most).groupBy("node", "least").agg(F.count(F.lit(1)).alias("times"))
+    return times.groupBy("node").agg(F.min_by("least", F.struct(-F.col("times"), "least")).alias("least"))
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, parts: int = 4, most_apart: float = 0.22) -> DataFrame:
@@ -275,42 +268,28 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, par
 
     Texts with equal words are one node, named by 64 bits of their digest; texts of fewer words are one shingle, those
     without words, and null, one node. Pairs come from fingerprints of `parts` times 64 bits over two-word shingles, at
-    the anchors of each half: two documents are proposed where some half differs in few bits, each with the least node
-    there, and dropped where more than `most_apart` of all bits differ. Fingerprints alone miss some pairs, so one text of
-    each node also goes through the exact prefix join, and the groups are those of all links; `similarity` is in whole
-    hundredths. A proposed pair is linked exactly when its shingles say so. First each document is held against the least
-    of its partners, then against those that this has not connected it with, so crowds of copies compare few shingles.
+    the anchors of each half: each document is proposed with the one that it shares most anchors with, and dropped where
+    more than `most_apart` of all bits differ. Proposed pairs are linked exactly when their shingles say so. Fingerprints
+    alone miss some pairs, so the prefix join, which checks the proposals on its sets, finds all links between documents
+    that these haven't connected; `similarity` is in whole hundredths. Crowds of copies compare few shingles.
     Rows without doc_id are left out, rows that repeat one come back each, with the group of their own text. Long texts
     take some 50 bytes a byte in their task.
     """
+    from .prefix_join import linked_sets  # it builds on this module
+
+    per_cent = round(100 * similarity)
+    if abs(100 * similarity - per_cent) > 1e-9:
+        raise ValueError("similarity must be a whole number of hundredths")
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     schema = "doc_id long, mark long, digest binary, node long, " + ", ".join(f"f{j} long" for j in range(parts))
     sketches = written(own.mapInArrow(lambda batches: _sketch(batches, parts), schema), "sketches")
-    one = F.min(F.struct("doc_id", "mark")).alias("one")
-    nodes = sketches.groupBy("digest").agg(F.first("node").alias("node"), one, *(F.first(f"f{j}").alias(f"f{j}") for j in range(parts)))
-    nodes = written(nodes.select("digest", "node", "one.*", *(f"f{j}" for j in range(parts))), "nodes")
+    nodes = sketches.groupBy("digest").agg(F.first("node").alias("node"), F.min("doc_id").alias("doc_id"), *(F.first(f"f{j}").alias(f"f{j}") for j in range(parts)))
+    nodes = written(nodes, "nodes")
     # Strangers that met at an anchor differ in far more of all bits than texts at the similarity do.
-    prints = nodes.select("node", F.array(*(F.col(f"f{j}") for j in range(parts))).alias("own"))
+    prints = nodes.select("node", F.col("digest").alias("a"), F.array(*(F.col(f"f{j}") for j in range(parts))).alias("own"))
+    others = prints.select(F.col("node").alias("least"), F.col("a").alias("b"), F.col("own").alias("other"))
     apart = F.aggregate(F.zip_with("own", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
-    near = proposed(nodes, parts).join(prints, "node").join(prints.select(F.col("node").alias("least"), F.col("own").alias("other")), "least")
-    near = written(near.where(apart <= int(most_apart * 64 * parts)).select("node", "least"), "near")
-    wanted = near.select(F.explode(F.array("node", "least")).alias("node")).distinct().join(nodes.select("node", "digest", "doc_id", "mark"), "node")
-    texts = own.join(written(wanted, "wanted"), ["doc_id", "mark"]).select("node", "digest", "text")  # its size is known when the join is planned
-    sets = written(texts.mapInArrow(_shingle_sets(width), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("least"), F.col("shingles").alias("others")), "least")
-        shared = F.size(F.array_intersect("shingles", "others"))
-        return written(both.where(shared >= F.lit(similarity) * (F.size("shingles") + F.size("others") - shared)).select(F.col("least").alias("a"), F.col("node").alias("b")), "similar")
-
-    first = written(near.groupBy("node").agg(F.min("least").alias("least")), "first")
-    edges = linked(first)
-    found = components(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), edges)
-    ends = [found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("node", "least")]
-    apart_yet = near.join(ends[0], "node", "left").join(ends[1], "least", "left").where("coalesce(of_node, node) <> coalesce(of_least, least)").select("node", "least")
-    second = apart_yet.join(first.withColumnRenamed("least", "tried"), "node").where("least <> tried").select("node", "least")
-    edges = edges.union(linked(written(second, "second"))).union(_exact_links(own, nodes, similarity, width))
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    groups = _least_ids(components(ends, edges), nodes.select("node", F.col("doc_id").alias("least")))
-    found = nodes.join(groups, "node", "left").select("digest", F.coalesce("least_id", "doc_id").alias("component_id"))
+    near = nearest(nodes, parts).join(prints, "node").join(others, "least").where(apart <= int(most_apart * 64 * parts))
+    linked = linked_sets(own.select("doc_id", "text"), width, per_cent, written(near.select("a", "b"), "near"))[-1]
+    found = nodes.join(linked, "digest", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
     return sketches.select("doc_id", "mark", "digest").join(found, "digest").select("doc_id", "mark", "component_id")
