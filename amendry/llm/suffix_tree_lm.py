@@ -8,7 +8,8 @@ Sizes. Grams of up to depth + 1 words are counted by a combining aggregation, on
 counted when both of its shorter ones are frequent, which tasks look up in a map of fixed size that may say yes too often.
 A counted gram goes on with the keys of its context and its suffix. Contexts and the words after them stay in Spark
 tables and grow with the corpus. Smoothing makes the log probability of a text the sum of one number for each of its
-grams; the most frequent, a fixed number, are looked up in the task, and the long tail, which has no hot keys, by a join.
+grams; the most frequent, a fixed number, are looked up in the task. The long tail, which has no hot keys, travels in packed
+columns to buckets that hold the values, some megabytes of text in a row for each; what comes back are sums by document.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -204,7 +206,9 @@ def fit_contexts(train: DataFrame, totals: DataFrame, n: int, v: int, depth: int
     return written(values.groupBy("m", "key").agg(F.max("n").alias("n"), F.sum("value").alias("value")), "values")
 
 
-_COLUMNS = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<token:long,n:int>>, grams array<struct<token:long,n:int>>"
+_COLUMNS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<token:long,n:int>>, bucket int, keys binary, docs binary"
+_PACKED = "bucket int, row long, keys binary, docs binary"
+_BUCKET = 4_000_000  # tokens of the corpus for each bucket of grams
 
 
 def _times(doc: np.ndarray, key: np.ndarray, n: int) -> pa.ListArray:
@@ -217,9 +221,31 @@ def _times(doc: np.ndarray, key: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(key[new].view(np.int64)), pa.array(times)], names=["token", "n"]))
 
 
-def _score_grams(shared, z: float) -> Callable:
+def _dealt(keys: np.ndarray, beside: np.ndarray, buckets: int) -> list[tuple[int, bytes, bytes]]:
+    """(bucket, keys, what stands beside them), packed."""
+    part = (keys >> np.uint64(40)) % np.uint64(buckets)
+    order = np.argsort(part, kind="stable")
+    keys, beside, cuts = keys[order], beside[order], np.searchsorted(part[order], np.arange(buckets + 1))
+    return [(j, keys[cuts[j] : cuts[j + 1]].tobytes(), beside[cuts[j] : cuts[j + 1]].tobytes()) for j in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
+def _packed(rows: list[tuple[int, bytes, bytes]], row: int) -> list[pa.Array]:
+    bucket, keys, beside = zip(*rows) if rows else ((), (), ())
+    return [pa.array(bucket, pa.int32()), pa.array([row] * len(rows), pa.int64()), pa.array(keys, pa.binary()), pa.array(beside, pa.binary())]
+
+
+def _score_grams(shared, z: float, buckets: int) -> Callable:
+    """A row for each text, and for each batch of texts one for each bucket that it asks: `row` is that of its first text,
+    `docs` the text of each key, counted from there."""
+    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
+    kinds |= {"tail": pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int32())])), "bucket": pa.int32(), "keys": pa.binary(), "docs": pa.binary()}
+
+    def rows(number: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(number, t) for c, t in kinds.items()], names=list(kinds))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, finds, bitmaps = shared.value
+        row = TaskContext.get().partitionId() << 36
         for batch in slices(batches, "text"):
             token, doc = tokens_of(text_bytes(batch.column("text")))
             n = batch.num_rows
@@ -235,17 +261,85 @@ def _score_grams(shared, z: float) -> Callable:
                 value += np.bincount(text[fine[sure]], weights=found[sure], minlength=n)
                 docs.append(text[fine[~sure]])
                 keys.append(key[fine[~sure]])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("held_out"), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, weights=looked_up, minlength=n).astype(np.int64)),
-                    pa.array(base), pa.array(base + value), _times(doc[~looked_up], token[~looked_up], n), _times(np.concatenate(docs), np.concatenate(keys), n),
-                ],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "grams"],
+            yield rows(
+                n, row=pa.array(row + np.arange(n)), doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), n_tokens=pa.array(np.bincount(doc, minlength=n)),
+                n_known=pa.array(np.bincount(doc, weights=looked_up, minlength=n).astype(np.int64)), base=pa.array(base), score=pa.array(base + value), tail=_times(doc[~looked_up], token[~looked_up], n),
             )
+            asked = _dealt(np.concatenate(keys), np.concatenate(docs).astype(np.uint32), buckets)
+            yield rows(len(asked), **dict(zip(("bucket", "row", "keys", "docs"), _packed(asked, row))))
+            row += n
 
     return run
 
 
+def _pack_values(buckets: int, most: int = 500_000) -> Callable:
+    """(key, value) as packed rows of each bucket: `row` is -1, and the values stand in the place of `docs`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def sent() -> pa.RecordBatch:
+            made = _packed(_dealt(*map(np.concatenate, zip(*held)), buckets), -1)
+            held.clear()
+            return pa.RecordBatch.from_arrays(made, names=["bucket", "row", "keys", "docs"])
+
+        for batch in batches:
+            held.append((batch.column("key").to_numpy().view(np.uint64), batch.column("value").to_numpy()))
+            if sum(len(k) for k, _ in held) > most:
+                yield sent()
+        if held:
+            yield sent()
+
+    return run
+
+
+def _ask_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket, values first: for what each batch of texts asks, sums by text."""
+    now, held, find = None, [], None
+    for batch in batches:
+        out = []
+        for bucket, row, keys, docs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "row", "keys", "docs"))):
+            if bucket != now:
+                now, held, find = bucket, [], None
+            if row < 0:
+                held.append((keys, docs))
+                continue
+            if find is None:
+                find = Lookup(*(np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held) if held else ((), ()), (np.uint64, np.float64))), 0.0)
+            doc, at = np.unique(np.frombuffer(docs, np.uint32), return_inverse=True)
+            out.append((row, doc.tobytes(), np.bincount(at, find(np.frombuffer(keys, np.uint64))).tobytes()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["row", "docs", "sums"])
+
+
+def _sum_by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by `row`: one sum for each text that has any."""
+
+    def added(first: int, held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        doc, at = np.unique(np.frombuffer(b"".join(d for d, _ in held), np.uint32), return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(first + doc.astype(np.int64)), pa.array(np.bincount(at, np.frombuffer(b"".join(s for _, s in held))))], names=["row", "gram_log10"])
+
+    now, held = None, []
+    for batch in batches:
+        for row, docs, sums in zip(*(batch.column(c).to_pylist() for c in ("row", "docs", "sums"))):
+            if row != now and held:
+                yield added(now, held)
+                held = []
+            now = row
+            held.append((docs, sums))
+    if held:
+        yield added(now, held)
+
+
+def _added(parts: DataFrame, values: DataFrame, buckets: int) -> DataFrame:
+    """(row, gram_log10): sums of the values of (key, value) over all that the rows of `parts` ask for."""
+    told = values.mapInArrow(_pack_values(buckets), _PACKED)
+    asked = parts.where("bucket IS NOT NULL").select("bucket", "row", "keys", "docs")
+    both = told.union(asked).repartition(min(buckets, 50_000), "bucket").sortWithinPartitions("bucket", "row")
+    sums = both.mapInArrow(_ask_values, "row long, docs binary, sums binary")
+    return sums.repartition("row").sortWithinPartitions("row").mapInArrow(_sum_by_text, "row long, gram_log10 double")
+
+
 def _least(counts: DataFrame, most: int, share: float) -> float:
     """The least n that at most `most` rows of (.., n) reach, or `share` where more than that reach 10,000."""
     found = counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().toArrow().sort_by([("n", "descending")])
@@ -280,8 +374,8 @@ def score_texts(docs: DataFrame, held_out: Column, common_share: float = 2e-6, l
         finds.append(Lookup(hot.column("key").to_numpy().view(np.uint64), hot.column("value").to_numpy(), np.nan))
         bitmaps.append(_bitmap(own))
     shared = spark.sparkContext.broadcast((common, finds, bitmaps))
-    parts = df.mapInArrow(_score_grams(shared, z), _COLUMNS).withColumn("row", F.monotonically_increasing_id())
-    parts = written(parts, "scores")
+    buckets = max(8, n // _BUCKET)
+    parts = written(df.mapInArrow(_score_grams(shared, z, buckets), _COLUMNS), "scores")
     shared.destroy()
     rare = (
         parts.select("row", F.explode("tail").alias("x")).select("row", "x.*")
@@ -292,13 +386,9 @@ def score_texts(docs: DataFrame, held_out: Column, common_share: float = 2e-6, l
             F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"),
         )
     )
-    added = (
-        parts.select("row", F.explode("grams").alias("x")).select("row", "x.*")
-        .join(values.where(F.col("n") < least).groupBy(F.col("key").alias("token")).agg(F.sum("value").alias("value")), "token")
-        .groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("gram_log10"))
-    )
+    added = _added(parts, values.where(F.col("n") < least).groupBy("key").agg(F.sum("value").alias("value")), buckets)
     more, known_more, grams_more = F.coalesce("tail_log10", F.lit(0.0)), F.coalesce("tail_known", F.lit(0)), F.coalesce("gram_log10", F.lit(0.0))
-    return parts.drop("tail", "grams").join(rare, "row", "left").join(added, "row", "left").select(
+    return parts.where("bucket IS NULL").drop("tail", "bucket", "keys", "docs").join(rare, "row", "left").join(added, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + known_more).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"), (F.col("score") + more + grams_more).alias("score"),
     )

@@ -92,3 +92,21 @@ def test_contexts_count_by_absolute_numbers(spark, common_share, looked_up):
         own = ["<s>", *tokens(texts[r.doc_id])]
         assert r.score == pytest.approx(sum(math.log10(p(tuple(own[max(0, i - 3) : i]), own[i])) for i in range(1, len(own))), rel=1e-9)
     assert sum(p(("one", "b", "c"), x) for x in {t for q in texts for t in tokens(q)}) + p(("one", "b", "c"), "?") == pytest.approx(1)
+
+
+def test_rare_grams_travel_packed(spark, monkeypatch):
+    """Rows of a batch of texts for each bucket, not one for each gram of each text; sums by text are whole."""
+    from amendry.llm import suffix_tree_lm as S
+
+    monkeypatch.setattr(S, "_BUCKET", 500)
+    made, keep = [], S._added
+    monkeypatch.setattr(S, "_added", lambda parts, values, buckets: (made.append((parts, buckets)), keep(parts, values, buckets))[1])
+    rng = np.random.default_rng(4)
+    phrases = [" ".join(f"w{i}" for i in rng.integers(0, 60, 4)) for _ in range(40)]
+    texts = [" ".join(phrases[i] for i in rng.integers(0, 40, 15)) for _ in range(90)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    few, all_ = (by_id(score_texts(df, F.lit(False), common_share=s, looked_up=k, **OPTIONS)) for s, k in ((1.0, 5), (2e-6, 2_000_000)))
+    assert set(few) == set(range(92)) and all(few[d].score == pytest.approx(all_[d].score, rel=1e-9) for d in few)
+    parts, buckets = made[0]
+    asked = parts.where("bucket IS NOT NULL").agg(F.count("*").alias("rows"), F.sum(F.octet_length("keys") / 8).alias("grams")).first()
+    assert buckets > 8 and parts.where("bucket IS NULL").count() == 92 and asked["rows"] <= 3 * buckets < asked.grams / 10
