@@ -1,6 +1,7 @@
 """Fits that leave out one project each, all at once: a pass over the rows gives every fold's loss and gradient.
 
-The folds share rows, so they share the work: a task multiplies its rows with the weights of all folds (a matrix product),
+The folds share rows, so they share the work: vectors are packed into matrices of a megabyte once, dealt to all cores, and
+kept between the passes; a task multiplies its rows with the weights of all folds (a matrix product),
 leaves out each row's own fold, and sends back one row of sums a fold; those are added on Spark, by fold. The driver
 holds weights and a few gradients of `block` folds and takes one step of each (L-BFGS with backtracking); a fold that
 has converged drops out of the next pass. So jobs grow with the steps, not with the projects. Scales of the features
@@ -23,6 +24,9 @@ from amendry.functions.text import project_of
 from amendry.plans.scratch import written
 
 _SUMS = "project_id string, sums array<double>"
+_PACKED = "projects array<string>, at binary, x binary, y binary"
+#: Bytes of vectors in one packed row, and in one task of a pass.
+_ROW, _TASK = 1 << 20, 64 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -70,6 +74,22 @@ def _moments(rows: DataFrame, columns: Sequence[str], most: int = 1000) -> DataF
     return written(_added(rows.select("project_id", *columns).mapInArrow(run, _SUMS)), "moments")
 
 
+def _blocks(rows: DataFrame, centre: np.ndarray, n: int) -> DataFrame:
+    """The `n` rows (project_id, x, y) less `centre`, as matrices: each pass reads bytes instead of arrays of numbers."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n * 8 * len(centre) // _TASK))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, _ROW // (8 * max(1, len(centre))))
+        for batch in batches:
+            for part in (batch.slice(a, step) for a in range(0, batch.num_rows, step)):
+                names, at = np.unique(np.asarray(part.column("project_id").to_pylist(), object), return_inverse=True)
+                x, y = _matrix(part.column("x")) - centre, np.asarray(part.column("y"), float)
+                made = [pa.array([names.tolist()], pa.list_(pa.string())), *(pa.array([b.tobytes()], pa.binary()) for b in (at.astype(np.int32), x, y))]
+                yield pa.RecordBatch.from_arrays(made, names=["projects", "at", "x", "y"])
+
+    return rows.mapInArrow(run, _PACKED).repartition(tasks)
+
+
 @dataclass
 class Fold:
     """One fold's state: scaled weights and bias, the last gradient, and recent steps."""
@@ -122,7 +142,7 @@ class Fold:
         return False
 
 
-def _passes(rows: DataFrame, active: list[Fold], centre: np.ndarray, intercept: bool) -> dict[str, np.ndarray]:
+def _passes(blocks: DataFrame, active: list[Fold], intercept: bool) -> dict[str, np.ndarray]:
     """By fold: loss and gradient over the other projects' rows; rows, hits and loss of its own."""
     place = {f.project: i for i, f in enumerate(active)}
     inverse = np.array([np.divide(1.0, f.scale, out=np.zeros_like(f.scale), where=f.scale > 0) for f in active]).T
@@ -130,10 +150,11 @@ def _passes(rows: DataFrame, active: list[Fold], centre: np.ndarray, intercept:
     weights, bias = points[:-1] * inverse, points[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(place), len(centre) + 5))
-        for batch in batches:
-            x, y = _matrix(batch.column("x")) - centre, np.asarray(batch.column("y"), float)
-            at = np.array([place.get(p, -1) for p in batch.column("project_id").to_pylist()])
+        total = np.zeros((len(place), len(weights) + 5))
+        for projects, at, x, y in (row for batch in batches for row in zip(*(batch.column(c) for c in ("projects", "at", "x", "y")))):
+            y = np.frombuffer(y.as_buffer())
+            x = np.frombuffer(x.as_buffer()).reshape(len(y), -1)
+            at = np.array([place.get(p, -1) for p in projects.as_py()])[np.frombuffer(at.as_buffer(), np.int32)]
             margin = (x @ weights + bias) * y[:, None]
             loss = np.maximum(-margin, 0) + np.log1p(np.exp(-np.abs(margin)))
             pull = -y[:, None] * np.exp(-np.maximum(margin, 0)) / (1 + np.exp(-np.abs(margin)))
@@ -146,7 +167,7 @@ def _passes(rows: DataFrame, active: list[Fold], centre: np.ndarray, intercept:
             total[:, -4] += pull.sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(list(place), pa.string()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["project_id", "sums"])
 
-    found = {r.project_id: np.array(r.sums) for r in _added(rows.mapInArrow(run, _SUMS)).collect()}
+    found = {r.project_id: np.array(r.sums) for r in _added(blocks.mapInArrow(run, _SUMS)).collect()}
     for f in active:
         found[f.project][1:-4] *= inverse[:, place[f.project]]
         if not intercept:
@@ -172,7 +193,7 @@ def fit_folds(df: DataFrame, kind: str = "pairwise", c: float = 1.0, max_iter: i
     d = (len(total) - 1) // 2
     centre = np.zeros(d) if kind == "bt" else total[1 : d + 1] / total[0]
     wanted = [p for p in sorted(sizes, key=lambda p: (-sizes[p], p)) if only is None or p in set(only)]
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = _blocks(rows, centre, sum(map(int, sizes.values())) // copies).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for k in range(0, len(wanted), block):
             names = wanted[k : k + block]
@@ -184,7 +205,7 @@ def fit_folds(df: DataFrame, kind: str = "pairwise", c: float = 1.0, max_iter: i
                 scale = np.sqrt(np.where(spread > 1e-12 * np.maximum(rest[d + 1 :] / rest[0], 1e-300), spread, 0.0))
                 active.append(Fold(r.project_id, scale, round(rest[0]) // copies, np.zeros(d + 1)))
             while active:
-                found = _passes(rows, active, centre, kind != "bt")
+                found = _passes(blocks, active, kind != "bt")
                 going = []
                 for f in active:
                     sums, at = found[f.project], f.trial()
@@ -195,7 +216,7 @@ def fit_folds(df: DataFrame, kind: str = "pairwise", c: float = 1.0, max_iter: i
                         going.append(f)
                 active = going
     finally:
-        rows.unpersist()
+        blocks.unpersist()
 
 
 def lopo(df: DataFrame, kind: str = "pairwise", c: float = 1.0, max_iter: int = 2000, only: Sequence[str] | None = None, tol: float = 1e-6, block: int = 256) -> DataFrame:

@@ -95,3 +95,19 @@ def test_certificate_of_the_fits(spark):
     pairs = df.select("project_id", F.col("features").alias("better"), F.transform("features", lambda v: v * v).alias("worse"))
     slopes = models.optimality(pairs, models.fit_bt(pairs), "bt").collect()
     assert sorted(r.pos for r in slopes) == [1, 2, 3, 4] and max(abs(r.gradient) for r in slopes) < 0.05
+
+
+def test_passes_read_packed_rows_on_all_cores(spark, monkeypatch):
+    """Vectors are matrices of many rows, also where all rows come in one partition; none is lost and results stay."""
+    df, _, x, y = rows(spark)
+    want = {r.project_id: r for r in L.lopo(df).collect()}
+    kept, keep = [], L._blocks
+    monkeypatch.setattr(L, "_ROW", 8 * 4 * 7)
+    monkeypatch.setattr(L, "_blocks", lambda *a: (kept.append(keep(*a)), kept[-1])[1])
+    found = {r.project_id: r for r in L.lopo(df.coalesce(1)).collect()}
+    assert set(found) == set(want) and all(abs(found[p].objective - want[p].objective) < 1e-6 for p in want)
+    assert kept[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+    blocks = kept[0].collect()
+    packed = np.concatenate([np.frombuffer(b.x).reshape(-1, 4) for b in blocks])
+    assert 35 <= len(blocks) < 45 and max(len(b.y) for b in blocks) <= 8 * 7
+    assert np.allclose(np.sort(packed, 0), np.sort(x - x.mean(0), 0)) and sum(len(b["at"]) for b in blocks) == 4 * len(y)
