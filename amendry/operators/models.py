@@ -27,6 +27,16 @@ class LinearModel:
         return V.dot(F.array(*map(F.lit, self.weights)), features) + self.bias
 
 
+#: Bytes of vectors in one partition of a fit, where that makes more partitions than the session has cores.
+_PARTITION = 256 << 20
+
+
+def _in_few(df: DataFrame, size: int) -> DataFrame:
+    """`size` bytes of vectors in no more partitions than cores or whole `_PARTITION`s: in each step of a fit every
+    partition sends its sums, so what reaches the driver would grow with their number."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // _PARTITION)))
+
+
 def _fit(df: DataFrame, scaled: DataFrame, c: float, max_iter: int, center: bool, intercept: bool) -> LinearModel:
     """The scaler is fitted on the vectors of `scaled`; min C * sum of log losses + |w|^2 / 2 over scaled features, as MLlib's mean loss with regParam 1 / (C n)."""
     data = scaled.select(array_to_vector("features").alias("raw"))
@@ -37,7 +47,8 @@ def _fit(df: DataFrame, scaled: DataFrame, c: float, max_iter: int, center: bool
     mean = scaler.mean.toArray().tolist() if center else [0.0] * len(std)
     inverse = [1 / s if s > 0 else 0.0 for s in std]
     arrays = df.select(F.zip_with(F.zip_with("features", F.array(*map(F.lit, mean)), lambda x, m: x - m), F.array(*map(F.lit, inverse)), lambda x, i: x * i).alias("x"), "label")
-    ready = arrays.select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
+    ready = arrays.select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"))
+    ready = _in_few(ready, n * 8 * len(std)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = LogisticRegression(regParam=1 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, fitIntercept=intercept, maxIter=max_iter, tol=1e-8).fit(ready)
     finally:

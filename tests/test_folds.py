@@ -111,3 +111,16 @@ def test_passes_read_packed_rows_on_all_cores(spark, monkeypatch):
     packed = np.concatenate([np.frombuffer(b.x).reshape(-1, 4) for b in blocks])
     assert 35 <= len(blocks) < 45 and max(len(b.y) for b in blocks) <= 8 * 7
     assert np.allclose(np.sort(packed, 0), np.sort(x - x.mean(0), 0)) and sum(len(b["at"]) for b in blocks) == 4 * len(y)
+
+
+def test_fits_send_sums_from_few_partitions(spark, monkeypatch):
+    """However many partitions the rows come in: no more than cores, or whole blocks of bytes, take part in the steps."""
+    df, *_ = rows(spark)
+    seen, keep = [], models.LogisticRegression.fit
+    monkeypatch.setattr(models.LogisticRegression, "fit", lambda self, data: (seen.append(data.rdd.getNumPartitions()), keep(self, data))[1])
+    many = df.repartition(60)
+    one, two = models.fit_pairwise(df, c=0.5), models.fit_pairwise(many, c=0.5)
+    models.fit_bt(many.select(F.col("features").alias("better"), F.transform("features", lambda v: v * v).alias("worse")))
+    cores = spark.sparkContext.defaultParallelism
+    assert max(seen) <= cores and np.allclose(one.weights, two.weights, atol=1e-4)
+    assert models._in_few(many, 9 * models._PARTITION).rdd.getNumPartitions() == max(9, cores)
