@@ -244,20 +244,24 @@ def _grouped(groups: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _leader_pairs(groups: DataFrame, labels: DataFrame, per_cent: int, turn: int) -> DataFrame:
-    """Each group's first member with that of one block's leader in another component, and each member with another one
-    of its group: the leader that most shingles lead to at first, others by hash in later turns."""
+    """Each group's first member with the leader of one of its blocks, of those in another component and near enough by
+    size and sketch the nearest; and each member with another one of its group. Leaders are what most shingles lead to at
+    first, others by hash in later turns."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / per_cent)))
-    at = groups.select("group", "leader", "component", band.alias("band"), F.posexplode("prefix").alias("pos", "token"))
     if turn:
         by = F.xxhash64("group", F.lit(turn))
     else:
-        sizes = at.groupBy("token").agg(F.log(F.count(F.lit(1)).cast("double")).alias("size"))
-        weight = at.join(sizes, "token").groupBy("group").agg(F.avg("size").alias("weight"))
-        at, by = at.join(weight, "group"), F.struct("weight", "group")
-    lead = at.groupBy("token", "band").agg(F.max_by(F.struct(F.col("group").alias("lead"), F.col("leader").alias("b"), F.col("component").alias("of_b")), by).alias("x"), F.min("group").alias("least"), F.max("group").alias("most"))
+        slim = groups.select("group", F.explode("prefix").alias("token"))
+        sizes = slim.groupBy("token").agg(F.log(F.count(F.lit(1)).cast("double")).alias("size"))
+        groups, by = groups.join(slim.join(sizes, "token").groupBy("group").agg(F.avg("size").alias("weight")), "group"), F.struct("weight", "group")
+    at = groups.select("group", "leader", "n", "component", *_SKETCH, band.alias("band"), by.alias("by"), F.explode("prefix").alias("token"))
+    of_lead = [F.col("group").alias("lead"), F.col("leader").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"), *(F.col(x).alias(f"{x}_b") for x in _SKETCH)]
+    lead = at.groupBy("token", "band").agg(F.max_by(F.struct(*of_lead), "by").alias("x"), F.min("group").alias("least"), F.max("group").alias("most"))
     lead = lead.where("least < most").select("token", "band", "x.*")
     apart = F.coalesce(F.col("component") != F.col("of_b"), F.lit(True)) & (F.col("group") != F.col("lead"))
-    across = at.join(lead, ["token", "band"]).where(apart).groupBy("group").agg(F.first("leader").alias("a"), F.min_by("b", F.struct("pos", "b")).alias("b")).select("a", "b")
+    over = _apart("", "_b") - (F.col("n") + F.col("n_b") - 2 * _least_shared(per_cent, F.col("n"), F.col("n_b")))  # over 0 they can't be linked
+    met = at.join(lead, ["token", "band"]).where(apart).select("group", "leader", "b", over.alias("over")).where("over <= 0")
+    across = met.groupBy("group").agg(F.first("leader").alias("a"), F.min_by("b", F.struct("over", "b")).alias("b")).select("a", "b")
     inside = labels.groupBy("group").agg(F.max_by(F.struct(F.col("digest").alias("b"), F.col("component").alias("of_b")), F.xxhash64("digest", F.lit(turn))).alias("x"), F.min("digest").alias("least"), F.max("digest").alias("most"))
     inside = inside.where("least < most").select("group", "x.*")
     return across.union(labels.join(inside, "group").where("component <> of_b").select(F.col("digest").alias("a"), "b"))
@@ -307,7 +311,7 @@ def _member_pairs(pairs: DataFrame, labels: DataFrame, per_cent: int) -> DataFra
 def linked_sets(docs: DataFrame, width: int, per_cent: int, proposed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, mark, digest, n), different texts with shingles (digest, doc_id, n), and of those with partners
     (digest, component_id), as `similar_sets` has them. `proposed` are pairs (a, b) of digests that are held against each
-    other before any leaders are."""
+    other in the first round, beside its leaders."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     about = (own.agg(F.sum(F.octet_length("text")).alias("x")).first().x or 0) // 6  # shingles, roughly; a plan choice alone
@@ -336,7 +340,9 @@ def linked_sets(docs: DataFrame, width: int, per_cent: int, proposed: DataFrame
     members = prefixes.select("digest", "group", "n", *_SKETCH)
     labels, edges = members.withColumn("component", F.col("digest")), None
     for turn in range(_ROUNDS):
-        pairs = _leader_pairs(_grouped(groups, labels), labels, per_cent, turn) if turn or proposed is None else proposed
+        pairs = _leader_pairs(_grouped(groups, labels), labels, per_cent, turn)
+        if proposed is not None and not turn:
+            pairs = pairs.union(proposed).distinct()
         more = written(_verified(pairs, sets, per_cent), "links")
         edges = more if edges is None else edges.union(more)
         labels = _labels(members, edges)

@@ -84,3 +84,27 @@ def test_another_threshold(spark):
 def test_no_rows(spark):
     assert found(spark.createDataFrame([], SCHEMA)) == []
     assert found(spark.createDataFrame([(1, None, "", "", 0, 0, 0), (2, " ", "", "", 0, 0, 0)], SCHEMA)) == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_copies_meet_the_nearest_leader_though_pairs_are_proposed(spark, monkeypatch):
+    """Near copies that share rarer passages with strangers are linked by a pair each, not by pairs of all of them."""
+    rng, texts, made, pairs_of = random.Random(4), [], [], prefix_join._group_pairs
+    prose = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    base = prose(150)
+    texts.append(base)
+    for i in range(60):
+        passage, copy = prose(6), list(base)
+        copy[rng.randrange(150)] = "edit"
+        texts += [copy + passage, *(prose(100) + passage for _ in range(2))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+
+    def counted(*args):
+        made.append(pairs_of(*args))
+        return made[-1]
+
+    monkeypatch.setattr(prefix_join, "_ROUNDS", 1)
+    monkeypatch.setattr(prefix_join, "_group_pairs", counted)
+    none = spark.createDataFrame([], "a binary, b binary")
+    *_, linked = prefix_join.linked_sets(docs, 5, 80, none)
+    assert [(r.component_id, r["count"]) for r in linked.groupBy("component_id").count().collect()] == [(0, 61)]
+    assert made[0].count() < 60
