@@ -4,8 +4,9 @@ Method. Contexts of one to `depth` words are retained when they are frequent, by
 them diverge from those after their longest retained suffix by a G test; their distribution is smoothed with that
 suffix's, at last with the unigram's. A text is scored by the longest retained suffix of what was read so far.
 
-Sizes. Grams of up to depth + 1 words are counted by a combining aggregation, one length after the other: a gram is
-counted when both of its shorter ones are frequent, which tasks look up in a map of fixed size that may say yes too often.
+Sizes. Grams of up to depth + 1 words are counted one length after the other: a gram is counted when both of its shorter
+ones are frequent, which tasks look up in a map of fixed size that may say yes too often. Tasks combine their grams and
+send them in packed rows to buckets by context, each context once; a hot one is dealt to many places by its suffixes.
 A counted gram goes on with the keys of its context and its suffix. Contexts and the words after them stay in Spark
 tables and grow with the corpus. Smoothing makes the log probability of a text the sum of one number for each of its
 grams; the most frequent, a fixed number, are looked up in the task. The long tail, which has no hot keys, travels in packed
@@ -120,48 +121,109 @@ def _key(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     return mix(mix(context + _SALT) * _BASE + suffix)
 
 
-def _combined(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Distinct keys of (keys, contexts, suffixes, counts) and their sums."""
-    key, context, suffix, n = (np.concatenate(x) for x in zip(*held))
-    keys, first, at = np.unique(key, return_index=True, return_inverse=True)
-    return keys, context[first], suffix[first], np.bincount(at, weights=n).astype(np.int64)
+_COUNTED = 2_000_000  # tokens of the corpus for each bucket of counts
+_GRAMS = "bucket int, contexts binary, runs binary, suffixes binary, places binary, times binary"
+_HOT = 2000  # of all tokens, one in this many after one context makes it hot
 
 
-def _count_grams(shared, m: int) -> Callable:
-    """(context, suffix, n) of grams of m symbols whose two grams of m - 1 symbols may be frequent."""
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers of one, two or four bytes each."""
+    most = x.max(initial=0)
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, held = shared.value, []
 
-        def sent() -> pa.RecordBatch:
-            _, context, suffix, n = held[0]
-            held.clear()
-            return pa.RecordBatch.from_pydict({"context": context.view(np.int64), "suffix": suffix.view(np.int64), "n": n})
+def _wide(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, {n: np.uint8, 2 * n: np.uint16, 4 * n: np.uint32}[len(blob)]).astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def _spread(context: np.ndarray, suffix: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """32 bits that tell the bucket: those of the context, and of hot ones 64 by the suffix."""
+    is_hot = hot[np.minimum(np.searchsorted(hot, context), len(hot) - 1)] == context if len(hot) else np.zeros(len(context), bool)
+    return mix(context + np.where(is_hot, (mix(suffix) >> np.uint64(58)) * _BASE + _SALT, np.uint64(0))) >> np.uint64(32)
+
+
+def _combined(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of (spread, context, suffix, count) the distinct grams and their sums, in order of spread and context. The order
+    has 64 bits of both, so a gram may rarely stay in two parts."""
+    spread, context, suffix, n = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(spread << np.uint64(32) | mix(context * _BASE + suffix) >> np.uint64(32))
+    spread, context, suffix, n = spread[order], context[order], suffix[order], n[order]
+    new = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (suffix[1:] != suffix[:-1])))) if len(n) else np.zeros(0, np.int64)
+    return spread[new], context[new], suffix[new], np.add.reduceat(n, new) if len(n) else n
+
+
+def _pack_grams(spread: np.ndarray, context: np.ndarray, suffix: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket: each context once with the number of its suffixes, and these by their place in a list of
+    different ones where that is shorter."""
+    rows, cuts = [], np.searchsorted(spread * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    for j in np.flatnonzero(np.diff(cuts)).tolist():
+        own = slice(cuts[j], cuts[j + 1])
+        first = np.flatnonzero(np.concatenate(([True], context[own][1:] != context[own][:-1])))
+        listed, at = np.unique(suffix[own], return_inverse=True)
+        at = _narrow(at)
+        if 8 * len(listed) + len(at) >= 8 * len(n[own]):
+            listed, at = suffix[own], b""
+        rows.append((j, context[own][first].tobytes(), _narrow(np.diff(np.append(first, len(n[own])))), listed.tobytes(), at, _narrow(n[own])))
+    columns = list(zip(*rows)) if rows else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int32(), *[pa.binary()] * 5])], names=["bucket", "contexts", "runs", "suffixes", "places", "times"])
+
+
+def _count_grams(shared, m: int, buckets: int) -> Callable:
+    """Packed rows by bucket of the grams of m symbols whose two grams of m - 1 symbols may be frequent."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (bitmap, hot), held = shared.value, []
         for batch in slices(batches, "text"):
             _, grams = grams_of(*tokens_of(text_bytes(batch.column("text"))), m)
-            key, fine = grams[-1]
+            fine = grams[-1][1]
             shorter = grams[-2][0]
             may = _maybe(bitmap, shorter)
             fine[1:] &= may[1:] & may[:-1]
             at = np.flatnonzero(fine)
-            keys, first, times = np.unique(key[at], return_index=True, return_counts=True)
-            held.append((keys, shorter[at[first] - 1], shorter[at[first]], times))
-            if sum(len(x[0]) for x in held) > 2_000_000:
+            context, suffix = shorter[at - 1], shorter[at]
+            held.append((_spread(context, suffix, hot), context, suffix, np.ones(len(at), np.int64)))
+            if sum(len(x[0]) for x in held) > 3_000_000:
                 held[:] = [_combined(held)]
                 if len(held[0][0]) > 1_000_000:
-                    yield sent()
+                    yield _pack_grams(*held.pop(), buckets)
         if held:
-            held[:] = [_combined(held)]
-            yield sent()
+            yield _pack_grams(*_combined(held), buckets)
 
     return run
 
 
-def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        context, suffix = (batch.column(x).to_numpy(zero_copy_only=False).view(np.uint64) for x in ("context", "suffix"))
-        yield pa.RecordBatch.from_arrays([pa.array(_key(context, suffix).view(np.int64)), *(batch.column(x) for x in ("context", "suffix", "n"))], names=["key", "context", "suffix", "n"])
+def _frequent_grams(least: int) -> Callable:
+    """(key, context, suffix, n) of the grams of each bucket that `least` occurrences reach; rows come sorted by bucket."""
+
+    def counted(held: list[tuple[bytes, ...]]) -> pa.RecordBatch:
+        contexts, suffixes, times = [], [], []
+        for context, runs, suffix, places, n in held:
+            context, suffix = np.frombuffer(context, np.uint64), np.frombuffer(suffix, np.uint64)
+            contexts.append(np.repeat(context, runs := _wide(runs, len(context))))
+            suffixes.append(suffix[_wide(places, int(runs.sum()))] if places else suffix)
+            times.append(_wide(n, int(runs.sum())))
+        context, suffix, times = map(np.concatenate, (contexts, suffixes, times))
+        del contexts, suffixes
+        key = _key(context, suffix)
+        order = np.argsort(key)
+        new = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+        n = np.add.reduceat(times[order], new)
+        at, n = order[new[n >= least]], n[n >= least]
+        return pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (key, context, suffix)), pa.array(n)], names=["key", "context", "suffix", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "contexts", "runs", "suffixes", "places", "times"))):
+                if bucket != now and held:
+                    yield counted(held)
+                    held = []
+                now = bucket
+                held.append(tuple(row))
+        if held:
+            yield counted(held)
+
+    return run
 
 
 def fit_contexts(train: DataFrame, totals: DataFrame, n: int, v: int, depth: int = 3, min_count: int = 5, smoothing: float = 50.0, strength: float = 3.0) -> DataFrame:
@@ -174,14 +236,15 @@ def fit_contexts(train: DataFrame, totals: DataFrame, n: int, v: int, depth: int
     c is retained when 2 sum k log(k / (t P(x | suffix))), the r as one symbol, is at least `strength` times the symbols.
     """
     sc, z = train.sparkSession.sparkContext, n + _ADD * (v + 1)
-    text = train.select(F.col("text").cast("string"))
+    text, buckets = train.select(F.col("text").cast("string")), max(8, n // _COUNTED)
     words = totals.select(F.when(F.col("token") == int(END), 0).otherwise(F.col("token")).cast("long").alias("key"), "n")  # as many begins as ends
     frequent = [written(words.where(F.col("n") >= min_count), "grams")]
     bitmap = _bitmap(totals.where(F.col("n") >= min_count).select(F.col("token").alias("key")).union(frequent[0].select("key")))
     for m in range(2, depth + 2):
-        shared = sc.broadcast(bitmap)
-        counts = text.mapInArrow(_count_grams(shared, m), "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n"))
-        frequent.append(written(counts.where(F.col("n") >= min_count).mapInArrow(_with_keys, "key long, context long, suffix long, n long"), "grams"))
+        hot = frequent[-1].where(F.col("n") > F.lit(n // _HOT)).select("key").toArrow().column("key").to_numpy().view(np.uint64)  # few more than _HOT
+        shared = sc.broadcast((bitmap, np.sort(hot)))
+        packed = text.mapInArrow(_count_grams(shared, m, buckets), _GRAMS).repartition(min(buckets, 50_000), "bucket").sortWithinPartitions("bucket")
+        frequent.append(written(packed.mapInArrow(_frequent_grams(min_count), "key long, context long, suffix long, n long"), "grams"))
         shared.destroy()  # its copies would stay on every executor's disk
         bitmap = _bitmap(frequent[-1])
     known = totals.select(F.col("token").alias("suffix"), ((F.col("n") + F.lit(_ADD)) / F.lit(z)).alias("p"))  # P of the last symbol after its longest retained context

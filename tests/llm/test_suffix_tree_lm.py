@@ -110,3 +110,32 @@ def test_rare_grams_travel_packed(spark, monkeypatch):
     parts, buckets = made[0]
     asked = parts.where("bucket IS NOT NULL").agg(F.count("*").alias("rows"), F.sum(F.octet_length("keys") / 8).alias("grams")).first()
     assert buckets > 8 and parts.where("bucket IS NULL").count() == 92 and asked["rows"] <= 3 * buckets < asked.grams / 10
+
+
+def test_counts_travel_packed_by_context():
+    """Far less than two hashes a gram is sent, a hot context goes to many buckets, and counts are exact."""
+    import pyarrow as pa
+
+    from amendry.llm import suffix_tree_lm as S
+
+    class Shared:
+        value = None
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 3000) % 300) for _ in range(40)] + ["", None]
+    token, doc = S.tokens_of([(t or "").encode() for t in texts])
+    _, grams = S.grams_of(token, doc, 2)
+    key, fine = grams[1]
+    want = {k: n for k, n in Counter(key[fine].tolist()).items() if n >= 5}
+    hot = np.array([Counter(token.tolist()).most_common(1)[0][0]], np.uint64)
+    Shared.value = np.full(1 << 20, ~np.uint64(0)), hot
+    sent = [r for part in (texts[::2], texts[1::2]) for r in S._count_grams(Shared, 2, 8)(iter([pa.RecordBatch.from_pydict({"text": pa.array(part, pa.string())})]))]
+    rows = pa.Table.from_batches(sent).sort_by("bucket")
+    holders = {r["bucket"] for r in rows.to_pylist() if hot[0] in np.frombuffer(r["contexts"], np.uint64)}
+    assert len(holders) == 8
+    size = sum(len(v) for r in rows.to_pylist() for k, v in r.items() if k != "bucket")
+    assert size < 10 * len(set(key[fine].tolist()))
+    found = [r for b in S._frequent_grams(5)(iter(rows.to_batches(max_chunksize=3))) for r in b.to_pylist()]
+    assert {r["key"] % 2**64: r["n"] for r in found} == want and len(found) == len(want)
+    again = S._key(*(np.array([r[x] for r in found], np.int64).view(np.uint64) for x in ("context", "suffix")))
+    assert again.tolist() == [r["key"] % 2**64 for r in found]
