@@ -310,7 +310,7 @@ def _member_pairs(pairs: DataFrame, labels: DataFrame, per_cent: int) -> DataFra
 
 def linked_sets(docs: DataFrame, width: int, per_cent: int, proposed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, mark, digest, n), different texts with shingles (digest, doc_id, n), and of those with partners
-    (digest, component_id), as `similar_sets` has them. `proposed` are pairs (a, b) of digests that are held against each
+    (digest, component_id, component_mark), as `similar_sets` has them; the mark is that of the first text under the id. `proposed` are pairs (a, b) of digests that are held against each
     other in the first round, beside its leaders."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
@@ -350,8 +350,8 @@ def linked_sets(docs: DataFrame, width: int, per_cent: int, proposed: DataFrame
     more = written(_verified(_member_pairs(_group_pairs(held, labels, per_cent), labels, per_cent), sets, per_cent), "more-links")
     found = _labels(members, edges.union(more)).select("digest", "component")
 
-    least = found.join(texts, "digest").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    linked = written(found.join(least, "component").select("digest", "component_id"), "linked")
+    least = found.join(texts, "digest").groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    linked = written(found.join(least, "component").select("digest", F.col("first.doc_id").alias("component_id"), F.col("first.mark").alias("component_mark")), "linked")
     return rows, texts, linked
 
 

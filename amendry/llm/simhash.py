@@ -263,8 +263,9 @@ def nearest(nodes: DataFrame, parts: int, most: int = 1_000_000) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, parts: int = 4, most_apart: float = 0.22) -> DataFrame:
-    """(doc_id, mark, component_id): the least doc_id that links reach, a link being a Jaccard similarity of the sets of
-    `width`-word shingles of at least `similarity`, A-Z lower-cased; mark is xxhash64 of the text.
+    """(doc_id, mark, component_id, component_mark): the least doc_id that links reach, a link being a Jaccard similarity of
+    the sets of `width`-word shingles of at least `similarity`, A-Z lower-cased; mark is xxhash64 of the text, and
+    component_mark the least mark of the group's texts under component_id, which tells rows of one id apart.
 
     Texts with equal words are one node, named by 64 bits of their digest; texts of fewer words are one shingle, those
     without words, and null, one node. Pairs come from fingerprints of `parts` times 64 bits over two-word shingles, at
@@ -283,7 +284,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, par
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     schema = "doc_id long, mark long, digest binary, node long, " + ", ".join(f"f{j} long" for j in range(parts))
     sketches = written(own.mapInArrow(lambda batches: _sketch(batches, parts), schema), "sketches")
-    nodes = sketches.groupBy("digest").agg(F.first("node").alias("node"), F.min("doc_id").alias("doc_id"), *(F.first(f"f{j}").alias(f"f{j}") for j in range(parts)))
+    nodes = sketches.groupBy("digest").agg(F.first("node").alias("node"), F.min(F.struct("doc_id", "mark")).alias("first"), *(F.first(f"f{j}").alias(f"f{j}") for j in range(parts)))
     nodes = written(nodes, "nodes")
     # Strangers that met at an anchor differ in far more of all bits than texts at the similarity do.
     prints = nodes.select("node", F.col("digest").alias("a"), F.array(*(F.col(f"f{j}") for j in range(parts))).alias("own"))
@@ -291,5 +292,5 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, par
     apart = F.aggregate(F.zip_with("own", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
     near = nearest(nodes, parts).join(prints, "node").join(others, "least").where(apart <= int(most_apart * 64 * parts))
     linked = linked_sets(own.select("doc_id", "text"), width, per_cent, written(near.select("a", "b"), "near"))[-1]
-    found = nodes.join(linked, "digest", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return sketches.select("doc_id", "mark", "digest").join(found, "digest").select("doc_id", "mark", "component_id")
+    found = nodes.join(linked, "digest", "left").select("digest", F.coalesce("component_id", "first.doc_id").alias("component_id"), F.coalesce("component_mark", "first.mark").alias("component_mark"))
+    return sketches.select("doc_id", "mark", "digest").join(found, "digest").select("doc_id", "mark", "component_id", "component_mark")

@@ -134,6 +134,20 @@ def test_the_pipeline_drops_rows_by_their_own_text(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([rows[0], *rows[2:]], key=repr)
 
 
+def test_one_row_of_a_group_stays_where_rows_share_an_id(spark):
+    """Near copies under the least id, the same words in other case, and whole rows that repeat, are copies as well."""
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    a, b, c = ([f"{x}{rng.randrange(5000)}" for _ in range(90)] for x in "abc")
+    rows = [(2, a), (2, [*a[:-1], "z"]), (2, b), (2, [x.upper() for x in b]), (3, [*a[:-1], "y"]), (4, c), (4, c), (4, c), (None, c), (None, c)]
+    df = spark.createDataFrame([(i, " ".join(t), "en", f"s{k % 2}", 1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    assert kept.columns == df.columns
+    own = sorted((r.doc_id or 0, r.text[0].lower()) for r in kept.collect())
+    assert own == [(0, "c"), (0, "c"), (2, "a"), (2, "b"), (4, "c")]
+
+
 def test_no_similar_pair_is_missed(spark):
     """Short texts with both ends changed, of which fingerprints alone miss some at a similarity of 0.84."""
     rng, rows = random.Random(12), []
