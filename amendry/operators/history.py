@@ -8,7 +8,7 @@ Chains come from pointer doubling, so rounds grow with the logarithm of the dept
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from amendry.functions import text as T
@@ -18,23 +18,35 @@ from amendry.plans.scratch import written
 _NODE = ["project_id", "commit"]
 
 
-def chains(commits: DataFrame) -> DataFrame:
-    """(project_id, commit, chain, pos) of all commits and of parents that have no row of their own, which are roots.
+def _nodes(commits: DataFrame) -> DataFrame:
+    """(project_id, commit, id, every): commits and parents that have no row of their own, written once. Ids are in the
+    order of names; `every` has the parents of each different row of a commit, and nothing for parents without a row."""
+    own = F.array(F.struct("commit", "parents"))
+    named = F.transform(F.filter("parents", lambda x: x.isNotNull()), lambda x: F.struct(x.alias("commit"), F.lit(None).cast("array<string>").alias("parents")))
+    rows = commits.select("project_id", F.explode(F.concat(own, F.coalesce(named, F.array()))).alias("x")).select("project_id", "x.*")
+    nodes = rows.groupBy(*_NODE).agg(F.collect_set("parents").alias("every"))
+    return written(nodes.orderBy("commit", "project_id").withColumn("id", F.monotonically_increasing_id()), "nodes")
 
-    A chain is named by its last commit. Parents that form a circle are an error. Rounds move numbers only, given in the
-    order of the commits' names; names come back at the end.
-    """
-    listed = commits.select(*_NODE, F.get("parents", F.lit(0)).alias("up")).dropDuplicates(_NODE)
-    named = commits.select("project_id", F.explode("parents").alias("commit")).distinct().join(listed, _NODE, "left_anti")
-    nodes = written(listed.unionByName(named, allowMissingColumns=True).orderBy("commit", "project_id").withColumn("id", F.monotonically_increasing_id()), "nodes")
-    first = nodes.join(nodes.select("project_id", F.col("commit").alias("up"), F.col("id").alias("up_id")), ["project_id", "up"], "left")
-    state = first.select("id", F.col("up_id").alias("up"), F.col("up_id").isNotNull().cast("long").alias("steps"), F.struct(F.lit(0).cast("long").alias("height"), F.col("id").alias("tip")).alias("best"))
+
+def _edges(nodes: DataFrame) -> DataFrame:
+    """(id, nth, to, first): all parents by id, written; `first` marks what a commit's chain continues with, once a commit."""
+    rows = nodes.select("project_id", "id", F.explode(F.transform("every", lambda x: F.struct(x.alias("parents"), (x == F.array_min("every")).alias("own")))).alias("x"))
+    each = rows.select("project_id", "id", F.col("x.own").alias("own"), F.posexplode("x.parents").alias("nth", "commit"))
+    found = each.join(nodes.select(*_NODE, F.col("id").alias("to")), _NODE)
+    return written(found.select("id", "nth", "to", (F.col("own") & (F.col("nth") == 0)).alias("first")), "edges")
+
+
+def _placed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, chain, pos) of all commits, a chain named by the id of its last one, written."""
+    first = nodes.select("id").join(edges.where("first").select("id", F.col("to").alias("up")), "id", "left")
+    state = first.select("id", "up", F.col("up").isNotNull().cast("long").alias("steps"), F.struct(F.lit(0).cast("long").alias("height"), F.col("id").alias("tip")).alias("best"))
     state = written(state, "chains")
+    number = nodes.count()
     for k in range(64):
         rising = state.where("up IS NOT NULL")
         if rising.isEmpty():
             break
-        if k == 40:
+        if 1 << k > number:  # more steps than commits
             raise ValueError("commits are their own ancestors")
         # `up` is 2^k steps away: the deepest tip seen from there, and the jump twice as long.
         seen = rising.groupBy(F.col("up").alias("id")).agg(F.max(F.struct((F.col("best.height") + (1 << k)).alias("height"), F.col("best.tip").alias("tip"))).alias("seen"))
@@ -42,96 +54,103 @@ def chains(commits: DataFrame) -> DataFrame:
         jumped = rising.join(above, "up").select("id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), "best")
         moved = jumped.unionByName(state.where("up IS NULL")).join(seen, "id", "left")
         state = written(moved.select("id", "up", "steps", F.greatest("best", F.coalesce("seen", "best")).alias("best")), "chains")
-    tips = nodes.select(F.col("id").alias("tip"), F.col("commit").alias("chain"))
-    placed = state.select("id", F.col("best.tip").alias("tip"), F.col("steps").alias("pos")).join(tips, "tip")
-    return nodes.join(placed, "id").select(*_NODE, "chain", "pos")
+    return written(state.select("id", F.col("best.tip").alias("chain"), F.col("steps").alias("pos")), "placed")
+
+
+def chains(commits: DataFrame) -> DataFrame:
+    """(project_id, commit, chain, pos) of all commits and of parents that have no row of their own, which are roots.
 
+    A chain is named by its last commit. Parents that form a circle are an error. Rounds move numbers only, given in the
+    order of the commits' names; names come back at the end. Of rows that repeat a commit with other parents, the chain
+    follows the first in order.
+    """
+    nodes = _nodes(commits)
+    placed = _placed(nodes, _edges(nodes))
+    tips = nodes.select(F.col("id").alias("chain"), F.col("commit").alias("name"))
+    return nodes.join(placed, "id").join(tips, "chain").select(*_NODE, F.col("name").alias("chain"), "pos")
 
-def chain_links(commits: DataFrame, placed: DataFrame) -> DataFrame:
-    """(project_id, chain, pos, to_chain, to_pos): parents that don't continue their child's chain."""
-    edges = commits.select(*_NODE, F.posexplode("parents").alias("nth", "parent")).distinct()
-    to = placed.select("project_id", F.col("commit").alias("parent"), F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos"))
-    found = edges.join(placed, _NODE).join(to, ["project_id", "parent"])
-    return found.where("NOT (nth = 0 AND chain = to_chain)").select("project_id", "chain", "pos", "to_chain", "to_pos").distinct()
+
+def _links(edges: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chain, pos, to_chain, to_pos, to_low): parents that don't continue their child's chain, and (chain, low), where
+    chains begin that don't end in a root. `to_low` is the first position of `to_chain`."""
+    to = placed.select(F.col("id").alias("to"), F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos"))
+    found = edges.join(placed, "id").join(to, "to").where("NOT (nth = 0 AND chain = to_chain)")
+    found = written(found.select("chain", "pos", "to_chain", "to_pos", "first"), "across")
+    lows = found.where("first").select("chain", F.col("pos").alias("low"))
+    each = found.select("chain", "pos", "to_chain", "to_pos").distinct()
+    each = each.join(lows.withColumnsRenamed({"chain": "to_chain", "low": "to_low"}), "to_chain", "left")
+    return written(each.select("chain", "pos", "to_chain", "to_pos", F.coalesce("to_low", F.lit(0)).alias("to_low")), "links"), lows
 
 
 def mainline(commits: DataFrame, heads: DataFrame) -> DataFrame:
     """(project_id, commit): the commits that first parents lead to from each project's head, itself included."""
-    placed = written(chains(commits), "placed")
-    first = commits.select(*_NODE, F.get("parents", F.lit(0)).alias("parent")).where("parent IS NOT NULL")
-    to = placed.select("project_id", F.col("commit").alias("parent"), F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos"))
-    hops = written(first.join(placed, _NODE).join(to, ["project_id", "parent"]).where("chain <> to_chain").select("project_id", "chain", "to_chain", "to_pos").distinct(), "hops")
-    front = written(heads.select(*_NODE).join(placed, _NODE).select("project_id", "chain", "pos"), "front")
+    nodes = _nodes(commits)
+    edges = _edges(nodes)
+    placed = _placed(nodes, edges)
+    to = placed.select(F.col("id").alias("to"), F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos"))
+    hops = edges.where("nth = 0").join(placed, "id").join(to, "to").where("chain <> to_chain")
+    hops = written(hops.select("chain", "to_chain", "to_pos").distinct(), "hops")
+    front = written(heads.select(*_NODE).join(nodes, _NODE).select("id").join(placed, "id").select("chain", "pos"), "front")
     passed = [front]
     while not front.isEmpty():
-        front = written(front.join(hops, ["project_id", "chain"]).select("project_id", F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos")).distinct(), "front")
+        front = written(front.join(hops, "chain").select(F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos")).distinct(), "front")
         passed.append(front)
     reach = passed[0]
     for x in passed[1:]:
         reach = reach.union(x)
-    upto = reach.groupBy("project_id", "chain").agg(F.max("pos").alias("upto"))
-    return placed.join(upto, ["project_id", "chain"]).where("pos <= upto").select(*_NODE)
-
+    upto = reach.groupBy("chain").agg(F.max("pos").alias("upto"))
+    return nodes.join(placed.join(upto, "chain").where("pos <= upto").select("id"), "id").select(*_NODE)
 
-def _common(reach: DataFrame) -> DataFrame:
-    """(project_id, commit, chain, floor): chains that all sides of a merge reach, and how far up."""
-    both = reach.groupBy(*_NODE, "chain").agg(F.min("pos").alias("floor"), F.count(F.lit(1)).alias("sides"), F.first("of").alias("of"))
-    return both.where("sides = of").drop("sides", "of")
 
+def _reached(sides: DataFrame, links: DataFrame, window: int) -> DataFrame:
+    """(m, side, of, chain, pos, low, floor): how far up each chain the sides of a merge reach; `floor` is how far up all
+    do, null where not all reach the chain.
 
-def _reached(sides: DataFrame, placed: DataFrame, links: DataFrame, window: int) -> DataFrame:
-    """(project_id, commit, side, of, chain, pos): how far up each chain the sides of a merge reach.
-
-    `sides` has (project_id, commit, side, of, chain, pos), the place where each of `of` sides begins. Sides follow the
-    links of the last `window` positions of the chains they have reached, twice as many each round, and none below a
-    commit that all reach; a merge leaves when nothing is new and nothing above its common commits is left. So the work
-    follows the length of the branch, not of the history, and commits above the common ones are complete.
+    `sides` has (m, side, of, chain, pos, low), the place where each of `of` sides of merge m begins, and the first
+    position of its chain. Sides follow the links of the last `window` positions of the chains they have reached, twice as
+    many each round, each once, and none below a commit that all reach; a merge leaves when nothing is new and nothing
+    above its common commits is left. So the work follows the length of the branch, not of the history, and commits above
+    the common ones are complete. A round deals what is reached by merge once; all that is asked about a merge is then
+    together.
     """
-    state = written(sides, "reach")
-    lowest = placed.groupBy("project_id", "chain").agg((F.min("pos") - 1).alias("below"))
-    found = [state]
+    own, on = ["m", "side", "of", "chain", "low"], Window.partitionBy("m", "chain")
+    floor = F.when(F.count(F.lit(1)).over(on) == F.col("of"), F.min("pos").over(on))
+    state = sides.select(*own, "pos").repartition("m").withColumns({"floor": floor, "top": F.col("pos")})
+    state, found = written(state.withColumn("busy", F.lit(True)), "reach"), []
     while not state.isEmpty():
-        floors = state.join(_common(state), [*_NODE, "chain"], "left").withColumn("floor", F.greatest(F.coalesce("floor", F.lit(-1)), F.col("pos") - window))
+        lower = F.greatest(F.coalesce("floor", F.lit(-1)), F.col("pos") - window)
+        open_ = state.withColumn("lower", lower).where("top > lower")
         # At most `window` positions lie in two bins; joined by chain alone, each merge would meet all links of a mainline.
-        bins = floors.withColumn("bin", F.explode(F.sequence(F.floor((F.col("floor") + 1) / window), F.floor(F.col("pos") / window))))
+        bins = open_.withColumn("bin", F.explode(F.sequence(F.floor((F.col("lower") + 1) / window), F.floor(F.col("top") / window))))
         leaving = links.withColumnRenamed("pos", "leaves").withColumn("bin", F.floor(F.col("leaves") / window))
-        way = bins.join(leaving, ["project_id", "chain", "bin"]).where("leaves <= pos AND leaves > floor")
-        new = way.select(*_NODE, "side", "of", F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"), F.lit(None).cast("long").alias("was"))
-        merged = state.select(*_NODE, "side", "of", "chain", "pos", F.col("pos").alias("was")).union(new).groupBy(*_NODE, "side", "of", "chain").agg(F.max("pos").alias("pos"), F.max("was").alias("was"))
-        state = written(merged.select(*_NODE, "side", "of", "chain", "pos", (F.coalesce("was", F.lit(-1)) < F.col("pos")).alias("moved")), "reach")
-        left = state.join(_common(state), [*_NODE, "chain"], "left").join(lowest, ["project_id", "chain"])
-        busy = left.groupBy(*_NODE).agg(F.bool_or(F.col("moved") | (F.col("pos") - window > F.coalesce("floor", "below"))).alias("busy")).where("busy").select(*_NODE)
-        busy = written(busy, "busy")
-        found.append(state.join(busy, _NODE, "left_anti").drop("moved"))
-        state = written(state.join(busy, _NODE, "left_semi").drop("moved"), "reach")
+        way = bins.select("m", "side", "of", "chain", "bin", "lower", "top").join(leaving, ["chain", "bin"]).where("leaves <= top AND leaves > lower")
+        new = way.select("m", "side", "of", F.col("to_chain").alias("chain"), F.col("to_low").alias("low"), F.col("to_pos").alias("pos"), F.lit(None).cast("long").alias("was"))
+        merged = state.select(*own, "pos", F.col("pos").alias("was")).union(new).repartition("m").groupBy(*own).agg(F.max("pos").alias("pos"), F.max("was").alias("was"))
+        merged = merged.withColumns({"floor": floor, "moved": F.coalesce("was", F.lit(-1)) < F.col("pos")})
+        # Of chains that didn't move, what is above is followed already.
+        left = F.col("moved") | (F.col("pos") - window > F.coalesce("floor", F.col("low") - 1))
+        top = F.when(F.col("moved"), F.col("pos")).otherwise(F.col("pos") - window)
+        merged = merged.select(*own, "pos", "floor", top.alias("top"), F.max(left).over(Window.partitionBy("m")).alias("busy"))
+        state = written(merged, "reach")
+        found.append(state.where("NOT busy"))
+        state = state.where("busy")
         window *= 2
-    ends = found[0] if len(found) == 1 else found[1]
-    for x in found[2:]:
+    ends = found[0] if found else state
+    for x in found[1:]:
         ends = ends.union(x)
     return ends
 
 
-def _last_common(merges: DataFrame, placed: DataFrame, links: DataFrame, window: int) -> DataFrame:
-    """(project_id, commit, ancestor, chain, pos): on each chain the last commit that both parents of a merge reach."""
-    at = placed.select("project_id", F.col("commit").alias("parent"), "chain", "pos")
-    sides = merges.select(*_NODE, F.posexplode("parents").alias("side", "parent")).join(at, ["project_id", "parent"])
-    sides = sides.groupBy(*_NODE, "side", "chain").agg(F.max("pos").alias("pos")).select(*_NODE, "side", F.lit(2).alias("of"), "chain", "pos")
-    where = placed.select("project_id", "chain", "pos", F.col("commit").alias("ancestor"))
-    return _common(_reached(sides, placed, links, window)).withColumnRenamed("floor", "pos").join(where, ["project_id", "chain", "pos"])
-
-
-def _not_behind(ends: DataFrame, placed: DataFrame, links: DataFrame, window: int) -> DataFrame:
-    """Common commits of a merge that no other of its common commits descends from.
+def _not_behind(ends: DataFrame, links: DataFrame, window: int) -> DataFrame:
+    """Common commits of a merge that no other of its common commits descends from: (m, chain, pos, low, of), with one
+    on a chain and `of` in all.
 
     Where there are several, each is a side that walks down until all meet: what all reach lies below every one of them
     and leads to none, so what is below needs no walking.
     """
-    several = written(ends.groupBy(*_NODE).agg(F.count(F.lit(1)).cast("int").alias("of")).where("of > 1"), "several")
-    own = written(ends.join(several, _NODE), "ends")
-    over = _reached(own.select(*_NODE, F.col("ancestor").alias("side"), "of", "chain", "pos"), placed, links, window)
-    over = over.select(*_NODE, F.col("side").alias("by"), "chain", F.col("pos").alias("upto"))
-    behind = own.join(over, [*_NODE, "chain"]).where("by <> ancestor AND upto >= pos").select(*_NODE, "ancestor").distinct()
-    return ends.join(behind, [*_NODE, "ancestor"], "left_anti")
+    over = _reached(ends.where("of > 1").select("m", F.col("chain").alias("side"), "of", "chain", "pos", "low"), links, window)
+    upto = over.where("side <> chain").groupBy("m", "chain").agg(F.max("pos").alias("upto"))
+    return ends.join(upto, ["m", "chain"], "left").where("upto IS NULL OR upto < pos").drop("upto")
 
 
 def fork_points(commits: DataFrame, merges: DataFrame, window: int = 16) -> DataFrame:
@@ -142,19 +161,32 @@ def fork_points(commits: DataFrame, merges: DataFrame, window: int = 16) -> Data
     the fork itself. Merges whose parents share no history have no row; merges of more than two parents are left out.
     """
     merges = merges.where(F.size("parents") == 2).select(*_NODE, "parents").dropDuplicates(_NODE)
-    placed = written(chains(commits), "placed")
-    links = written(chain_links(commits, placed), "links")
-    ends = written(_last_common(merges, placed, links, window), "ends")
-    return _not_behind(ends, placed, links, window).groupBy(*_NODE).agg(F.min("ancestor").alias("fork"))
-
-
-def merged_branches(commits: DataFrame, heads: DataFrame | None = None, prefix: str = "edit/") -> DataFrame:
+    merges = written(merges.withColumn("m", F.monotonically_increasing_id()), "merges")
+    nodes = _nodes(commits)
+    edges = _edges(nodes)
+    placed = _placed(nodes, edges)
+    links, lows = _links(edges, placed)
+    parents = merges.select("project_id", "m", F.posexplode("parents").alias("side", "commit"))
+    sides = parents.join(nodes.select(*_NODE, "id"), _NODE).select("m", "side", "id").join(placed, "id").join(lows, "chain", "left")
+    reach = _reached(sides.select("m", "side", F.lit(2).cast("long").alias("of"), "chain", "pos", F.coalesce("low", F.lit(0)).alias("low")), links, window)
+    ends = reach.where("side = 0 AND floor IS NOT NULL").select("m", "chain", "low", F.col("floor").alias("pos")).repartition("m")
+    ends = written(ends.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("m"))), "ends")
+    forks = _not_behind(ends, links, window).join(placed, ["chain", "pos"]).groupBy("m").agg(F.min("id").alias("id"))
+    return forks.join(nodes.select("id", F.col("commit").alias("fork")), "id").join(merges, "m").select(*_NODE, "fork")
+
+
+def merged_branches(commits: DataFrame, heads: DataFrame | None = None, prefix: str = "edit/", tips: DataFrame | None = None) -> DataFrame:
     """(project_id, commit, branch, base, fork, tip) of each merged edit branch: where it began and its last commit.
 
-    With `heads` (project_id, commit) only merges on the line of first parents of a head count. Merges without a common
-    ancestor, and those of a branch that the mainline already held (fork and tip are one commit), are dropped.
+    With `heads` (project_id, commit) only merges on the line of first parents of a head count, with `tips` (project_id,
+    tip) only those of a branch that ends in one. Merges without a common ancestor, and those of a branch that the mainline
+    already held (fork and tip are one commit), are dropped.
     """
+    if tips is not None:
+        commits = commits.join(tips.select("project_id").distinct(), "project_id", "left_semi")
     merges = edit_merges(commits, prefix)
+    if tips is not None:
+        merges = merges.withColumn("tip", F.element_at("parents", 2)).join(tips, ["project_id", "tip"], "left_semi").drop("tip")
     if heads is not None:
         merges = merges.join(mainline(commits, heads), _NODE, "left_semi")
     merges = written(merges, "merges")
@@ -169,9 +201,11 @@ def merged_section_pairs(commits: DataFrame, revisions: DataFrame, heads: DataFr
     differs and that both commits hold are split; one file alone with `path`. Rows are those of `section_pairs` with
     merged_branch and merge_commit.
     """
-    branches = written(merged_branches(commits, heads, prefix), "branches")
     texts = revisions.where(F.col("path") == path) if path is not None else revisions
     texts = texts.join(text_paths(texts), "path", "left_semi")
+    # Only merges whose branch ends in a commit with texts can have rows, so no others are walked.
+    tips = written(texts.select("project_id", F.col("ref").alias("tip")).distinct(), "tips")
+    branches = written(merged_branches(commits, heads, prefix, tips), "branches")
     at = lambda ref, name: texts.select("project_id", "path", F.col("ref").alias(ref), F.col("text").alias(name))
     files = branches.join(at("fork", "base_text"), ["project_id", "fork"]).join(at("tip", "edit_text"), ["project_id", "tip", "path"])
     changed = written(files.where("base_text <> edit_text").select("project_id", "path", "commit", "branch", "fork", "tip", "base_text", "edit_text"), "changed")

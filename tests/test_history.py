@@ -154,3 +154,28 @@ def test_criss_cross_forks_dont_walk_the_history(spark, monkeypatch):
     monkeypatch.setattr(H, "written", lambda df, name: (lambda out: (sizes.append(out.count()) if name in ("reach", "below") else None, out)[1])(keep(df, name)))
     (row,) = H.fork_points(commits, commits.where("commit = 'last'"), 8).collect()
     assert row.fork == "x" and max(sizes) < 30
+
+
+def test_a_round_deals_what_is_reached_by_merge_once(spark, monkeypatch):
+    """Numbers alone travel from round to round, one table is written in each, and what is above an unmoved place is not
+    followed again."""
+    g = graph(5, 160)
+    commits, tables, real = table(spark, {"p": g}), [], H.written
+    monkeypatch.setattr(H, "written", lambda df, name: (lambda out: (tables.append((name, out)), out)[1])(real(df, name)))
+    H.fork_points(commits, commits, window=2).count()
+    walk = [(name, df) for name, df in tables[[name for name, _ in tables].index("links") :] if name != "several"]
+    assert {name for name, _ in walk} == {"links", "reach", "ends"} and len(walk) > 5
+    assert not any("string" in df.schema.simpleString() for _, df in walk)
+    assert any(df.where("busy AND top < pos").count() for name, df in walk if name == "reach")
+
+
+def test_merges_without_texts_are_not_walked(spark, monkeypatch):
+    """Section pairs come from merges whose tip has a text; forks of others are not looked for, nor their projects placed."""
+    parents = {"1": [], "2": ["1"], "3": ["1"], "4": ["2", "3"], "5": ["4"], "6": ["4"], "7": ["5", "6"]}
+    commits = table(spark, {"p": parents, "q": parents})
+    asked, real = [], H.fork_points
+    monkeypatch.setattr(H, "fork_points", lambda c, m, *rest: (asked.append((c.count(), m.count())), real(c, m, *rest))[1])
+    texts = [("p", "f.md", "1", "# A\n\nold\n"), ("p", "f.md", "3", "# A\n\nnew\n"), ("q", "f.png", "3", "x")]
+    rows = H.merged_section_pairs(commits, spark.createDataFrame(texts, "project_id string, path string, ref string, text string")).collect()
+    assert [(r.project_id, r.merge_commit, r.section_key) for r in rows] == [("p", "4", "A")]
+    assert asked == [(7, 1)]
