@@ -3,7 +3,8 @@
 A graph is cut into chains: each commit continues the line of first parents towards the deepest of its descendants by
 first parents, so a mainline is one chain and a branch another. A commit is (chain, pos), pos growing by one along the
 chain; what lies below it on its chain needs no walking. Only the other parents, links from chain to chain, are followed.
-Chains come from pointer doubling, so rounds grow with the logarithm of the depth.
+Chains come from tree contraction, and pointer doubling of what is left: rounds grow with the logarithm of the number of
+commits, and what all of them move with that number.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from amendry.operators.mining import edit_merges, section_rows, split_sections,
 from amendry.plans.scratch import written
 
 _NODE = ["project_id", "commit"]
+#: Commits that are placed by pointer doubling; of more, most are taken out before.
+_FEW = 2_000_000
 
 
 def _nodes(commits: DataFrame) -> DataFrame:
@@ -36,25 +39,79 @@ def _edges(nodes: DataFrame) -> DataFrame:
     return written(found.select("id", "nth", "to", (F.col("own") & (F.col("nth") == 0)).alias("first")), "edges")
 
 
-def _placed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, chain, pos) of all commits, a chain named by the id of its last one, written."""
-    first = nodes.select("id").join(edges.where("first").select("id", F.col("to").alias("up")), "id", "left")
-    state = first.select("id", "up", F.col("up").isNotNull().cast("long").alias("steps"), F.struct(F.lit(0).cast("long").alias("height"), F.col("id").alias("tip")).alias("best"))
-    state = written(state, "chains")
-    number = nodes.count()
+def _contracted(state: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """One round of tree contraction: what is left of (id, up, len, kids, best), and the commits taken out.
+
+    Commits without children go, after their parent has seen how deep they are. Of commits with one child those go that
+    come before child and parent in an order drawn anew each round, a third of a long line; the child's edge then leads
+    past them. `via` is the neighbour whose place gives theirs, `len` the distance to it.
+    """
+    leaf, deep = F.col("kids") == 0, F.struct((F.col("best.height") + F.col("len")).alias("height"), F.col("best.tip").alias("tip"))
+    seen = state.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(
+        F.max(F.when(leaf, deep)).alias("seen"), F.count_if(leaf).alias("leaves"), F.max("id").alias("only"), F.max("len").alias("below")
+    )
+    order = lambda x: F.xxhash64(x, F.lit(turn))
+    past = (F.col("kids") == 1) & F.col("up").isNotNull() & (F.col("leaves") == 0) & (order("id") < order("up")) & (order("id") < order("only"))
+    best = F.greatest("best", F.coalesce("seen", "best"))
+    each = state.join(seen, "id", "left").select("id", "up", "len", (F.col("kids") - F.coalesce("leaves", F.lit(0))).alias("kids"), best.alias("best"), leaf.alias("leaf"), F.coalesce(past, F.lit(False)).alias("past"), "only", "below")
+    each = written(each, "contracted")
+    gone = each.where("past")
+    no_place, no_best = F.lit(None).cast("long"), F.lit(None).cast("struct<height:bigint,tip:bigint>")
+    told = gone.select(F.col("up").alias("id"), deep.alias("seen"), no_place.alias("next"), no_place.alias("more"))
+    told = told.union(gone.select(F.col("only").alias("id"), no_best.alias("seen"), F.col("up").alias("next"), F.col("len").alias("more")))
+    told = told.groupBy("id").agg(F.max("seen").alias("seen"), F.max("next").alias("next"), F.max("more").alias("more"))
+    left = each.where("NOT leaf AND NOT past").join(told, "id", "left")
+    left = left.select("id", F.coalesce("next", "up").alias("up"), (F.col("len") + F.coalesce("more", F.lit(0))).alias("len"), "kids", best.alias("best"))
+    out = each.where("leaf OR past").select("id", F.when(F.col("leaf"), F.col("up")).otherwise(F.col("only")).alias("via"), F.when(F.col("leaf"), F.col("len")).otherwise(F.col("below")).alias("len"), "leaf", "best")
+    return written(left, "chains"), out
+
+
+def _doubled(state: DataFrame) -> DataFrame:
+    """(id, best, pos) by pointer doubling, from (id, up, len, best): in each round all rows move, so it is for few."""
+    number = state.count()
+    state = state.select("id", "up", F.col("len").alias("steps"), "best")
     for k in range(64):
         rising = state.where("up IS NOT NULL")
         if rising.isEmpty():
             break
         if 1 << k > number:  # more steps than commits
             raise ValueError("commits are their own ancestors")
-        # `up` is 2^k steps away: the deepest tip seen from there, and the jump twice as long.
-        seen = rising.groupBy(F.col("up").alias("id")).agg(F.max(F.struct((F.col("best.height") + (1 << k)).alias("height"), F.col("best.tip").alias("tip"))).alias("seen"))
+        # `up` is 2^k edges away: the deepest tip seen from there, and the jump twice as long.
+        seen = rising.groupBy(F.col("up").alias("id")).agg(F.max(F.struct((F.col("best.height") + F.col("steps")).alias("height"), F.col("best.tip").alias("tip"))).alias("seen"))
         above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
         jumped = rising.join(above, "up").select("id", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), "best")
         moved = jumped.unionByName(state.where("up IS NULL")).join(seen, "id", "left")
         state = written(moved.select("id", "up", "steps", F.greatest("best", F.coalesce("seen", "best")).alias("best")), "chains")
-    return written(state.select("id", F.col("best.tip").alias("chain"), F.col("steps").alias("pos")), "placed")
+    return state.select("id", "best", F.col("steps").alias("pos"))
+
+
+def _placed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, chain, pos) of all commits, a chain named by the id of its last one, written.
+
+    The forest of first parents shrinks round by round until `_FEW` commits are left, which are placed by doubling; those
+    taken out follow, the last ones first. Rounds shrink by a constant share, so all of them together move a few times the
+    commits, however deep the history is.
+    """
+    first = edges.where("first").select("id", F.col("to").alias("up"))
+    kids = first.groupBy(F.col("up").alias("id")).agg(F.count(F.lit(1)).alias("kids"))
+    state = nodes.select("id").join(first, "id", "left").join(kids, "id", "left")
+    best = F.struct(F.lit(0).cast("long").alias("height"), F.col("id").alias("tip"))
+    state = written(state.select("id", "up", F.col("up").isNotNull().cast("long").alias("len"), F.coalesce("kids", F.lit(0)).alias("kids"), best.alias("best")), "chains")
+    number, levels = state.count(), []
+    while number > _FEW:
+        state, out = _contracted(state, len(levels))
+        levels.append(out)
+        before, number = number, state.count()
+        if number == before:
+            break
+    placed = _doubled(state)
+    for out in reversed(levels):
+        at = placed.select(F.col("id").alias("via"), F.col("best").alias("of_via"), F.col("pos").alias("at"))
+        below = F.struct((F.col("of_via.height") + F.col("len")).alias("height"), F.col("of_via.tip").alias("tip"))
+        pos = F.when(F.col("leaf"), F.coalesce("at", F.lit(0)) + F.col("len")).otherwise(F.col("at") - F.col("len"))
+        found = out.join(at, "via", "left").select("id", F.when(F.col("leaf"), F.col("best")).otherwise(F.greatest("best", below)).alias("best"), pos.alias("pos"))
+        placed = placed.union(written(found, "chains"))
+    return written(placed.select("id", F.col("best.tip").alias("chain"), "pos"), "placed")
 
 
 def chains(commits: DataFrame) -> DataFrame:

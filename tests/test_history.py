@@ -179,3 +179,20 @@ def test_merges_without_texts_are_not_walked(spark, monkeypatch):
     rows = H.merged_section_pairs(commits, spark.createDataFrame(texts, "project_id string, path string, ref string, text string")).collect()
     assert [(r.project_id, r.merge_commit, r.section_key) for r in rows] == [("p", "4", "A")]
     assert asked == [(7, 1)]
+
+
+def test_chains_of_contracted_histories(spark, monkeypatch):
+    """Long lines, random graphs, lone commits and a circle, contracted to a few commits: the places that doubling gives,
+    from rounds that shrink."""
+    line = {f"{i * 7919 % 1000:04d}": [f"{(i - 1) * 7919 % 1000:04d}"] if i else [] for i in range(400)}
+    graphs = {"l": line, **{f"p{s}": graph(s, 150) for s in range(3)}, **{f"s{i}": {"x": []} for i in range(40)}}
+    commits = table(spark, graphs)
+    want = sorted(map(tuple, H.chains(commits).collect()))
+    sizes, real = [], H.written
+    monkeypatch.setattr(H, "written", lambda df, name: (lambda out: (sizes.append(out.count()) if name == "contracted" else None, out)[1])(real(df, name)))
+    monkeypatch.setattr(H, "_FEW", 20)
+    assert sorted(map(tuple, H.chains(commits).collect())) == want and len(want) == 890
+    assert len(sizes) > 5 and sizes[0] == 890 and sum(sizes) < 4 * 890
+    monkeypatch.setattr(H, "_FEW", 0)
+    with pytest.raises(ValueError, match="own ancestors"):
+        H.chains(table(spark, {"p": {"1": ["2"], "2": ["3"], "3": ["1"], "4": ["1"]}, "q": {"1": []}}))
